@@ -33,22 +33,27 @@ def _bits_for(df: DataFrame, bits: int | None) -> int:
     return min(16, max(1, (4 * parts - 1).bit_length()))
 
 
-def global_index(df: DataFrame, order_cols, out: str = "idx", bits: int | None = None) -> DataFrame:
+def global_index(df: DataFrame, order_cols, out: str = "idx", bits: int | None = None,
+                 group_cols=(), broadcast_offsets: bool = True) -> DataFrame:
     """Add ``out`` = 0-based rank in the order ``order_cols`` (first one a hash
-    order; the full key must be unique)."""
+    order; the full key must be unique), restarting per ``group_cols``.
+
+    The offsets table has (groups x 2^bits) rows; it is broadcast when there
+    is no grouping or the caller vouches for a small group set, otherwise
+    the join is left to AQE."""
     order_cols = list(order_cols)
+    group_cols = list(group_cols)
     bits = _bits_for(df, bits)
     keyed = df.withColumn("_bkt", F.shiftright(F.col(order_cols[0]), HASH_BITS - bits))
-    counts = keyed.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 2^bits rows: a single-partition running sum is bounded by `bits`
-    offsets = counts.select(
-        "_bkt",
-        (F.sum("_n").over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-         - F.col("_n")).alias("_off"),
-    )
-    w = Window.partitionBy("_bkt").orderBy(*order_cols)
+    counts = keyed.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    ow = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy("_bkt").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select(*group_cols, "_bkt", (F.sum("_n").over(ow) - F.col("_n")).alias("_off"))
+    if broadcast_offsets:
+        offsets = F.broadcast(offsets)
+    w = Window.partitionBy(*group_cols, "_bkt").orderBy(*order_cols)
     return (
-        keyed.join(F.broadcast(offsets), "_bkt")
+        keyed.join(offsets, group_cols + ["_bkt"])
         .withColumn(out, (F.row_number().over(w) - 1 + F.col("_off")).cast("bigint"))
         .drop("_bkt", "_off")
     )
