@@ -44,3 +44,54 @@ TOKEN_RE = r"(\[NUM\]|[\p{L}\d_]+|[^\p{L}\d_\s])"
 
 def lit_list(values) -> str:
     return "[" + ", ".join(repr(float(v)) for v in values) + "]"
+
+
+def dbl(v: float) -> str:
+    """Exact DOUBLE literal (Python repr round-trips)."""
+    return f"{float(v)!r}::DOUBLE"
+
+
+def dlist(values) -> str:
+    return "[" + ", ".join(dbl(v) for v in values) + "]"
+
+
+def periodic(x: str, periods, dim: int, shift: str | None = None) -> str:
+    import math
+
+    xs = f"({x})" if shift is None else f"(({x}) * pow(10.0, {shift}))"
+    feats = []
+    for p in periods:
+        w = 2 * math.pi / p
+        feats += [f"cos({xs} * {dbl(w)})", f"sin({xs} * {dbl(w)})"]
+    feats += ["0.0::DOUBLE"] * (dim - len(feats))
+    zeros = ", ".join(["0.0::DOUBLE"] * dim)
+    return f"CASE WHEN ({x}) <> 0 THEN [{', '.join(feats)}] ELSE [{zeros}] END"
+
+
+def layer_norm_cte(src: str, key: str, h: str = "h") -> str:
+    """SELECT key, hn (normalised h) FROM src, two passes over the list."""
+    return f"""SELECT * EXCLUDE (m, s), list_transform({h}, lambda e: (e - m) / sqrt(s + 1e-5)) AS hn FROM (
+  SELECT *, list_reduce(list_prepend(0.0::DOUBLE, list_transform({h}, lambda e: (e - m) * (e - m))),
+                        lambda a, b: a + b) / len({h}) AS s
+  FROM (SELECT *, list_reduce(list_prepend(0.0::DOUBLE, {h}), lambda a, b: a + b) / len({h}) AS m FROM ({src})))"""
+
+
+def digit_logits(hn: str, bases, n_digits: int, offset: int = 0) -> str:
+    from ..config import DIGITS, codebook
+
+    cb = codebook(bases)
+    width = 2 * len(bases)
+    rows = []
+    for k in range(n_digits):
+        base = width * (offset + k)
+        logits = []
+        for d in range(DIGITS):
+            terms = [f"{hn}[{base + m + 1}] * {dbl(cb[m][d])}" for m in range(width)]
+            logits.append("(" + " + ".join(terms) + ")")
+        rows.append("[" + ", ".join(logits) + "]")
+    return "[" + ", ".join(rows) + "]"
+
+
+def argmax(lst: str) -> str:
+    r = f"list_transform({lst}, lambda e: round(e, 9))"
+    return f"(list_position({r}, list_max({r})) - 1)"
