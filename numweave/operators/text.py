@@ -98,7 +98,8 @@ def serialize_tabular(df: DataFrame, key_cols=()) -> DataFrame:
 def concat_question_label(df: DataFrame, question_col: str = "question", label_col: str = "label",
                           out: str = "text") -> DataFrame:
     """Model input of the plain-text method: question, space, Python float text."""
-    return df.withColumn(out, F.concat_ws(" ", F.col(question_col), T.py_float_str(label_col)))
+    q = F.col(question_col) if isinstance(question_col, str) else question_col
+    return df.withColumn(out, F.concat_ws(" ", q, T.py_float_str(label_col)))
 
 
 def filter_numeric_string(df: DataFrame, col: str) -> DataFrame:
@@ -134,6 +135,25 @@ def encode_token_ids(df: DataFrame, key_cols, tokens_col: str, vocab: DataFrame,
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias(out))
 
 
+def lookup_token_vectors(df: DataFrame, key_cols, ids_col: str, vectors: DataFrame, id_col: str, vec_col: str,
+                         broadcast_vectors: bool = False) -> DataFrame:
+    """Embedding gather in table form: one row per (key, pos) with its token id
+    and vector (NULL when the id has none). The vector table is joined by id;
+    it is broadcast only when the caller vouches for its size (a vocabulary of
+    wide vectors can be large), otherwise AQE picks the strategy."""
+    keys = list(key_cols)
+    exploded = df.select(*keys, F.posexplode(ids_col).alias("pos", id_col))
+    v = vectors.select(id_col, vec_col)
+    return exploded.join(F.broadcast(v) if broadcast_vectors else v, id_col, "left")
+
+
+def gather_ordered(long_df: DataFrame, key_cols, pos_col: str, value_col: str, out: str) -> DataFrame:
+    """Regroup a long (key, pos, value) table into one ordered array per key."""
+    keys = list(key_cols)
+    return long_df.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(pos_col, value_col))), lambda s: s[value_col]).alias(out))
+
+
 def hashed_questions(df: DataFrame, seed, key_col: str = "question", out: str = "h") -> DataFrame:
     return df.withColumn(out, hash_order(seed, key_col))
 
