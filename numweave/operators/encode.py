@@ -91,3 +91,16 @@ def apply_linear(df: DataFrame, vector_col: str, weight, bias=None, out: str = "
         return pd.Series(out, dtype=object)
 
     return df.withColumn(out, _matmul(F.col(vector_col)))
+
+
+def filter_nonzero_mask(df: DataFrame, value_col: str, vector_col: str, position_col: str | None = None,
+                        out: str | None = None) -> DataFrame:
+    """Zero the vector where there is "no number". Reference semantics: a value
+    of 0 means no number (a literal 0 in the text is lost too). With
+    ``position_col`` (``mask_by_position``) only rows without a position are
+    zeroed, so a real 0 keeps its vector."""
+    out = out or vector_col
+    v = F.col(vector_col)
+    zeros = F.transform(v, lambda e: F.lit(0.0))
+    keep = F.col(position_col).isNotNull() if position_col else (F.col(value_col) != 0)
+    return df.withColumn(out, F.when(keep, v).otherwise(zeros))

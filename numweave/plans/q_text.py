@@ -209,3 +209,37 @@ WHERE regexp_full_match(word, '-?\\d+(\\.\\d+)?')
 def q_filter_numeric_string(spark, sf):
     d = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "word"))
     return X.filter_numeric_string(d, "word").withColumn("pos", F.col("pos").cast("bigint"))
+
+
+# ---- projections of QA / tabular rows (2.4) -----------------------------------
+
+@register("project_qa", """
+SELECT p_partkey, CAST(p_name AS VARCHAR) AS question, CAST(p_retailprice AS DOUBLE) AS label FROM part
+""")
+def q_project_qa(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("question"),
+                                        F.col("p_retailprice").alias("label"))
+    return X.project_qa(p)
+
+
+@register("serialize_tabular", r"""
+SELECT regexp_replace(regexp_replace(concat_ws(' ', coalesce(CAST(c_custkey AS VARCHAR), 'None') || ',',
+                                               coalesce(c_name, 'None') || ',',
+                                               coalesce(CAST(c_nationkey AS VARCHAR), 'None') || ',',
+                                               coalesce(CAST(c_acctbal AS VARCHAR), 'None') || ','), '^,+', ''),
+                      ',+$', '') AS question,
+       c_mktsegment AS label
+FROM customer
+""")
+def q_serialize_tabular(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return X.serialize_tabular(c)
+
+
+@register("concat_question_label", """
+SELECT p_partkey, p_name || ' ' || CAST(p_retailprice AS VARCHAR) AS text FROM part
+""")
+def q_concat_question_label(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("question"),
+                                        F.col("p_retailprice").alias("label"))
+    return X.concat_question_label(p).select("p_partkey", "text")

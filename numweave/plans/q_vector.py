@@ -218,3 +218,16 @@ def q_decode_logscale(spark, sf):
 
 
 __all__ = ["N"]
+
+
+@register("filter_nonzero_mask", f"""
+SELECT doc_id, pos, value, round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(vec, lambda e: e * e)), lambda a, b: a + b), 9) AS sq_norm
+FROM (SELECT doc_id, pos, value,
+             CASE WHEN value <> 0 THEN vec ELSE list_transform(vec, lambda e: 0.0::DOUBLE) END AS vec
+      FROM (SELECT doc_id, pos, value, {S.periodic('value', ENC.periods, ENC.dim).split(' THEN ', 1)[1].split(' ELSE ', 1)[0]} AS vec
+            FROM ({NUMS_SQL})))""")
+def q_filter_nonzero_mask(spark, sf):
+    n = _nums(spark, sf).withColumn("vector", V.periodic_features("value", list(ENC.periods), ENC.dim, mask_zero=False))
+    m = E.filter_nonzero_mask(n, "value", "vector")
+    return m.select("doc_id", "pos", "value",
+                    F.round(V.vsum(F.transform("vector", lambda e: e * e)), 9).alias("sq_norm"))
