@@ -65,7 +65,7 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def py_float_str(x) -> Column:
+def _py_float_str_columns(x) -> Column:
     """Python ``str(float)`` of a DOUBLE column.
 
     Spark's cast yields the shortest round-trip digits laid out like Python
@@ -96,6 +96,23 @@ def py_float_str(x) -> Column:
     )
 
 
+def py_float_str_sql(expr: str) -> Column:
+    """Python float text of a Spark SQL expression (parsed in one call)."""
+    from .sqlexpr import py_float_str as _sql
+
+    return F.expr(_sql(f"({expr})"))
+
+
+def py_float_str(x) -> Column:
+    """Python ``str(float)`` of a DOUBLE column (name or Column). Column names
+    take the one-call SQL-text path; other Columns use the Column API form."""
+    if isinstance(x, str):
+        from .sqlexpr import q
+
+        return py_float_str_sql(f"cast({q(x)} as double)")
+    return _py_float_str_columns(x)
+
+
 def value_text(c, dtype: str) -> Column:
     """Python ``str()`` of a value of the given Spark simple type name."""
     if dtype in ("double", "float"):

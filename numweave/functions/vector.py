@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DIGITS, LAYER_NORM_EPS, NumberFormat, codebook, period_list
+from . import sqlexpr as S
 from .text import _let
 
 
@@ -24,8 +25,11 @@ def frequencies(periods) -> list[float]:
 
 def periodic_features(x, periods, dim: int, shift=0, mask_zero: bool = True) -> Column:
     """[cos(x w0), sin(x w0), cos(x w1), ...] zero-padded to ``dim``; a zero
-    vector where x == 0 (0 means "no number"). ``shift`` (int or Column g)
-    multiplies x by 10^g first (length generalisation)."""
+    vector where x == 0 (0 means "no number"). ``shift`` (int, column name or
+    Column g) multiplies x by 10^g first (length generalisation)."""
+    if isinstance(x, str) and isinstance(shift, (int, str)):
+        sh = None if shift == 0 else (S.q(shift) if isinstance(shift, str) else str(int(shift)))
+        return F.expr(S.periodic_features(S.q(x), list(periods), dim, sh, mask_zero))
     if 2 * len(periods) > dim:
         raise ValueError(f"{len(periods)} periods need {2 * len(periods)} > dim={dim}")
     x = _c(x).cast("double")
@@ -56,6 +60,8 @@ def vsum(v: Column) -> Column:
 
 def layer_norm(v, eps: float = LAYER_NORM_EPS, gamma=None, beta=None) -> Column:
     """(v - mean) / sqrt(var_pop + eps), then * gamma + beta (defaults 1, 0)."""
+    if isinstance(v, str) and gamma is None and beta is None:
+        return F.expr(S.layer_norm(S.q(v), eps))
     v = _c(v).cast("array<double>")
 
     def with_mean(vv):
@@ -78,6 +84,8 @@ def layer_norm(v, eps: float = LAYER_NORM_EPS, gamma=None, beta=None) -> Column:
 def digit_logits(h, bases, n_digits: int, offset: int = 0, normalize: bool = True) -> Column:
     """ARRAY<ARRAY<DOUBLE>> [n_digits][10]: slice k of width 2B (starting at
     2B*offset) dotted with every digit's codebook column."""
+    if isinstance(h, str):
+        return F.expr(S.digit_logits(S.q(h), bases, n_digits, offset, normalize))
     cb = codebook(bases)
     width = 2 * len(bases)
 
@@ -108,6 +116,11 @@ def argmax_first(v: Column, decimals: int = 9) -> Column:
     return _let(F.transform(v, lambda e: F.round(e, decimals)), body)
 
 
+def decode_hidden(h: str, bases, n_digits: int, frac_len: int, normalize: bool = True) -> Column:
+    """Hidden vector column -> decoded number (layer norm, logits, argmax)."""
+    return F.expr(S.decode_logits(S.digit_logits(S.q(h), bases, n_digits, 0, normalize), n_digits, frac_len))
+
+
 def decode_digit_logits(logits: Column, n_digits: int, frac_len: int) -> Column:
     """Digits by argmax, value = sum(d_k 10^k) / 10^f (exact integer sum)."""
     def body(ds):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import NumberFormat
 from ..functions import numeric as N
+from ..functions import sqlexpr as SX
 from ..functions import vector as V
 from ..functions.text import _let
 
@@ -23,8 +24,7 @@ def digit_logits(df: DataFrame, hidden_col: str, fmt: NumberFormat, offset: int
 def decode_periodic(df: DataFrame, hidden_col: str, fmt: NumberFormat, normalize: bool = True,
                     out: str = "prediction") -> DataFrame:
     """argmax digit per slice (first maximum wins), sum d_k 10^(k - f)."""
-    logits = V.digit_logits(hidden_col, list(fmt.bases), fmt.n_digits, 0, normalize)
-    return df.withColumn(out, V.decode_digit_logits(logits, fmt.n_digits, fmt.frac_len))
+    return df.withColumn(out, V.decode_hidden(hidden_col, list(fmt.bases), fmt.n_digits, fmt.frac_len, normalize))
 
 
 def digit_ce(logits: Column, label: Column, fmt: NumberFormat) -> Column:
@@ -45,8 +45,9 @@ def digit_ce(logits: Column, label: Column, fmt: NumberFormat) -> Column:
 def loss_digit_ce(df: DataFrame, hidden_col: str, label_col: str, fmt: NumberFormat, batch_col: str = "batch_id",
                   group_cols=()) -> DataFrame:
     """Per batch: mean over rows x digits of the digit cross-entropy."""
-    logits = V.digit_logits(hidden_col, list(fmt.bases), fmt.n_digits, 0, True)
-    per_row = df.withColumn("_ce", digit_ce(logits, F.col(label_col).cast("double"), fmt))
+    logits = SX.digit_logits(SX.q(hidden_col), list(fmt.bases), fmt.n_digits, 0, True)
+    digits = SX.digits_rounded(SX.q(label_col), fmt.int_len, fmt.frac_len)
+    per_row = df.withColumn("_ce", F.expr(SX.digit_ce(logits, digits, fmt.n_digits)))
     return per_row.groupBy(*group_cols, batch_col).agg(F.avg("_ce").alias("loss"))
 
 

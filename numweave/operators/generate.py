@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..config import CLASSIFY_COEFFS
 from ..functions.numeric import hash_order
-from ..functions.text import py_float_str
+from ..functions.sqlexpr import d as sql_double
+from ..functions.text import py_float_str_sql
 from .order import smallest_by_hash
 
 
@@ -62,9 +63,11 @@ def pairs_add(df: DataFrame, a: str = "x0", b: str = "x1") -> DataFrame:
 
 def pairs_add_decimal(df: DataFrame, a: str = "x0", b: str = "x1", scale: float = 1000.0) -> DataFrame:
     lo, hi = _canon(F.col(a), F.col(b))
-    return df.select(
-        F.concat(py_float_str(lo / F.lit(scale)), F.lit("+"), py_float_str(hi / F.lit(scale)), F.lit("=")).alias("question"),
-        ((lo + hi) / F.lit(scale)).alias("label"))
+    s = sql_double(scale)
+    lo_t = py_float_str_sql(f"least(`{a}`, `{b}`) / {s}")
+    hi_t = py_float_str_sql(f"greatest(`{a}`, `{b}`) / {s}")
+    return df.select(F.concat(lo_t, F.lit("+"), hi_t, F.lit("=")).alias("question"),
+                     ((lo + hi) / F.lit(scale)).alias("label"))
 
 
 def pairs_sub(df: DataFrame, a: str = "x0", b: str = "x1") -> DataFrame:

@@ -173,7 +173,8 @@ def eval_report(df: DataFrame, group_cols, method: str, fmt: NumberFormat, label
         if method == "vanilla":
             digit = (F.sum(digit_matches(y, p, fmt)) / (F.count(F.lit(1)) * F.lit(fmt.n_digits)))
         else:
-            lt, pt = T.py_float_str(y), T.py_float_str(p)
+            lt = T.py_float_str(label) if isinstance(label, str) else T.py_float_str(y)
+            pt = T.py_float_str(pred) if isinstance(pred, str) else T.py_float_str(p)
             digit = F.sum(char_prefix_matches(lt, pt)) / F.sum(F.length(lt))
         zv = {"fne": "nan", "xval": "nan_small", "vanilla": "zero"}[method]
         aggs = [

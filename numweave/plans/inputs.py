@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import BATCH_SIZE, NumberFormat
 from ..functions.numeric import hash_order
-from ..functions.text import py_float_str
+from ..functions.text import py_float_str, py_float_str_sql
 from ..operators.order import global_index
 from . import sqlparts as S
 from .registry import table
@@ -105,14 +105,14 @@ def run_log_lines(spark, sf: str) -> DataFrame:
         F.when(method != "regular", F.concat(F.lit(", period_base_list=["), period, F.lit("]"))).otherwise(F.lit("")),
         F.lit(", epochs=100)"))
     acc_name = F.element_at(F.array(*[F.lit(a) for a in ACC_NAMES]), (F.pmod(eid, F.lit(3)) + 1).cast("int"))
-    acc = F.concat(F.rpad(acc_name, 40, " "), py_float_str(F.least(v, F.lit(100.0))), F.lit("%"))
-    r2 = F.concat(F.rpad(F.lit("R^2"), 40, " "), py_float_str(F.lit(1.0) - v / F.lit(400.0)))
+    acc = F.concat(F.rpad(acc_name, 40, " "), py_float_str_sql("least(value, 100.0D)"), F.lit("%"))
+    r2 = F.concat(F.rpad(F.lit("R^2"), 40, " "), py_float_str_sql("1.0D - value / 400.0D"))
     size = F.when(F.pmod(eid, F.lit(2)) == 0, F.concat(
-        F.lit("Actual model size (total parameters): "), py_float_str(v / F.lit(10.0)), F.lit("M"))).otherwise(
+        F.lit("Actual model size (total parameters): "), py_float_str_sql("value / 10.0D"), F.lit("M"))).otherwise(
         F.concat(F.lit("Train dataset length: "), (v * F.lit(100.0)).cast("bigint").cast("string"),
                  F.lit(", Test dataset length: 200")))
     loss = F.concat(F.rpad(F.when(F.pmod(eid, F.lit(2)) == 0, F.lit("Train Loss")).otherwise(F.lit("Test Loss")), 40, " "),
-                    F.when(v > 340, F.lit("nan")).otherwise(py_float_str(v / F.lit(100.0))))
+                    F.when(v > 340, F.lit("nan")).otherwise(py_float_str_sql("value / 100.0D")))
     body = (F.when(F.col("event_type") == "view", namespace).when(F.col("event_type") == "click", acc)
             .when(F.col("event_type") == "purchase", r2).when(F.col("event_type") == "signup", size).otherwise(loss))
     return e.select(

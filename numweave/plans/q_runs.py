@@ -161,9 +161,9 @@ def q_best_per_method_period(spark, sf):
 
 
 @register("baseline_mean", f"""{CTE}, {UNION}
-SELECT method, avg(accuracy) AS mean FROM unioned WHERE starts_with(method, 'Finetuned on') GROUP BY method""")
+SELECT method, round(avg(accuracy), 9) AS mean FROM unioned WHERE starts_with(method, 'Finetuned on') GROUP BY method""")
 def q_baseline_mean(spark, sf):
-    return R.baseline_mean(_union(spark, sf))
+    return R.baseline_mean(_union(spark, sf)).select("method", F.round("mean", 9).alias("mean"))
 
 
 @register("rank_methods", f"""{CTE}, {UNION},

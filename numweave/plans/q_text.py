@@ -147,9 +147,9 @@ def q_py_float_str(spark, sf):
     ev = table(spark, sf, "events")
     e = ev.select(F.lit("events").alias("src"), F.col("event_id").alias("id"), T.py_float_str("value").alias("text"))
     e2 = ev.select(F.lit("events_scaled").alias("src"), F.col("event_id").alias("id"),
-                   T.py_float_str(F.col("value") * F.lit(1000000.0)).alias("text"))
+                   T.py_float_str_sql("value * 1000000.0D").alias("text"))
     e3 = ev.select(F.lit("events_small").alias("src"), F.col("event_id").alias("id"),
-                   T.py_float_str(F.col("value") / F.lit(100000.0)).alias("text"))
+                   T.py_float_str_sql("value / 100000.0D").alias("text"))
     return o.unionByName(c).unionByName(e).unionByName(e2).unionByName(e3)
 
 
