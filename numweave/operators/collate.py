@@ -43,17 +43,22 @@ def collate_attention_mask(df: DataFrame, ids_col: str, pad_id: int, out: str =
     return df.withColumn(out, attention_mask(ids_col, pad_id))
 
 
-def scatter(ids, numbers, num_id: int) -> Column:
+def scatter(ids: str, numbers: str, num_id: int) -> Column:
     """k-th [NUM] position gets the k-th number; surplus [NUM] get 0, surplus
-    numbers are dropped (quadratic in the length, which is <= max_length)."""
-    ids = F.col(ids) if isinstance(ids, str) else ids
-    nums = F.col(numbers) if isinstance(numbers, str) else numbers
+    numbers are dropped. Linear: the [NUM] positions are collected once and
+    paired with the numbers in a position -> number map."""
+    from ..functions.sqlexpr import let, q
+
+    i_, n_ = q(ids), q(numbers)
 
-    def at(t, i):
-        k = F.size(F.filter(F.slice(ids, 1, i + 1), lambda x: x == F.lit(num_id)))
-        return F.when(t == F.lit(num_id), F.coalesce(F.get(nums, k - 1), F.lit(0.0))).otherwise(F.lit(0.0))
+    def with_pos(pos):
+        k = f"least(size({pos}), size({n_}))"
+        m = f"map_from_arrays(slice({pos}, 1, {k}), slice(cast({n_} as array<double>), 1, {k}))"
+        return let(m, lambda mp: f"transform({i_}, (t, i) -> CASE WHEN t = {num_id} "
+                                 f"THEN coalesce(try_element_at({mp}, i), 0D) ELSE 0D END)")
 
-    return F.transform(ids, at)
+    positions = f"filter(transform({i_}, (t, i) -> CASE WHEN t = {num_id} THEN i ELSE -1 END), x -> x >= 0)"
+    return F.expr(let(positions, with_pos))
 
 
 def collate_scatter(df: DataFrame, ids_col: str, numbers_col: str, num_id: int, out: str = "scatter") -> DataFrame:

@@ -143,10 +143,45 @@ def agg_loss_batch_mean(df: DataFrame, group_cols, batch_col="batch_id", loss_co
 METHODS = ("fne", "xval", "vanilla", "regular")
 
 
+def _row_features(df: DataFrame, group_cols, method: str, fmt: NumberFormat, label, pred, label_text,
+                  pred_text, batch_col, loss_col) -> DataFrame:
+    """Per-row metric inputs, each computed once, before the aggregate."""
+    keep = list(group_cols) + ([batch_col, loss_col] if loss_col else [])
+    if method == "regular":
+        d = df.select(*keep, _strip(label_text).alias("_a"), _strip(pred_text).alias("_b"))
+        ok = T.is_numeric_text("_b")
+        return d.select(
+            *keep,
+            F.when(F.col("_a") == F.col("_b"), 1.0).otherwise(0.0).alias("_acc"),
+            char_padded_matches("_a", "_b").alias("_hit"),
+            F.greatest(F.length("_a"), F.length("_b")).alias("_len"),
+            F.when(ok, F.col("_a").cast("double")).alias("_y"),
+            F.when(ok, F.col("_b").cast("double")).alias("_p"))
+    tol = LOG_METHOD_TOLERANCE if method == "xval" else fmt.tolerance
+    y, p = _c(label), _c(pred)
+    if method == "vanilla":
+        hit, length = digit_matches(y, p, fmt), F.lit(fmt.n_digits)
+        d = df
+    else:
+        lt = T.py_float_str(label) if isinstance(label, str) else T.py_float_str(y)
+        pt = T.py_float_str(pred) if isinstance(pred, str) else T.py_float_str(p)
+        d = df.select(*keep, y.alias("_y"), p.alias("_p"), lt.alias("_lt"), pt.alias("_pt"))
+        y, p = F.col("_y"), F.col("_p")
+        hit, length = char_prefix_matches("_lt", "_pt"), F.length("_lt")
+    return d.select(
+        *keep,
+        F.when(within_tolerance(y, p, tol), 1.0).otherwise(0.0).alias("_acc"),
+        hit.alias("_hit"), length.alias("_len"), y.alias("_y"), p.alias("_p"))
+
+
 def eval_report(df: DataFrame, group_cols, method: str, fmt: NumberFormat, label="label", pred="prediction",
                 label_text="label_text", pred_text="pred_text", batch_col="batch_id", loss_col="loss") -> DataFrame:
     """All metrics of a method in one record per group:
-    n, whole_number_accuracy, digit_wise_accuracy, mse, r2, test_loss."""
+    n, whole_number_accuracy, digit_wise_accuracy, mse, r2, test_loss.
+
+    Row features are projected once; one aggregate per group computes every
+    metric (partial aggregation before the shuffle), the batch-mean loss is a
+    second, two-level aggregate over (group, batch)."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
     group_cols = list(group_cols)
@@ -154,40 +189,22 @@ def eval_report(df: DataFrame, group_cols, method: str, fmt: NumberFormat, label
         out = eval_report(df.withColumn("_g", F.lit(0)), ["_g"], method, fmt, label, pred, label_text,
                           pred_text, batch_col, loss_col)
         return out.drop("_g")
-    y, p = _c(label), _c(pred)
-    if method == "regular":
-        ok = T.is_numeric_text(_strip(pred_text))
-        yn = F.when(ok, _strip(label_text).cast("double"))
-        pn = F.when(ok, _strip(pred_text).cast("double"))
-        a, b = _strip(label_text), _strip(pred_text)
-        aggs = [
-            F.count(F.lit(1)).alias("n"),
-            F.avg(F.when(a == b, 1.0).otherwise(0.0)).alias("whole_number_accuracy"),
-            (F.sum(char_padded_matches(a, b)) / F.sum(F.greatest(F.length(a), F.length(b)))).alias(
-                "digit_wise_accuracy"),
-            F.coalesce(F.avg(F.pow(pn - yn, 2)), F.lit(-1.0)).alias("mse"),
-            _r2(F.sum(F.pow(pn - yn, 2)), _tv(yn), F.count(yn), "nan").alias("r2"),
-        ]
-    else:
-        tol = LOG_METHOD_TOLERANCE if method == "xval" else fmt.tolerance
-        if method == "vanilla":
-            digit = (F.sum(digit_matches(y, p, fmt)) / (F.count(F.lit(1)) * F.lit(fmt.n_digits)))
-        else:
-            lt = T.py_float_str(label) if isinstance(label, str) else T.py_float_str(y)
-            pt = T.py_float_str(pred) if isinstance(pred, str) else T.py_float_str(p)
-            digit = F.sum(char_prefix_matches(lt, pt)) / F.sum(F.length(lt))
-        zv = {"fne": "nan", "xval": "nan_small", "vanilla": "zero"}[method]
-        aggs = [
-            F.count(F.lit(1)).alias("n"),
-            F.avg(F.when(within_tolerance(y, p, tol), 1.0).otherwise(0.0)).alias("whole_number_accuracy"),
-            digit.alias("digit_wise_accuracy"),
-            F.avg(F.pow(p - y, 2)).alias("mse"),
-            _r2(F.sum(F.pow(p - y, 2)), _tv(y), F.count(y), zv).alias("r2"),
-        ]
-    metrics = df.groupBy(*group_cols).agg(*aggs)
+    rows = _row_features(df, group_cols, method, fmt, label, pred, label_text, pred_text, batch_col, loss_col)
+    y, p = F.col("_y"), F.col("_p")
+    sq = F.pow(p - y, 2)
+    zv = {"fne": "nan", "xval": "nan_small", "vanilla": "zero", "regular": "nan"}[method]
+    mse = F.coalesce(F.avg(sq), F.lit(-1.0)) if method == "regular" else F.avg(sq)
+    digit = F.sum("_hit") / F.sum("_len")
+    metrics = rows.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("_acc").alias("whole_number_accuracy"),
+        digit.alias("digit_wise_accuracy"),
+        mse.alias("mse"),
+        _r2(F.sum(sq), _tv(y), F.count(y), zv).alias("r2"),
+    )
     if loss_col is None:
         return metrics
-    loss = agg_loss_batch_mean(df, group_cols, batch_col, loss_col)
+    loss = agg_loss_batch_mean(rows, group_cols, batch_col, loss_col)
     return metrics.join(loss, group_cols, "left")
 
 

@@ -25,4 +25,16 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Read a table; a scan with fewer splits than the cluster's parallelism
+    (one small file, one row group) is spread round-robin so the per-row work
+    that follows (regex, hashing, encoding) uses every core. At scale the scan
+    already has thousands of splits and nothing is added."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < parallelism:
+        return df.repartition(parallelism)
+    return df
