@@ -10,7 +10,7 @@ FMT = NumberFormat(int_len=3, frac_len=2, bases=(2.0, 5.0), dim=64)
 
 
 def _df(spark, pairs):
-    rows = [(0, i // 2, float(y), float(p), str(float(y)), str(float(p)), (p - y) ** 2) for i, (y, p) in enumerate(pairs)]
+    rows = [(0, i // 2, float(y), float(p), str(float(y)), str(float(p)), float((p - y) ** 2)) for i, (y, p) in enumerate(pairs)]
     return spark.createDataFrame(rows, "run int, batch_id int, label double, prediction double, label_text string, "
                                        "pred_text string, loss double")
 
