@@ -27,10 +27,13 @@ def shuffled_order(key_cols, seed, epoch) -> Column:
 
 
 def collate_pad(df: DataFrame, ids_col: str, pad_id: int, batch_col: str = "batch_id", max_length: int = MAX_LENGTH,
-                out: str = "input_ids") -> DataFrame:
-    """Right-pad to the batch maximum, then cut at ``max_length``."""
-    bmax = F.max(F.size(ids_col)).over(Window.partitionBy(batch_col))
-    padded = F.concat(F.col(ids_col), F.array_repeat(F.lit(pad_id), bmax - F.size(ids_col)))
+                out: str = "input_ids", length_col: str | None = None) -> DataFrame:
+    """Right-pad to the batch maximum, then cut at ``max_length``.
+    ``length_col`` holds the full token count when ``ids_col`` was already
+    cut at ``max_length`` (the result is the same)."""
+    length = F.col(length_col) if length_col else F.size(ids_col)
+    bmax = F.max(length).over(Window.partitionBy(batch_col))
+    padded = F.concat(F.col(ids_col), F.array_repeat(F.lit(pad_id), (bmax - length).cast("int")))
     return df.withColumn(out, F.slice(padded, 1, max_length))
 
 

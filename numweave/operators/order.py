@@ -110,3 +110,26 @@ def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, salt: int = 6
     name = rank_col or "_r2"
     out = stage1.withColumn(name, F.row_number().over(w2)).filter(F.col(name) <= k)
     return out if rank_col else out.drop(name)
+
+
+def global_rank(df: DataFrame, order_exprs, out: str = "rank", start: int = 0) -> DataFrame:
+    """Dense 0-based (+ ``start``) position in an arbitrary total order,
+    without a single-partition window.
+
+    ``orderBy`` range-partitions the rows (sampled bounds), every partition
+    is sorted; the partition id and a per-partition row counter are taken in
+    that layout and pinned with a reliable ``checkpoint`` (so a retried task
+    cannot renumber), partition sizes give running offsets (at most one row
+    per partition, broadcast), and position = offset + row counter.
+    """
+    s = (df.orderBy(*order_exprs)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    s = s.checkpoint(eager=True)
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select("_pid", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
+    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return (s.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, (F.col("_off") + local + F.lit(start)).cast("bigint"))
+            .drop("_pid", "_mid", "_off"))

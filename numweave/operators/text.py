@@ -109,30 +109,51 @@ def filter_numeric_string(df: DataFrame, col: str) -> DataFrame:
 def vocab_build(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     """(token, id, freq): specials first ([PAD]=0, [NUM]=1), then tokens by
     frequency desc, token asc. The token table is aggregated with map-side
-    combine; ids come from a window over the *distinct* vocabulary only."""
+    combine; ids are a distributed global rank over the distinct vocabulary
+    (range-partitioned sort, no single-task window)."""
+    from .order import global_rank
+
     spark = tokens.sparkSession
+    # the frequency table is read twice below (ranking, special counts):
+    # materialise it once instead of re-aggregating the corpus
     freq = tokens.groupBy(F.col(token_col).alias("token")).agg(F.count(F.lit(1)).alias("freq"))
+    freq = freq.checkpoint(eager=True)
     specials = spark.createDataFrame([(PAD_TOKEN, 0), (NUM_TOKEN, 1)], "token string, rank int")
     regular = freq.join(F.broadcast(specials), "token", "left_anti")
-    w = Window.orderBy(F.desc("freq"), F.asc("token"))
-    regular = regular.withColumn("id", (F.row_number().over(w) + 1).cast("int"))
+    regular = global_rank(regular, [F.desc("freq"), F.asc("token")], out="id", start=2)
+    regular = regular.withColumn("id", F.col("id").cast("int"))
     special_rows = specials.join(freq, "token", "left").select(
         "token", F.col("rank").alias("id"), F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq"))
     return special_rows.unionByName(regular.select("token", "id", "freq"))
 
 
 def encode_token_ids(df: DataFrame, key_cols, tokens_col: str, vocab: DataFrame, unknown_id: int = -1,
-                     out: str = "input_ids", broadcast_vocab: bool = False) -> DataFrame:
+                     out: str = "input_ids", broadcast_vocab: bool = False, max_positions: int | None = None,
+                     carry=()) -> DataFrame:
     """tokens -> ids, order kept. Exploded, joined to the vocabulary (broadcast
     only when the caller vouches for its size; otherwise AQE decides), then
-    regrouped with ``array_sort`` over (pos, id) structs."""
+    regrouped with ``array_sort`` over (pos, id) structs.
+
+    ``max_positions``: only positions below it are looked up (the caller cuts
+    there anyway); ``n_tokens`` then carries the full length. ``carry``:
+    row-level columns brought through the same shuffle (attached to position 0
+    only) instead of a second join."""
     keys = list(key_cols)
+    carry = list(carry)
     v = F.broadcast(vocab) if broadcast_vocab else vocab
-    exploded = df.select(*keys, F.posexplode(tokens_col).alias("pos", "token"))
+    base = df.select(*keys, *carry, F.size(tokens_col).alias("_n"), tokens_col)
+    exploded = base.select(*keys, *carry, "_n", F.posexplode(tokens_col).alias("pos", "token"))
+    if max_positions is not None:
+        exploded = exploded.filter(F.col("pos") < F.lit(max_positions))
+    exploded = exploded.select(*keys, "pos", "token", "_n",
+                               *[F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in carry])
     joined = exploded.join(v.select("token", "id"), "token", "left").withColumn(
         "id", F.coalesce("id", F.lit(unknown_id)))
-    return joined.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias(out))
+    aggs = [F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias(out)]
+    if max_positions is not None:
+        aggs.append(F.max("_n").alias("n_tokens"))
+    aggs += [F.first(c, ignorenulls=True).alias(c) for c in carry]
+    return joined.groupBy(*keys).agg(*aggs)
 
 
 def lookup_token_vectors(df: DataFrame, key_cols, ids_col: str, vectors: DataFrame, id_col: str, vec_col: str,

@@ -29,15 +29,17 @@ def _vocab(tok):
 
 
 def _ids(spark, sf):
+    """ids of the first MAX_LENGTH positions (the cut drops the rest), the
+    full token count and the numbers, in one shuffle."""
     tok = _docs_tok(spark, sf)
-    ids = X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok), out="ids")
-    return ids.join(tok.select("doc_id", "numbers"), "doc_id")
+    return X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok), out="ids", max_positions=MAX_LENGTH,
+                              carry=["numbers"])
 
 
 def _collated(spark, sf):
     ids = index_by_hash(_ids(spark, sf), ["doc_id"], seed=DOC_SEED)
     b = C.collate_batch_id(ids)
-    return C.collate_pad(b, "ids", PAD_ID)
+    return C.collate_pad(b, "ids", PAD_ID, length_col="n_tokens")
 
 
 _MASK_RE = r"\d+\.?\d*"
@@ -174,9 +176,9 @@ def q_collate_loss_labels(spark, sf):
     d = X.concat_question_label(d, "text", F.col("n_chars").cast("double"), out="full")
     d = X.question_len(d, "text", out="qlen").withColumn("tokens", T.tokenize("full"))
     vocab = _vocab(d)
-    ids = X.encode_token_ids(d, ["doc_id"], "tokens", vocab, out="ids").join(d.select("doc_id", "qlen"), "doc_id")
+    ids = X.encode_token_ids(d, ["doc_id"], "tokens", vocab, out="ids", max_positions=MAX_LENGTH, carry=["qlen"])
     ids = C.collate_batch_id(index_by_hash(ids, ["doc_id"], seed=DOC_SEED))
-    c = C.collate_loss_labels(C.collate_pad(ids, "ids", PAD_ID), "input_ids", "qlen", PAD_ID)
+    c = C.collate_loss_labels(C.collate_pad(ids, "ids", PAD_ID, length_col="n_tokens"), "input_ids", "qlen", PAD_ID)
     lab = F.col("labels")
     return c.select("doc_id", F.size(F.filter(lab, lambda x: x != F.lit(IGNORE_INDEX))).cast("bigint").alias(
         "n_loss_tokens"), F.md5(F.array_join(lab, ",")).alias("labels_md5"))
