@@ -63,12 +63,13 @@ def q_src_run_logs(spark, sf):
     return LG.read_run_log_table(spark, path)
 
 
-@register("sink_metrics", f"WITH {epoch_metrics_sql()} SELECT run, epoch, whole_number_accuracy, test_loss FROM em")
+@register("sink_metrics", f"""WITH {epoch_metrics_sql()}
+SELECT run, epoch, whole_number_accuracy, round(test_loss, 9) AS test_loss FROM em""")
 def q_sink_metrics(spark, sf):
     path = scratch_path(spark, "metrics")
     SK.sink_metrics(epoch_metrics(spark, sf), path, "run")
     return spark.read.parquet(path).select(F.col("run").cast("bigint").alias("run"), "epoch",
-                                           "whole_number_accuracy", "test_loss")
+                                           "whole_number_accuracy", F.round("test_loss", 9).alias("test_loss"))
 
 
 _LOSS_RE = r"Loss\s+(\S+)$"
