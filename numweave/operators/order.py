@@ -34,17 +34,21 @@ def _bits_for(df: DataFrame, bits: int | None) -> int:
 
 
 def global_index(df: DataFrame, order_cols, out: str = "idx", bits: int | None = None,
-                 group_cols=(), broadcast_offsets: bool = True) -> DataFrame:
+                 group_cols=(), broadcast_offsets: bool = True, materialize: bool = False) -> DataFrame:
     """Add ``out`` = 0-based rank in the order ``order_cols`` (first one a hash
     order; the full key must be unique), restarting per ``group_cols``.
 
     The offsets table has (groups x 2^bits) rows; it is broadcast when there
     is no grouping or the caller vouches for a small group set, otherwise
-    the join is left to AQE."""
+    the join is left to AQE. The input is read twice (bucket sizes, then
+    numbering); ``materialize`` checkpoints it first when it is expensive
+    to recompute."""
     order_cols = list(order_cols)
     group_cols = list(group_cols)
     bits = _bits_for(df, bits)
     keyed = df.withColumn("_bkt", F.shiftright(F.col(order_cols[0]), HASH_BITS - bits))
+    if materialize:
+        keyed = keyed.checkpoint(eager=True)
     counts = keyed.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     ow = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy("_bkt").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

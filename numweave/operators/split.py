@@ -16,11 +16,11 @@ from ..functions.numeric import hash_order, hash_uniform
 from .order import global_index
 
 
-def index_by_hash(df: DataFrame, key_cols, seed=0, out: str = "idx") -> DataFrame:
+def index_by_hash(df: DataFrame, key_cols, seed=0, out: str = "idx", materialize: bool = False) -> DataFrame:
     """Global 0-based index in hash order of the (unique) key."""
     keys = list(key_cols)
     h = df.withColumn("_h", hash_order(seed, *keys))
-    return global_index(h, ["_h"] + keys, out=out).drop("_h")
+    return global_index(h, ["_h"] + keys, out=out, materialize=materialize).drop("_h")
 
 
 def _count(df: DataFrame) -> Column:

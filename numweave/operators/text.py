@@ -127,19 +127,33 @@ def vocab_build(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     return special_rows.unionByName(regular.select("token", "id", "freq"))
 
 
+BROADCAST_VOCAB_ROWS = 2_000_000
+
+
+def small_enough(df: DataFrame, max_rows: int) -> bool:
+    """Size check before a broadcast: counts at most ``max_rows + 1`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def encode_token_ids(df: DataFrame, key_cols, tokens_col: str, vocab: DataFrame, unknown_id: int = -1,
-                     out: str = "input_ids", broadcast_vocab: bool = False, max_positions: int | None = None,
+                     out: str = "input_ids", broadcast_vocab="auto", max_positions: int | None = None,
                      carry=()) -> DataFrame:
     """tokens -> ids, order kept. Exploded, joined to the vocabulary (broadcast
     only when the caller vouches for its size; otherwise AQE decides), then
-    regrouped with ``array_sort`` over (pos, id) structs.
+    regrouped with ``array_sort`` over (pos, id) structs. With
+    ``broadcast_vocab="auto"`` the vocabulary is broadcast only after a size
+    check (at most ``BROADCAST_VOCAB_ROWS`` rows; pass a materialised
+    vocabulary so that the check is cheap); beyond that it is a shuffle join.
 
     ``max_positions``: only positions below it are looked up (the caller cuts
-    there anyway); ``n_tokens`` then carries the full length. ``carry``:
-    row-level columns brought through the same shuffle (attached to position 0
-    only) instead of a second join."""
+    there anyway); ``n_tokens`` then carries the full length. ``carry``: small
+    scalar row-level columns brought through the same shuffle (attached to
+    position 0 only) instead of a second join; arrays are better joined back
+    per row, since the explode copies carried columns onto every token."""
     keys = list(key_cols)
     carry = list(carry)
+    if broadcast_vocab == "auto":
+        broadcast_vocab = small_enough(vocab, BROADCAST_VOCAB_ROWS)
     v = F.broadcast(vocab) if broadcast_vocab else vocab
     base = df.select(*keys, *carry, F.size(tokens_col).alias("_n"), tokens_col)
     exploded = base.select(*keys, *carry, "_n", F.posexplode(tokens_col).alias("pos", "token"))

@@ -19,9 +19,11 @@ PAD_ID, NUM_ID = 0, 1
 DOC_SEED = 71
 
 
-def _docs_tok(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
-    return X.tokenize_masked(d, "text").withColumn("numbers", T.extract_numbers("text"))
+def _docs_tok(spark, sf, materialize: bool = False):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    tok = X.tokenize_masked(d, "text").withColumn("numbers", T.extract_numbers("text")).drop("text")
+    # tokenized corpus read by both the vocabulary and the id lookup: tokenize once
+    return tok.checkpoint(eager=True) if materialize else tok
 
 
 def _vocab(tok):
@@ -31,13 +33,16 @@ def _vocab(tok):
 def _ids(spark, sf):
     """ids of the first MAX_LENGTH positions (the cut drops the rest), the
     full token count and the numbers, in one shuffle."""
-    tok = _docs_tok(spark, sf)
-    return X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok), out="ids", max_positions=MAX_LENGTH,
-                              carry=["numbers"])
+    tok = _docs_tok(spark, sf, materialize=True)
+    ids = X.encode_token_ids(tok.select("doc_id", "tokens"), ["doc_id"], "tokens", _vocab(tok), out="ids",
+                             max_positions=MAX_LENGTH)
+    # numbers join back per document (one row each) rather than riding on every token row
+    return ids.join(tok.select("doc_id", "numbers"), "doc_id")
 
 
 def _collated(spark, sf):
-    ids = index_by_hash(_ids(spark, sf), ["doc_id"], seed=DOC_SEED)
+    # the encoded corpus (ids cut at 128) is materialised once: indexing reads it twice
+    ids = index_by_hash(_ids(spark, sf), ["doc_id"], seed=DOC_SEED, materialize=True)
     b = C.collate_batch_id(ids)
     return C.collate_pad(b, "ids", PAD_ID, length_col="n_tokens")
 
@@ -68,7 +73,7 @@ def q_vocab_build(spark, sf):
 @register("encode_token_ids", f"""WITH {DOC_SQL}
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_ids, md5(array_to_string(ids, ',')) AS ids_md5 FROM ids""")
 def q_encode_token_ids(spark, sf):
-    tok = _docs_tok(spark, sf)
+    tok = _docs_tok(spark, sf, materialize=True)
     ids = X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok), out="ids")
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
                       F.md5(F.array_join("ids", ",")).alias("ids_md5"))
@@ -79,7 +84,7 @@ SELECT doc_id, count(*) AS n_tokens, count(e.vec_id) AS n_found,
        round(sum(CAST(e.embedding[1] AS DOUBLE)), 6) AS first_sum
 FROM t JOIN v USING (token) LEFT JOIN embeddings e ON e.vec_id = v.id GROUP BY doc_id""")
 def q_lookup_token_vectors(spark, sf):
-    tok = _docs_tok(spark, sf)
+    tok = _docs_tok(spark, sf, materialize=True)
     ids = X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok), out="ids")
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     vecs = X.lookup_token_vectors(ids, ["doc_id"], "ids", emb, "id", "embedding")
@@ -177,7 +182,7 @@ def q_collate_loss_labels(spark, sf):
     d = X.question_len(d, "text", out="qlen").withColumn("tokens", T.tokenize("full"))
     vocab = _vocab(d)
     ids = X.encode_token_ids(d, ["doc_id"], "tokens", vocab, out="ids", max_positions=MAX_LENGTH, carry=["qlen"])
-    ids = C.collate_batch_id(index_by_hash(ids, ["doc_id"], seed=DOC_SEED))
+    ids = C.collate_batch_id(index_by_hash(ids, ["doc_id"], seed=DOC_SEED, materialize=True))
     c = C.collate_loss_labels(C.collate_pad(ids, "ids", PAD_ID, length_col="n_tokens"), "input_ids", "qlen", PAD_ID)
     lab = F.col("labels")
     return c.select("doc_id", F.size(F.filter(lab, lambda x: x != F.lit(IGNORE_INDEX))).cast("bigint").alias(
