@@ -32,6 +32,11 @@ def within_tolerance(label, pred, tol: float) -> Column:
 
 def char_prefix_matches(actual, pred) -> Column:
     """Positions i < min(len(actual), len(pred)) with equal characters."""
+    if isinstance(actual, str) and isinstance(pred, str):
+        a, p = f"`{actual}`", f"`{pred}`"
+        m = f"least(length({a}), length({p}))"
+        return F.expr(f"CASE WHEN {m} > 0 THEN size(filter(sequence(1, {m}), "
+                      f"i -> substr({a}, i, 1) = substr({p}, i, 1))) ELSE 0 END")
     a, p = _c(actual), _c(pred)
     m = F.least(F.length(a), F.length(p))
     hits = F.size(F.filter(F.sequence(F.lit(1), m), lambda i: a.substr(i, F.lit(1)) == p.substr(i, F.lit(1))))
@@ -40,6 +45,12 @@ def char_prefix_matches(actual, pred) -> Column:
 
 def char_padded_matches(actual, pred) -> Column:
     """Both right-padded with spaces to the longer length; equal positions."""
+    if isinstance(actual, str) and isinstance(pred, str):
+        a, p = f"`{actual}`", f"`{pred}`"
+        m = f"greatest(length({a}), length({p}))"
+        ca = f"CASE WHEN i <= length({a}) THEN substr({a}, i, 1) ELSE ' ' END"
+        cp = f"CASE WHEN i <= length({p}) THEN substr({p}, i, 1) ELSE ' ' END"
+        return F.expr(f"CASE WHEN {m} > 0 THEN size(filter(sequence(1, {m}), i -> ({ca}) = ({cp}))) ELSE 0 END")
     a, p = _c(actual), _c(pred)
     la, lp = F.length(a), F.length(p)
     m = F.greatest(la, lp)
@@ -53,6 +64,17 @@ def char_padded_matches(actual, pred) -> Column:
 
 def digit_matches(label, pred, fmt: NumberFormat) -> Column:
     """Equal truncated digits over the I+f places (unrolled, codegen-friendly)."""
+    if isinstance(label, str) and isinstance(pred, str):
+        from ..functions.sqlexpr import d, to_bigint
+
+        a = to_bigint(f"(cast(`{label}` as double) * {d(10 ** fmt.frac_len)})")
+        b = to_bigint(f"(cast(`{pred}` as double) * {d(10 ** fmt.frac_len)})")
+
+        def dig(v, k):
+            return f"pmod({v}, 10)" if k == 0 else f"pmod((({v}) - pmod({v}, {10 ** k})) div {10 ** k}, 10)"
+
+        return F.expr(" + ".join(f"CASE WHEN {dig(a, k)} = {dig(b, k)} THEN 1 ELSE 0 END"
+                                 for k in range(fmt.n_digits)))
     a = N.scaled_truncated(label, fmt.frac_len)
     b = N.scaled_truncated(pred, fmt.frac_len)
     terms = [F.when(N._digit(a, k) == N._digit(b, k), 1).otherwise(0) for k in range(fmt.n_digits)]
@@ -160,7 +182,9 @@ def _row_features(df: DataFrame, group_cols, method: str, fmt: NumberFormat, lab
     tol = LOG_METHOD_TOLERANCE if method == "xval" else fmt.tolerance
     y, p = _c(label), _c(pred)
     if method == "vanilla":
-        hit, length = digit_matches(y, p, fmt), F.lit(fmt.n_digits)
+        hit = digit_matches(label, pred, fmt) if isinstance(label, str) and isinstance(pred, str) \
+            else digit_matches(y, p, fmt)
+        length = F.lit(fmt.n_digits)
         d = df
     else:
         lt = T.py_float_str(label) if isinstance(label, str) else T.py_float_str(y)

@@ -156,7 +156,8 @@ def _report_sql(method):
 
 @register("eval_report", W + "\n" + "\nUNION ALL\n".join(_report_sql(m) for m in M.METHODS))
 def q_eval_report(spark, sf):
-    pred = _pred(spark, sf)
+    # the prediction table feeds eight aggregates: derive it once
+    pred = _pred(spark, sf).checkpoint(eager=True)
     parts = []
     for method in M.METHODS:
         r = M.eval_report(pred, ["run"], method, FMT)
