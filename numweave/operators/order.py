@@ -34,7 +34,7 @@ def _bits_for(df: DataFrame, bits: int | None) -> int:
 
 
 def global_index(df: DataFrame, order_cols, out: str = "idx", bits: int | None = None,
-                 group_cols=(), broadcast_offsets: bool = True, materialize: bool = False) -> DataFrame:
+                 group_cols=(), broadcast_offsets: bool | None = None, materialize: bool = False) -> DataFrame:
     """Add ``out`` = 0-based rank in the order ``order_cols`` (first one a hash
     order; the full key must be unique), restarting per ``group_cols``.
 
@@ -53,6 +53,8 @@ def global_index(df: DataFrame, order_cols, out: str = "idx", bits: int | None =
     ow = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy("_bkt").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     offsets = counts.select(*group_cols, "_bkt", (F.sum("_n").over(ow) - F.col("_n")).alias("_off"))
+    if broadcast_offsets is None:  # bounded by 2^bits only without grouping
+        broadcast_offsets = not group_cols
     if broadcast_offsets:
         offsets = F.broadcast(offsets)
     w = Window.partitionBy(*group_cols, "_bkt").orderBy(*order_cols)

@@ -34,7 +34,8 @@ def predictions(spark, sf: str) -> DataFrame:
             .when(u == 8, F.floor(y).cast("double")).otherwise(y * F.lit(2.0)))
     o = o.withColumn("_u", u).withColumn("prediction", pred)
     o = o.withColumn("_h", hash_order(BATCH_SEED, "o_orderkey"))
-    o = global_index(o, ["_h", "o_orderkey"], out="idx", group_cols=["run"])
+    # five order priorities: the per-run offsets table is bounded, broadcast it
+    o = global_index(o, ["_h", "o_orderkey"], out="idx", group_cols=["run"], broadcast_offsets=True)
     return o.select(
         "o_orderkey", "run", "label", "prediction", "idx",
         F.call_function("div", F.col("idx"), F.lit(BATCH_SIZE)).alias("batch_id"),
