@@ -141,3 +141,17 @@ def test_head_n(spark):
     assert P.head_n(idx, 10).count() == 10
     with pytest.raises(IndexError):
         P.check_head_n(idx, 101)
+
+
+def test_global_rank_matches_sort(spark):
+    df = spark.range(3000).select((F.col("id") % 17).alias("f"), F.col("id").cast("string").alias("t"))
+    out = {r.t: r.rank for r in O.global_rank(df.repartition(5), [F.desc("f"), F.asc("t")], out="rank", start=2).collect()}
+    ref = [r.t for r in df.orderBy(F.desc("f"), F.asc("t")).collect()]
+    assert [out[t] for t in ref] == list(range(2, 3002))
+
+
+def test_size_check_before_broadcast(spark):
+    from numweave.operators.text import small_enough
+
+    assert small_enough(spark.range(10), 10)
+    assert not small_enough(spark.range(11), 10)
