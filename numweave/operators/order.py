@@ -74,7 +74,7 @@ def smallest_by_hash(df: DataFrame, hash_col: str, n, tie_cols=(), group_cols=()
     """
     group_cols = list(group_cols)
     synthetic = not group_cols
-    if synthetic:  # one global group: a constant key instead of a cross join
+    if synthetic:  # one global group: a constant key for the histogram window
         df = df.withColumn("_g", F.lit(0))
         group_cols = ["_g"]
     quota = F.lit(int(n)) if not isinstance(n, str) else F.col(n)
@@ -88,15 +88,22 @@ def smallest_by_hash(df: DataFrame, hash_col: str, n, tie_cols=(), group_cols=()
         F.min_by(F.col("_q") - (F.col("_cum") - F.col("_cnt")),
                  F.when(F.col("_cum") >= F.col("_q"), F.col("_pre"))).alias("_need"),
     )
-    if broadcast_thresholds or synthetic:  # one row per group of a bounded group set
+    we = Window.partitionBy(*(group_cols + ["_pre"])).orderBy(hash_col, *tie_cols)
+    if synthetic:
+        # one global threshold: a scalar subquery (one struct), no join at all
+        t = thr.select(F.struct("_pstar", "_need").alias("t")).scalar()
+        pstar, need = t.getField("_pstar"), t.getField("_need")
+        below = d.filter(pstar.isNull() | (F.col("_pre") < pstar))
+        edge = d.filter(F.col("_pre") == pstar)
+        edge = edge.withColumn("_rn", F.row_number().over(we)).filter(F.col("_rn") <= need).drop("_rn")
+        return below.unionByName(edge).drop("_pre", "_quota", "_g")
+    if broadcast_thresholds:  # one row per group of a bounded group set
         thr = F.broadcast(thr)
     j = d.join(thr, group_cols, "left")
     below = j.filter(F.col("_pstar").isNull() | (F.col("_pre") < F.col("_pstar")))
     edge = j.filter(F.col("_pre") == F.col("_pstar"))
-    we = Window.partitionBy(*(group_cols + ["_pre"])).orderBy(hash_col, *tie_cols)
     edge = edge.withColumn("_rn", F.row_number().over(we)).filter(F.col("_rn") <= F.col("_need")).drop("_rn")
-    out = below.unionByName(edge).drop("_pre", "_quota", "_pstar", "_need")
-    return out.drop("_g") if synthetic else out
+    return below.unionByName(edge).drop("_pre", "_quota", "_pstar", "_need")
 
 
 def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, salt: int = 64,
