@@ -209,10 +209,13 @@ def eval_report(df: DataFrame, group_cols, method: str, fmt: NumberFormat, label
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
     group_cols = list(group_cols)
-    if not group_cols:  # a constant key instead of a cross join
+    if not group_cols:  # one record: the batch-mean loss joins as a scalar subquery
         out = eval_report(df.withColumn("_g", F.lit(0)), ["_g"], method, fmt, label, pred, label_text,
-                          pred_text, batch_col, loss_col)
-        return out.drop("_g")
+                          pred_text, batch_col, None).drop("_g")
+        if loss_col is None:
+            return out
+        loss = agg_loss_batch_mean(df.withColumn("_g", F.lit(0)), ["_g"], batch_col, loss_col)
+        return out.withColumn("test_loss", loss.select("test_loss").scalar())
     rows = _row_features(df, group_cols, method, fmt, label, pred, label_text, pred_text, batch_col, loss_col)
     y, p = F.col("_y"), F.col("_p")
     sq = F.pow(p - y, 2)
