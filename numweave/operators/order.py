@@ -11,9 +11,9 @@
   group (global when no group). Instead of ``orderBy().limit(n)`` (one task
   merges every partition's top n) or a window over a whole group (one task per
   group; a hot group would hold a third of the rows), a histogram of hash
-  prefixes per group finds the threshold prefix; rows below it are kept
-  without any shuffle of their own, and only the rows *at* the threshold
-  prefix (about 1/2^bits of a group) are ranked exactly.
+  prefixes per group finds the threshold prefix; a second pass keeps the rows
+  up to it, and only those (about n) are ranked, each window partition being
+  one hash prefix of one group (about 1/2^bits of it).
 * ``top_k_per_group``: small-k top-k per group by an arbitrary order, salted in
   two stages so no task sees more than ``salt * k`` rows of one group.
 """
@@ -92,18 +92,19 @@ def smallest_by_hash(df: DataFrame, hash_col: str, n, tie_cols=(), group_cols=()
     if synthetic:
         # one global threshold: a scalar subquery (one struct), no join at all
         t = thr.select(F.struct("_pstar", "_need").alias("t")).scalar()
-        pstar, need = t.getField("_pstar"), t.getField("_need")
-        below = d.filter(pstar.isNull() | (F.col("_pre") < pstar))
-        edge = d.filter(F.col("_pre") == pstar)
-        edge = edge.withColumn("_rn", F.row_number().over(we)).filter(F.col("_rn") <= need).drop("_rn")
-        return below.unionByName(edge).drop("_pre", "_quota", "_g")
-    if broadcast_thresholds:  # one row per group of a bounded group set
-        thr = F.broadcast(thr)
-    j = d.join(thr, group_cols, "left")
-    below = j.filter(F.col("_pstar").isNull() | (F.col("_pre") < F.col("_pstar")))
-    edge = j.filter(F.col("_pre") == F.col("_pstar"))
-    edge = edge.withColumn("_rn", F.row_number().over(we)).filter(F.col("_rn") <= F.col("_need")).drop("_rn")
-    return below.unionByName(edge).drop("_pre", "_quota", "_pstar", "_need")
+        d = d.withColumn("_pstar", t.getField("_pstar")).withColumn("_need", t.getField("_need"))
+    else:
+        if broadcast_thresholds:  # one row per group of a bounded group set
+            thr = F.broadcast(thr)
+        d = d.join(thr, group_cols, "left")
+    # second and last pass over the input: keep rows up to the threshold prefix;
+    # the window sees only kept rows (about the requested n), each partition
+    # one hash prefix of one group
+    pstar = F.col("_pstar")
+    kept = d.filter(pstar.isNull() | (F.col("_pre") <= pstar))
+    ranked = kept.withColumn("_rn", F.row_number().over(we))
+    out = ranked.filter(pstar.isNull() | (F.col("_pre") < pstar) | (F.col("_rn") <= F.col("_need")))
+    return out.drop("_pre", "_quota", "_pstar", "_need", "_rn", *(["_g"] if synthetic else []))
 
 
 def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, salt: int = 64,
