@@ -126,7 +126,8 @@ def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, salt: int = 6
     return out if rank_col else out.drop(name)
 
 
-def global_rank(df: DataFrame, order_exprs, out: str = "rank", start: int = 0) -> DataFrame:
+def global_rank(df: DataFrame, order_exprs, out: str = "rank", start: int = 0,
+                materialize: bool = True) -> DataFrame:
     """Dense 0-based (+ ``start``) position in an arbitrary total order,
     without a single-partition window.
 
@@ -135,11 +136,15 @@ def global_rank(df: DataFrame, order_exprs, out: str = "rank", start: int = 0) -
     that layout and pinned with a reliable ``checkpoint`` (so a retried task
     cannot renumber), partition sizes give running offsets (at most one row
     per partition, broadcast), and position = offset + row counter.
+    ``materialize=False`` skips the pin when the input is itself a
+    materialised, deterministic table (sampling and sort are then
+    reproducible, and the total order makes the layout unique).
     """
     s = (df.orderBy(*order_exprs)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
-    s = s.checkpoint(eager=True)
+    if materialize:
+        s = s.checkpoint(eager=True)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.select("_pid", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))

@@ -120,7 +120,8 @@ def vocab_build(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     freq = freq.checkpoint(eager=True)
     specials = spark.createDataFrame([(PAD_TOKEN, 0), (NUM_TOKEN, 1)], "token string, rank int")
     regular = freq.join(F.broadcast(specials), "token", "left_anti")
-    regular = global_rank(regular, [F.desc("freq"), F.asc("token")], out="id", start=2)
+    # freq is materialised and (freq desc, token) is a total order: no second pin
+    regular = global_rank(regular, [F.desc("freq"), F.asc("token")], out="id", start=2, materialize=False)
     regular = regular.withColumn("id", F.col("id").cast("int"))
     special_rows = specials.join(freq, "token", "left").select(
         "token", F.col("rank").alias("id"), F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq"))
