@@ -162,7 +162,7 @@ def agg_loss_batch_mean(df: DataFrame, group_cols, batch_col="batch_id", loss_co
     return per_batch.groupBy(*group_cols).agg(F.avg("_bl").alias("test_loss"))
 
 
-METHODS = ("fne", "xval", "vanilla", "regular")
+METHODS = ("periodic", "logscale", "digits", "regular")
 
 
 def _row_features(df: DataFrame, group_cols, method: str, fmt: NumberFormat, label, pred, label_text,
@@ -179,9 +179,9 @@ def _row_features(df: DataFrame, group_cols, method: str, fmt: NumberFormat, lab
             F.greatest(F.length("_a"), F.length("_b")).alias("_len"),
             F.when(ok, F.col("_a").cast("double")).alias("_y"),
             F.when(ok, F.col("_b").cast("double")).alias("_p"))
-    tol = LOG_METHOD_TOLERANCE if method == "xval" else fmt.tolerance
+    tol = LOG_METHOD_TOLERANCE if method == "logscale" else fmt.tolerance
     y, p = _c(label), _c(pred)
-    if method == "vanilla":
+    if method == "digits":
         hit = digit_matches(label, pred, fmt) if isinstance(label, str) and isinstance(pred, str) \
             else digit_matches(y, p, fmt)
         length = F.lit(fmt.n_digits)
@@ -219,7 +219,7 @@ def eval_report(df: DataFrame, group_cols, method: str, fmt: NumberFormat, label
     rows = _row_features(df, group_cols, method, fmt, label, pred, label_text, pred_text, batch_col, loss_col)
     y, p = F.col("_y"), F.col("_p")
     sq = F.pow(p - y, 2)
-    zv = {"fne": "nan", "xval": "nan_small", "vanilla": "zero", "regular": "nan"}[method]
+    zv = {"periodic": "nan", "logscale": "nan_small", "digits": "zero", "regular": "nan"}[method]
     mse = F.coalesce(F.avg(sq), F.lit(-1.0)) if method == "regular" else F.avg(sq)
     digit = F.sum("_hit") / F.sum("_len")
     metrics = rows.groupBy(*group_cols).agg(

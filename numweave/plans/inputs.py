@@ -80,7 +80,7 @@ def epoch_metrics_sql() -> str:
 # Run logs rendered from events: one run per user, one log file per user and
 # day, one line per event (in time order), line text by event type, written
 # the way the training script logs (metric names padded to 40 columns).
-LOG_METHODS = ("fne", "xval", "vanilla", "regular")
+LOG_METHODS = ("periodic", "logscale", "digits", "regular")
 ACC_NAMES = ("Whole Num Accuracy", "Whole Number Accuracy", "Whole Num Acc")
 PERIOD_LISTS = ("2, 5", "10", "2, 5, 10")
 

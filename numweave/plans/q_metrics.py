@@ -137,15 +137,15 @@ def _report_sql(method):
         mse = f"coalesce(avg(pow(({pn}) - ({yn}), 2)), -1.0)"
         r2 = _r2_sql(f"sum(pow(({pn}) - ({yn}), 2))", f"({yn})")
     else:
-        tol = 0.5 if method == "xval" else TOL
+        tol = 0.5 if method == "logscale" else TOL
         acc = f"avg(CASE WHEN abs(prediction - label) < {tol!r} THEN 1.0 ELSE 0.0 END)"
-        if method == "vanilla":
+        if method == "digits":
             digit = f"sum({_digit_sql('label', 'prediction')}) / (count(*) * {FMT.n_digits})"
         else:
             digit = f"sum({_prefix_sql('label_text', 'CAST(prediction AS VARCHAR)')}) / sum(length(label_text))"
         mse = "avg(pow(prediction - label, 2))"
         r2 = _r2_sql("sum(pow(prediction - label, 2))", "label",
-                     {"fne": "nan", "xval": "nan_small", "vanilla": "zero"}[method])
+                     {"periodic": "nan", "logscale": "nan_small", "digits": "zero"}[method])
     return f"""SELECT '{method}' AS method, m.run, n, whole_number_accuracy, digit_wise_accuracy, mse, r2,
        round(l.test_loss, 6) AS test_loss FROM
   (SELECT run, count(*) AS n, round({acc}, 9) AS whole_number_accuracy, round({digit}, 9) AS digit_wise_accuracy,

@@ -202,7 +202,7 @@ def q_join_ablation_diff(spark, sf):
 
 @register("data_to_target", f"""{CTE}, {UNION},
 need AS (SELECT method, min(CASE WHEN accuracy >= 99.0 THEN datasize END) AS min_datasize FROM unioned GROUP BY method)
-SELECT method, min_datasize, min_datasize / (SELECT min_datasize FROM need WHERE method = 'fne') AS ratio_to_reference
+SELECT method, min_datasize, min_datasize / (SELECT min_datasize FROM need WHERE method = 'periodic') AS ratio_to_reference
 FROM need""")
 def q_data_to_target(spark, sf):
-    return R.data_to_target(_union(spark, sf), 99.0, reference_method="fne")
+    return R.data_to_target(_union(spark, sf), 99.0, reference_method="periodic")

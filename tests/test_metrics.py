@@ -20,16 +20,16 @@ def test_constant_labels_r2(spark):
     assert math.isnan(M.agg_r2(df, ["run"]).first().r2)
     assert M.agg_r2(df, ["run"], zero_variance="zero").first().r2 == 0.0
     rep = {m: M.eval_report(df, ["run"], m, FMT).first() for m in M.METHODS}
-    assert math.isnan(rep["fne"].r2) and rep["vanilla"].r2 == 0.0
+    assert math.isnan(rep["periodic"].r2) and rep["digits"].r2 == 0.0
 
 
 def test_tolerance_and_mse_and_r2(spark):
     df = _df(spark, [(1, 1), (2, 2.5), (3, 3.004)])
-    r = M.eval_report(df, ["run"], "fne", FMT).first()
+    r = M.eval_report(df, ["run"], "periodic", FMT).first()
     assert r.whole_number_accuracy == pytest.approx(2 / 3)
     assert r.mse == pytest.approx((0.25 + 0.004 ** 2) / 3)
     assert r.r2 == pytest.approx(1 - (0.25 + 0.004 ** 2) / 2.0)
-    assert M.eval_report(df, ["run"], "xval", FMT).first().whole_number_accuracy == pytest.approx(2 / 3)
+    assert M.eval_report(df, ["run"], "logscale", FMT).first().whole_number_accuracy == pytest.approx(2 / 3)
 
 
 def test_char_prefix_shorter_and_longer(spark):

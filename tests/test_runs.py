@@ -34,21 +34,21 @@ def _write_tree(root, files):
 def test_run_summary_from_log_tree(spark):
     root = tempfile.mkdtemp(prefix="numweave-logs-")
     _write_tree(root, {
-        "fne/run1_addlinear_True/training_log_20250101.log": ["old"] ,
-        "fne/run1_addlinear_True/training_log_20250102.log": FIXTURE_OK,
-        "fne/run2_addlinear_False/training_log_20250101.log": FIXTURE_NAN,
+        "periodic/run1_addlinear_True/training_log_20250101.log": ["old"] ,
+        "periodic/run1_addlinear_True/training_log_20250102.log": FIXTURE_OK,
+        "periodic/run2_addlinear_False/training_log_20250101.log": FIXTURE_NAN,
         "regular/run3_usedigitwisetokenizer_True/training_log_20250101.log": FIXTURE_NONE,
-        "fne/run1_addlinear_True/notes.txt": ["ignored"],
+        "periodic/run1_addlinear_True/notes.txt": ["ignored"],
     })
     lines = LG.src_run_logs(spark, root)
     assert lines.filter(F.col("path").endswith(".txt")).count() == 0
     first = lines.filter((F.col("line_no") == 0) & F.col("path").endswith("20250102.log")).first()
-    assert first.line.startswith("2025-01-01 00:00:00") and first.path == "fne/run1_addlinear_True/training_log_20250102.log"
+    assert first.line.startswith("2025-01-01 00:00:00") and first.path == "periodic/run1_addlinear_True/training_log_20250102.log"
     s = {r.run_dir: r for r in R.run_summary(lines).collect()}
-    assert set(s) == {"fne/run1_addlinear_True", "regular/run3_usedigitwisetokenizer_True"}   # nan run dropped
-    a = s["fne/run1_addlinear_True"]
+    assert set(s) == {"periodic/run1_addlinear_True", "regular/run3_usedigitwisetokenizer_True"}   # nan run dropped
+    a = s["periodic/run1_addlinear_True"]
     assert (a.method, a.datasize, a.accuracy, a.r2, a.model_size, a.period_base_list, a.add_linear) == (
-        "fne", 6400, 99.25, 0.999912345678901, 37.55, "10.0", "addlinear_True")
+        "periodic", 6400, 99.25, 0.999912345678901, 37.55, "10.0", "addlinear_True")
     b = s["regular/run3_usedigitwisetokenizer_True"]
     # num_train_samples=None falls back to the train length; digit-wise label
     assert (b.method, b.datasize, b.accuracy, b.add_linear) == ("regular (Digit-Wise)", 720000, 100.0, "addlinear_False")
@@ -56,21 +56,21 @@ def test_run_summary_from_log_tree(spark):
 
 
 def test_curve_tables(spark):
-    rows = [("r1", "fne", "10", "addlinear_True", 100, 90.0, 0.9, 1.0, "m", False),
-            ("r2", "fne", "10", "addlinear_False", 100, 80.0, 0.8, 1.0, "m", False),
-            ("r3", "fne", None, "addlinear_True", 200, 100.0, 1.0, 1.0, "m", False),
-            ("r4", "xval", "2, 5", "addlinear_True", 200, None, None, 2.0, "gpt", True)]
+    rows = [("r1", "periodic", "10", "addlinear_True", 100, 90.0, 0.9, 1.0, "m", False),
+            ("r2", "periodic", "10", "addlinear_False", 100, 80.0, 0.8, 1.0, "m", False),
+            ("r3", "periodic", None, "addlinear_True", 200, 100.0, 1.0, 1.0, "m", False),
+            ("r4", "logscale", "2, 5", "addlinear_True", 200, None, None, 2.0, "gpt", True)]
     df = spark.createDataFrame(rows, "run_dir string, method string, period_base_list string, add_linear string, "
                                      "datasize bigint, accuracy double, r2 double, model_size double, "
                                      "model_name string, pretrained boolean")
     u = R.union_runs([df])
-    assert {r.method for r in u.collect()} == {"fne", "Finetuned on gpt"}
+    assert {r.method for r in u.collect()} == {"periodic", "Finetuned on gpt"}
     best = {(r.method, r.period_base_list): r.best for r in R.best_per_method_period(u).collect()}
-    assert best == {("fne", "10"): 90.0, ("Finetuned on gpt", "2, 5"): float("-inf")}   # NULL period dropped
+    assert best == {("periodic", "10"): 90.0, ("Finetuned on gpt", "2, 5"): float("-inf")}   # NULL period dropped
     diff = R.join_ablation_diff(u).collect()
     assert [(r.datasize, r.accuracy_diff) for r in diff] == [(100, 10.0)]
     assert R.perfect_points(u).count() == 1
     need = {r.method: r.min_datasize for r in R.data_to_target(u, 99.0).collect()}
-    assert need == {"fne": 200, "Finetuned on gpt": None}
+    assert need == {"periodic": 200, "Finetuned on gpt": None}
     ranks = [(r.rank, r.method) for r in R.rank_methods(u).orderBy("rank").collect()]
-    assert ranks == [(1, "fne"), (2, "Finetuned on gpt")]
+    assert ranks == [(1, "periodic"), (2, "Finetuned on gpt")]
