@@ -178,7 +178,7 @@ def perfect_points(runs: DataFrame) -> DataFrame:
 
 def data_to_target(runs: DataFrame, target: float = 99.0, reference_method: str | None = None) -> DataFrame:
     """Least training size reaching ``target`` accuracy per method and its
-    ratio to the reference method's (the README's "less data" claim)."""
+    ratio to a reference method's (how much less data one method needs)."""
     need = runs.groupBy("method").agg(
         F.min(F.when(F.col("accuracy") >= F.lit(target), F.col("datasize"))).alias("min_datasize"))
     if reference_method is None:

@@ -3,11 +3,11 @@ lines rendered from ``events`` (``inputs.run_log_lines``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config as K
 from ..operators import runs as R
+from ..operators.order import global_rank
 from .inputs import run_log_lines, run_log_lines_sql
 from .registry import register
 
@@ -143,9 +143,10 @@ SELECT run_dir, method, datasize, CAST(row_number() OVER (ORDER BY method NULLS
 FROM unioned""")
 def q_sort_curve(spark, sf):
     s = R.sort_curve(_union(spark, sf))
-    # the ordered table carries its order as a column for an order-insensitive check
-    w = Window.orderBy("method", "datasize", "run_dir")
-    return s.select("run_dir", "method", "datasize", F.row_number().over(w).alias("position"))
+    # the ordered table carries its order as a column for an order-insensitive
+    # check; the position is a distributed rank, not a single-task window
+    ranked = global_rank(s, ["method", "datasize", "run_dir"], out="position", start=1)
+    return ranked.select("run_dir", "method", "datasize", F.col("position").cast("int").alias("position"))
 
 
 @register("best_per_method", f"{CTE}, {UNION} SELECT method, max(accuracy) AS best FROM unioned GROUP BY method")
