@@ -118,7 +118,7 @@ def run_log_lines(spark, sf: str) -> DataFrame:
             .when(F.col("event_type") == "purchase", r2).when(F.col("event_type") == "signup", size).otherwise(loss))
     return e.select(
         "event_id", path.alias("path"),
-        F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), eid.alias("e")).alias("line_no"),
+        F.struct(F.col("ts").alias("t"), eid.alias("e")).alias("line_no"),   # time order, zone-independent
         F.concat(prefix, body).alias("line"))
 
 
@@ -132,7 +132,7 @@ def run_log_lines_sql() -> str:
                    'run' || CAST(user_id AS VARCHAR) || '_addlinear_' || CASE WHEN user_id % 3 = 0 THEN 'True' ELSE 'False' END
                    || '_usedigitwisetokenizer_' || CASE WHEN user_id % 2 = 0 THEN 'True' ELSE 'False' END,
                    'training_log_' || strftime(ts, '%Y%m%d') || '.log') AS path,
-         {{'t': epoch_us(ts), 'e': event_id}} AS line_no,
+         {{'t': ts, 'e': event_id}} AS line_no,
          strftime(ts, '%Y-%m-%d %H:%M:%S') || ' - INFO - ' || CASE event_type
            WHEN 'view' THEN 'Namespace(batch_size=512, model=''org/model-' || CAST(user_id % 3 AS VARCHAR)
                 || ''', num_train_samples=' || CASE WHEN event_id % 13 = 0 THEN 'None' ELSE CAST(100 * (1 << (event_id % 12)) AS VARCHAR) END
