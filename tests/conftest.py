@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,8 +12,7 @@ SF001 = "/root/testdata/sf0.001"
 def spark():
     from numweave.session import build_session
 
-    ckpt = tempfile.mkdtemp(prefix="numweave-test-ckpt-")
-    s = build_session(master="local[4]", partitions=8, extra={"spark.checkpoint.dir": ckpt})
+    s = build_session(master="local[4]", partitions=8)   # checkpoint dir: environment, else a scratch folder
     yield s
     s.stop()
 
