@@ -78,3 +78,24 @@ def test_early_stop(spark):
                                "run int, epoch int, whole_number_accuracy double")
     kept = sorted((r.run, r.epoch) for r in M.early_stop_epoch(df, ["run"]).collect())
     assert kept == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_report_and_vocab_independent_of_partitioning(spark):
+    from collections import Counter
+
+    from numweave.operators import text as X
+
+    base = spark.range(400).select((F.col("id") % 3).alias("run"), (F.col("id") / 7).cast("int").alias("batch_id"),
+                                   (F.col("id") * 1.25).alias("label"),
+                                   (F.col("id") * 1.25 + (F.col("id") % 4) * 0.5).alias("prediction"))
+    base = base.withColumn("label_text", F.col("label").cast("string")) \
+               .withColumn("pred_text", F.col("prediction").cast("string")) \
+               .withColumn("loss", F.pow(F.col("prediction") - F.col("label"), 2))
+    outs = []
+    for n in (1, 7, 64):
+        r = M.eval_report(base.repartition(n), ["run"], "periodic", FMT).collect()
+        outs.append(sorted((x.run, x.n, round(x.whole_number_accuracy, 12), round(x.mse, 9)) for x in r))
+    assert outs[0] == outs[1] == outs[2]
+    words = spark.createDataFrame([(w,) for w in "a b b c c c d d d d e".split()], "token string")
+    vs = [Counter((r.token, r.id) for r in X.vocab_build(words.repartition(n)).collect()) for n in (1, 7, 64)]
+    assert vs[0] == vs[1] == vs[2]
