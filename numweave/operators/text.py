@@ -5,10 +5,10 @@ built-in expressions; the only shuffles are the aggregates the semantics need.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import IGNORE_INDEX, NUM_TOKEN, PAD_TOKEN
+from ..config import NUM_TOKEN, PAD_TOKEN
 from ..functions import text as T
 from ..functions.numeric import hash_order
 
@@ -193,5 +193,3 @@ def gather_ordered(long_df: DataFrame, key_cols, pos_col: str, value_col: str, o
 def hashed_questions(df: DataFrame, seed, key_col: str = "question", out: str = "h") -> DataFrame:
     return df.withColumn(out, hash_order(seed, key_col))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["IGNORE_INDEX"]

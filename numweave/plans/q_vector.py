@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import NumberFormat
-from ..functions import numeric as N
 from ..functions import vector as V
 from ..operators import decode as D
 from ..operators import encode as E
@@ -217,8 +216,6 @@ def q_decode_logscale(spark, sf):
         "vec_id", F.round("prediction", 9).alias("prediction"))
 
 
-__all__ = ["N"]
-
 
 @register("filter_nonzero_mask", f"""
 SELECT doc_id, pos, value, round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(vec, lambda e: e * e)), lambda a, b: a + b), 9) AS sq_norm
