@@ -184,7 +184,7 @@ def data_to_target(runs: DataFrame, target: float = 99.0, reference_method: str
     if reference_method is None:
         return need
     ref = need.filter(F.col("method") == reference_method).select(F.col("min_datasize").alias("_ref")).scalar()
-    return need.withColumn("ratio_to_reference", F.col("min_datasize") / ref)
+    return need.withColumn("ratio_to_reference", F.try_divide(F.col("min_datasize").cast("double"), ref))
 
 
 def lines_from_text(files: DataFrame, path_col: str = "path", text_col: str = "value") -> DataFrame:
