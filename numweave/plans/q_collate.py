@@ -26,15 +26,17 @@ def _docs_tok(spark, sf, materialize: bool = False):
     return tok.checkpoint(eager=True) if materialize else tok
 
 
-def _vocab(tok):
-    return X.vocab_build(tok.select(F.explode("tokens").alias("token")))
+def _vocab(tok, materialize: bool = False):
+    v = X.vocab_build(tok.select(F.explode("tokens").alias("token")))
+    # the id lookup reads the vocabulary twice (size check, then join): pin it once
+    return v.checkpoint(eager=True) if materialize else v
 
 
 def _ids(spark, sf):
     """ids of the first MAX_LENGTH positions (the cut drops the rest), the
     full token count and the numbers, in one shuffle."""
     tok = _docs_tok(spark, sf, materialize=True)
-    ids = X.encode_token_ids(tok.select("doc_id", "tokens"), ["doc_id"], "tokens", _vocab(tok), out="ids",
+    ids = X.encode_token_ids(tok.select("doc_id", "tokens"), ["doc_id"], "tokens", _vocab(tok, True), out="ids",
                              max_positions=MAX_LENGTH)
     # numbers join back per document (one row each) rather than riding on every token row
     return ids.join(tok.select("doc_id", "numbers"), "doc_id")
@@ -74,7 +76,7 @@ def q_vocab_build(spark, sf):
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_ids, md5(array_to_string(ids, ',')) AS ids_md5 FROM ids""")
 def q_encode_token_ids(spark, sf):
     tok = _docs_tok(spark, sf, materialize=True)
-    ids = X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok), out="ids")
+    ids = X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok, True), out="ids")
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
                       F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
@@ -85,7 +87,7 @@ SELECT doc_id, count(*) AS n_tokens, count(e.vec_id) AS n_found,
 FROM t JOIN v USING (token) LEFT JOIN embeddings e ON e.vec_id = v.id GROUP BY doc_id""")
 def q_lookup_token_vectors(spark, sf):
     tok = _docs_tok(spark, sf, materialize=True)
-    ids = X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok), out="ids")
+    ids = X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok, True), out="ids")
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     vecs = X.lookup_token_vectors(ids, ["doc_id"], "ids", emb, "id", "embedding")
     return vecs.groupBy("doc_id").agg(
@@ -180,7 +182,7 @@ def q_collate_loss_labels(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
     d = X.concat_question_label(d, "text", F.col("n_chars").cast("double"), out="full")
     d = X.question_len(d, "text", out="qlen").withColumn("tokens", T.tokenize("full"))
-    vocab = _vocab(d)
+    vocab = _vocab(d, True)
     ids = X.encode_token_ids(d, ["doc_id"], "tokens", vocab, out="ids", max_positions=MAX_LENGTH, carry=["qlen"])
     ids = C.collate_batch_id(index_by_hash(ids, ["doc_id"], seed=DOC_SEED, materialize=True))
     c = C.collate_loss_labels(C.collate_pad(ids, "ids", PAD_ID, length_col="n_tokens"), "input_ids", "qlen", PAD_ID)
