@@ -155,3 +155,13 @@ def test_size_check_before_broadcast(spark):
 
     assert small_enough(spark.range(10), 10)
     assert not small_enough(spark.range(11), 10)
+
+
+def test_dense_multiplication_request(spark):
+    # 60 of the 66 pairs with operands <= 10: enumerate, no rejection sampling
+    rows = G.gen_pairs_mul_dense(spark, 10, 60, seed=1).collect()
+    assert len(rows) == 60 and len({r.question for r in rows}) == 60
+    for r in rows:
+        a, b = (int(x) for x in r.question[:-1].split("*"))
+        assert 0 <= a <= b <= 10 and r.label == a * b
+    assert G.gen_pairs_mul_dense(spark, 10, 1000).count() == 66      # fewer pairs than asked: all of them
