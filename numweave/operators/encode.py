@@ -20,8 +20,16 @@ from ..functions import vector as V
 
 
 def encode_periodic(df: DataFrame, value_col: str, fmt: NumberFormat, out: str = "vector", shift=0,
-                    distinct: bool = False) -> DataFrame:
-    """Periodic (cos/sin) features of ``value_col``; zero vector for 0."""
+                    distinct=False, repeat_ratio: float = 0.2) -> DataFrame:
+    """Periodic (cos/sin) features of ``value_col``; zero vector for 0.
+
+    ``distinct=True`` encodes each distinct value once and joins the vectors
+    back; ``"auto"`` does so only when values repeat heavily (approximate
+    distinct count below ``repeat_ratio`` of the rows: one HyperLogLog pass,
+    two scalars to the driver). The default is the shuffle-free projection."""
+    if distinct == "auto":
+        st = df.agg(F.approx_count_distinct(value_col).alias("d"), F.count(F.lit(1)).alias("n")).first()
+        distinct = bool(st["n"]) and st["d"] < repeat_ratio * st["n"]
     if not distinct:
         return df.withColumn(out, V.periodic_features_fmt(value_col, fmt, shift))
     if isinstance(shift, Column):

@@ -115,3 +115,12 @@ def test_filter_nonzero_mask(spark):
     df = spark.createDataFrame([(0.0, [1.0, 1.0], None), (0.0, [1.0, 1.0], 3)], "x double, v array<double>, pos int")
     assert [r.v for r in E.filter_nonzero_mask(df, "x", "v").collect()] == [[0.0, 0.0], [0.0, 0.0]]
     assert [r.v for r in E.filter_nonzero_mask(df, "x", "v", position_col="pos").collect()] == [[0.0, 0.0], [1.0, 1.0]]
+
+
+def test_distinct_encoding_matches_projection(spark):
+    fmt = NumberFormat(int_len=3, frac_len=1, bases=(2.0, 5.0), dim=16)
+    df = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 7 * 1.5).alias("x"))
+    plain = {r.k: r.vector for r in E.encode_periodic(df, "x", fmt).collect()}
+    for mode in (True, "auto"):
+        got = {r.k: r.vector for r in E.encode_periodic(df, "x", fmt, distinct=mode).collect()}
+        assert got == plain
