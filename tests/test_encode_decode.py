@@ -118,7 +118,7 @@ def test_filter_nonzero_mask(spark):
 
 
 def test_distinct_encoding_matches_projection(spark):
-    fmt = NumberFormat(int_len=3, frac_len=1, bases=(2.0, 5.0), dim=16)
+    fmt = NumberFormat(int_len=3, frac_len=1, bases=(2.0, 5.0), dim=32)
     df = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 7 * 1.5).alias("x"))
     plain = {r.k: r.vector for r in E.encode_periodic(df, "x", fmt).collect()}
     for mode in (True, "auto"):
