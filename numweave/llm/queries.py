@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, orcids, packing
+from . import bpe, orcids, packing, warc
 from .scratch import read_table, shared_folder
 
 QUERIES: dict = {}
@@ -46,3 +46,24 @@ def op5_orc_ids(spark, sf_dir):
     path = shared_folder(spark, "orc-ids")
     orcids.write(read_table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
     return orcids.checksums(orcids.read(spark, path))
+
+
+@register
+def op2_warc_zstd(spark, sf_dir):
+    """Archive every page, read the archives back, one row per record."""
+    folder = warc.archive_folder(spark)
+    manifest = warc.write(read_table(spark, sf_dir, "pages"), folder)
+    return warc.read(manifest, folder, with_payload=False).drop("url")
+
+
+ORACLE["op2_warc_zstd"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+     r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '')
+         AS payload_digest,
+       CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM r
+""".strip()
