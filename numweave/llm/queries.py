@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
-from . import bpe, orcids, packing, warc
-from .scratch import read_table, shared_folder
+from . import bpe, orcids, packing, toxicity, warc
+from .scratch import read_table, shared_folder, small_batches
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -18,7 +20,12 @@ def tokenizer_file(name: str) -> str:
 
 
 def register(fn):
-    QUERIES[fn.__name__] = fn
+    @wraps(fn)
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -67,3 +74,12 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
        CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to
 FROM r
 """.strip()
+
+
+@register
+def op4_toxicity(spark, sf_dir):
+    """Score every document; train on the labels that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

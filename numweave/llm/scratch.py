@@ -25,3 +25,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get at most this many rows at a time: texts can be long,
+    and the default of 10,000 is meant for narrow rows. A smaller setting of
+    the user's stays."""
+    if int(spark.conf.get(ARROW_ROWS, "10000")) > rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
