@@ -6,8 +6,8 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from . import bpe, orcids, packing, toxicity, warc
-from .scratch import read_table, shared_folder, small_batches
+from . import bpe, orcids, packing, quality, toxicity, warc
+from .scratch import read_table, shared_folder, small_batches, written
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -83,3 +83,12 @@ def op4_toxicity(spark, sf_dir):
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@register
+def op8_decision_list(spark, sf_dir):
+    """Measure every text, learn the rules from the labels, judge every text."""
+    measured = written(quality.measures(read_table(spark, sf_dir, "documents")), "quality")
+    rules = quality.train(measured, read_table(spark, sf_dir, "labels"), lambda k: ~toxicity.held_out(k))
+    return quality.judged(measured, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
