@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from . import bpe, orcids, packing, quality, toxicity, warc
+from . import bpe, orcids, packing, quality, topk, toxicity, warc
 from .scratch import read_table, shared_folder, small_batches, written
 
 QUERIES: dict = {}
@@ -92,3 +92,19 @@ def op8_decision_list(spark, sf_dir):
     rules = quality.train(measured, read_table(spark, sf_dir, "labels"), lambda k: ~toxicity.held_out(k))
     return quality.judged(measured, rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@register
+def op6_topk_inner(spark, sf_dir):
+    """The five best other vectors of every 50th vector."""
+    return topk.search(read_table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(50)) == 0, 5)
+
+
+ORACLE["op6_topk_inner"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""".strip()
