@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from . import bpe, orcids, packing, quality, topk, toxicity, warc
+from . import bpe, neardup, orcids, packing, quality, topk, toxicity, warc
 from .scratch import read_table, shared_folder, small_batches, written
 
 QUERIES: dict = {}
@@ -108,3 +108,10 @@ WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """.strip()
+
+
+@register
+def op10_bagminhash(spark, sf_dir):
+    """Class of every document: texts linked by a multiset overlap of 0.8 or more."""
+    rows, _ = neardup.classes(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "class_id")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -36,3 +38,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     the user's stays."""
     if int(spark.conf.get(ARROW_ROWS, "10000")) > rows:
         spark.conf.set(ARROW_ROWS, str(rows))
+
+
+BROADCAST_BYTES = 16 << 20     # a table sent to every executor is at most this large
+
+
+def small(df: DataFrame, row_bytes: int) -> bool:
+    """Whether df, counted, fits in BROADCAST_BYTES."""
+    return df.count() * row_bytes <= BROADCAST_BYTES
+
+
+def fetched(rows: DataFrame, wanted: DataFrame, on: list[str], row_bytes: int = 32) -> DataFrame:
+    """The rows that ``wanted`` names, with its columns; nulls in ``on`` match
+    each other. A short list is sent to where the rows are; a longer one is
+    joined by shuffling both. Either way the same rows come out."""
+    wanted = written(wanted, "wanted")
+    names = wanted.select(*[F.col(c).alias(f"_{c}") for c in on], *[c for c in wanted.columns if c not in on])
+    if small(wanted, row_bytes):
+        names = F.broadcast(names)
+    cond = reduce(lambda x, y: x & y, (rows[c].eqNullSafe(names[f"_{c}"]) for c in on))
+    return rows.join(names, cond).drop(*[f"_{c}" for c in on])
