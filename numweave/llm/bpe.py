@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from . import pretok
 
-CHUNK_CHARS = 1 << 21          # code points handled at once by the vectorised steps
-CACHE_SLICES = 1 << 20         # distinct slices a worker remembers
+CHUNK_CHARS = 1 << 20          # code points handled at once by the vectorised steps
+CACHE_SLICES = 1 << 18         # distinct slices a worker remembers
 LONG_SLICE = 64                # longer slices are merged one by one
 
 
