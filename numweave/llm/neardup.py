@@ -236,8 +236,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     gone = of.where(~(F.col(key).eqNullSafe(F.col("first_key")) & (F.col("th") == F.col("first_th")))) \
         .select(F.col(key).alias("_key"), F.col("th").alias("_th")).distinct()
     th = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
-    left = docs.withColumn("_th", th)
+    left = docs.withColumn("__text_hash", th)
     gone = written(gone, "gone")
     gone = F.broadcast(gone) if small(gone, 24) else gone
-    kept = left.join(gone, left[key].eqNullSafe(gone["_key"]) & (left["_th"] == gone["_th"]), "left_anti")
-    return kept.dropDuplicates([key, "_th"]).drop("_th")
+    kept = left.join(gone, left[key].eqNullSafe(gone["_key"]) & (left["__text_hash"] == gone["_th"]), "left_anti")
+    return kept.dropDuplicates([key, "__text_hash"]).drop("__text_hash")

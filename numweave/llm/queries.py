@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, orcids, packing, quality, topk, toxicity, warc
+from . import bpe, linededup, neardup, orcids, packing, quality, topk, toxicity, warc
 from .scratch import read_table, shared_folder, small_batches, written
 
 QUERIES: dict = {}
@@ -115,3 +115,9 @@ def op10_bagminhash(spark, sf_dir):
     """Class of every document: texts linked by a multiset overlap of 0.8 or more."""
     rows, _ = neardup.classes(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "class_id")
+
+
+@register
+def op9_fuzzy_lines(spark, sf_dir):
+    """Every document without the lines that another place already has."""
+    return linededup.deduplicated(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
