@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, neardup, orcids, packing, quality, topk, toxicity, warc
+from . import bpe, licenses, linededup, neardup, orcids, packing, quality, topk, toxicity, warc
 from .scratch import read_table, shared_folder, small_batches, written
 
 QUERIES: dict = {}
@@ -67,7 +67,7 @@ ORACLE["op2_warc_zstd"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
      r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
 SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            CAST(((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '')
          AS payload_digest,
        CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
@@ -101,8 +101,8 @@ def op6_topk_inner(spark, sf_dir):
 
 
 ORACLE["op6_topk_inner"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
      s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
@@ -121,3 +121,35 @@ def op10_bagminhash(spark, sf_dir):
 def op9_fuzzy_lines(spark, sf_dir):
     """Every document without the lines that another place already has."""
     return linededup.deduplicated(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@register
+def op7_license_digest(spark, sf_dir):
+    """Licence of every document by its canonical digest, and of its lines."""
+    return (licenses.scan(read_table(spark, sf_dir, "documents"))
+            .withColumn("notices", F.array_join("notices", " ")))
+
+
+def _license_sql() -> str:
+    """The same canonical form in SQL: one list of lines per document."""
+    line = "regexp_replace(l, '[^\\p{L}\\p{N}]+', ' ', 'g')"
+    line = f"' ' || replace(trim({line}), ' ', '  ') || ' '"
+    for a, b in licenses.SPELLINGS.items():
+        line = f"replace({line}, ' {a} ', ' {b} ')"
+    line = f"trim(replace({line}, '  ', ' '))"
+    rows = ", ".join(f"('{d}', '{n}')" for d, n in licenses.known_rows())
+    return f"""
+WITH known(digest, license_id) AS (VALUES {rows}),
+     canon AS (SELECT doc_id, list_filter(list_transform(
+                 string_split(lower(replace(coalesce(text, ''), '©', ' copyright ')), chr(10)), lambda l: {line}),
+                 lambda x: x <> '' AND NOT regexp_matches(x, '{licenses.COPYRIGHT_LINE}')) AS c FROM documents),
+     dig AS (SELECT doc_id, CASE WHEN len(c) > 0 THEN sha256(array_to_string(c, ' ')) END AS digest, c FROM canon),
+     hit AS (SELECT d.doc_id, k.license_id FROM (SELECT doc_id, sha256(unnest(c)) AS ld FROM dig) d JOIN known k ON d.ld = k.digest)
+SELECT dig.doc_id, dig.digest, k.license_id,
+       coalesce((SELECT string_agg(DISTINCT license_id, ' ' ORDER BY license_id) FROM hit WHERE hit.doc_id = dig.doc_id), '') AS notices,
+       (SELECT count(*) FROM hit WHERE hit.doc_id = dig.doc_id) AS n_notice_lines
+FROM dig LEFT JOIN known k ON dig.digest = k.digest
+""".strip()
+
+
+ORACLE["op7_license_digest"] = _license_sql()
