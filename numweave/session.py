@@ -40,8 +40,9 @@ def build_session(master: str = "local[8]", partitions: int = 8, app: str = "num
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (tests,
-    local runs) fall back to a fresh scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``. Only a local master, whose
+    driver and executors are one machine, may do without it: it gets a fresh
+    scratch folder. Any other master without the setting is an error."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - a Connect session manages checkpoints server-side
@@ -51,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="numweave-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", configured)
