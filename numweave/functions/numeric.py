@@ -56,14 +56,21 @@ def _to_bigint(d: Column) -> Column:
     return F.when(F.abs(d) < F.lit(_TWO_63), d.cast("bigint"))
 
 
+def _digits_bigint(d: Column) -> Column:
+    """The whole number d as BIGINT; beyond BIGINT its last 18 digits, which a
+    double's remainder gives exactly. NULL for infinite and NaN."""
+    return (F.when(F.abs(d) < F.lit(_TWO_63), d.cast("bigint"))
+            .when(F.abs(d) < F.lit(float("inf")), F.pmod(d, F.lit(1e18)).cast("bigint")))
+
+
 def scaled_rounded(x, frac_len: int) -> Column:
-    """rint(x * 10^f) as BIGINT (half to even)."""
-    return _to_bigint(F.rint(_c(x) * F.lit(float(10 ** frac_len))))
+    """rint(x * 10^f) (half to even), see ``_digits_bigint``."""
+    return _digits_bigint(F.rint(_c(x) * F.lit(float(10 ** frac_len))))
 
 
 def scaled_truncated(x, frac_len: int) -> Column:
-    """x * 10^f truncated toward zero as BIGINT (0.29 * 100 -> 28)."""
-    return _to_bigint(_c(x) * F.lit(float(10 ** frac_len)))
+    """x * 10^f truncated toward zero (0.29 * 100 -> 28), see ``_digits_bigint``."""
+    return _digits_bigint(_c(x) * F.lit(float(10 ** frac_len)))
 
 
 def digits_of(v, n_digits: int) -> Column:

@@ -165,7 +165,9 @@ TWO_63 = "9.223372036854775807E18D"
 
 
 def to_bigint(expr: str) -> str:
-    return f"CASE WHEN abs({expr}) < {TWO_63} THEN cast({expr} as bigint) END"
+    """A whole number as BIGINT; beyond BIGINT its last 18 digits."""
+    return let(expr, lambda v: f"CASE WHEN abs({v}) < {TWO_63} THEN cast({v} as bigint) "
+                               f"WHEN abs({v}) < double('Infinity') THEN cast(pmod({v}, 1E18D) as bigint) END")
 
 
 def digits_of(v: str, n: int) -> str:

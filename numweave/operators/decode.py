@@ -13,7 +13,6 @@ from ..config import NumberFormat
 from ..functions import numeric as N
 from ..functions import sqlexpr as SX
 from ..functions import vector as V
-from ..functions.text import _let
 
 
 def digit_logits(df: DataFrame, hidden_col: str, fmt: NumberFormat, offset: int = 0, normalize: bool = True,
@@ -27,25 +26,11 @@ def decode_periodic(df: DataFrame, hidden_col: str, fmt: NumberFormat, normalize
     return df.withColumn(out, V.decode_hidden(hidden_col, list(fmt.bases), fmt.n_digits, fmt.frac_len, normalize))
 
 
-def digit_ce(logits: Column, label: Column, fmt: NumberFormat) -> Column:
-    """Mean over digits of cross-entropy against the rounded label digits."""
-    digits = N.digits_rounded(label, fmt.int_len, fmt.frac_len)
-
-    def body(pair):
-        lg, ds = pair["l"], pair["d"]
-        ces = [V.logsumexp(lg[k]) - F.element_at(lg[k], (ds[k] + F.lit(1)).cast("int")) for k in range(fmt.n_digits)]
-        total = ces[0]
-        for c in ces[1:]:
-            total = total + c
-        return total / F.lit(float(fmt.n_digits))
-
-    return _let(F.struct(logits.alias("l"), digits.alias("d")), body)
-
-
 def loss_digit_ce(df: DataFrame, hidden_col: str, label_col: str, fmt: NumberFormat, batch_col: str = "batch_id",
-                  group_cols=()) -> DataFrame:
-    """Per batch: mean over rows x digits of the digit cross-entropy."""
-    logits = SX.digit_logits(SX.q(hidden_col), list(fmt.bases), fmt.n_digits, 0, True)
+                  group_cols=(), offset: int = 0) -> DataFrame:
+    """Per batch: mean over rows x digits of the digit cross-entropy.
+    ``offset``: slices by which a shifted encoding moved the digits up."""
+    logits = SX.digit_logits(SX.q(hidden_col), list(fmt.bases), fmt.n_digits, offset, True)
     digits = SX.digits_rounded(SX.q(label_col), fmt.int_len, fmt.frac_len)
     per_row = df.withColumn("_ce", F.expr(SX.digit_ce(logits, digits, fmt.n_digits)))
     return per_row.groupBy(*group_cols, batch_col).agg(F.avg("_ce").alias("loss"))

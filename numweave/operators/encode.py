@@ -1,9 +1,7 @@
 """Encoders: number -> vector, as jobs over number tables (inventory 2.7).
 
 Every encoder has the same shape: a number table (``explode_numbers`` output
-or any numeric column) -> vectors, optionally encoding only the distinct
-values and joining back (worth it when values repeat heavily; a pure
-projection has no shuffle at all and is the default).
+or any numeric column) -> vectors, as a projection without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,23 +17,10 @@ from ..functions import numeric as N
 from ..functions import vector as V
 
 
-def encode_periodic(df: DataFrame, value_col: str, fmt: NumberFormat, out: str = "vector", shift=0,
-                    distinct=False, repeat_ratio: float = 0.2) -> DataFrame:
-    """Periodic (cos/sin) features of ``value_col``; zero vector for 0.
-
-    ``distinct=True`` encodes each distinct value once and joins the vectors
-    back; ``"auto"`` does so only when values repeat heavily (approximate
-    distinct count below ``repeat_ratio`` of the rows: one HyperLogLog pass,
-    two scalars to the driver). The default is the shuffle-free projection."""
-    if distinct == "auto":
-        st = df.agg(F.approx_count_distinct(value_col).alias("d"), F.count(F.lit(1)).alias("n")).first()
-        distinct = bool(st["n"]) and st["d"] < repeat_ratio * st["n"]
-    if not distinct:
-        return df.withColumn(out, V.periodic_features_fmt(value_col, fmt, shift))
-    if isinstance(shift, Column):
-        raise ValueError("distinct encoding needs a literal shift")
-    vals = df.select(value_col).distinct().withColumn(out, V.periodic_features_fmt(value_col, fmt, shift))
-    return df.join(vals, value_col, "left")
+def encode_periodic(df: DataFrame, value_col: str, fmt: NumberFormat, out: str = "vector", shift=0) -> DataFrame:
+    """Periodic (cos/sin) features of ``value_col``; zero vector for 0 and
+    NULL. A projection: no shuffle, one semantics whatever the data."""
+    return df.withColumn(out, V.periodic_features_fmt(value_col, fmt, shift))
 
 
 def batch_shift(batch_col: str, max_shift: int, seed=0) -> Column:

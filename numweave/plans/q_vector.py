@@ -84,12 +84,14 @@ EMB_SQL = f"""SELECT vec_id, CAST(label AS DOUBLE) AS label, CAST(embedding AS D
 FROM embeddings"""
 
 
-def _emb(spark, sf):
+def _emb(spark, sf, batches: bool = False):
+    """Vectors as doubles; batch ids (an index over all rows) only for the batch losses."""
     e = table(spark, sf, "embeddings")
+    cols = ["vec_id", F.col("label").cast("double").alias("label"), F.col("embedding").cast("array<double>").alias("h")]
+    if not batches:
+        return e.select(*cols)
     e = index_by_hash(e, ["vec_id"], seed=BATCH_SEED)
-    return e.select("vec_id", F.col("label").cast("double").alias("label"),
-                    F.col("embedding").cast("array<double>").alias("h"),
-                    F.call_function("div", F.col("idx"), F.lit(32)).alias("batch_id"))
+    return e.select(*cols, F.call_function("div", F.col("idx"), F.lit(32)).alias("batch_id"))
 
 
 @register("layer_norm", _long_sql(S.layer_norm_cte(EMB_SQL, "vec_id"), ["vec_id"], "hn"))
@@ -156,6 +158,7 @@ def q_decode_periodic(spark, sf):
 
 
 def _ce_sql():
+    """Cross-entropy terms over the logits lg and the digits of v."""
     parts = []
     for k in range(DEC.n_digits):
         lk = f"lg[{k + 1}]"
@@ -169,7 +172,19 @@ SELECT batch_id, round(avg(ce), 9) AS loss FROM (
   SELECT batch_id, {_ce_sql()} AS ce FROM (SELECT *, {S.scaled_rounded('label', DEC.frac_len)} AS v FROM ({_LOGITS_SQL})))
 GROUP BY batch_id""")
 def q_loss_digit_ce(spark, sf):
-    return D.loss_digit_ce(_emb(spark, sf), "h", "label", DEC).select("batch_id", F.round("loss", 9).alias("loss"))
+    return D.loss_digit_ce(_emb(spark, sf, True), "h", "label", DEC).select("batch_id", F.round("loss", 9).alias("loss"))
+
+
+_SHIFTED_SQL = f"SELECT vec_id, label, batch_id, {S.digit_logits('hn', DEC.bases, DEC.n_digits, 2)} AS lg FROM ({S.layer_norm_cte(EMB_SQL, 'vec_id')})"
+
+
+@register("loss_digit_ce_shift", f"""
+SELECT batch_id, round(avg(ce), 9) AS loss FROM (
+  SELECT batch_id, {_ce_sql()} AS ce FROM (SELECT *, {S.scaled_rounded('label', DEC.frac_len)} AS v FROM ({_SHIFTED_SQL})))
+GROUP BY batch_id""")
+def q_loss_digit_ce_shift(spark, sf):
+    """The digits sit two slices further up, as after a shift of two."""
+    return D.loss_digit_ce(_emb(spark, sf, True), "h", "label", DEC, offset=2).select("batch_id", F.round("loss", 9).alias("loss"))
 
 
 @register("decode_digits", f"""
@@ -186,14 +201,14 @@ SELECT batch_id, round(sqrt(sum(sq) / (count(*) * {DEC.n_digits})), 9) AS loss F
   FROM (SELECT *, {S.scaled_truncated('label', DEC.frac_len)} AS v FROM ({EMB_SQL})))
 GROUP BY batch_id""")
 def q_loss_digit_rms(spark, sf):
-    return D.loss_digit_rms(_emb(spark, sf), "h", "label", DEC).select("batch_id", F.round("loss", 9).alias("loss"))
+    return D.loss_digit_rms(_emb(spark, sf, True), "h", "label", DEC).select("batch_id", F.round("loss", 9).alias("loss"))
 
 
 _HEAD_SQL = f"SELECT vec_id, label, batch_id, list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, 65), lambda i: h[i] * {S.dlist(HEAD_W)}[i])), lambda a, b: a + b) + {S.dbl(HEAD_B)} AS head FROM ({EMB_SQL})"
 
 
-def _head(spark, sf):
-    return D.head_linear(_emb(spark, sf), "h", HEAD_W, HEAD_B)
+def _head(spark, sf, batches: bool = False):
+    return D.head_linear(_emb(spark, sf, batches), "h", HEAD_W, HEAD_B)
 
 
 @register("head_linear", f"SELECT vec_id, round(head, 9) AS head FROM ({_HEAD_SQL})")
@@ -205,7 +220,7 @@ def q_head_linear(spark, sf):
 SELECT batch_id, round(avg(pow(head - {_LOG_S} * ln(1 + abs(label)) * sign(label), 2)), 9) AS loss
 FROM ({_HEAD_SQL}) GROUP BY batch_id""")
 def q_loss_log_mse(spark, sf):
-    return D.loss_log_mse(_head(spark, sf), "head", "label", _log_scale(spark, sf)).select(
+    return D.loss_log_mse(_head(spark, sf, True), "head", "label", _log_scale(spark, sf)).select(
         "batch_id", F.round("loss", 9).alias("loss"))
 
 

@@ -26,12 +26,18 @@ def digits_array(v: str, n: int) -> str:
     return "[" + ", ".join(digit(v, k) for k in range(n)) + "]"
 
 
+def last_digits(v: str) -> str:
+    """BIGINT of a whole DOUBLE; beyond BIGINT its last 18 digits."""
+    return (f"CASE WHEN isfinite({v}) AND abs({v}) < 9223372036854775808.0 THEN TRY_CAST({v} AS BIGINT) WHEN isfinite({v}) "
+            f"THEN CAST(fmod(fmod({v}, 1e18::DOUBLE) + 1e18::DOUBLE, 1e18::DOUBLE) AS BIGINT) END")
+
+
 def scaled_rounded(x: str, frac_len: int) -> str:
-    return f"TRY_CAST(round_even(({x}) * {float(10 ** frac_len)!r}, 0) AS BIGINT)"
+    return last_digits(f"round_even(({x}) * {float(10 ** frac_len)!r}, 0)")
 
 
 def scaled_truncated(x: str, frac_len: int) -> str:
-    return f"TRY_CAST(trunc(({x}) * {float(10 ** frac_len)!r}) AS BIGINT)"
+    return last_digits(f"trunc(({x}) * {float(10 ** frac_len)!r})")
 
 
 def digits_or_null(v: str, n: int) -> str:

@@ -117,10 +117,30 @@ def test_filter_nonzero_mask(spark):
     assert [r.v for r in E.filter_nonzero_mask(df, "x", "v", position_col="pos").collect()] == [[0.0, 0.0], [1.0, 1.0]]
 
 
-def test_distinct_encoding_matches_projection(spark):
+def test_null_values_encode_as_zero(spark):
     fmt = NumberFormat(int_len=3, frac_len=1, bases=(2.0, 5.0), dim=32)
-    df = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 7 * 1.5).alias("x"))
-    plain = {r.k: r.vector for r in E.encode_periodic(df, "x", fmt).collect()}
-    for mode in (True, "auto"):
-        got = {r.k: r.vector for r in E.encode_periodic(df, "x", fmt, distinct=mode).collect()}
-        assert got == plain
+    df = spark.createDataFrame([(None,), (0.0,), (1.5,)] * 20, "x double")
+    vecs = [r.vector for r in E.encode_periodic(df, "x", fmt).collect()]
+    assert vecs[0] == vecs[1] == [0.0] * 32 and any(vecs[2])
+
+
+def test_digits_beyond_bigint(spark):
+    from numweave.functions import numeric as N
+
+    fmt = NumberFormat(int_len=16, frac_len=2, bases=(10.0,), dim=64)
+    for x in (123456789012345678.0, 4644348398010899.0, 1e300, -5e18, 9.3e18, float("inf"), float("nan"), None):
+        df = spark.createDataFrame([(x,)], "x double")
+        got = df.select(N.digits_rounded("x", 16, 2), N.digits_truncated("x", 16, 2)).first()
+        if x is None or math.isinf(x) or math.isnan(x):
+            assert got[0] is None and got[1] is None
+            continue
+        whole = int(x * 100.0)
+        assert got[0] == got[1] == [(whole // 10 ** k) % 10 for k in range(18)]
+        assert E.encode_digits(df, "x", fmt).first().vector[:18] == [float(d) for d in got[1]]
+
+
+def test_bases_are_checked():
+    import pytest
+
+    with pytest.raises(ValueError):
+        NumberFormat(int_len=3, frac_len=1, bases=(1.0, 10.0), dim=32)

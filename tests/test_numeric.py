@@ -30,9 +30,10 @@ def test_sql_text_digits_agree(spark):
         assert r.a == r.b
 
 
-def test_out_of_range_is_null(spark):
-    df = spark.createDataFrame([(1e30,), (float("nan"),)], "x double")
-    assert [r.d for r in df.select(N.digits_rounded("x", 16, 2).alias("d")).collect()] == [None, None]
+def test_digits_of_large_and_non_finite_values(spark):
+    df = spark.createDataFrame([(1e30,), (float("nan"),), (float("-inf"),)], "x double")
+    got = [r.d for r in df.select(N.digits_rounded("x", 16, 2).alias("d")).collect()]
+    assert got == [[int(1e30 * 100.0) // 10 ** k % 10 for k in range(18)], None, None]
 
 
 def test_log_scale_roundtrip(spark):
