@@ -21,9 +21,15 @@ def collate_batch_id(indexed: DataFrame, idx: str = "idx", batch_size: int = BAT
     return indexed.withColumn(out, F.call_function("div", F.col(idx), F.lit(batch_size)))
 
 
-def shuffled_order(key_cols, seed, epoch) -> Column:
-    """Training order of an epoch: hash of (seed, epoch, key)."""
-    return hash_order(f"{seed}:{epoch}", *key_cols)
+def epoch_batches(df: DataFrame, key_cols, seed, epoch: int, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """idx and batch_id of a training epoch: rows in the hash order of (seed,
+    epoch, key), another one each epoch; evaluation keeps the order of
+    ``index_by_hash``."""
+    from .order import global_index
+
+    keys = list(key_cols)
+    h = df.withColumn("_h", hash_order(f"{seed}:{epoch}", *keys))
+    return collate_batch_id(global_index(h, ["_h"] + keys).drop("_h"), batch_size=batch_size)
 
 
 def collate_pad(df: DataFrame, ids_col: str, pad_id: int, batch_col: str = "batch_id", max_length: int = MAX_LENGTH,
@@ -85,7 +91,11 @@ def pool_last_token(df: DataFrame, vectors_col: str, last_col: str, out: str = "
     return df.withColumn(out, F.get(F.col(vectors_col), F.col(last_col)))
 
 
-def pool_last_token_long(states: DataFrame, key_cols, pos_col: str, last: DataFrame, vector_col: str) -> DataFrame:
-    """Table form: (key, pos, vector) joined to (key, last_pos) on pos = last_pos."""
+def pool_last_token_long(states: DataFrame, key_cols, pos_col: str, last: DataFrame, vectors: DataFrame,
+                         id_col: str, vector_col: str) -> DataFrame:
+    """Table form: (key, pos, vector id) against (key, last_pos). The position is
+    picked before any vector moves; a key without a last token keeps a NULL vector."""
     keys = list(key_cols)
-    return states.join(last, keys).filter(F.col(pos_col) == F.col("last_pos")).select(*keys, vector_col)
+    picked = last.join(states, [last[k] == states[k] for k in keys] + [states[pos_col] == last["last_pos"]], "left") \
+        .select(*[last[k] for k in keys], "last_pos", id_col)
+    return picked.join(vectors.select(id_col, vector_col), id_col, "left").select(*keys, "last_pos", vector_col)

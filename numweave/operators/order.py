@@ -30,25 +30,21 @@ def _bits_for(df: DataFrame, bits: int | None) -> int:
     if bits is not None:
         return bits
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(16, max(1, (4 * parts - 1).bit_length()))
+    return min(20, max(12, (4 * parts - 1).bit_length()))
 
 
 def global_index(df: DataFrame, order_cols, out: str = "idx", bits: int | None = None,
-                 group_cols=(), broadcast_offsets: bool | None = None, materialize: bool = False) -> DataFrame:
+                 group_cols=(), broadcast_offsets: bool | None = None) -> DataFrame:
     """Add ``out`` = 0-based rank in the order ``order_cols`` (first one a hash
     order; the full key must be unique), restarting per ``group_cols``.
 
     The offsets table has (groups x 2^bits) rows; it is broadcast when there
     is no grouping or the caller vouches for a small group set, otherwise
-    the join is left to AQE. The input is read twice (bucket sizes, then
-    numbering); ``materialize`` checkpoints it first when it is expensive
-    to recompute."""
+    the join is left to AQE."""
     order_cols = list(order_cols)
     group_cols = list(group_cols)
     bits = _bits_for(df, bits)
     keyed = df.withColumn("_bkt", F.shiftright(F.col(order_cols[0]), HASH_BITS - bits))
-    if materialize:
-        keyed = keyed.checkpoint(eager=True)
     counts = keyed.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     ow = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy("_bkt").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -126,8 +122,7 @@ def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, salt: int = 6
     return out if rank_col else out.drop(name)
 
 
-def global_rank(df: DataFrame, order_exprs, out: str = "rank", start: int = 0,
-                materialize: bool = True) -> DataFrame:
+def global_rank(df: DataFrame, order_exprs, out: str = "rank", start: int = 0) -> DataFrame:
     """Dense 0-based (+ ``start``) position in an arbitrary total order,
     without a single-partition window.
 
@@ -136,15 +131,13 @@ def global_rank(df: DataFrame, order_exprs, out: str = "rank", start: int = 0,
     that layout and pinned with a reliable ``checkpoint`` (so a retried task
     cannot renumber), partition sizes give running offsets (at most one row
     per partition, broadcast), and position = offset + row counter.
-    ``materialize=False`` skips the pin when the input is itself a
-    materialised, deterministic table (sampling and sort are then
-    reproducible, and the total order makes the layout unique).
+    The pin is not optional: sampled range bounds may differ between two
+    evaluations, and positions and offsets must come from the same one.
     """
     s = (df.orderBy(*order_exprs)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
-    if materialize:
-        s = s.checkpoint(eager=True)
+    s = s.checkpoint(eager=True)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.select("_pid", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))

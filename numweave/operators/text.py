@@ -39,14 +39,14 @@ def row_text(df: DataFrame, cols=None) -> "F.Column":
 
 
 def max_number(df: DataFrame, group_cols=(), cols=None) -> DataFrame:
-    """Largest number found in any column of any row (per group); NULL when a
-    group holds no number at all (the caller raises, as the reference does)."""
+    """Largest number found in any column of any row (per group); a group
+    without any number raises when its row is computed."""
     group_cols = list(group_cols)
     cols = cols or [c for c in df.columns if c not in group_cols]
     per_row = df.select(*group_cols, F.array_max(T.extract_numbers(row_text(df, cols))).alias("_m"))
-    if not group_cols:
-        return per_row.agg(F.max("_m").alias("max_number"))
-    return per_row.groupBy(*group_cols).agg(F.max("_m").alias("max_number"))
+    largest = F.max("_m")
+    found = F.coalesce(largest, F.raise_error(F.lit("no number in any column")).cast("double")).alias("max_number")
+    return per_row.agg(found) if not group_cols else per_row.groupBy(*group_cols).agg(found)
 
 
 def number_token_stats(numbers: DataFrame, group_cols=(), raw_col: str = "raw") -> DataFrame:
@@ -120,51 +120,42 @@ def vocab_build(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     freq = freq.checkpoint(eager=True)
     specials = spark.createDataFrame([(PAD_TOKEN, 0), (NUM_TOKEN, 1)], "token string, rank int")
     regular = freq.join(F.broadcast(specials), "token", "left_anti")
-    # freq is materialised and (freq desc, token) is a total order: no second pin
-    regular = global_rank(regular, [F.desc("freq"), F.asc("token")], out="id", start=2, materialize=False)
+    regular = global_rank(regular, [F.desc("freq"), F.asc("token")], out="id", start=2)
     regular = regular.withColumn("id", F.col("id").cast("int"))
     special_rows = specials.join(freq, "token", "left").select(
         "token", F.col("rank").alias("id"), F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq"))
     return special_rows.unionByName(regular.select("token", "id", "freq"))
 
 
-BROADCAST_VOCAB_ROWS = 2_000_000
-
-
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """Size check before a broadcast: counts at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+HEAD_VOCAB_IDS = 65_536
 
 
 def encode_token_ids(df: DataFrame, key_cols, tokens_col: str, vocab: DataFrame, unknown_id: int = -1,
-                     out: str = "input_ids", broadcast_vocab="auto", max_positions: int | None = None,
-                     carry=()) -> DataFrame:
-    """tokens -> ids, order kept. Exploded, joined to the vocabulary (broadcast
-    only when the caller vouches for its size; otherwise AQE decides), then
-    regrouped with ``array_sort`` over (pos, id) structs. With
-    ``broadcast_vocab="auto"`` the vocabulary is broadcast only after a size
-    check (at most ``BROADCAST_VOCAB_ROWS`` rows; pass a materialised
-    vocabulary so that the check is cheap); beyond that it is a shuffle join.
-
-    ``max_positions``: only positions below it are looked up (the caller cuts
-    there anyway); ``n_tokens`` then carries the full length. ``carry``: small
-    scalar row-level columns brought through the same shuffle (attached to
-    position 0 only) instead of a second join; arrays are better joined back
-    per row, since the explode copies carried columns onto every token."""
-    keys = list(key_cols)
-    carry = list(carry)
-    if broadcast_vocab == "auto":
-        broadcast_vocab = small_enough(vocab, BROADCAST_VOCAB_ROWS)
-    v = F.broadcast(vocab) if broadcast_vocab else vocab
-    base = df.select(*keys, *carry, F.size(tokens_col).alias("_n"), tokens_col)
-    exploded = base.select(*keys, *carry, "_n", F.posexplode(tokens_col).alias("pos", "token"))
-    if max_positions is not None:
-        exploded = exploded.filter(F.col("pos") < F.lit(max_positions))
-    exploded = exploded.select(*keys, "pos", "token", "_n",
-                               *[F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in carry])
-    joined = exploded.join(v.select("token", "id"), "token", "left").withColumn(
-        "id", F.coalesce("id", F.lit(unknown_id)))
-    aggs = [F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias(out)]
+                     out: str = "input_ids", max_positions: int | None = None, carry=()) -> DataFrame:
+    """tokens -> ids, order kept. Exploded, looked up, then regrouped with
+    ``array_sort`` over (pos, id) structs. Ids follow the frequency, so the
+    head of the vocabulary (a fixed number of ids) covers most positions: it
+    is broadcast, which also keeps the hot tokens out of any shuffle; the tail
+    joins by token. Both joins run at every size.
+
+    Rows with NULL or no tokens stay, with an empty array. ``max_positions``:
+    only positions below it are looked up (the caller cuts there anyway);
+    ``n_tokens`` then carries the full length. ``carry``: small scalar
+    row-level columns brought through the same shuffle (attached to the first
+    row of a key only)."""
+    keys, carry = list(key_cols), list(carry)
+    head = F.broadcast(vocab.filter(F.col("id") < HEAD_VOCAB_IDS).select("token", F.col("id").alias("_head")))
+    tail = vocab.filter(F.col("id") >= HEAD_VOCAB_IDS).select(F.col("token").alias("_tail_token"), F.col("id").alias("_tail"))
+    cut = F.col(tokens_col) if max_positions is None else F.slice(F.col(tokens_col), 1, max_positions)
+    exploded = (df.select(*keys, *carry, F.greatest(F.size(tokens_col), F.lit(0)).alias("_n"), F.posexplode_outer(cut).alias("pos", "token"))
+                .select(*keys, "pos", "token", "_n",
+                        *[F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col(c)).alias(c) for c in carry]))
+    known = exploded.join(head, "token", "left")
+    rare = F.when(F.col("_head").isNull(), F.col("token"))       # NULL keys of the others match nothing
+    joined = (known.withColumn("_rare", rare).join(tail, F.col("_rare") == F.col("_tail_token"), "left")
+              .withColumn("id", F.coalesce("_head", "_tail", F.lit(unknown_id))))
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))
+    aggs = [F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["id"]).alias(out)]
     if max_positions is not None:
         aggs.append(F.max("_n").alias("n_tokens"))
     aggs += [F.first(c, ignorenulls=True).alias(c) for c in carry]
@@ -178,18 +169,6 @@ def lookup_token_vectors(df: DataFrame, key_cols, ids_col: str, vectors: DataFra
     it is broadcast only when the caller vouches for its size (a vocabulary of
     wide vectors can be large), otherwise AQE picks the strategy."""
     keys = list(key_cols)
-    exploded = df.select(*keys, F.posexplode(ids_col).alias("pos", id_col))
+    exploded = df.select(*keys, F.posexplode_outer(ids_col).alias("pos", id_col))     # keys without tokens stay
     v = vectors.select(id_col, vec_col)
     return exploded.join(F.broadcast(v) if broadcast_vectors else v, id_col, "left")
-
-
-def gather_ordered(long_df: DataFrame, key_cols, pos_col: str, value_col: str, out: str) -> DataFrame:
-    """Regroup a long (key, pos, value) table into one ordered array per key."""
-    keys = list(key_cols)
-    return long_df.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(pos_col, value_col))), lambda s: s[value_col]).alias(out))
-
-
-def hashed_questions(df: DataFrame, seed, key_col: str = "question", out: str = "h") -> DataFrame:
-    return df.withColumn(out, hash_order(seed, key_col))
-

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import IGNORE_INDEX, MAX_LENGTH
+from ..config import IGNORE_INDEX, MAX_LENGTH, NUMBER_PATTERN
 from ..functions import text as T
 from ..operators import collate as C
 from ..operators import text as X
@@ -19,37 +19,42 @@ PAD_ID, NUM_ID = 0, 1
 DOC_SEED = 71
 
 
-def _docs_tok(spark, sf, materialize: bool = False):
+def _docs_tok(spark, sf):
+    """Tokenised afresh by whoever reads it: cheaper than a replicated copy of
+    the tokenised corpus, and columns nobody asks for are pruned."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    tok = X.tokenize_masked(d, "text").withColumn("numbers", T.extract_numbers("text")).drop("text")
-    # tokenized corpus read by both the vocabulary and the id lookup: tokenize once
-    return tok.checkpoint(eager=True) if materialize else tok
+    return X.tokenize_masked(d, "text").withColumn("numbers", T.extract_numbers("text")).drop("text")
 
 
 def _vocab(tok, materialize: bool = False):
     v = X.vocab_build(tok.select(F.explode("tokens").alias("token")))
-    # the id lookup reads the vocabulary twice (size check, then join): pin it once
+    # the id lookup reads the vocabulary twice (head and tail): pin it once
     return v.checkpoint(eager=True) if materialize else v
 
 
 def _ids(spark, sf):
     """ids of the first MAX_LENGTH positions (the cut drops the rest), the
     full token count and the numbers, in one shuffle."""
-    tok = _docs_tok(spark, sf, materialize=True)
+    tok = _docs_tok(spark, sf)
     ids = X.encode_token_ids(tok.select("doc_id", "tokens"), ["doc_id"], "tokens", _vocab(tok, True), out="ids",
                              max_positions=MAX_LENGTH)
     # numbers join back per document (one row each) rather than riding on every token row
     return ids.join(tok.select("doc_id", "numbers"), "doc_id")
 
 
+def _batches(spark, sf):
+    """doc_id, idx, batch_id: the index sees the key column only."""
+    keys = table(spark, sf, "documents").select("doc_id")
+    return C.collate_batch_id(index_by_hash(keys, ["doc_id"], seed=DOC_SEED))
+
+
 def _collated(spark, sf):
-    # the encoded corpus (ids cut at 128) is materialised once: indexing reads it twice
-    ids = index_by_hash(_ids(spark, sf), ["doc_id"], seed=DOC_SEED, materialize=True)
-    b = C.collate_batch_id(ids)
+    # ids come grouped by doc_id, the narrow index joins them there
+    b = _ids(spark, sf).join(_batches(spark, sf), "doc_id")
     return C.collate_pad(b, "ids", PAD_ID, length_col="n_tokens")
 
 
-_MASK_RE = r"\d+\.?\d*"
+_MASK_RE = NUMBER_PATTERN
 DOC_SQL = f"""d AS (SELECT doc_id, n_chars, regexp_extract_all(regexp_replace(text, '{_MASK_RE}', ' [NUM] ', 'g'), '{S.TOKEN_RE}', 1) AS toks,
                   list_transform(regexp_extract_all(text, '{S.NUM_RE}', 1), lambda s: CAST(s AS DOUBLE)) AS nums
            FROM documents),
@@ -59,7 +64,8 @@ v AS (SELECT '[PAD]' AS token, 0 AS id, coalesce((SELECT freq FROM f WHERE token
       UNION ALL SELECT '[NUM]', 1, coalesce((SELECT freq FROM f WHERE token = '[NUM]'), 0)
       UNION ALL SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, token) + 1 AS INTEGER), freq
                 FROM f WHERE token NOT IN ('[PAD]', '[NUM]')),
-ids AS (SELECT doc_id, list(CAST(id AS INTEGER) ORDER BY pos) AS ids FROM t JOIN v USING (token) GROUP BY doc_id),
+ids AS (SELECT d.doc_id, coalesce(list(CAST(v.id AS INTEGER) ORDER BY t.pos) FILTER (WHERE v.id IS NOT NULL), []) AS ids
+        FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN v ON v.token = t.token GROUP BY d.doc_id),
 b AS (SELECT doc_id, ids, nums, row_number() OVER (ORDER BY {S.hash_order(DOC_SEED, 'doc_id')}, doc_id) - 1 AS idx
       FROM ids JOIN d USING (doc_id)),
 p AS (SELECT doc_id, idx, idx // 32 AS batch_id, nums,
@@ -75,29 +81,37 @@ def q_vocab_build(spark, sf):
 @register("encode_token_ids", f"""WITH {DOC_SQL}
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_ids, md5(array_to_string(ids, ',')) AS ids_md5 FROM ids""")
 def q_encode_token_ids(spark, sf):
-    tok = _docs_tok(spark, sf, materialize=True)
+    tok = _docs_tok(spark, sf)
     ids = X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok, True), out="ids")
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
                       F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
 @register("lookup_token_vectors", f"""WITH {DOC_SQL}
-SELECT doc_id, count(*) AS n_tokens, count(e.vec_id) AS n_found,
+SELECT d.doc_id, count(t.pos) AS n_tokens, count(e.vec_id) AS n_found,
        round(sum(CAST(e.embedding[1] AS DOUBLE)), 6) AS first_sum
-FROM t JOIN v USING (token) LEFT JOIN embeddings e ON e.vec_id = v.id GROUP BY doc_id""")
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN v ON v.token = t.token LEFT JOIN embeddings e ON e.vec_id = v.id
+GROUP BY d.doc_id""")
 def q_lookup_token_vectors(spark, sf):
-    tok = _docs_tok(spark, sf, materialize=True)
+    tok = _docs_tok(spark, sf)
     ids = X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok, True), out="ids")
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     vecs = X.lookup_token_vectors(ids, ["doc_id"], "ids", emb, "id", "embedding")
     return vecs.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.count("embedding").alias("n_found"),
+        F.count("pos").alias("n_tokens"), F.count("embedding").alias("n_found"),
         F.round(F.sum(F.col("embedding")[0].cast("double")), 6).alias("first_sum"))
 
 
 @register("collate_batch_id", f"WITH {DOC_SQL} SELECT doc_id, CAST(idx AS BIGINT) AS idx, CAST(batch_id AS BIGINT) AS batch_id FROM p")
 def q_collate_batch_id(spark, sf):
-    return _collated(spark, sf).select("doc_id", "idx", "batch_id")
+    return _batches(spark, sf).select("doc_id", "idx", "batch_id")
+
+
+@register("collate_epoch_order", f"""
+SELECT doc_id, CAST(idx AS BIGINT) AS idx, CAST(idx // 32 AS BIGINT) AS batch_id FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY {S.hash_order(f"{DOC_SEED}:3", 'doc_id')}, doc_id) - 1 AS idx FROM documents)""")
+def q_collate_epoch_order(spark, sf):
+    return C.epoch_batches(table(spark, sf, "documents").select("doc_id"), ["doc_id"], DOC_SEED, 3)
 
 
 @register("collate_pad", f"""WITH {DOC_SQL}
@@ -143,19 +157,24 @@ def q_collate_last_token(spark, sf):
     return C.collate_last_token(_collated(spark, sf), "input_ids", PAD_ID).select("doc_id", "last_pos")
 
 
-@register("pool_last_token", f"""WITH {DOC_SQL}
-SELECT doc_id, CAST(i AS BIGINT) AS i, round(CAST(v AS DOUBLE), 9) AS v FROM (
-  SELECT doc_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS v
-  FROM (SELECT doc_id, input_ids[len(list_filter(input_ids, lambda t: t <> {PAD_ID}))] AS last_id FROM p) l
-  JOIN embeddings e ON e.vec_id = l.last_id)""")
+# Hidden states differ by position: state (doc, pos) is the embedding number (doc_id + pos) mod their count.
+@register("pool_last_token", f"""WITH {DOC_SQL},
+l AS (SELECT doc_id, CAST(len(list_filter(input_ids, lambda t: t <> {PAD_ID})) - 1 AS INTEGER) AS last_pos FROM p),
+e AS (SELECT vec_id, embedding FROM embeddings)
+SELECT doc_id, last_pos, CAST(i AS BIGINT) AS i, round(CAST(v AS DOUBLE), 9) AS v FROM (
+  SELECT doc_id, last_pos, unnest(range(len(embedding))) AS i, unnest(embedding) AS v
+  FROM l JOIN e ON last_pos >= 0 AND e.vec_id = (doc_id + last_pos) % (SELECT count(*) FROM embeddings))
+UNION ALL SELECT doc_id, last_pos, NULL, NULL FROM l WHERE last_pos < 0""")
 def q_pool_last_token(spark, sf):
-    c = C.collate_last_token(_collated(spark, sf), "input_ids", PAD_ID)
-    c = c.withColumn("last_id", F.get(F.col("input_ids"), F.col("last_pos")))
-    emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("last_id"), "embedding")
-    pooled = C.pool_last_token(c.join(emb, "last_id").withColumn(
-        "states", F.array_repeat(F.col("embedding"), F.size("input_ids"))), "states", "last_pos")
-    return pooled.select("doc_id", F.posexplode("pooled").alias("i", "v")).select(
-        "doc_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("v").cast("double"), 9).alias("v"))
+    c = C.collate_last_token(_collated(spark, sf), "input_ids", PAD_ID).select("doc_id", "last_pos", F.size("input_ids").alias("n"))
+    emb = table(spark, sf, "embeddings")
+    count = emb.agg(F.count(F.lit(1))).scalar()
+    states = (c.select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest("n", F.lit(1)) - 1)).alias("pos"))
+              .withColumn("vec_id", F.pmod(F.col("doc_id") + F.col("pos"), count)))
+    pooled = C.pool_last_token_long(states, ["doc_id"], "pos", c.select("doc_id", "last_pos"),
+                                    emb.select("vec_id", "embedding"), "vec_id", "embedding")
+    return pooled.select("doc_id", "last_pos", F.posexplode_outer("embedding").alias("i", "v")).select(
+        "doc_id", "last_pos", F.col("i").cast("bigint").alias("i"), F.round(F.col("v").cast("double"), 9).alias("v"))
 
 
 # ---- plain-text method: question + ' ' + label text; loss only on the answer
@@ -166,7 +185,8 @@ rf AS (SELECT token, count(*) AS freq FROM rt GROUP BY token),
 rv AS (SELECT '[PAD]' AS token, 0 AS id UNION ALL SELECT '[NUM]', 1
        UNION ALL SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, token) + 1 AS INTEGER)
                  FROM rf WHERE token NOT IN ('[PAD]', '[NUM]')),
-rids AS (SELECT doc_id, list(CAST(id AS INTEGER) ORDER BY pos) AS ids FROM rt JOIN rv USING (token) GROUP BY doc_id),
+rids AS (SELECT r.doc_id, coalesce(list(CAST(rv.id AS INTEGER) ORDER BY rt.pos) FILTER (WHERE rv.id IS NOT NULL), []) AS ids
+         FROM r LEFT JOIN rt ON rt.doc_id = r.doc_id LEFT JOIN rv ON rv.token = rt.token GROUP BY r.doc_id),
 rb AS (SELECT doc_id, ids, qlen, (row_number() OVER (ORDER BY {S.hash_order(DOC_SEED, 'doc_id')}, doc_id) - 1) // 32 AS batch_id
        FROM rids JOIN r USING (doc_id)),
 rp AS (SELECT doc_id, qlen, list_slice(list_concat(ids, list_resize([]::INTEGER[], bmax - len(ids), 0)), 1, {MAX_LENGTH}) AS input_ids
@@ -184,7 +204,7 @@ def q_collate_loss_labels(spark, sf):
     d = X.question_len(d, "text", out="qlen").withColumn("tokens", T.tokenize("full"))
     vocab = _vocab(d, True)
     ids = X.encode_token_ids(d, ["doc_id"], "tokens", vocab, out="ids", max_positions=MAX_LENGTH, carry=["qlen"])
-    ids = C.collate_batch_id(index_by_hash(ids, ["doc_id"], seed=DOC_SEED, materialize=True))
+    ids = ids.join(_batches(spark, sf), "doc_id")
     c = C.collate_loss_labels(C.collate_pad(ids, "ids", PAD_ID, length_col="n_tokens"), "input_ids", "qlen", PAD_ID)
     lab = F.col("labels")
     return c.select("doc_id", F.size(F.filter(lab, lambda x: x != F.lit(IGNORE_INDEX))).cast("bigint").alias(

@@ -28,11 +28,6 @@ def test_mask_and_tokenize(spark):
     assert r.tokens == ["où", "été", "[NUM]", "+", "[NUM]", "="]
 
 
-def test_max_number_empty_is_null(spark):
-    df = spark.createDataFrame([("", 1), ("x", 2)], "question string, k int").select("question")
-    assert X.max_number(df).first()[0] is None
-
-
 def test_max_number_reads_all_columns(spark):
     df = spark.createDataFrame([("12+7045=", 7057)], "question string, label bigint")
     assert X.max_number(df).first()[0] == 7057.0
@@ -84,3 +79,27 @@ def test_filter_numeric_string(spark):
     df = spark.createDataFrame([("12",), ("-1.5",), ("1e5",), ("3.",), ("x",)], "s string")
     assert [r.s for r in X.filter_numeric_string(df, "s").collect()] == ["12", "-1.5"]
     assert not math.isnan(0.0)
+
+
+def test_token_ids_keep_every_document(spark, monkeypatch):
+    from numweave.operators import text as X
+
+    rows = [(1, ["a", "b", "a"]), (2, []), (3, None), (4, ["zz"]), (5, ["c"])]
+    df = spark.createDataFrame(rows, "k int, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3), ("c", 4)], "token string, id int")
+    want = {1: [2, 3, 2], 2: [], 3: [], 4: [-1], 5: [4]}
+    for head in (65_536, 3):                                        # the vocabulary in the head, or partly in the tail
+        monkeypatch.setattr(X, "HEAD_VOCAB_IDS", head)
+        assert {r.k: r.ids for r in X.encode_token_ids(df, ["k"], "tokens", vocab, out="ids").collect()} == want
+    cut = {r.k: (r.ids, r.n_tokens) for r in X.encode_token_ids(df, ["k"], "tokens", vocab, out="ids", max_positions=2).collect()}
+    assert cut[1] == ([2, 3], 3) and cut[3] == ([], 0)
+
+
+def test_max_number_without_numbers_raises(spark):
+    import pytest
+
+    from numweave.operators import text as X
+
+    df = spark.createDataFrame([("x", "no digits")], "g string, t string")
+    with pytest.raises(Exception, match="no number"):
+        X.max_number(df, ["g"], ["t"]).collect()
