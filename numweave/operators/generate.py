@@ -14,7 +14,9 @@ a ``range`` over the triangular index set is mapped to (lo, hi) arithmetically.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CLASSIFY_COEFFS
@@ -33,24 +35,6 @@ def gen_operands(df: DataFrame, key_cols, k: int, max_value: int, seed=0, prefix
     return out
 
 
-def enumerate_pairs(spark, max_value: int, partitions: int | None = None) -> DataFrame:
-    """All pairs 0 <= lo <= hi <= max_value, one row each, from a range.
-
-    t in [0, T), T = (m+1)(m+2)/2; hi = floor((sqrt(8t+1)-1)/2) corrected for
-    float error, lo = t - hi(hi+1)/2.
-    """
-    m = max_value + 1
-    total = m * (m + 1) // 2
-    t = F.col("id")
-    hi0 = F.floor((F.sqrt(t * F.lit(8.0) + F.lit(1.0)) - F.lit(1.0)) / F.lit(2.0)).cast("bigint")
-    tri = lambda h: F.call_function("div", h * (h + F.lit(1)), F.lit(2))
-    hi = (F.when(tri(hi0) > t, hi0 - 1)
-          .when(tri(hi0 + 1) <= t, hi0 + 1).otherwise(hi0))
-    return (spark.range(0, total, 1, partitions).withColumn("hi", hi.cast("bigint"))
-            .withColumn("lo", (t - F.call_function("div", F.col("hi") * (F.col("hi") + 1), F.lit(2))).cast("bigint"))
-            .select("lo", "hi"))
-
-
 def _canon(a: Column, b: Column):
     return F.least(a, b), F.greatest(a, b)
 
@@ -109,12 +93,33 @@ def score_distribution(df: DataFrame, cols=("x0", "x1", "x2"), coeffs=CLASSIFY_C
     return t.select(linear_score(F.col("_t"), coeffs[:3]).alias("score"))
 
 
-def median_threshold(scores: DataFrame, col: str = "score", approx: bool = False) -> Column:
-    """Interpolating median as a scalar-subquery Column. Exact ``median`` keeps
-    a value->count map, bounded by the score domain (multiples of 0.5 within
-    +-2*max for the default coefficients); ``approx=True`` for unbounded ones."""
-    agg = F.percentile_approx(col, 0.5, 100000) if approx else F.median(col)
-    return scores.agg(agg.alias("d")).scalar()
+def median_threshold(scores: DataFrame, col: str = "score") -> Column:
+    """Exact interpolating median as a scalar-subquery Column, distributed:
+    scores are counted per value, value counts per bucket of the value's order,
+    and only the bucket that holds a middle position is ranked."""
+    return exact_median(scores, col).select("d").scalar()
+
+
+def exact_median(scores: DataFrame, col: str = "score") -> DataFrame:
+    """One row: d. Two rounds over the counts per value: equal-width buckets
+    between the extremes find where the middle lies, then the values of at
+    most two buckets are ranked."""
+    buckets = 4096
+    per = scores.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ends = per.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))).scalar()
+    lo, hi, n = ends.getField("lo"), ends.getField("hi"), ends.getField("n")
+    width = F.when(hi > lo, (hi - lo) / F.lit(buckets)).otherwise(F.lit(1.0))
+    placed = per.withColumn("b", F.least(F.floor((F.col("v") - lo) / width), F.lit(buckets - 1)))
+    first, second = F.call_function("div", n - 1, F.lit(2)), F.call_function("div", n, F.lit(2))    # 0-based middles
+    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)            # at most 4,096 rows
+    sizes = placed.groupBy("b").agg(F.sum("c").alias("bc")).withColumn("end", F.sum("bc").over(upto))
+    hit = (sizes.withColumn("begin", F.col("end") - F.col("bc"))
+           .filter(((F.col("begin") <= first) & (first < F.col("end"))) | ((F.col("begin") <= second) & (second < F.col("end")))))
+    inside = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (placed.join(F.broadcast(hit.select("b", "begin")), "b")                                # at most two rows
+              .withColumn("stop", F.col("begin") + F.sum("c").over(inside)).withColumn("start", F.col("stop") - F.col("c")))
+    at = lambda k: F.max(F.when((F.col("start") <= k) & (k < F.col("stop")), F.col("v")))
+    return ranked.agg(((at(first) + at(second)) / F.lit(2.0)).alias("d"))
 
 
 def dedupe_questions(df: DataFrame) -> DataFrame:
@@ -147,10 +152,35 @@ def limit_by_hash(df: DataFrame, key_cols, n: int, seed=0) -> DataFrame:
     return smallest_by_hash(h, "_h", n, tie_cols=keys).drop("_h")
 
 
+def draws_for(capacity: int, n: int) -> int:
+    """Draws that give n unique tuples: twice n while tuples are plenty; once n
+    nears the capacity, enough to meet every tuple (a collector's count)."""
+    if n < capacity / 4:
+        return 2 * n
+    return int(2 * capacity * (math.log(capacity) + 5))
+
+
+def drawn(df, key_cols, k: int, max_value: int, draws: int, seed=0) -> DataFrame:
+    """``k`` operands per draw. A key draws once per slot; there are as many
+    slots as the table needs for ``draws`` draws (one count of the table)."""
+    rows = df.count()
+    slots = max(1, -(-draws // max(rows, 1)))
+    keys = list(key_cols)
+    d = df.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("_slot"))
+    return d.select(*[F.pmod(hash_order(seed, *keys, F.col("_slot") * F.lit(k) + F.lit(i)), F.lit(max_value + 1)).alias(f"x{i}")
+                      for i in range(k)])
+
+
+def capacity_of(k: int, max_value: int) -> int:
+    """Sorted k-tuples of 0 .. max_value."""
+    return math.comb(max_value + k, k)
+
+
 def _generate(df, key_cols, k, max_value, n, seed, make):
     """operands -> sorted unique tuples -> n by hash of the tuple -> text.
-    Only the n kept tuples are formatted into questions."""
-    ops = gen_operands(df.select(*key_cols), key_cols, k, max_value, seed)
+    min(n, capacity) rows, however few rows the table has. Only the n kept
+    tuples are formatted into questions."""
+    ops = drawn(df, key_cols, k, max_value, draws_for(capacity_of(k, max_value), n), seed)
     picked = limit_by_hash(canonical_operands(ops, k), [f"x{i}" for i in range(k)], n, seed)
     return make(picked)
 
@@ -171,12 +201,6 @@ def gen_pairs_mul(df, key_cols, max_value: int, n: int, seed=0):
     return _generate(df, key_cols, 2, max_value, n, seed, pairs_mul)
 
 
-def gen_pairs_mul_dense(spark, max_value: int, n: int, seed=0):
-    """Dense request: enumerate every pair, keep n by hash order."""
-    pairs = enumerate_pairs(spark, max_value).select(F.col("lo").alias("x0"), F.col("hi").alias("x1"))
-    return pairs_mul(limit_by_hash(pairs, ["x0", "x1"], n, seed))
-
-
 def product_bucket(label: Column, max_value: int, splits: int) -> Column:
     size = (max_value * max_value + 1) // splits
     return F.least(F.call_function("div", label, F.lit(size)), F.lit(splits - 1)).cast("int")
@@ -184,35 +208,24 @@ def product_bucket(label: Column, max_value: int, splits: int) -> Column:
 
 def gen_pairs_mul_stratified(df, key_cols, max_value: int, n: int, splits: int = 10, seed=0) -> DataFrame:
     """n // splits unique pairs per equal-width product bucket (the last bucket
-    absorbs the remainder). A bucket holding fewer unique pairs than its quota
-    returns what it has; ``shortfall`` tells by how much."""
+    absorbs the remainder). ``shortfall``: by how much a row's bucket stays
+    below its quota (small buckets hold fewer pairs than that)."""
     quota = n // splits
-    ops = gen_operands(df.select(*key_cols), key_cols, 2, max_value, seed)
+    every = draws_for(capacity_of(2, max_value), capacity_of(2, max_value))
+    ops = drawn(df, key_cols, 2, max_value, min(every, 40 * n), seed)
     canon = canonical_operands(ops, 2)
     canon = canon.withColumn("bucket", product_bucket(F.col("x0") * F.col("x1"), max_value, splits))
     canon = canon.withColumn("_h", hash_order(seed, "x0", "x1"))
     picked = smallest_by_hash(canon, "_h", quota, tie_cols=["x0", "x1"], group_cols=["bucket"],
                               broadcast_thresholds=True)  # one threshold row per bucket
+    rows = F.count(F.lit(1)).over(Window.partitionBy("bucket"))      # at most the quota
     return picked.select(
         F.concat(F.col("x0").cast("string"), F.lit("*"), F.col("x1").cast("string"), F.lit("=")).alias("question"),
-        (F.col("x0") * F.col("x1")).cast("bigint").alias("label"), "bucket")
-
-
-def bucket_shortfall(picked: DataFrame, n: int, splits: int = 10) -> DataFrame:
-    """Per bucket: rows obtained and the shortfall against the quota."""
-    spark = picked.sparkSession
-    quota = n // splits
-    buckets = spark.range(splits).select(F.col("id").cast("int").alias("bucket"))
-    got = picked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"))
-    return (buckets.join(got, "bucket", "left")
-            .select("bucket", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
-            .withColumn("shortfall", F.greatest(F.lit(quota) - F.col("n_rows"), F.lit(0))))
+        (F.col("x0") * F.col("x1")).cast("bigint").alias("label"), "bucket", (F.lit(quota) - rows).alias("shortfall"))
 
 
 def gen_triples_label(df, key_cols, max_value: int, n: int, seed=0, coeffs=CLASSIFY_COEFFS):
-    ops = gen_operands(df.select(*key_cols), key_cols, 3, max_value, seed)
-    picked = limit_by_hash(canonical_operands(ops, 3), ["x0", "x1", "x2"], n, seed)
-    return triples_label(picked, coeffs=coeffs)
+    return _generate(df, key_cols, 3, max_value, n, seed, lambda t: triples_label(t, coeffs=coeffs))
 
 
 def gen_score_distribution(df, key_cols, max_value: int, seed=0, coeffs=CLASSIFY_COEFFS):
@@ -224,6 +237,4 @@ def gen_triples_label_balanced(df, key_cols, max_value: int, n: int, seed=0, dis
                                coeffs=CLASSIFY_COEFFS):
     """Two passes: the median score of an independent draw becomes d."""
     d = median_threshold(gen_score_distribution(df, key_cols, max_value, dist_seed, coeffs))
-    ops = gen_operands(df.select(*key_cols), key_cols, 3, max_value, seed)
-    picked = limit_by_hash(canonical_operands(ops, 3), ["x0", "x1", "x2"], n, seed)
-    return triples_label(picked, coeffs=coeffs, threshold=d)
+    return _generate(df, key_cols, 3, max_value, n, seed, lambda t: triples_label(t, coeffs=coeffs, threshold=d))

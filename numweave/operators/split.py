@@ -13,23 +13,24 @@ from pyspark.sql import functions as F
 from ..config import (CURVE_SIZE_START, RANDOM_SPLIT_SEED, RANDOM_TEST_SIZE, SPLIT_RATIO,
                       TRAIN_SHARE_OF_SPLIT, VALIDATION_SHARE_OF_SPLIT)
 from ..functions.numeric import hash_order, hash_uniform
-from .order import global_index
+from .order import global_index, smallest_by_hash
 
 
-def index_by_hash(df: DataFrame, key_cols, seed=0, out: str = "idx", materialize: bool = False) -> DataFrame:
+def index_by_hash(df: DataFrame, key_cols, seed=0, out: str = "idx") -> DataFrame:
     """Global 0-based index in hash order of the (unique) key."""
     keys = list(key_cols)
     h = df.withColumn("_h", hash_order(seed, *keys))
-    return global_index(h, ["_h"] + keys, out=out, materialize=materialize).drop("_h")
+    return global_index(h, ["_h"] + keys, out=out).drop("_h")
 
 
 def _count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
 
-def split_positional(indexed: DataFrame, idx: str = "idx", out: str = "split") -> DataFrame:
-    """train = first int(n*0.8*0.9), validation = next int(n*0.8*0.1), test = rest."""
-    n = _count(indexed).cast("double")
+def split_positional(indexed: DataFrame, idx: str = "idx", out: str = "split", base: DataFrame | None = None) -> DataFrame:
+    """train = first int(n*0.8*0.9), validation = next int(n*0.8*0.1), test = rest.
+    ``base``: the table before it was indexed, cheaper to count."""
+    n = _count(indexed if base is None else base).cast("double")
     cut1 = (n * F.lit(SPLIT_RATIO) * F.lit(TRAIN_SHARE_OF_SPLIT)).cast("bigint")
     cut2 = cut1 + (n * F.lit(SPLIT_RATIO) * F.lit(VALIDATION_SHARE_OF_SPLIT)).cast("bigint")
     return indexed.withColumn(
@@ -43,28 +44,19 @@ def split_random(df: DataFrame, key_cols, test_size: float = RANDOM_TEST_SIZE, s
     return df.withColumn(out, F.when(u < F.lit(float(test_size)), "test").otherwise("train"))
 
 
-def ensure_test_split(df: DataFrame, key_cols, split_col: str = "split") -> DataFrame:
-    """If the table has no ``test`` split, carve one from ``train``."""
-    has_test = df.filter(F.col(split_col) == "test").limit(1).count() > 0
-    if has_test:
-        return df
-    train = df.filter(F.col(split_col) == "train").drop(split_col)
-    return split_random(train, key_cols, out=split_col)
-
-
-def head_n(indexed: DataFrame, n: int | None, idx: str = "idx") -> DataFrame:
-    """First n rows by index; ``None`` keeps all. Asking for more rows than
-    exist is an error in the reference; here the caller checks with
-    ``check_head_n``."""
+def head_n(df: DataFrame, key_cols, n: int | None, seed=0, out: str = "idx") -> DataFrame:
+    """The first n rows in the hash order of the key, numbered; ``None`` keeps
+    all. Only the picked rows are ranked. Asking for more rows than there are
+    raises IndexError (one count)."""
+    keys = list(key_cols)
     if n is None:
-        return indexed
-    return indexed.filter(F.col(idx) < F.lit(int(n)))
-
-
-def check_head_n(indexed: DataFrame, n: int) -> None:
-    total = indexed.count()
+        return index_by_hash(df, keys, seed=seed, out=out)
+    total = df.count()
     if n > total:
         raise IndexError(f"head_n({n}) beyond {total} rows")
+    h = df.withColumn("_h", hash_order(seed, *keys))
+    picked = smallest_by_hash(h, "_h", int(n), tie_cols=keys)
+    return global_index(picked, ["_h", *keys], out=out).drop("_h")
 
 
 def prefix_size_of(idx: Column, n: Column, max_sizes: int = 48) -> Column:
@@ -78,7 +70,7 @@ def prefix_size_of(idx: Column, n: Column, max_sizes: int = 48) -> Column:
     return F.least(expr.otherwise(n), n)
 
 
-def nested_prefixes(indexed: DataFrame, value_col: str, idx: str = "idx") -> DataFrame:
+def nested_prefixes(indexed: DataFrame, value_col: str, idx: str = "idx", base: DataFrame | None = None) -> DataFrame:
     """Aggregates of every learning-curve prefix (sizes 0, 100*2^k < n, n).
 
     Rows are not fanned out per size: each row is counted once under the
@@ -86,7 +78,7 @@ def nested_prefixes(indexed: DataFrame, value_col: str, idx: str = "idx") -> Dat
     gives each nested prefix.
     """
     spark = indexed.sparkSession
-    n = _count(indexed)
+    n = _count(indexed if base is None else base)
     per = (indexed.groupBy(prefix_size_of(F.col(idx), n).alias("size"))
            .agg(F.count(F.lit(1)).alias("_n"), F.sum(value_col).alias("_s")))
     zero = spark.range(1).select(F.lit(0).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("_n"),
@@ -94,11 +86,3 @@ def nested_prefixes(indexed: DataFrame, value_col: str, idx: str = "idx") -> Dat
     allsizes = per.select(F.col("size").cast("bigint").alias("size"), "_n", F.col("_s").cast("double")).unionByName(zero)
     win = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return allsizes.select("size", F.sum("_n").over(win).alias("n_rows"), F.sum("_s").over(win).alias("value_sum"))
-
-
-def prefix_members(indexed: DataFrame, sizes, idx: str = "idx") -> DataFrame:
-    """Row-level nested subsets for an explicit, small size list: one output
-    row per (size, member). Use only when the members themselves are needed."""
-    spark = indexed.sparkSession
-    s = spark.createDataFrame([(int(v),) for v in sizes], "size bigint")
-    return indexed.join(F.broadcast(s), F.col(idx) < F.col("size"))

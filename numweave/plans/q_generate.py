@@ -22,6 +22,17 @@ def _ops_sql(seed, k, max_value):
     return f"SELECT {KEY}, {cols} FROM orders"
 
 
+def _draws_sql(seed, k, max_value, draws):
+    """Operands of all slots: as many slots as the table needs for the draws."""
+    cols = ", ".join(f"{S.hash_order(seed, KEY, f'(slot * {k} + {i})')} % {max_value + 1} AS x{i}" for i in range(k))
+    return f"""SELECT {cols} FROM orders,
+  (SELECT unnest(range(0, greatest(1, CAST(ceil({draws} / CAST(count(*) AS DOUBLE)) AS BIGINT)))) AS slot FROM orders)"""
+
+
+def _draws(p, k):
+    return G.draws_for(G.capacity_of(k, p["max_value"]), p["n"])
+
+
 def _limit_sql(body, seed, n):
     return f"SELECT question, label FROM ({body}) p ORDER BY {S.hash_order(seed, 'question')}, question, label LIMIT {n}"
 
@@ -44,8 +55,9 @@ def q_gen_operands(spark, sf):
     return G.gen_operands(_orders(spark, sf).select(KEY), [KEY], 3, OPS["max_value"], OPS["seed"])
 
 
-def _canon_sql(p):
-    return f"SELECT DISTINCT least(x0, x1) AS lo, greatest(x0, x1) AS hi FROM ({_ops_sql(p['seed'], 2, p['max_value'])})"
+def _canon_sql(p, draws=None):
+    src = _draws_sql(p["seed"], 2, p["max_value"], draws or _draws(p, 2))
+    return f"SELECT DISTINCT least(x0, x1) AS lo, greatest(x0, x1) AS hi FROM ({src})"
 
 
 def _pair_sql(p, sep, lo_first=True, label="lo + hi", text=lambda c: f"CAST({c} AS VARCHAR)", limit=None):
@@ -83,12 +95,13 @@ _bsize = (STRAT["max_value"] ** 2 + 1) // STRAT["splits"]
 
 
 @register("gen_pairs_mul_stratified", f"""
-WITH p AS ({_canon_sql(STRAT)}),
+WITH p AS ({_canon_sql(STRAT, min(G.draws_for(5151, 5151), 40 * STRAT['n']))}),
 b AS (SELECT lo, hi, least((lo * hi) // {_bsize}, {STRAT['splits'] - 1}) AS bucket,
              {S.hash_order(STRAT['seed'], 'lo', 'hi')} AS h FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h, lo, hi) AS rn FROM b)
 SELECT CAST(lo AS VARCHAR) || '*' || CAST(hi AS VARCHAR) || '=' AS question, lo * hi AS label,
-       CAST(bucket AS INTEGER) AS bucket FROM r WHERE rn <= {STRAT['n'] // STRAT['splits']}
+       CAST(bucket AS INTEGER) AS bucket,
+       {STRAT['n'] // STRAT['splits']} - count(*) OVER (PARTITION BY bucket) AS shortfall FROM r WHERE rn <= {STRAT['n'] // STRAT['splits']}
 """)
 def q_gen_pairs_mul_stratified(spark, sf):
     return G.gen_pairs_mul_stratified(_orders(spark, sf), [KEY], STRAT["max_value"], STRAT["n"],
@@ -97,7 +110,7 @@ def q_gen_pairs_mul_stratified(spark, sf):
 
 def _triple_sql(seed, max_value, n, d_expr="10.0"):
     canon = f"""SELECT DISTINCT t[1] AS a, t[2] AS b, t[3] AS c
-FROM (SELECT list_sort([x0, x1, x2]) AS t FROM ({_ops_sql(seed, 3, max_value)}))"""
+FROM (SELECT list_sort([x0, x1, x2]) AS t FROM ({_draws_sql(seed, 3, max_value, G.draws_for(G.capacity_of(3, max_value), n))}))"""
     picked = f"SELECT a, b, c FROM ({canon}) ORDER BY {S.hash_order(seed, 'a', 'b', 'c')}, a, b, c LIMIT {n}"
     return f"""SELECT concat_ws(',', a, b, c) AS question,
        CAST(CASE WHEN ((1.5::DOUBLE * a + -2.0::DOUBLE * b) + 0.5::DOUBLE * c) - {d_expr} > 0 THEN 1 ELSE 0 END AS INTEGER) AS label
@@ -125,7 +138,7 @@ def q_gen_score_distribution(spark, sf):
 @register("agg_median_threshold", f"SELECT median(score) AS d FROM ({_score_sql(DIST['seed'], DIST['max_value'])})")
 def q_agg_median_threshold(spark, sf):
     scores = G.gen_score_distribution(_orders(spark, sf), [KEY], DIST["max_value"], DIST["seed"])
-    return scores.agg(F.median("score").alias("d"))
+    return G.exact_median(scores)
 
 
 @register("gen_triples_label_balanced", _triple_sql(
@@ -167,8 +180,8 @@ SELECT {KEY}, CAST(idx AS BIGINT) AS idx,
 FROM i, c
 """)
 def q_split_positional(spark, sf):
-    idx = P.index_by_hash(_orders(spark, sf).select(KEY), [KEY], seed=11)
-    return P.split_positional(idx)
+    keys = _orders(spark, sf).select(KEY)
+    return P.split_positional(P.index_by_hash(keys, [KEY], seed=11), base=keys)
 
 
 @register("split_random", f"""
@@ -181,8 +194,7 @@ def q_split_random(spark, sf):
 
 @register("head_n", f"SELECT {KEY}, CAST(idx AS BIGINT) AS idx FROM ({_index_sql(12)}) WHERE idx < 1000")
 def q_head_n(spark, sf):
-    idx = P.index_by_hash(_orders(spark, sf).select(KEY), [KEY], seed=12)
-    return P.head_n(idx, 1000)
+    return P.head_n(_orders(spark, sf).select(KEY), [KEY], 1000, seed=12)
 
 
 @register("nested_prefixes", f"""
@@ -197,5 +209,5 @@ GROUP BY size
 def q_nested_prefixes(spark, sf):
     o = _orders(spark, sf).select(KEY, "o_totalprice")
     idx = P.index_by_hash(o, [KEY], seed=13)
-    out = P.nested_prefixes(idx, "o_totalprice")
+    out = P.nested_prefixes(idx, "o_totalprice", base=o)
     return out.select("size", "n_rows", F.round("value_sum", 2).alias("value_sum"))

@@ -41,16 +41,11 @@ def test_generation_is_partitioning_independent(spark):
     assert Counter(map(tuple, a)) == Counter(map(tuple, b))
 
 
-def test_enumerate_pairs_complete(spark):
-    pairs = [(r.lo, r.hi) for r in G.enumerate_pairs(spark, 40).collect()]
-    assert sorted(pairs) == [(a, b) for b in range(41) for a in range(b + 1)] or \
-        sorted(pairs) == sorted((a, b) for a in range(41) for b in range(a, 41))
-
-
 def test_stratified_quota_and_shortfall(spark):
     # max 10: products 0..100, 10 buckets of width 10; the top bucket holds few pairs
     picked = G.gen_pairs_mul_stratified(_src(spark, 20000), ["k"], 10, 100, splits=10, seed=4)
-    got = {r.bucket: r.n_rows for r in G.bucket_shortfall(picked, 100, 10).collect()}
+    got = Counter(r.bucket for r in picked.collect())
+    assert all(r.shortfall == 10 - got[r.bucket] for r in picked.collect())
     all_pairs = [(a, b) for a in range(11) for b in range(a, 11)]
     avail = Counter(min((a * b) // ((100 + 1) // 10), 9) for a, b in all_pairs)
     for bkt in range(10):
@@ -137,10 +132,12 @@ def test_curve_sizes_reference_counts():
 
 
 def test_head_n(spark):
-    idx = P.index_by_hash(spark.range(100).withColumnRenamed("id", "k"), ["k"])
-    assert P.head_n(idx, 10).count() == 10
+    df = spark.range(100).withColumnRenamed("id", "k")
+    order = {r.k: r.idx for r in P.index_by_hash(df, ["k"]).collect()}
+    got = {r.k: r.idx for r in P.head_n(df, ["k"], 10).collect()}
+    assert got == {k: i for k, i in order.items() if i < 10}
     with pytest.raises(IndexError):
-        P.check_head_n(idx, 101)
+        P.head_n(df, ["k"], 101)
 
 
 def test_global_rank_matches_sort(spark):
@@ -150,18 +147,32 @@ def test_global_rank_matches_sort(spark):
     assert [out[t] for t in ref] == list(range(2, 3002))
 
 
-def test_size_check_before_broadcast(spark):
-    from numweave.operators.text import small_enough
-
-    assert small_enough(spark.range(10), 10)
-    assert not small_enough(spark.range(11), 10)
+def test_global_rank_with_carried_columns(spark):
+    """Ids are exactly 2 .. n + 1 whatever the partitions and without reused exchanges."""
+    n = 400_000
+    for reuse, parts in (("true", 8), ("false", 64)):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            df = spark.range(0, n, 1, parts).select((F.col("id") % 1013).alias("f"), F.md5(F.col("id").cast("string")).alias("t"),
+                                                    F.rand(1).alias("extra"))
+            out = O.global_rank(df, [F.desc("f"), F.asc("t")], out="rank", start=2)
+            r = out.agg(F.count("*"), F.count_distinct("rank"), F.min("rank"), F.max("rank")).first()
+            assert tuple(r) == (n, n, 2, n + 1)
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_generators_deliver_n(spark):
+    src = _src(spark, 50)                                           # far fewer rows than questions
+    assert G.gen_pairs_add(src, ["k"], 10_000, 700, seed=1).distinct().count() == 700
+    assert G.gen_triples_label(src, ["k"], 1000, 300, seed=1).distinct().count() == 300
+    rows = G.gen_pairs_mul(src, ["k"], 10, 60, seed=1).collect()   # 60 of the 66 pairs
+    assert len(rows) == 60 and len({r.question for r in rows}) == 60
+    assert G.gen_pairs_mul(src, ["k"], 10, 1000).count() == 66      # fewer pairs than asked: all of them
 
 
-def test_dense_multiplication_request(spark):
-    # 60 of the 66 pairs with operands <= 10: enumerate, no rejection sampling
-    rows = G.gen_pairs_mul_dense(spark, 10, 60, seed=1).collect()
-    assert len(rows) == 60 and len({r.question for r in rows}) == 60
-    for r in rows:
-        a, b = (int(x) for x in r.question[:-1].split("*"))
-        assert 0 <= a <= b <= 10 and r.label == a * b
-    assert G.gen_pairs_mul_dense(spark, 10, 1000).count() == 66      # fewer pairs than asked: all of them
+def test_exact_median(spark):
+    for values in ([5.0], [1.0, 2.0], [3.0, 3.0, 3.0, 9.0], [float(i * i) for i in range(101)], [-1e9, 0.25, 0.5, 1e9], [2.0, None, 7.0]):
+        d = G.exact_median(spark.createDataFrame([(v,) for v in values], "score double")).first()[0]
+        real = sorted(v for v in values if v is not None)
+        assert d == (real[(len(real) - 1) // 2] + real[len(real) // 2]) / 2
