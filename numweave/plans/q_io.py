@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.numeric import hash_order
 from ..operators import generate as G
 from ..operators import split as P
+from ..operators.order import global_index
 from ..sources import datasets as DS
 from ..sources import logs as LG
 from ..sources import sinks as SK
 from ..sources.paths import scratch_path
 from . import sqlparts as S
 from .inputs import epoch_metrics, epoch_metrics_sql, run_log_lines, run_log_lines_sql
-from .q_generate import ADD, _pair_sql
+from .q_generate import ADD, DEC, _pair_sql
 from .registry import register, table
 
 QA_SEED = 81
@@ -22,9 +23,11 @@ QA_SEED = 81
 
 def _qa_split(spark, sf):
     qa = G.gen_pairs_add(table(spark, sf, "orders"), ["o_orderkey"], ADD["max_value"], ADD["n"], ADD["seed"])
-    qa = qa.withColumn("_h", hash_order(QA_SEED, "question"))
-    from ..operators.order import global_index
+    return _split(qa)
+
 
+def _split(qa):
+    qa = qa.withColumn("_h", hash_order(QA_SEED, "question"))
     return P.split_positional(global_index(qa, ["_h", "question"])).drop("_h", "idx")
 
 
@@ -40,6 +43,18 @@ sp AS (SELECT question, label, CASE WHEN idx < c1 THEN 'train' WHEN idx < c1 + c
 def q_sink_split_csv(spark, sf):
     path = scratch_path(spark, "splits")
     DS.sink_split_csv(_qa_split(spark, sf), path)
+    return DS.src_split_dataset(spark, path, DS.INTEGER_QA_SCHEMA).select("question", "label", "split")
+
+
+_DEC_SPLIT_SQL = _QA_SPLIT_SQL.replace(_pair_sql(ADD, "+", limit=ADD["n"]), _pair_sql(
+    DEC, "+", label="(lo + hi) / 1000.0", text=lambda c: f"CAST({c} / 1000.0 AS VARCHAR)", limit=DEC["n"]))
+
+
+@register("sink_split_csv_decimal", f"WITH {_DEC_SPLIT_SQL} SELECT question, CAST(label AS DOUBLE) AS label, split FROM sp")
+def q_sink_split_csv_decimal(spark, sf):
+    path = scratch_path(spark, "splits-decimal")
+    qa = G.gen_pairs_add_decimal(table(spark, sf, "orders"), ["o_orderkey"], DEC["max_value"], DEC["n"], DEC["seed"])
+    DS.sink_split_csv(_split(qa), path)
     return DS.src_split_dataset(spark, path).select("question", "label", "split")
 
 
@@ -50,25 +65,36 @@ FROM sp WHERE split = 'train'""")
 def q_src_split_dataset(spark, sf):
     path = scratch_path(spark, "train-only")
     DS.sink_split_csv(_qa_split(spark, sf).filter(F.col("split") == "train"), path)
-    return DS.src_split_dataset(spark, path).select("question", "label", "split")
+    return DS.src_split_dataset(spark, path, DS.INTEGER_QA_SCHEMA).select("question", "label", "split")
 
 
 @register("src_run_logs", f"""WITH {run_log_lines_sql()}
 SELECT path, row_number() OVER (PARTITION BY path ORDER BY line_no) - 1 AS line_no, line FROM lines""")
 def q_src_run_logs(spark, sf):
-    """Run logs rendered from events, stored as a run-log table and read back
-    (the ``.log`` tree reader ``LG.src_run_logs`` is exercised in tests)."""
+    """Run logs rendered from events, stored as a run-log table and read back."""
     path = scratch_path(spark, "runlogs")
     LG.write_run_log_table(run_log_lines(spark, sf), path)
     return LG.read_run_log_table(spark, path)
 
 
+@register("src_run_logs_tree", f"""WITH {run_log_lines_sql()}
+SELECT regexp_replace(path, '/[^/]+$', '') AS path,
+       row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]+$', '') ORDER BY line_no) - 1 AS line_no, line FROM lines""")
+def q_src_run_logs_tree(spark, sf):
+    """One log file per run directory, read back from the tree of files."""
+    root = scratch_path(spark, "runlog-tree")
+    lines = run_log_lines(spark, sf).withColumn("path", F.regexp_replace("path", "/[^/]+$", ""))
+    LG.write_run_logs(lines, root)
+    return LG.src_run_logs(spark, root, glob="*.txt").withColumn(
+        "path", F.url_decode(F.url_decode(F.regexp_extract("path", "log_path=([^/]+)/", 1))))
+
+
 @register("sink_metrics", f"""WITH {epoch_metrics_sql()}
 SELECT run, epoch, whole_number_accuracy, round(test_loss, 9) AS test_loss FROM em""")
 def q_sink_metrics(spark, sf):
     path = scratch_path(spark, "metrics")
     SK.sink_metrics(epoch_metrics(spark, sf), path, "run")
-    return spark.read.parquet(path).select(F.col("run").cast("bigint").alias("run"), "epoch",
+    return spark.read.parquet(path).select("run", "epoch",
                                            "whole_number_accuracy", F.round("test_loss", 9).alias("test_loss"))
 
 
@@ -79,8 +105,23 @@ _LOSS_RE = r"Loss\s+(\S+)$"
 SELECT event_id, loss FROM (
   SELECT event_id, TRY_CAST(regexp_extract(line, '{_LOSS_RE}', 1) AS DOUBLE) AS loss FROM lines
   WHERE regexp_matches(line, '{_LOSS_RE}'))
-WHERE NOT isnan(loss) AND NOT isinf(loss)""")
+WHERE loss IS NULL OR (NOT isnan(loss) AND NOT isinf(loss))""")
 def q_sink_quarantine(spark, sf):
-    lines = run_log_lines(spark, sf).filter(F.col("line").rlike(_LOSS_RE))
-    losses = lines.select("event_id", F.regexp_extract("line", _LOSS_RE, 1).try_cast("double").alias("loss"))
+    losses = _losses(spark, sf)
     return SK.sink_quarantine(losses, ["loss"], scratch_path(spark, "quarantine"))
+
+
+@register("sink_quarantine_diverted", f"""WITH {run_log_lines_sql()}
+SELECT event_id, loss FROM (
+  SELECT event_id, TRY_CAST(regexp_extract(line, '{_LOSS_RE}', 1) AS DOUBLE) AS loss FROM lines
+  WHERE regexp_matches(line, '{_LOSS_RE}'))
+WHERE isnan(loss) OR isinf(loss)""")
+def q_sink_quarantine_diverted(spark, sf):
+    losses, path = _losses(spark, sf), scratch_path(spark, "quarantine")
+    SK.sink_quarantine(losses, ["loss"], path)
+    return SK.read_quarantine(spark, path, losses.schema)
+
+
+def _losses(spark, sf):
+    lines = run_log_lines(spark, sf).filter(F.col("line").rlike(_LOSS_RE))
+    return lines.select("event_id", F.regexp_extract("line", _LOSS_RE, 1).try_cast("double").alias("loss"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators.split import split_random
 
-QA_SCHEMA = "question string, label bigint"
+QA_SCHEMA = "question string, label double"
+INTEGER_QA_SCHEMA = "question string, label bigint"
 
 
 def sink_split_csv(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:
@@ -21,8 +22,11 @@ def sink_split_csv(df: DataFrame, path: str, split_col: str = "split", mode: str
 def src_split_dataset(spark: SparkSession, path: str, schema: str = QA_SCHEMA, key_cols=("question",),
                       split_col: str = "split") -> DataFrame:
     """Load every split below ``path`` (declared schema, no inference); when
-    no ``test`` split exists, carve a seeded 10 % test split out of train."""
-    df = spark.read.schema(f"{schema}, {split_col} string").option("header", True).csv(path)
+    no ``test`` split exists, carve a seeded 10 % test split out of train.
+    Labels are doubles unless the caller declares integers; a value that does
+    not fit the schema fails the read instead of turning into NULL. Looking for
+    the test split starts one small job."""
+    df = spark.read.schema(f"{schema}, {split_col} string").option("header", True).option("mode", "FAILFAST").csv(path)
     has_test = df.filter(F.col(split_col) == "test").limit(1).count() > 0
     if has_test:
         return df

@@ -6,11 +6,18 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+
+METRIC_BUCKETS = 64
 
 
 def sink_metrics(df: DataFrame, path: str, run_col: str = "run") -> None:
-    """Append epoch / stage metric records, partitioned by run."""
-    df.write.mode("append").partitionBy(run_col).parquet(path)
+    """Append epoch / stage metric records in a bounded number of folders (a
+    hash bucket of the run), each written by one task, rows of a run together."""
+    bucket = F.pmod(F.xxhash64(run_col), F.lit(METRIC_BUCKETS)).cast("int")
+    (df.withColumn("run_bucket", bucket).repartition("run_bucket").sortWithinPartitions("run_bucket", run_col)
+     .write.mode("append").partitionBy("run_bucket").parquet(path))
 
 
 def non_finite(cols) -> "F.Column":
@@ -19,8 +26,15 @@ def non_finite(cols) -> "F.Column":
 
 
 def sink_quarantine(df: DataFrame, cols, path: str) -> DataFrame:
-    """Write rows with a non-finite value in ``cols`` to ``path``; return the
-    finite rows for the rest of the job."""
-    bad = non_finite(cols)
-    df.filter(bad).write.mode("append").parquet(path)
-    return df.filter(~F.coalesce(bad, F.lit(False)))
+    """One evaluation of df, written in two folders below ``path``:
+    ``diverted=true`` holds rows with a non-finite value in ``cols``,
+    ``diverted=false`` the others (NULL is not non-finite). Returns the latter."""
+    bad = F.coalesce(non_finite(cols), F.lit(False))
+    df.withColumn("diverted", bad).write.mode("append").partitionBy("diverted").parquet(path)
+    return read_quarantine(df.sparkSession, path, df.schema, False)
+
+
+def read_quarantine(spark, path: str, schema, diverted: bool = True) -> DataFrame:
+    """The rows of one side; the schema is declared, so an empty side reads as an empty table."""
+    full = StructType([*schema.fields, StructField("diverted", BooleanType())])
+    return spark.read.schema(full).parquet(path).filter(F.col("diverted") == diverted).drop("diverted")

@@ -39,7 +39,18 @@ def test_quarantine_sink(spark):
     qpath = scratch_path(spark, "t-quarantine")
     good = SK.sink_quarantine(df, ["loss"], qpath)
     assert sorted(r.k for r in good.collect()) == [1, 4]
-    assert sorted(r.k for r in spark.read.parquet(qpath).collect()) == [2, 3]
+    assert sorted(r.k for r in SK.read_quarantine(spark, qpath, df.schema).collect()) == [2, 3]
+
+
+def test_decimal_labels_survive_and_bad_ones_fail(spark):
+    import pytest
+
+    path = scratch_path(spark, "t-decimal")
+    df = spark.createDataFrame([("a", 3.5, "test"), ("b", 2.0, "train")], "question string, label double, split string")
+    DS.sink_split_csv(df, path)
+    assert sorted(map(tuple, DS.src_split_dataset(spark, path).select("question", "label").collect())) == [("a", 3.5), ("b", 2.0)]
+    with pytest.raises(Exception, match="(?i)malformed|failfast"):
+        DS.src_split_dataset(spark, path, DS.INTEGER_QA_SCHEMA).collect()
 
 
 def test_foreach_batch_quarantine(spark):
