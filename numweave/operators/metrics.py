@@ -235,6 +235,44 @@ def eval_report(df: DataFrame, group_cols, method: str, fmt: NumberFormat, label
     return metrics.join(loss, group_cols, "left")
 
 
+def eval_reports(df: DataFrame, group_cols, fmt: NumberFormat, label="label", pred="prediction", label_text="label_text",
+                 pred_text="pred_text", batch_col="batch_id", loss_col="loss") -> DataFrame:
+    """``eval_report`` of every method: the features of all methods in one
+    projection, one aggregate per group for all their metrics, one two-level
+    aggregate for the batch-mean loss they share, unpivoted at the end."""
+    keys = list(group_cols)
+    base = df.select(*keys, batch_col, loss_col, _c(label).alias("_y"), _c(pred).alias("_p"),
+                     _strip(label_text).alias("_a"), _strip(pred_text).alias("_b"),
+                     T.py_float_str(label).alias("_lt"), T.py_float_str(pred).alias("_pt"))
+    y, p, ok = F.col("_y"), F.col("_p"), T.is_numeric_text("_b")
+    prefix = (char_prefix_matches("_lt", "_pt"), F.length("_lt"))
+    features = {                                     # acc, hit, len, y, p of each method
+        "periodic": (within_tolerance(y, p, fmt.tolerance), *prefix, y, p),
+        "logscale": (within_tolerance(y, p, LOG_METHOD_TOLERANCE), *prefix, y, p),
+        "digits": (within_tolerance(y, p, fmt.tolerance), digit_matches("_y", "_p", fmt), F.lit(fmt.n_digits), y, p),
+        "regular": (F.col("_a") == F.col("_b"), char_padded_matches("_a", "_b"),
+                    F.greatest(F.length("_a"), F.length("_b")),
+                    F.when(ok, F.col("_a").cast("double")), F.when(ok, F.col("_b").cast("double"))),
+    }
+    rows = base.select(*keys, batch_col, loss_col, *[
+        c.alias(f"_{m}_{n}") for m, (acc, hit, size, yy, pp) in features.items()
+        for n, c in (("acc", F.when(acc, 1.0).otherwise(0.0)), ("hit", hit), ("len", size), ("y", yy), ("p", pp))])
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for m in METHODS:
+        yy, sq = F.col(f"_{m}_y"), F.pow(F.col(f"_{m}_p") - F.col(f"_{m}_y"), 2)
+        zero = {"periodic": "nan", "logscale": "nan_small", "digits": "zero", "regular": "nan"}[m]
+        aggs += [F.avg(f"_{m}_acc").alias(f"_{m}_acc"), (F.sum(f"_{m}_hit") / F.sum(f"_{m}_len")).alias(f"_{m}_digit"),
+                 (F.coalesce(F.avg(sq), F.lit(-1.0)) if m == "regular" else F.avg(sq)).alias(f"_{m}_mse"),
+                 _r2(F.sum(sq), _tv(yy), F.count(yy), zero).alias(f"_{m}_r2")]
+    records = F.explode(F.array(*[F.struct(
+        F.lit(m).alias("method"), F.col(f"_{m}_acc").alias("whole_number_accuracy"),
+        F.col(f"_{m}_digit").alias("digit_wise_accuracy"), F.col(f"_{m}_mse").alias("mse"), F.col(f"_{m}_r2").alias("r2"))
+        for m in METHODS])).alias("r")
+    loss = agg_loss_batch_mean(rows, keys, batch_col, loss_col)
+    return rows.groupBy(*keys).agg(*aggs).join(loss, keys, "left").select(*keys, "n", "test_loss", records).select(
+        "r.method", *keys, "n", "r.whole_number_accuracy", "r.digit_wise_accuracy", "r.mse", "r.r2", "test_loss")
+
+
 def topk_mispredictions(df: DataFrame, group_cols, idx: str, k: int, tol: float, label="label",
                         pred="prediction") -> DataFrame:
     """First k rows (input order) outside the tolerance, per group."""

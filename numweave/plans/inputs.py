@@ -24,7 +24,8 @@ PRED_FMT = NumberFormat(int_len=3, frac_len=5, bases=(2.0, 5.0), dim=64)
 PRED_SEED, BATCH_SEED = 99, 100
 
 
-def predictions(spark, sf: str) -> DataFrame:
+def predictions(spark, sf: str, indexed: bool = True) -> DataFrame:
+    """``indexed=False`` leaves out idx and batch_id, and with them the index over all rows."""
     o = table(spark, sf, "orders").select(
         "o_orderkey", F.col("o_orderpriority").alias("run"),
         (F.col("o_totalprice") / F.lit(1000.0)).alias("label"))
@@ -33,12 +34,13 @@ def predictions(spark, sf: str) -> DataFrame:
     pred = (F.when(u < 6, y).when(u == 6, y + F.lit(1e-5)).when(u == 7, y + F.lit(0.5))
             .when(u == 8, F.floor(y).cast("double")).otherwise(y * F.lit(2.0)))
     o = o.withColumn("_u", u).withColumn("prediction", pred)
-    o = o.withColumn("_h", hash_order(BATCH_SEED, "o_orderkey"))
-    # five order priorities: the per-run offsets table is bounded, broadcast it
-    o = global_index(o, ["_h", "o_orderkey"], out="idx", group_cols=["run"], broadcast_offsets=True)
+    place = []
+    if indexed:
+        o = o.withColumn("_h", hash_order(BATCH_SEED, "o_orderkey"))
+        o = global_index(o, ["_h", "o_orderkey"], out="idx", group_cols=["run"])
+        place = ["idx", F.call_function("div", F.col("idx"), F.lit(BATCH_SIZE)).alias("batch_id")]
     return o.select(
-        "o_orderkey", "run", "label", "prediction", "idx",
-        F.call_function("div", F.col("idx"), F.lit(BATCH_SIZE)).alias("batch_id"),
+        "o_orderkey", "run", "label", "prediction", *place,
         F.pow(F.col("prediction") - F.col("label"), 2).alias("loss"),
         py_float_str("label").alias("label_text"),
         F.when(F.col("_u") == 9, F.concat(py_float_str("prediction"), F.lit("?")))

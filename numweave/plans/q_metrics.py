@@ -4,8 +4,6 @@ are rounded to 9 places, squared errors to 6, on both sides."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
@@ -55,7 +53,7 @@ def _r2_sql(sse, y, mode="nan"):
 
 
 def _pred(spark, sf):
-    return predictions(spark, sf)
+    return predictions(spark, sf, indexed=False)
 
 
 @register("acc_tolerance", f"""{W}
@@ -124,7 +122,7 @@ def q_agg_r2(spark, sf):
 SELECT run, round(avg(bl), 6) AS test_loss FROM (SELECT run, batch_id, avg(loss) AS bl FROM pred GROUP BY run, batch_id)
 GROUP BY run""")
 def q_agg_loss_batch_mean(spark, sf):
-    return M.agg_loss_batch_mean(_pred(spark, sf), ["run"]).select("run", F.round("test_loss", 6).alias("test_loss"))
+    return M.agg_loss_batch_mean(predictions(spark, sf), ["run"]).select("run", F.round("test_loss", 6).alias("test_loss"))
 
 
 def _report_sql(method):
@@ -156,18 +154,11 @@ def _report_sql(method):
 
 @register("eval_report", W + "\n" + "\nUNION ALL\n".join(_report_sql(m) for m in M.METHODS))
 def q_eval_report(spark, sf):
-    # the prediction table feeds eight aggregates: derive it once
-    pred = _pred(spark, sf).checkpoint(eager=True)
-    parts = []
-    for method in M.METHODS:
-        r = M.eval_report(pred, ["run"], method, FMT)
-        parts.append(r.select(
-            F.lit(method).alias("method"), "run", "n",
-            F.round("whole_number_accuracy", 9).alias("whole_number_accuracy"),
-            F.round("digit_wise_accuracy", 9).alias("digit_wise_accuracy"),
-            F.round("mse", 6).alias("mse"), F.round("r2", 9).alias("r2"),
-            F.round("test_loss", 6).alias("test_loss")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    r = M.eval_reports(predictions(spark, sf), ["run"], FMT)
+    return r.select(
+        "method", "run", "n", F.round("whole_number_accuracy", 9).alias("whole_number_accuracy"),
+        F.round("digit_wise_accuracy", 9).alias("digit_wise_accuracy"), F.round("mse", 6).alias("mse"),
+        F.round("r2", 9).alias("r2"), F.round("test_loss", 6).alias("test_loss"))
 
 
 @register("topk_mispredictions", f"""{W}
@@ -175,7 +166,7 @@ SELECT run, CAST(rank AS INTEGER) AS rank, idx, label, prediction FROM (
   SELECT run, idx, label, prediction, row_number() OVER (PARTITION BY run ORDER BY idx) AS rank
   FROM pred WHERE NOT (abs(prediction - label) < {TOL!r})) WHERE rank <= 5""")
 def q_topk_mispredictions(spark, sf):
-    return M.topk_mispredictions(_pred(spark, sf), ["run"], "idx", 5, TOL).select(
+    return M.topk_mispredictions(predictions(spark, sf), ["run"], "idx", 5, TOL).select(
         "run", "rank", "idx", "label", "prediction")
 
 
@@ -184,7 +175,7 @@ SELECT run, CAST(rank AS INTEGER) AS rank, idx, label, prediction FROM (
   SELECT run, idx, label, prediction, row_number() OVER (PARTITION BY run ORDER BY idx) AS rank FROM pred)
 WHERE rank <= 5""")
 def q_sample_predictions(spark, sf):
-    return M.sample_predictions(_pred(spark, sf), ["run"], "idx", 5).select(
+    return M.sample_predictions(predictions(spark, sf), ["run"], "idx", 5).select(
         "run", "rank", "idx", "label", "prediction")
 
 
