@@ -51,17 +51,22 @@ def _extract(line: Column, pattern: str, group: int) -> Column:
 
 
 def log_extract_fields(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """Seven patterns per line -> typed nullable columns (``''`` -> NULL)."""
+    """Seven patterns per line -> typed nullable columns. One match per pattern:
+    no match and an empty one are both NULL, except for the period list, which
+    may be empty."""
     ln = F.col(line_col)
-    ds = F.nullif(_extract(ln, LOG_DATASIZE, 1), F.lit(""))
+
+    def part(pattern, group):
+        return F.nullif(F.regexp_extract(ln, pattern, group), F.lit(""))
+
     return (lines
-            .withColumn("datasize", ds.try_cast("bigint"))
-            .withColumn("accuracy", _extract(ln, LOG_ACCURACY, 2).try_cast("double"))
-            .withColumn("r2", _extract(ln, LOG_R2, 1).try_cast("double"))
+            .withColumn("datasize", part(LOG_DATASIZE, 1).try_cast("bigint"))
+            .withColumn("accuracy", part(LOG_ACCURACY, 2).try_cast("double"))
+            .withColumn("r2", part(LOG_R2, 1).try_cast("double"))
             .withColumn("period_base_list", _extract(ln, LOG_PERIOD, 1))
-            .withColumn("model_size", _extract(ln, LOG_MODEL_SIZE, 1).try_cast("double"))
-            .withColumn("model_name", F.substring_index(_extract(ln, LOG_MODEL_NAME, 1), "/", -1))
-            .withColumn("train_length", _extract(ln, LOG_TRAIN_LENGTH, 1).try_cast("bigint"))
+            .withColumn("model_size", part(LOG_MODEL_SIZE, 1).try_cast("double"))
+            .withColumn("model_name", F.substring_index(part(LOG_MODEL_NAME, 1), "/", -1))
+            .withColumn("train_length", part(LOG_TRAIN_LENGTH, 1).try_cast("bigint"))
             .withColumn("is_nan", ln.rlike(LOG_NAN)))
 
 
@@ -84,6 +89,24 @@ def log_last_value(fields: DataFrame, run_cols=("run_dir",), order_col: str = "l
     return fields.groupBy(*run_cols).agg(*aggs)
 
 
+def run_records(lines: DataFrame, methods=None, path_col: str = "path", line_col: str = "line",
+                order_col: str = "line_no") -> DataFrame:
+    """One scan: per log file the last value of every field and whether a loss
+    was nan, then per run directory the record of its greatest file name; runs
+    with a nan loss there are dropped. ``methods`` filters before any regex."""
+    keep = ["method", "folder", "is_digitwise", "add_linear", "pretrained"]
+    keyed = run_key_parse(lines, path_col)
+    if methods is not None:
+        keyed = keyed.filter(F.col("method").isin(list(methods)))
+    fields = log_extract_fields(keyed, line_col)
+    o = F.col(order_col)
+    per_log = fields.groupBy("run_dir", F.col(path_col).alias("_path")).agg(
+        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), o)).alias(f) for f in FIELDS],
+        *[F.first(k).alias(k) for k in keep], F.bool_or("is_nan").alias("_nan"))
+    latest = per_log.groupBy("run_dir").agg(F.max_by(F.struct(*FIELDS, *keep, "_nan"), "_path").alias("r"))
+    return latest.select("run_dir", "r.*").filter(~F.coalesce("_nan", F.lit(False))).drop("_nan")
+
+
 def log_datasize_fallback(runs: DataFrame) -> DataFrame:
     """datasize from ``num_train_samples``; else ``Train dataset length``."""
     return runs.withColumn("datasize", F.coalesce("datasize", "train_length"))
@@ -100,13 +123,7 @@ def run_summary(lines: DataFrame, methods=None, is_model_size: bool = True, path
                 line_col: str = "line", order_col: str = "line_no") -> DataFrame:
     """Line table -> one summary row per run:
     method, period_base_list, add_linear, datasize, accuracy, r2[, model_size]."""
-    latest = log_latest_per_run(lines, path_col)
-    keyed = run_key_parse(latest, path_col)
-    if methods is not None:
-        keyed = keyed.filter(F.col("method").isin(list(methods)))
-    fields = log_extract_fields(keyed, line_col)
-    clean = filter_nan_runs(fields)
-    runs = log_method_label(log_datasize_fallback(log_last_value(clean, order_col=order_col)))
+    runs = log_method_label(log_datasize_fallback(run_records(lines, methods, path_col, line_col, order_col)))
     cols = ["run_dir", "method", "period_base_list", "add_linear", "datasize", "accuracy", "r2", "model_name",
             "pretrained"]
     if is_model_size:
@@ -140,6 +157,17 @@ def join_ablation_diff(runs: DataFrame, x_key: str = "datasize", y_key: str = "a
     return j.withColumn(f"{y_key}_diff", F.col(f"{y_key}_true") - F.col(f"{y_key}_false")).orderBy(x_key)
 
 
+def ablation_best_diff(runs: DataFrame, x_key: str = "datasize", y_key: str = "accuracy") -> DataFrame:
+    """The ablation per curve: best y of every (method, period list, x) with and
+    without the linear layer, one row each before the two sides meet, so the
+    result never outgrows the curves."""
+    best = F.max(F.when(F.col("add_linear") == "addlinear_True", F.col(y_key)))
+    other = F.max(F.when(F.col("add_linear") == "addlinear_False", F.col(y_key)))
+    return (runs.groupBy("method", "period_base_list", x_key).agg(best.alias(f"{y_key}_true"), other.alias(f"{y_key}_false"))
+            .filter(F.col(f"{y_key}_true").isNotNull() & F.col(f"{y_key}_false").isNotNull())
+            .withColumn(f"{y_key}_diff", F.col(f"{y_key}_true") - F.col(f"{y_key}_false")))
+
+
 def sort_curve(runs: DataFrame, x_key: str = "datasize") -> DataFrame:
     return runs.orderBy("method", x_key)
 

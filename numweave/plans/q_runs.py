@@ -128,9 +128,8 @@ UNION = f"""unioned AS (SELECT run_dir, CASE WHEN pretrained THEN 'Finetuned on
 
 
 def _union(spark, sf):
-    s = _summary(spark, sf)
-    # one table per base directory, concatenated as the curve script does
-    return R.union_runs([s.filter(~F.col("pretrained")), s.filter(F.col("pretrained"))])
+    # the summary holds the runs of every base directory: relabelled in one pass
+    return R.union_runs([_summary(spark, sf)])
 
 
 @register("union_runs", f"{CTE}, {UNION} SELECT run_dir, method FROM unioned")
@@ -201,6 +200,15 @@ def q_join_ablation_diff(spark, sf):
     return R.join_ablation_diff(_union(spark, sf))
 
 
+@register("ablation_best_diff", f"""{CTE}, {UNION},
+b AS (SELECT method, period_base_list, datasize, max(CASE WHEN add_linear = 'addlinear_True' THEN accuracy END) AS accuracy_true,
+             max(CASE WHEN add_linear = 'addlinear_False' THEN accuracy END) AS accuracy_false
+      FROM unioned GROUP BY method, period_base_list, datasize)
+SELECT *, accuracy_true - accuracy_false AS accuracy_diff FROM b WHERE accuracy_true IS NOT NULL AND accuracy_false IS NOT NULL""")
+def q_ablation_best_diff(spark, sf):
+    return R.ablation_best_diff(_union(spark, sf))
+
+
 @register("data_to_target", f"""{CTE}, {UNION},
 need AS (SELECT method, min(CASE WHEN accuracy >= 99.0 THEN datasize END) AS min_datasize FROM unioned GROUP BY method)
 SELECT method, min_datasize, min_datasize / (SELECT min_datasize FROM need WHERE method = 'periodic') AS ratio_to_reference
