@@ -3,8 +3,8 @@
 1. Every bucket has a hub, another one in each bucket; members are compared
    with it alone. Links found so are joined to components.
 2. Only buckets that then still hold more than one component are looked at
-   again: their members are dealt into blocks, and pairs of blocks compare the
-   sketches of members of different components. What is near is verified.
+   again: their members are dealt into blocks, and pairs of blocks compare
+   the contents of members of different components.
 
 Pairs inside one component need no further test, so no connection between two
 rows of a bucket is lost, however large the bucket is.
@@ -22,16 +22,20 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import written
 
-BLOCK = 512                    # members of a block of a large bucket
+BLOCK = 256                    # members of a block of a large bucket
 
 
-def linked(buckets: DataFrame, sketches: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray],
-           verify: Callable[[DataFrame], DataFrame], width: int) -> tuple[DataFrame, DataFrame]:
-    """(links: a, b; groups: node, root).
+def linked(buckets: DataFrame, sketches: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int,
+           verify: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame],
+           across: Callable[[list[str]], Callable[[int, np.ndarray], np.ndarray]]) -> tuple[DataFrame, DataFrame]:
+    """(links: a, b that connect every component; groups: node, root).
 
     buckets: bucket bigint, node bigint. sketches: node, sketch (binary of
     ``width`` bytes), one row per node. near(A, B) tells which rows of two
     sketch matrices are near; verify keeps the rows of (a, b) that are links.
+    fetch(nodes) gives node, content. across(contents) prepares the
+    members of a block and returns a function (x, others) -> which of the
+    others x is linked to.
     """
     turned = F.col("node").bitwiseXOR(F.xxhash64("bucket"))           # puts another member first in every bucket
     hubs = (buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(turned).alias("r"))
@@ -41,9 +45,7 @@ def linked(buckets: DataFrame, sketches: DataFrame, near: Callable[[np.ndarray,
     close = written(_near_pairs(pairs, sketches, near, width), "near-pairs")
     links = written(verify(close), "links")
     groups = components(links)
-    more = _across(members, groups, sketches, near, width)
-    more = more.join(close, ["a", "b"], "left_anti")
-    extra = written(verify(written(more, "near-pairs")), "links")
+    extra = written(_across(members, groups, fetch, across), "links")
     if extra.isEmpty():
         return links, groups
     links = links.unionByName(extra)
@@ -68,47 +70,56 @@ def _near_pairs(pairs: DataFrame, sketches: DataFrame, near, width: int) -> Data
             .mapInArrow(run, "a bigint, b bigint"))
 
 
-def _across(members: DataFrame, groups: DataFrame, sketches: DataFrame, near, width: int) -> DataFrame:
-    """Near pairs (a, b) of different components in buckets of three or more."""
+def _across(members: DataFrame, groups: DataFrame, fetch, across) -> DataFrame:
+    """Links (a, b) between different components of buckets of three or more.
+
+    Two blocks of a bucket meet in one place, at most 2 * BLOCK contents. Once
+    two components are linked there, their members are not compared again.
+    """
     large = members.where("n > 2")
     rows = (large.select("bucket", "n", "node").unionByName(large.select("bucket", "n", F.col("hub").alias("node")).distinct())
             .join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed = (rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .where("lo <> hi").select("bucket"))
+    rows = written(rows.join(mixed, "bucket"), "mixed-buckets")
     parts = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("node"), parts)
-    dealt = (rows.join(mixed, "bucket").join(sketches, "node").withColumn("own", own)
+    contents = written(fetch(rows.select("node").distinct()), "contents")
+    dealt = (rows.join(contents, "node").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1)))
              .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     "own", "node", "root", "sketch"))
+                     "own", "node", "root", "content"))
 
-    def compare(key, own, node, root, sketch):
+    def compare(key, own, node, root, content):
         _, i, j = key
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        _, root = np.unique(root, return_inverse=True)
+        if root.max() == 0:
+            return
+        link = across(content)
         for x in left.tolist():
             others = right[right > x] if i == j else right
             others = others[root[others] != root[x]]
             if len(others):
-                hit = others[near(np.broadcast_to(sketch[x], (len(others), width)), sketch[others])]
-                if len(hit):
-                    yield np.minimum(node[x], node[hit]), np.maximum(node[x], node[hit])
+                for y in others[link(x, others)].tolist():
+                    if root[y] != root[x]:
+                        root[root == root[y]] = root[x]
+                        yield min(node[x], node[y]), max(node[x], node[y])
 
     def run(batches):
         held, key = [], None
 
         def flush():
             own, node, root = (np.concatenate([h[k] for h in held]) for k in range(3))
-            found = list(compare(key, own, node, root, np.concatenate([h[3] for h in held])))
-            a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-            b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            found = list(compare(key, own, node, root, [c for h in held for c in h[3]]))
+            a, b = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             bucket, i, j, own, node, root = (batch.column(k).to_numpy() for k in range(6))
-            sketch = matrix(batch.column(6), width)
+            content = batch.column(6).to_pylist()
             cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)]):
                 this = (bucket[x], i[x], j[x])
@@ -116,7 +127,7 @@ def _across(members: DataFrame, groups: DataFrame, sketches: DataFrame, near, wi
                     yield flush()
                     held = []
                 key = this
-                held.append((own[x:y], node[x:y], root[x:y], sketch[x:y]))
+                held.append((own[x:y], node[x:y], root[x:y], content[x:y]))
         if held:
             yield flush()
 

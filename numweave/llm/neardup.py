@@ -10,9 +10,10 @@ point with probability equal to their weighted Jaccard similarity
 sum(min) / sum(max) - without bias. Points are drawn in order of time and only
 until every component has one.
 
-Bands of the signature give buckets; ``grouping`` compares the members by
-one byte of each component, and what may reach the threshold is verified by
-the exact multiset overlap of the texts. Texts with equal words are one node
+Bands of the signature give buckets. ``grouping`` compares a bucket's members
+with a hub first, by one byte of each component, and verifies what may reach
+the threshold by the exact multiset overlap of the texts; members that are
+then still apart are compared by exact overlap, block by block. Texts with equal words are one node
 from the start (the text without words included), so copies cost nothing.
 
 A pair at the threshold of 0.8 shares a bucket with probability 0.9993, pairs
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import chunks
+from .bpe import chunks, ranges
 from .grouping import linked
 from .scratch import fetched, small, written
 from .words import mix, shingle_hashes, word_hashes
@@ -183,9 +184,18 @@ def similarity(a: str, b: str) -> float:
     return low / (int(c.sum()) - low)
 
 
-def _verifier(docs: DataFrame, nodes: DataFrame, key: str, text: str):
-    """Keeps pairs of nodes whose texts overlap enough. Texts are fetched for
-    the nodes that occur in a pair, from one document of each."""
+def _fetcher(docs: DataFrame, nodes: DataFrame, key: str, text: str):
+    """nodes -> node, content: the text of one document of each node."""
+    def fetch(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.join(nodes.select("node", "first.key", "first.th"), "node")
+        return (fetched(rows_of(docs, key, text), wanted, ["key", "th"])
+                .groupBy("node").agg(F.first("text").alias("content")))
+
+    return fetch
+
+
+def _verifier(fetch):
+    """Keeps pairs of nodes whose texts overlap enough."""
     def run(batches):
         for batch in batches:
             keep = [similarity(x, y) >= THRESHOLD for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
@@ -194,12 +204,10 @@ def _verifier(docs: DataFrame, nodes: DataFrame, key: str, text: str):
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = wanted.join(nodes.select("node", "first.key", "first.th"), "node")
-        texts = written(fetched(rows_of(docs, key, text), wanted, ["key", "th"]).groupBy("node").agg(F.first("text").alias("text")),
-                        "texts")
+        texts = written(fetch(wanted), "texts")
 
         def of(side):
-            return texts.select(F.col("node").alias(side), F.col("text").alias(f"t_{side}"))
+            return texts.select(F.col("node").alias(side), F.col("content").alias(f"t_{side}"))
 
         return (pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "t_a", "t_b")
                 .mapInArrow(run, "a bigint, b bigint"))
@@ -207,9 +215,30 @@ def _verifier(docs: DataFrame, nodes: DataFrame, key: str, text: str):
     return verify
 
 
+def across(texts: list[str]):
+    """Exact overlaps of one text with many of a block: counts of the one laid
+    out by shingle, the others' shingles looked up in it."""
+    own, s, c = multisets(texts)
+    number = np.unique(s, return_inverse=True)[1]
+    begin = np.searchsorted(own, np.arange(len(texts) + 1))
+    total = np.bincount(own, c, minlength=len(texts)).astype(np.int64)
+    counts = np.zeros(int(number.max()) + 1 if len(number) else 1, np.int64)
+
+    def link(x: int, others: np.ndarray) -> np.ndarray:
+        mine = slice(begin[x], begin[x + 1])
+        counts[number[mine]] = c[mine]
+        size = begin[others + 1] - begin[others]
+        at = ranges(begin[others], size)
+        low = np.bincount(np.repeat(np.arange(len(others)), size), np.minimum(counts[number[at]], c[at]), minlength=len(others))
+        counts[number[mine]] = 0
+        return low >= THRESHOLD * (total[x] + total[others] - low) - 1e-9
+
+    return link
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(one row per row of docs: key, th, class_id, first_key, first_th;
-    verified links a, b between distinct texts).
+    verified links a, b that connect the distinct texts of every class).
 
     class_id is the smallest id of the class; (first_key, first_th) is the
     row that stands for it: the smallest id, nulls last, then the smallest
@@ -221,7 +250,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
                                               F.first("sketch").alias("sketch"))
                     .withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = nodes.select(F.explode("buckets").alias("bucket"), "node")
-    links, groups = linked(buckets, nodes.select("node", "sketch"), near, _verifier(docs, nodes, key, text), M)
+    fetch = _fetcher(docs, nodes, key, text)
+    links, groups = linked(buckets, nodes.select("node", "sketch"), near, M, _verifier(fetch), fetch, across)
     rooted = (nodes.select("words", "node", "first").join(groups, "node", "left")
               .withColumn("root", F.coalesce("root", "node")))
     first = rooted.groupBy("root").agg(F.min("first").alias("head"))

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from numweave.llm import components as C
@@ -102,13 +103,31 @@ def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch):
         x, y = (m[:, 0].astype(int) * 256 + m[:, 1] for m in (a, b))
         return abs(x - y) <= 4
 
-    links, groups = grouping.linked(buckets, sketch, near, lambda p: p.where("b - a <= 3"), 2)
+    def fetch(nodes):
+        return nodes.withColumn("content", F.col("node").cast("string"))
+
+    def across(contents):
+        number = np.array([int(c) for c in contents])
+        return lambda x, others: abs(number[others] - number[x]) <= 3
+
+    links, groups = grouping.linked(buckets, sketch, near, 2, lambda p: p.where("b - a <= 3"), fetch, across)
     want = roots(400, [(a, b) for a in values for b in values if 0 < b - a <= 3])
     got = {r.node: r.root for r in groups.collect()}
     assert {v: got.get(v, v) for v in values} == {v: want[v] for v in values}
     assert all(0 < r.b - r.a <= 3 for r in links.collect())
 
 
+def test_overlaps_of_a_block_are_exact():
+    texts = [t or "" for t in fixture()]
+    link = N.across(texts)
+    rng = random.Random(2)
+    for _ in range(60):
+        x, others = rng.randrange(len(texts)), np.array(rng.sample(range(len(texts)), 8))
+        others = others[[bool(bag(texts[y])) for y in others]]
+        if bag(texts[x]):
+            assert link(x, others).tolist() == [overlap(texts[x], texts[y]) >= 0.8 for y in others]
+
+
 def fixture():
     rng = random.Random(9)
     vocab = ["".join(rng.choice("abcdeé漢") for _ in range(rng.randint(1, 6))) for _ in range(2000)]
