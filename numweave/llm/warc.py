@@ -36,6 +36,7 @@ ARCHIVE_BYTES = 64 << 20       # an archive that reaches this size is closed and
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 2 << 20         # records a dictionary is built from: the first of the archive, this much of them
 SAMPLE_RECORDS = 1000
+MAX_READERS = 100_000          # tasks that read archives at most; each then reads several, one after the other
 RECORD_DATE = "2000-01-01T00:00:00Z"               # pages carry no time of capture
 
 
@@ -220,7 +221,8 @@ def read(manifest: DataFrame, folder: str, id_type: str = "bigint", with_payload
                 if rows:
                     yield _rows(rows)
 
-    names = manifest.select("path").repartition(F.col("path"))           # archives are dealt out one by one
+    # paths are few bytes each: a stated number of partitions keeps them from being read by one task
+    names = manifest.select("path").repartition(min(max(1, manifest.count()), MAX_READERS))
     got = names.mapInArrow(run, "page_id string, url string, payload_bytes bigint, payload_digest string, "
                                 "record_type string, refers_to string, payload binary")
     got = got.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
