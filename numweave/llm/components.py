@@ -4,7 +4,8 @@ Every node repeatedly points its larger neighbours (large star), then its
 smaller ones (small star), at the smallest node it knows. Only minima per node
 are aggregated and edges are never gathered per node, so a hub with very many
 neighbours is split like any other skewed key. The number of rounds grows with
-the logarithm of the longest path; each round is a committed table.
+the logarithm of the longest path; each round is a committed table. The steps
+are the same for every size; a graph of few edges stays in one partition.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 MAX_ROUNDS = 60
+SMALL_EDGES = 200_000          # a graph of at most this many edges needs no shuffle: one task holds it
 
 
 def _edges(pairs: DataFrame) -> DataFrame:
@@ -32,13 +34,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(_edges(links.select(F.col(a).alias("u"), F.col(b).alias("v"))), "components")
     state = _state(edges)
     for _ in range(MAX_ROUNDS):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        def together(df, small=state[0] <= SMALL_EDGES):
+            return df.coalesce(1) if small else df
+
+        both = together(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = written(_edges(small.select("u", F.col("m").alias("v")).unionByName(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")))), "components")
+        stars = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")),
+                                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = written(_edges(together(stars)), "components")
         before, state = state, _state(edges)
         if state == before:
             break

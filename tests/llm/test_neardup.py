@@ -78,8 +78,10 @@ def test_signatures_estimate_the_multiset_overlap_without_bias():
     assert np.array_equal(again, sig[400:403])
 
 
+@pytest.mark.parametrize("small", [0, 10 ** 6])
 @pytest.mark.parametrize("shape", ["chain", "star", "random"])
-def test_components(spark, shape):
+def test_components(spark, shape, small, monkeypatch):
+    monkeypatch.setattr(C, "SMALL_EDGES", small)
     rng = random.Random(6)
     n = 200
     links = {"chain": [(i, i + 1) for i in range(99)] + [(150, 151)], "star": [(77, i) for i in range(100) if i != 77],
