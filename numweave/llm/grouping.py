@@ -27,15 +27,15 @@ BLOCK = 256                    # members of a block of a large bucket
 
 def linked(buckets: DataFrame, sketches: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int,
            verify: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame],
-           across: Callable[[list[str]], Callable[[int, np.ndarray], np.ndarray]]) -> tuple[DataFrame, DataFrame]:
+           across: Callable[[list[str]], tuple[Callable[[int, np.ndarray], np.ndarray], Callable[[int, int], bool] | None]]) -> tuple[DataFrame, DataFrame]:
     """(links: a, b that connect every component; groups: node, root).
 
     buckets: bucket bigint, node bigint. sketches: node, sketch (binary of
     ``width`` bytes), one row per node. near(A, B) tells which rows of two
     sketch matrices are near; verify keeps the rows of (a, b) that are links.
-    fetch(nodes) gives node, content. across(contents) prepares the
-    members of a block and returns a function (x, others) -> which of the
-    others x is linked to.
+    fetch(nodes) gives node, content. across(contents) prepares the members of
+    a block; it returns (x, others) -> which of the others x may be linked to,
+    and (x, y) -> whether it is, or None if the first is the answer already.
     """
     turned = F.col("node").bitwiseXOR(F.xxhash64("bucket"))           # puts another member first in every bucket
     hubs = (buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(turned).alias("r"))
@@ -96,13 +96,13 @@ def _across(members: DataFrame, groups: DataFrame, fetch, across) -> DataFrame:
         _, root = np.unique(root, return_inverse=True)
         if root.max() == 0:
             return
-        link = across(content)
+        may, confirm = across(content)
         for x in left.tolist():
             others = right[right > x] if i == j else right
             others = others[root[others] != root[x]]
             if len(others):
-                for y in others[link(x, others)].tolist():
-                    if root[y] != root[x]:
+                for y in others[may(x, others)].tolist():
+                    if root[y] != root[x] and (confirm is None or confirm(x, y)):
                         root[root == root[y]] = root[x]
                         yield min(node[x], node[y]), max(node[x], node[y])
 

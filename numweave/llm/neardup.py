@@ -233,7 +233,7 @@ def across(texts: list[str]):
         counts[number[mine]] = 0
         return low >= THRESHOLD * (total[x] + total[others] - low) - 1e-9
 
-    return link
+    return link, None
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

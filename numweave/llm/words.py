@@ -34,6 +34,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word of all texts in order, number of words per text)."""
+    return measured_words(texts)[:2]
+
+
+def measured_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and the number of bytes of every word."""
     joined = b" ".join(texts) + b" "
     data = np.frombuffer(joined, np.uint8)
     blank = _BLANK[data]
@@ -44,7 +49,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                             np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], dtype=np.uint64)])
     h = mix((total[end] - total[begin]) * down[begin])
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    return h, np.diff(np.searchsorted(begin, np.cumsum(size)), prepend=0)
+    return h, np.diff(np.searchsorted(begin, np.cumsum(size)), prepend=0), end - begin
 
 
 def shingle_hashes(h: np.ndarray, words: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -110,7 +110,7 @@ def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch):
 
     def across(contents):
         number = np.array([int(c) for c in contents])
-        return lambda x, others: abs(number[others] - number[x]) <= 3
+        return (lambda x, others: abs(number[others] - number[x]) <= 4), (lambda x, y: abs(number[y] - number[x]) <= 3)
 
     links, groups = grouping.linked(buckets, sketch, near, 2, lambda p: p.where("b - a <= 3"), fetch, across)
     want = roots(400, [(a, b) for a in values for b in values if 0 < b - a <= 3])
@@ -121,7 +121,8 @@ def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch):
 
 def test_overlaps_of_a_block_are_exact():
     texts = [t or "" for t in fixture()]
-    link = N.across(texts)
+    link, confirm = N.across(texts)
+    assert confirm is None
     rng = random.Random(2)
     for _ in range(60):
         x, others = rng.randrange(len(texts)), np.array(rng.sample(range(len(texts)), 8))
