@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +59,15 @@ def fetched(rows: DataFrame, wanted: DataFrame, on: list[str], row_bytes: int =
         names = F.broadcast(names)
     cond = reduce(lambda x, y: x & y, (rows[c].eqNullSafe(names[f"_{c}"]) for c in on))
     return rows.join(names, cond).drop(*[f"_{c}" for c in on])
+
+
+def filtered(docs: DataFrame, judge, text: str = "text") -> DataFrame:
+    """The rows of docs whose text ``judge`` keeps: judge(list of texts) gives
+    one boolean each. Rows stay where they are; all columns pass through."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

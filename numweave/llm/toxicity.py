@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import filtered, written
+from .words import mix
 
 ORDER = 6                      # letters per sequence
 CELLS = 1 << 23                # entries of the model table (32 MB)
@@ -162,34 +163,33 @@ class Model:
         self.cache: dict[str, float] = {}
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
+        """Only the cells in use travel."""
+        state = {**self.__dict__, "cache": {}}
+        for name in ("cells", "rests"):
+            used = np.flatnonzero(state[name]).astype(np.uint32)
+            state[name] = (len(state[name]), used, state[name][used])
+        return state
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        for name in ("cells", "rests"):
+            size, used, value = state[name]
+            table = np.zeros(size, np.uint32)
+            table[used] = value
+            setattr(self, name, table)
 
     def _values(self, words: list[str]) -> np.ndarray:
         """Evidence of words: the sum over their sequences."""
-        import xxhash
-
-        n, seed = self.order, 42                      # the seed of Spark's xxhash64
-        xx = xxhash.xxh64_intdigest
-        grams, sizes = [], []
-        for w in words:
-            p = BEFORE * (n - 1) + w + AFTER
-            m = len(w) + 1
-            sizes.append(m)
-            grams += [p[i:i + n] for i in range(m)]
-        known: dict[str, int] = {}
-        for g in grams:
-            if g not in known:
-                known[g] = xx(g.encode("utf-8", "replace"), seed)
-                h = g[:-1]
-                if h not in known:
-                    known[h] = xx(h.encode("utf-8", "replace"), seed)
-        key = np.fromiter((known[g] for g in grams), np.uint64, len(grams))
-        found, value = probe(self.cells, key)
+        n = self.order
+        points = letters("".join(BEFORE * (n - 1) + w + AFTER for w in words))
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1          # sequences per word
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1])) + np.repeat((n - 1) * np.arange(len(words)), size)
+        window = np.lib.stride_tricks.sliding_window_view(points, n)[at]
+        found, value = probe(self.cells, letter_keys(window))
         missing = np.flatnonzero(~found)
-        contexts = np.fromiter((known[grams[i][:-1]] for i in missing.tolist()), np.uint64, len(missing))
-        value[missing] = probe(self.rests, contexts)[1]
-        ends = np.cumsum(sizes)
-        return np.add.reduceat(value, ends - sizes)
+        value[missing] = probe(self.rests, letter_keys(window[missing, :-1]))[1]
+        return np.add.reduceat(value, ends - size)
 
     def evidence(self, words: list[str]) -> np.ndarray:
         cache = self.cache
@@ -219,6 +219,18 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
+def letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def letter_keys(rows: np.ndarray) -> np.ndarray:
+    """64 bits for every row of letters."""
+    h = np.full(len(rows), rows.shape[1], np.uint64)
+    for j in range(rows.shape[1]):
+        h = (h + rows[:, j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return mix(h)
+
+
 def probe(cells: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(found, value): a cell holds a 16-bit tag above a 16-bit float."""
     cell = cells[(key & np.uint64(len(cells) - 1)).astype(np.int64)]
@@ -230,10 +242,17 @@ def probe(cells: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _table(rows: DataFrame, text: str, weight: str, value: str, cells: int) -> np.ndarray:
     """Cells of (tag, value); of sequences in the same cell the heaviest stays.
     At most ``cells`` rows reach the driver, whatever the input."""
-    key = F.xxhash64(text)
-    best = (rows.select(key.bitwiseAND(F.lit(cells - 1)).alias("cell"),
-                        F.struct(F.col(weight).alias("w"), key.alias("k"), F.col(value).cast("float").alias("v")).alias("r"))
-            .groupBy("cell").agg(F.max("r").alias("r"))
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                texts = batch.column(0).to_pylist()
+                k = letter_keys(letters("".join(texts)).reshape(len(texts), -1))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((k & np.uint64(cells - 1)).astype(np.int64)), batch.column(1), pa.array(k.view(np.int64)),
+                    batch.column(2)], names=["cell", "w", "k", "v"])
+
+    best = (rows.select(text, weight, F.col(value).cast("float")).mapInArrow(run, "cell bigint, w bigint, k bigint, v float")
+            .groupBy("cell").agg(F.max(F.struct("w", "k", "v")).alias("r"))
             .select("cell", F.expr("shiftrightunsigned(r.k, 48) | 1").cast("int").alias("tag"), F.col("r.v").alias("v"))
             .toArrow())
     out = np.zeros(cells, np.uint32)
@@ -314,3 +333,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     kind = docs.schema[key].dataType.simpleString()
     return (docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
             .mapInArrow(run, f"key {kind}, score double, predicted int").withColumnRenamed("key", key))
+
+
+def kept(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(texts):
+        m = shared.value
+        return m.score(np.array([m.features(t) for t in texts], np.float64).reshape(-1, FEATURES)) < THRESHOLD
+
+    return filtered(docs, judge, text)
