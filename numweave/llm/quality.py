@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SYMBOLS = "#*$%&|<>"           # fixed by the definition of n_symbols
 WINDOW_WORDS = 8
@@ -250,3 +251,22 @@ def judged(measured: DataFrame, rules: list[Rule]) -> DataFrame:
     """Adds base_failed, rule (number of the rejecting rule or 0), kept."""
     return (measured.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
             .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)))
+
+
+def kept(docs: DataFrame, rules: list[Rule], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that pass the base rules and the list, all columns.
+
+    Rows are measured where they are; the same conditional expression decides.
+    """
+    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"__{c}", T.LongType()) for c in COUNTS)])
+
+    def run(batches):
+        for batch in batches:
+            got = np.array([measure(t) for t in batch.column(at).to_pylist()], np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(got[:, i]) for i in range(len(COUNTS)))],
+                                             names=schema.names)
+
+    rows = docs.mapInArrow(run, schema)
+    inner = rows.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), *(F.col(f"__{c}").alias(c) for c in COUNTS))
+    return judged(inner, rules).where("kept").select("__row.*")
