@@ -27,9 +27,9 @@ ROW_INDEX_STRIDE = 1000        # rows per row-index entry: one Bloom filter each
 STRIPE_BYTES = 16 << 20
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", text: str = "text", added: bool = False) -> None:
     ordered = docs.select(key, text).repartitionByRange(F.col(key).asc()).sortWithinPartitions(F.col(key).asc())
-    (encode_documents(ordered, tokenizer_path, 0, key, text).write
+    (encode_documents(ordered, tokenizer_path, 0, key, text, added).write
      .option("compression", "zstd")
      .option("orc.stripe.size", str(STRIPE_BYTES))
      .option("orc.row.index.stride", str(ROW_INDEX_STRIDE))

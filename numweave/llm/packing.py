@@ -27,9 +27,9 @@ from .tokens import encode_documents
 WINDOW = 1024
 
 
-def stream(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def stream(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """Documents with their ids and place in the stream: key, n_tokens, ids, begin."""
-    return with_offsets(written(encode_documents(docs, tokenizer_path, 0, key, text), "stream"))
+    return with_offsets(written(encode_documents(docs, tokenizer_path, 0, key, text, added), "stream"))
 
 
 def with_offsets(parts: DataFrame) -> DataFrame:

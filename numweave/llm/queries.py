@@ -43,7 +43,7 @@ def op1_byte_bpe(spark, sf_dir):
 @register
 def op3_concat_cut(spark, sf_dir):
     """Pack all documents into windows of 1024 ids; one row per piece."""
-    placed = packing.stream(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    placed = packing.stream(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), added=True)
     return packing.pieces(placed, 1024).drop("ids")
 
 
@@ -51,7 +51,7 @@ def op3_concat_cut(spark, sf_dir):
 def op5_orc_ids(spark, sf_dir):
     """Write token ids as ORC in id order, read the files back."""
     path = shared_folder(spark, "orc-ids")
-    orcids.write(read_table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
+    orcids.write(read_table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), added=True)
     return orcids.checksums(orcids.read(spark, path))
 
 

@@ -2,13 +2,16 @@
 
 Texts are cut by ``pretok``; every distinct slice goes through the tokenizers
 library's model once per worker (its results are cached), which gives the ids
-that encoding the whole text gives. The strings of special tokens in a text
-count as ordinary text.
+that encoding the whole text gives. With ``added`` the strings of the file's
+added tokens in a text become those tokens, as in the library's own call;
+without it they count as ordinary text.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -41,11 +44,37 @@ def _model_cache(path: str) -> SliceCache:
     return SliceCache(resolve)
 
 
+@lru_cache(2)
+def _added_tokens(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """A pattern that cuts a text at the file's added tokens, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens") or []
+    if any(t.get(x) for t in tokens for x in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take in or look at their neighbours are not supported")
+    ids = {t["content"]: t["id"] for t in tokens}
+    names = sorted(ids, key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None, ids
+
+
+def _encode_around(texts: list[str], cache: SliceCache, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """encode_texts with the added tokens of the file in their places."""
+    pattern, token = _added_tokens(path)
+    if pattern is None or not any(pattern.search(t) for t in texts):
+        return encode_texts(texts, cache)
+    cut = [pattern.split(t) for t in texts]                           # every second part is a token
+    ids, per_part = encode_texts([x for parts in cut for x in parts[::2]], cache)
+    inner = np.concatenate([np.arange(len(parts) // 2 + 1) < len(parts) // 2 for parts in cut])
+    ids = np.insert(ids, np.cumsum(per_part)[inner], [token[x] for parts in cut for x in parts[1::2]])
+    begin = np.cumsum([0] + [len(parts) // 2 + 1 for parts in cut[:-1]])
+    return ids, np.add.reduceat(per_part + inner, begin)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0,
-                     key: str = "doc_id", text: str = "text") -> DataFrame:
+                     key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """One row per document in the order of the input partitions: key, part
     (number of the task), local (ids of the task's documents before it),
-    n_tokens, ids array<int> with ``end_id`` appended.
+    n_tokens, ids array<int> with ``end_id`` appended. ``added``: added tokens
+    are recognised in the texts.
 
     Null texts count as empty: just the end id. Nothing but key and text is
     read. part and local hold for one evaluation, so write the table before
@@ -59,7 +88,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None =
             texts = [t or "" for t in batch.column(1).to_pylist()]
             row = 0
             for group in chunks(texts):
-                ids, per_text = encode_texts(group, cache)
+                ids, per_text = _encode_around(group, cache, tokenizer_path) if added else encode_texts(group, cache)
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(per_text), end_id)
                     per_text = per_text + 1
