@@ -10,9 +10,9 @@ strong evidence, strongest word). A logistic curve over these, fitted on
 labelled documents that the counts leave out, gives a score from 0 to 1.
 
 Counts come from all labelled documents of the training side and are joined
-and summed by Spark. What every executor gets is a table of fixed size
-(``CELLS`` entries, 4 bytes each); where two sequences meet in a cell the more
-frequent one stays and the other counts as unseen.
+and summed by Spark. What every executor gets is a table of all sequences, 12
+bytes each, and of all contexts; nothing is left out of it, so it grows with
+the number of distinct sequences (not with the texts).
 
 Null and empty texts have no words: all features are 0. Rows are scored one by
 one, so repeated rows get equal scores. Of several labels of a document the
@@ -32,8 +32,6 @@ from .scratch import filtered, written
 from .words import mix
 
 ORDER = 6                      # letters per sequence
-CELLS = 1 << 23                # entries of the model table (32 MB)
-CONTEXT_CELLS = 1 << 22        # entries of the table of back-off weights (16 MB)
 DISCOUNT = 0.75                # taken off every count
 STRONG = 4.0                   # evidence from which a word counts as strong
 FIT_PARTS, FIT_HELD = 5, 0     # the part of training documents that fits the curve instead of the counts
@@ -155,28 +153,45 @@ def evidence(grams: DataFrame, order: int = ORDER) -> DataFrame:
                     F.log(weight("toxic") / weight("ordinary")).alias("rest"))
 
 
-class Model:
-    """The model table and the curve; small enough to send to every executor."""
+class Cells:
+    """Value of every 64-bit key, none left out: entries in order of their keys,
+    and the first entry of every cell, which a key's upper bits name."""
 
-    def __init__(self, cells: np.ndarray, rests: np.ndarray, order: int, curve: np.ndarray | None = None):
-        self.cells, self.rests, self.order, self.curve = cells, rests, order, curve
-        self.cache: dict[str, float] = {}
+    def __init__(self, key: np.ndarray, value: np.ndarray, cells: int):
+        order = np.argsort(key)
+        self.key, self.value = key[order], value[order].astype(np.float32)
+        if len(key) > 1 and (self.key[1:] == self.key[:-1]).any():
+            raise ValueError("two letter sequences have the same 64-bit key")
+        self.bits = max(cells - 1, 1).bit_length()
+        self._index()
+
+    def _index(self):
+        cell = (self.key >> np.uint64(64 - self.bits)).astype(np.int64)
+        count = np.bincount(cell, minlength=1 << self.bits)
+        self.first = np.concatenate([[0], np.cumsum(count)]).astype(np.uint32)
+        self.most = int(count.max())
 
     def __getstate__(self):
-        """Only the cells in use travel."""
-        state = {**self.__dict__, "cache": {}}
-        for name in ("cells", "rests"):
-            used = np.flatnonzero(state[name]).astype(np.uint32)
-            state[name] = (len(state[name]), used, state[name][used])
-        return state
+        """The first entries are counted again where the table arrives."""
+        return {"key": self.key, "value": self.value, "bits": self.bits}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        for name in ("cells", "rests"):
-            size, used, value = state[name]
-            table = np.zeros(size, np.uint32)
-            table[used] = value
-            setattr(self, name, table)
+        self._index()
+
+    def __array__(self, dtype=None, copy=None):
+        return np.column_stack([self.key, self.value.view(np.uint32)]).astype(dtype or np.uint64)
+
+
+class Model:
+    """The model tables and the curve, sent to every executor."""
+
+    def __init__(self, cells: Cells, rests: Cells, order: int, curve: np.ndarray | None = None):
+        self.cells, self.rests, self.order, self.curve = cells, rests, order, curve
+        self.cache: dict[str, float] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "cache": {}}
 
     def _values(self, words: list[str]) -> np.ndarray:
         """Evidence of words: the sum over their sequences."""
@@ -231,38 +246,40 @@ def letter_keys(rows: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def probe(cells: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(found, value): a cell holds a 16-bit tag above a 16-bit float."""
-    cell = cells[(key & np.uint64(len(cells) - 1)).astype(np.int64)]
-    found = ((cell >> np.uint32(16)) == ((key >> np.uint64(48)) | np.uint64(1)).astype(np.uint32))
-    value = (cell & np.uint32(0xFFFF)).astype(np.uint16).view(np.float16).astype(np.float64)
-    return found, np.where(found, value, 0.0)
-
-
-def _table(rows: DataFrame, text: str, weight: str, value: str, cells: int) -> np.ndarray:
-    """Cells of (tag, value); of sequences in the same cell the heaviest stays.
-    At most ``cells`` rows reach the driver, whatever the input."""
+def probe(cells: Cells, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(found, value) of every key."""
+    found, value = np.zeros(len(key), bool), np.zeros(len(key))
+    cell = (key >> np.uint64(64 - cells.bits)).astype(np.int64)
+    at, stop = cells.first[cell].astype(np.int64), cells.first[cell + 1].astype(np.int64)
+    left = np.flatnonzero(at < stop)
+    for _ in range(cells.most):
+        if not len(left):
+            break
+        hit = cells.key[at[left]] == key[left]
+        there = left[hit]
+        found[there], value[there] = True, cells.value[at[there]]
+        left = left[~hit]
+        at[left] += 1
+        left = left[at[left] < stop[left]]
+    return found, value
+
+
+def _table(rows: DataFrame, text: str, weight: str, value: str, cells: int | None = None) -> Cells:
+    """All sequences with their values; by default as many cells as there are
+    sequences. ``weight`` names the occurrences and decides nothing."""
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 texts = batch.column(0).to_pylist()
                 k = letter_keys(letters("".join(texts)).reshape(len(texts), -1))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array((k & np.uint64(cells - 1)).astype(np.int64)), batch.column(1), pa.array(k.view(np.int64)),
-                    batch.column(2)], names=["cell", "w", "k", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), batch.column(1)], names=["k", "v"])
 
-    best = (rows.select(text, weight, F.col(value).cast("float")).mapInArrow(run, "cell bigint, w bigint, k bigint, v float")
-            .groupBy("cell").agg(F.max(F.struct("w", "k", "v")).alias("r"))
-            .select("cell", F.expr("shiftrightunsigned(r.k, 48) | 1").cast("int").alias("tag"), F.col("r.v").alias("v"))
-            .toArrow())
-    out = np.zeros(cells, np.uint32)
-    v = best["v"].to_numpy().astype(np.float16).view(np.uint16).astype(np.uint32)
-    out[best["cell"].to_numpy()] = best["tag"].to_numpy().astype(np.uint32) << np.uint32(16) | v
-    return out
+    got = rows.select(text, F.col(value).cast("float")).mapInArrow(run, "k bigint, v float").toArrow()
+    return Cells(got["k"].to_numpy().view(np.uint64), got["v"].to_numpy(), cells or max(got.num_rows, 2))
 
 
 def train(docs: DataFrame, labels: DataFrame, chosen=None, key: str = "doc_id", text: str = "text",
-          order: int = ORDER, cells: int = CELLS, context_cells: int = CONTEXT_CELLS) -> Model:
+          order: int = ORDER, cells: int | None = None, context_cells: int | None = None) -> Model:
     """Counts, table and curve from the labelled documents ``chosen`` (a
     condition on the id) allows; default: those that are not held out."""
     chosen = chosen or (lambda k: ~held_out(k))
@@ -270,7 +287,8 @@ def train(docs: DataFrame, labels: DataFrame, chosen=None, key: str = "doc_id",
     grams = written(sequences(_word_counts(fit), order), "toxicity-counts")
     per_class = grams.agg(F.sum("ordinary"), F.sum("toxic")).first()
     if not per_class[0] or not per_class[1]:
-        return Model(np.zeros(1, np.uint32), np.zeros(1, np.uint32), order)
+        none = Cells(np.zeros(0, np.uint64), np.zeros(0), 2)
+        return Model(none, none, order)
     table = written(evidence(grams, order), "toxicity-evidence")
     rests = table.groupBy("h").agg(F.sum("n").alias("n"), F.max("rest").alias("rest"))
     model = Model(_table(table, "g", "n", "value", cells), _table(rests, "h", "n", "rest", context_cells), order)
@@ -282,7 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, chosen=None, key: str = "doc_id",
 
 
 def _features(rows: DataFrame, model: Model) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)          # CELLS + CONTEXT_CELLS entries of 4 bytes
+    shared = rows.sparkSession.sparkContext.broadcast(model)          # 12 bytes for every sequence and context
 
     def run(batches):
         m = shared.value

@@ -116,3 +116,12 @@ def test_no_labels_of_a_class_and_empty_tables(spark):
     assert X.score(none, X.train(none, spark.createDataFrame([], LABEL))).count() == 0
 
 
+def test_no_sequence_is_evicted(spark):
+    """Far more sequences than cells: every one keeps its value."""
+    rng = random.Random(9)
+    words = {"".join(rng.choice("abcdefghij") for _ in range(6)): rng.randint(1, 50) for _ in range(500)}
+    rows = spark.createDataFrame([(w, n, n / 64) for w, n in words.items()], "g string, n bigint, value double")
+    table = X._table(rows, "g", "n", "value", 16)
+    found, value = X.probe(table, X.letter_keys(X.letters("".join(words)).reshape(len(words), -1)))
+    assert found.all() and value.tolist() == [n / 64 for n in words.values()]
+    assert not X.probe(table, X.letter_keys(X.letters("zzzzzz").reshape(1, -1)))[0].any()
