@@ -6,8 +6,9 @@ classes. A sequence neither class has seen thus backs off to the same
 estimate, and only the classes' back-off weights differ. A word's evidence is
 the difference of its two log-likelihoods; a document's features are its
 length-normalised evidence (mean per word, share and number of words with
-strong evidence, strongest word). A logistic curve over these, fitted on
-labelled documents that the counts leave out, gives a score from 0 to 1.
+strong evidence, strongest word). A logistic curve over these gives a score
+from 0 to 1. It is fitted on labelled documents that the counts leave out at
+first, as many as it needs; then their counts are added.
 
 Counts come from all labelled documents of the training side and are joined
 and summed by Spark. What every executor gets is a table of all sequences, 12
@@ -34,7 +35,7 @@ from .words import mix
 ORDER = 6                      # letters per sequence
 DISCOUNT = 0.75                # taken off every count
 STRONG = 4.0                   # evidence from which a word counts as strong
-FIT_PARTS, FIT_HELD = 5, 0     # the part of training documents that fits the curve instead of the counts
+FIT_PARTS = 5                  # at most one of so many training documents fits the curve
 MAX_CALIBRATION_ROWS = 20_000  # bound of the sample the curve is fitted on
 THRESHOLD = 0.7                # a score from here on means toxic
 BEFORE, AFTER = "\x02", "\x03" # stand before and after every word
@@ -47,8 +48,11 @@ def held_out(key):
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def _fits_curve(key):
-    return F.pmod(F.xxhash64(key), F.lit(FIT_PARTS)) == FIT_HELD
+def _fits_curve(key, labelled: int):
+    """The documents the curve is fitted on: a share of the ``labelled`` ones
+    that is about MAX_CALIBRATION_ROWS on large tables, by a hash threshold."""
+    share = min(1 / FIT_PARTS, MAX_CALIBRATION_ROWS / max(labelled, 1))
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, chosen, key: str, text: str) -> DataFrame:
@@ -283,22 +287,31 @@ def train(docs: DataFrame, labels: DataFrame, chosen=None, key: str = "doc_id",
     """Counts, table and curve from the labelled documents ``chosen`` (a
     condition on the id) allows; default: those that are not held out."""
     chosen = chosen or (lambda k: ~held_out(k))
-    fit = _labelled(docs, labels, lambda k: chosen(k) & ~_fits_curve(k), key, text)
+    rows = labels.where(labels["toxic"].isNotNull() & chosen(labels[key])).select(F.count_distinct(labels[key])).first()[0]
+    fit = _labelled(docs, labels, lambda k: chosen(k) & ~_fits_curve(k, rows), key, text)
+    check = written(_labelled(docs, labels, lambda k: chosen(k) & _fits_curve(k, rows), key, text), "toxicity-curve")
     grams = written(sequences(_word_counts(fit), order), "toxicity-counts")
-    per_class = grams.agg(F.sum("ordinary"), F.sum("toxic")).first()
+    both = written(grams.unionByName(sequences(_word_counts(check), order))
+                   .groupBy("g").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "toxicity-counts")
+    per_class = both.agg(F.sum("ordinary"), F.sum("toxic")).first()
     if not per_class[0] or not per_class[1]:
         none = Cells(np.zeros(0, np.uint64), np.zeros(0), 2)
         return Model(none, none, order)
-    table = written(evidence(grams, order), "toxicity-evidence")
-    rests = table.groupBy("h").agg(F.sum("n").alias("n"), F.max("rest").alias("rest"))
-    model = Model(_table(table, "g", "n", "value", cells), _table(rests, "h", "n", "rest", context_cells), order)
-    check = _labelled(docs, labels, lambda k: chosen(k) & _fits_curve(k), key, text)
+    model = _model(grams, order, cells, context_cells)
     sample = (_features(check, model).orderBy(F.xxhash64("f"), "f").limit(MAX_CALIBRATION_ROWS).toArrow())
     f = np.array(sample["f"].to_pylist(), np.float64).reshape(-1, FEATURES)
-    model.curve = fit_curve(f, sample["toxic"].to_numpy(zero_copy_only=False).astype(float))
+    curve = fit_curve(f, sample["toxic"].to_numpy(zero_copy_only=False).astype(float))
+    model = _model(both, order, cells, context_cells)
+    model.curve = curve
     return model
 
 
+def _model(grams: DataFrame, order: int, cells: int | None, context_cells: int | None) -> Model:
+    table = written(evidence(grams, order), "toxicity-evidence")
+    rests = table.groupBy("h").agg(F.sum("n").alias("n"), F.max("rest").alias("rest"))
+    return Model(_table(table, "g", "n", "value", cells), _table(rests, "h", "n", "rest", context_cells), order)
+
+
 def _features(rows: DataFrame, model: Model) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)          # 12 bytes for every sequence and context
 

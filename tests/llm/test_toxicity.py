@@ -125,3 +125,13 @@ def test_no_sequence_is_evicted(spark):
     found, value = X.probe(table, X.letter_keys(X.letters("".join(words)).reshape(len(words), -1)))
     assert found.all() and value.tolist() == [n / 64 for n in words.values()]
     assert not X.probe(table, X.letter_keys(X.letters("zzzzzz").reshape(1, -1)))[0].any()
+
+
+def test_counts_cover_every_training_document(spark):
+    """A word that only one document has is known, whichever document it is."""
+    docs, labels = sample(210)
+    docs = [(i, f"{t} qv{chr(0x4E00 + i)}", a, b) for i, t, a, b in docs]
+    model = X.train(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL), order=4)
+    trained = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    grams = "".join(f"{X.BEFORE}qv{chr(0x4E00 + i)}" for i in trained)
+    assert X.probe(model.cells, X.letter_keys(X.letters(grams).reshape(len(trained), -1)))[0].all()
