@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, linededup, neardup, orcids, packing, quality, topk, toxicity, warc
+from . import bpe, licenses, linededup, merkle, neardup, orcids, packing, quality, topk, toxicity, warc
 from .scratch import read_table, shared_folder, small_batches, written
 
 QUERIES: dict = {}
@@ -153,3 +153,52 @@ FROM dig LEFT JOIN known k ON dig.digest = k.digest
 
 
 ORACLE["op7_license_digest"] = _license_sql()
+
+
+@register
+def op13_merkle_manifest(spark, sf_dir):
+    """Digest tree over all documents; every row checked against its root, some after a change of n_chars."""
+    docs = read_table(spark, sf_dir, "documents")
+    changed = F.pmod(F.crc32(docs["doc_id"].cast("string").cast("binary")), F.lit(7)) == 0
+    return merkle.audit(docs, changed, {"n_chars": docs["n_chars"].cast("decimal(38,0)") + 1})
+
+
+ORACLE["op13_merkle_manifest"] = """
+WITH RECURSIVE
+d AS (SELECT doc_id, source, lang, n_chars, text,
+        CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g,
+        coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+          || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+        coalesce(strlen(text) || ':' || text, '-') AS tail,
+        (4294967295 - list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+            lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 7 = 0 AS hit
+      FROM documents),
+l AS (SELECT *, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+             sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) AS changed FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+t(g, k, i, n, h) AS (
+  SELECT g, 0, i, n, leaf FROM r
+  UNION ALL
+  SELECT g, any_value(k) + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, i // 2),
+s AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(k, i, n, h) AS (
+  SELECT 0, i, n, h FROM s
+  UNION ALL
+  SELECT any_value(k) + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY i // 2),
+v AS (SELECT h AS root FROM u WHERE n = 1),
+e AS (SELECT r.g, r.i AS id, t.k, (r.i >> t.k) & 1 AS odd, o.h AS other
+      FROM r JOIN t ON t.g = r.g AND t.i = r.i >> t.k AND t.n > 1 LEFT JOIN t o ON o.g = t.g AND o.k = t.k AND o.i = xor(t.i, 1)
+      UNION ALL
+      SELECT r.g, r.i, 100 + u.k, (s.i >> u.k) & 1, o.h
+      FROM r JOIN s ON s.g = r.g JOIN u ON u.i = s.i >> u.k AND u.n > 1 LEFT JOIN u o ON o.k = u.k AND o.i = xor(u.i, 1)),
+p AS (SELECT g, id, sha256(coalesce(string_agg(other, '' ORDER BY k), '')) AS proof, count(other) AS m, list(odd ORDER BY k) AS odds, list(other ORDER BY k) AS others FROM e GROUP BY g, id),
+f(g, id, k, h) AS (
+  SELECT g, i, 1, CASE WHEN hit THEN changed ELSE leaf END FROM r
+  UNION ALL
+  SELECT f.g, f.id, f.k + 1, sha256(CASE WHEN odds[f.k] = 1 THEN others[f.k] || f.h ELSE f.h || coalesce(others[f.k], '') END)
+  FROM f JOIN p ON p.g = f.g AND p.id = f.id WHERE f.k <= len(odds)),
+w AS (SELECT g, id, arg_max(h, k) AS folded FROM f GROUP BY g, id)
+SELECT r.doc_id, r.leaf, s.h AS subroot, v.root, coalesce(p.proof, sha256('')) AS proof_sha256, CAST(coalesce(p.m, 0) AS INTEGER) AS n_siblings,
+       w.folded AS folded_root, w.folded = v.root AS verified
+FROM r JOIN s ON s.g = r.g CROSS JOIN v JOIN w ON w.g = r.g AND w.id = r.i LEFT JOIN p ON p.g = r.g AND p.id = r.i
+""".strip()
