@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, linededup, merkle, neardup, orcids, packing, quality, topk, toxicity, warc
+from . import bpe, lexical, licenses, linededup, merkle, neardup, orcids, packing, quality, topk, toxicity, warc
 from .scratch import read_table, shared_folder, small_batches, written
 
 QUERIES: dict = {}
@@ -202,3 +202,27 @@ SELECT r.doc_id, r.leaf, s.h AS subroot, v.root, coalesce(p.proof, sha256('')) A
        w.folded AS folded_root, w.folded = v.root AS verified
 FROM r JOIN s ON s.g = r.g CROSS JOIN v JOIN w ON w.g = r.g AND w.id = r.i LEFT JOIN p ON p.g = r.g AND p.id = r.i
 """.strip()
+
+
+@register
+def op12_lexical_search(spark, sf_dir):
+    """The 50 best documents of every benchmark item."""
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 50)
+
+
+ORACLE["op12_lexical_search"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+           FROM documents),
+     c AS (SELECT count(*) AS nd, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+     q AS (SELECT item_id, row_number() OVER () AS i, unnest(list_distinct(regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+           FROM benchmark),
+     tf AS (SELECT doc_id, r, n, term, count(*) AS tf FROM (SELECT doc_id, r, len(w) AS n, unnest(w) AS term FROM d)
+            WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+     wt AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, c GROUP BY term, nd),
+     s AS (SELECT item_id, i, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l)))) AS BIGINT) AS score
+           FROM q JOIN tf USING (term) JOIN wt USING (term), c GROUP BY item_id, i, doc_id, r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+""".strip()
