@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from . import bpe, lexical, licenses, linededup, merkle, neardup, orcids, packing, quality, topk, toxicity, warc
+from . import bpe, lexical, licenses, linededup, merkle, neardup, orcids, overlap, packing, quality, topk, toxicity, warc
 from .scratch import read_table, shared_folder, small_batches, written
 
 QUERIES: dict = {}
@@ -226,3 +226,24 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS rank FROM s WHERE score > 0) WHERE rank <= 50
 """.strip()
+
+
+@register
+def op11_count_vector_join(spark, sf_dir):
+    """Component of every document: texts linked by a Jaccard overlap of 0.8 or more."""
+    return overlap.classes(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_count_vector_join"] = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS (SELECT doc_id, r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS (SELECT r, len(s) AS n, unnest(s) AS x FROM s),
+l AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n
+      HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+c(a, b) AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(o.doc_id), s.doc_id)) AS component_id
+FROM s LEFT JOIN c ON c.a = s.r LEFT JOIN s o ON o.r = c.b GROUP BY s.r, s.doc_id, s.s
+""".strip()
