@@ -20,7 +20,8 @@ over the item's distinct terms, in integers (see ``impact``).
    several of an item's lists is scored in the first one only.
 
 Items are worked on in blocks of bounded size, so their terms can go to every
-task. A hot term is many blocks: postings are range-sorted, not grouped.
+task. A hot term's list is dealt out by those coordinates, and its
+blocks are made by many tasks.
 
 Null or empty texts have no terms and do not count as documents. Rows with
 equal ids are documents (items) of their own; null ids come last among equal
@@ -39,13 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.order import top_k_per_group
-from .bpe import chunks
+from .bpe import chunks, ranges
 from .scratch import fetched, written
 from .words import word_hashes
 
 BLOCK = 128                    # postings of a block
 CLUSTER_KEYS = 3               # heaviest coordinates that order the postings of a list
-SEEDS = 8                      # times k: documents scored for the first bound, about
+PART = 4096                    # a list of more documents is dealt out by them, about so many together
+DOCS = 512                     # documents whose postings are made at a time
+SEEDS = 32                     # times k: documents scored for the first bound, about
 ITEM_CHARS = 8 << 20           # characters of the items worked on at a time
 CHUNK_CHARS = 1 << 19
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -204,68 +207,89 @@ def first_scores(fwd: DataFrame, plan: Plan, k: int) -> DataFrame:
     return fwd.select("n", "node", "terms", "tf").mapInArrow(run, "item int, score bigint")
 
 
+class Beside:
+    """Which coordinates matter in which list: a hashed set of (list, term)
+    pairs. It may hold a pair too many, which costs a little room and changes
+    no result."""
+
+    def __init__(self, pairs: dict[int, np.ndarray]):
+        total = sum(map(len, pairs.values()))
+        self.bits = min(28, max(10, (16 * total).bit_length()))
+        self.held = np.zeros(1 << self.bits, bool)
+        for t, c in pairs.items():
+            self.held[self._at(np.full(len(c), t), c)] = True
+
+    def _at(self, t: np.ndarray, c: np.ndarray) -> np.ndarray:
+        h = (t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (c.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def holds(self, t: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.held[self._at(t, c)]
+
+
 def postings(fwd: DataFrame, plan: Plan) -> DataFrame:
-    """term, c1 .. (heaviest other coordinates), node, key, coords, impacts:
-    one row per essential term of a document that is the first of the
-    document's terms for some item."""
+    """term, part, heavy (number made of the heaviest other coordinates), node,
+    key, coords, impacts: a document stands in the list of the first of its
+    essential terms for every item."""
     def run(batches):
         known = np.zeros(plan.size, bool)
         known[list(plan.lists)] = True
-        count = np.zeros(plan.size + 1, np.int64)
+        upto = np.zeros(plan.size + 1, np.int64)
         for t, x in plan.lists.items():
-            count[t + 1] = len(x)
-        upto = np.cumsum(count)
-        asked = np.zeros(int(upto[-1]), np.int64)                    # of every list: item << 32 | place of the term
+            upto[t + 1] = len(x)
+        upto = np.cumsum(upto)
+        asked = np.zeros(int(upto[-1]), np.int64)                    # of every list: item << 20 | place of the term
         for t, x in plan.lists.items():
-            asked[upto[t]:upto[t + 1]] = [q << 32 | place for q, place in x]
+            asked[upto[t]:upto[t + 1]] = [q << 20 | place for q, place in x]
         start = np.cumsum([0, *map(len, plan.order)])
         orders = np.concatenate([*plan.order, np.zeros(0, np.int64)]).astype(np.int64)
-        masks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            n = batch.column(0).to_numpy()
-            (terms, cut), (tf, _) = flat(batch.column(3)), flat(batch.column(4))
-            own = np.repeat(np.arange(len(n)), np.diff(cut))
-            value = impact(tf, length_share(n, plan.docs, plan.total)[own])
-            out_row, out_term, out_keys, coords, impacts, sizes = [], [], [], [], [], [0]
-            for r in np.unique(own[known[terms]]).tolist():
-                a, b = cut[r], cut[r + 1]
-                mine, worth = terms[a:b], value[a:b]
-                held = mine[known[mine]]
-                wants = np.sort(np.concatenate([asked[upto[t]:upto[t + 1]] for t in held.tolist()]))
-                q = wants >> 32
-                wants = wants[np.concatenate([[True], q[1:] != q[:-1]])]        # the first of its terms for every item
-                for t in np.unique(orders[start[wants >> 32] + (wants & 0xFFFFFFFF)]).tolist():
-                    if t not in masks:
-                        masks[t] = np.isin(np.arange(plan.size), plan.beside[t])
-                    pick = masks[t][mine]
-                    c, v = mine[pick], worth[pick]
-                    heavy = np.argsort(-(plan.weight[c] * v * (c != t)), kind="stable")[:CLUSTER_KEYS]
-                    out_row.append(r)
-                    out_term.append(t)
-                    out_keys.append([int(x) for x in c[heavy]] + [-1] * (CLUSTER_KEYS - len(heavy)))
-                    coords.append(c)
-                    impacts.append(v)
-                    sizes.append(sizes[-1] + len(c))
-            at, ends = pa.array(out_row, pa.int64()), pa.array(sizes, pa.int32())
-            keys = list(zip(*out_keys)) or [()] * CLUSTER_KEYS
-            flat_of = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(out_term, pa.int32()), *[pa.array(list(x), pa.int32()) for x in keys],
-                batch.column(1).take(at), batch.column(2).take(at),
-                pa.ListArray.from_arrays(ends, flat_of(coords, pa.int32())), pa.ListArray.from_arrays(ends, flat_of(impacts, pa.int32()))],
-                names=["term", *[f"c{i}" for i in range(CLUSTER_KEYS)], "node", "key", "coords", "impacts"])
+        beside = Beside(plan.beside)
+        parts = np.maximum(plan.df // PART, 0) + 1
+        for whole in batches:
+            for row in range(0, whole.num_rows, DOCS):
+                batch = whole.slice(row, DOCS)
+                n = batch.column(0).to_numpy()
+                (terms, cut), (tf, _) = flat(batch.column(3)), flat(batch.column(4))
+                own = np.repeat(np.arange(len(n)), np.diff(cut))
+                value = impact(tf, length_share(n, plan.docs, plan.total)[own])
+                held = np.flatnonzero(known[terms])
+                count = upto[terms[held] + 1] - upto[terms[held]]
+                wants = np.sort(np.repeat(own[held], count) << 46 | asked[ranges(upto[terms[held]], count)])
+                pair = wants >> 20                                   # document, item
+                new = np.ones(len(pair), bool)
+                new[1:] = pair[1:] != pair[:-1]
+                wants = wants[new]                                   # the first of its terms for every item
+                found = np.unique((wants >> 46) << 32 | orders[start[wants >> 20 & ((1 << 26) - 1)] + (wants & ((1 << 20) - 1))])
+                doc, term = found >> 32, found & 0xFFFFFFFF
+                size = np.diff(cut)[doc]
+                at, of = ranges(cut[doc], size), np.repeat(np.arange(len(doc)), size)
+                pick = beside.holds(term[of], terms[at])
+                at, of = at[pick], of[pick]
+                coords, worth = terms[at].astype(np.int64), value[at]
+                size = np.bincount(of, minlength=len(doc))
+                begin = np.cumsum(size) - size
+                rank = ((plan.weight[coords] * worth >> 8) << 24 | coords & 0xFFFFFF) * (coords != term[of])
+                heavy = np.zeros(len(doc), np.int64)
+                for _ in range(CLUSTER_KEYS if len(doc) else 0):
+                    top = np.maximum.reduceat(rank, begin)
+                    heavy = heavy << 20 | top & 0xFFFFF
+                    rank[rank == top[of]] = 0
+                spread = batch.column(1).to_numpy()[doc]
+                part = np.abs(heavy * 31 + (spread & 7) * (parts[term] > 8)) % parts[term]
+                take, ends = pa.array(doc), pa.array(np.append(begin, len(of)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(term.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(heavy), batch.column(1).take(take), batch.column(2).take(take),
+                    pa.ListArray.from_arrays(ends, pa.array(coords.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(worth.astype(np.int32)))],
+                    names=["term", "part", "heavy", "node", "key", "coords", "impacts"])
 
     kind = fwd.schema["key"].dataType.simpleString()
-    keys = ", ".join(f"c{i} int" for i in range(CLUSTER_KEYS))
     return (fwd.select("n", "node", "key", "terms", "tf")
-            .mapInArrow(run, f"term int, {keys}, node bigint, key {kind}, coords array<int>, impacts array<int>"))
+            .mapInArrow(run, f"term int, part int, heavy bigint, node bigint, key {kind}, coords array<int>, impacts array<int>"))
 
 
 def blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
     """The index: block, term, nodes, keys, sizes, coords, impacts (documents
     one after the other), top_coords, top (largest impact of each)."""
-    order = ["term", *[f"c{i}" for i in range(CLUSTER_KEYS)], "node"]
-
     def made(held):
         whole = pa.Table.from_batches(held).combine_chunks()
         (coords, cut), (value, _) = (flat(whole.column(c).combine_chunks()) for c in ("coords", "impacts"))
@@ -307,7 +331,8 @@ def blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=names)
 
     lists = ", ".join(f"{c} array<int>" for c in names[3:])
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("term", "node", "key", "coords", "impacts")
+    sorted_rows = (rows.repartition("term", "part").sortWithinPartitions("term", "part", "heavy", "node")
+                   .select("term", "node", "key", "coords", "impacts"))
     return (sorted_rows.mapInArrow(run, f"term int, nodes array<bigint>, keys array<{kind.simpleString()}>, {lists}")
             .withColumn("block", F.monotonically_increasing_id()))
 
