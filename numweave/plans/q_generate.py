@@ -22,15 +22,39 @@ def _ops_sql(seed, k, max_value):
     return f"SELECT {KEY}, {cols} FROM orders"
 
 
-def _draws_sql(seed, k, max_value, draws):
-    """Operands of all slots: as many slots as the table needs for the draws."""
-    cols = ", ".join(f"{S.hash_order(seed, KEY, f'(slot * {k} + {i})')} % {max_value + 1} AS x{i}" for i in range(k))
-    return f"""SELECT {cols} FROM orders,
-  (SELECT unnest(range(0, greatest(1, CAST(ceil({draws} / CAST(count(*) AS DOUBLE)) AS BIGINT)))) AS slot FROM orders)"""
+def _numbers_sql(seed, n):
+    """The numbers 0 .. n - 1 from the rows of the table in hash order."""
+    return f"""SELECT p + copy * n AS i FROM (
+    SELECT row_number() OVER (ORDER BY {S.hash_order(seed, KEY)}, {KEY}) - 1 AS p, count(*) OVER () AS n FROM orders) o,
+  (SELECT unnest(range(0, greatest(1, CAST(ceil({n} / CAST(count(*) AS DOUBLE)) AS BIGINT)))) AS copy FROM orders) WHERE p + copy * n < {n}"""
 
 
-def _draws(p, k):
-    return G.draws_for(G.capacity_of(k, p["max_value"]), p["n"])
+def _permuted_sql(src, seed, *keys):
+    """src (i, n, other columns) and t, the place of i under the bijection."""
+    def shift(part):
+        return S.hash_order(seed, *keys, "r", part)
+
+    def grid(v):
+        return f"""list_reduce([{v}, 0, 1, 2, 3], lambda u, r: CASE WHEN r % 2 = 0
+          THEN (u % a + {shift('(u // a)')} % a) % a + a * (u // a) ELSE u % a + a * ((u // a + {shift('(u % a)')} % b) % b) END)"""
+
+    return f"""SELECT *, list_reduce(list_prepend({grid('i')}, range(2, 65)), lambda v, j: CASE WHEN v < n THEN v ELSE {grid('v')} END) AS t
+  FROM (SELECT *, (n + a - 1) // a AS b FROM (SELECT *, CAST(ceil(sqrt(CAST(n AS DOUBLE))) AS BIGINT) AS a FROM ({src})))"""
+
+
+def _tuple_numbers_sql(p, k):
+    n = G.capacity_of(k, p["max_value"])
+    return _permuted_sql(f"SELECT i, CAST({n} AS BIGINT) AS n FROM ({_numbers_sql(p['seed'], min(p['n'], n))})", p["seed"])
+
+
+def _last_sql(t, below):
+    """Largest h with below(h) <= t, searched bit by bit."""
+    return f"list_reduce([0, {', '.join(str(1 << x) for x in range(30, -1, -1))}], lambda h, x: CASE WHEN {below('(h + x)')} <= {t} THEN h + x ELSE h END)"
+
+
+def _pair_of_sql(t, rest):
+    below = lambda h: f"(CAST({h} AS HUGEINT) * ({h} + 1)) // 2"
+    return f"SELECT CAST({t} - {below('hi')} AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi{rest} FROM (SELECT *, {_last_sql(t, below)} AS hi FROM "
 
 
 def _limit_sql(body, seed, n):
@@ -55,18 +79,10 @@ def q_gen_operands(spark, sf):
     return G.gen_operands(_orders(spark, sf).select(KEY), [KEY], 3, OPS["max_value"], OPS["seed"])
 
 
-def _canon_sql(p, draws=None):
-    src = _draws_sql(p["seed"], 2, p["max_value"], draws or _draws(p, 2))
-    return f"SELECT DISTINCT least(x0, x1) AS lo, greatest(x0, x1) AS hi FROM ({src})"
-
-
 def _pair_sql(p, sep, lo_first=True, label="lo + hi", text=lambda c: f"CAST({c} AS VARCHAR)", limit=None):
-    """Generator oracle: unique sorted operand pairs, the n smallest by the hash
-    of the pair, then the question text."""
+    """Generator oracle: pair numbers, the pair each stands for, the question text."""
     a, b = ("lo", "hi") if lo_first else ("hi", "lo")
-    src = _canon_sql(p)
-    if limit is not None:
-        src = f"SELECT lo, hi FROM ({src}) ORDER BY {S.hash_order(p['seed'], 'lo', 'hi')}, lo, hi LIMIT {limit}"
+    src = f"{_pair_of_sql('t', '')} ({_tuple_numbers_sql(p | {'n': limit or p['n']}, 2)}))"
     return f"SELECT {text(a)} || '{sep}' || {text(b)} || '=' AS question, {label} AS label FROM ({src})"
 
 
@@ -92,16 +108,17 @@ def q_gen_pairs_mul(spark, sf):
 
 
 _bsize = (STRAT["max_value"] ** 2 + 1) // STRAT["splits"]
+_quota = STRAT["n"] // STRAT["splits"]
 
 
 @register("gen_pairs_mul_stratified", f"""
-WITH p AS ({_canon_sql(STRAT, min(G.draws_for(5151, 5151), 40 * STRAT['n']))}),
-b AS (SELECT lo, hi, least((lo * hi) // {_bsize}, {STRAT['splits'] - 1}) AS bucket,
-             {S.hash_order(STRAT['seed'], 'lo', 'hi')} AS h FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h, lo, hi) AS rn FROM b)
+WITH f AS (SELECT unnest(range(0, {STRAT['max_value'] + 1})) AS x),
+every AS (SELECT a.x AS lo, b.x AS hi, least((a.x * b.x) // {_bsize}, {STRAT['splits'] - 1}) AS bucket FROM f a JOIN f b ON a.x <= b.x),
+b AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY lo, hi) - 1 AS t, count(*) OVER (PARTITION BY bucket) AS n FROM every),
+i AS (SELECT i // {STRAT['splits']} AS i, i % {STRAT['splits']} AS bucket FROM ({_numbers_sql(STRAT['seed'], _quota * STRAT['splits'])})),
+w AS ({_permuted_sql("SELECT i, bucket, n FROM i JOIN (SELECT DISTINCT bucket, n FROM b) USING (bucket) WHERE i < n", STRAT['seed'], 'bucket')})
 SELECT CAST(lo AS VARCHAR) || '*' || CAST(hi AS VARCHAR) || '=' AS question, lo * hi AS label,
-       CAST(bucket AS INTEGER) AS bucket,
-       {STRAT['n'] // STRAT['splits']} - count(*) OVER (PARTITION BY bucket) AS shortfall FROM r WHERE rn <= {STRAT['n'] // STRAT['splits']}
+       CAST(bucket AS INTEGER) AS bucket, greatest({_quota} - b.n, 0) AS shortfall FROM b JOIN w USING (bucket, t)
 """)
 def q_gen_pairs_mul_stratified(spark, sf):
     return G.gen_pairs_mul_stratified(_orders(spark, sf), [KEY], STRAT["max_value"], STRAT["n"],
@@ -109,9 +126,10 @@ def q_gen_pairs_mul_stratified(spark, sf):
 
 
 def _triple_sql(seed, max_value, n, d_expr="10.0"):
-    canon = f"""SELECT DISTINCT t[1] AS a, t[2] AS b, t[3] AS c
-FROM (SELECT list_sort([x0, x1, x2]) AS t FROM ({_draws_sql(seed, 3, max_value, G.draws_for(G.capacity_of(3, max_value), n))}))"""
-    picked = f"SELECT a, b, c FROM ({canon}) ORDER BY {S.hash_order(seed, 'a', 'b', 'c')}, a, b, c LIMIT {n}"
+    below = lambda c: f"(CAST({c} AS HUGEINT) * ({c} + 1) * ({c} + 2)) // 6"
+    numbers = _tuple_numbers_sql(dict(seed=seed, max_value=max_value, n=n), 3)
+    split = f"SELECT c, CAST(t - {below('c')} AS BIGINT) AS rest FROM (SELECT *, {_last_sql('t', below)} AS c FROM ({numbers}))"
+    picked = f"SELECT lo AS a, hi AS b, CAST(c AS BIGINT) AS c FROM ({_pair_of_sql('rest', ', c')} ({split})))"
     return f"""SELECT concat_ws(',', a, b, c) AS question,
        CAST(CASE WHEN ((1.5::DOUBLE * a + -2.0::DOUBLE * b) + 0.5::DOUBLE * c) - {d_expr} > 0 THEN 1 ELSE 0 END AS INTEGER) AS label
 FROM ({picked})"""

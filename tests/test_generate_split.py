@@ -1,3 +1,6 @@
+import math
+import random
+import struct
 from collections import Counter
 
 import pytest
@@ -7,6 +10,7 @@ from numweave.config import curve_sizes
 from numweave.operators import generate as G
 from numweave.operators import order as O
 from numweave.operators import split as P
+from numweave.operators import unrank as U
 from numweave.functions.numeric import hash_order
 
 
@@ -171,6 +175,86 @@ def test_generators_deliver_n(spark):
     assert G.gen_pairs_mul(src, ["k"], 10, 1000).count() == 66      # fewer pairs than asked: all of them
 
 
+def test_dense_requests_deliver_every_tuple(spark):
+    """n = capacity: every tuple once, whatever the seed."""
+    src = _src(spark, 40)
+    want = {(a, b, c) for a in range(12) for b in range(a, 12) for c in range(b, 12)}
+    for seed in range(12):
+        rows = [tuple(map(int, r.question.split(","))) for r in G.gen_triples_label(src, ["k"], 11, 10_000, seed=seed).collect()]
+        assert len(rows) == len(want) == 364 and set(rows) == want
+    pairs = G.gen_pairs_add(src, ["k"], 30, 496, seed=5).collect()
+    assert {r.question for r in pairs} == {f"{a}+{b}=" for a in range(31) for b in range(a, 31)}
+    assert G.gen_pairs_add(src.limit(0), ["k"], 30, 10).count() == 0
+
+
+def test_bijection_for_many_sizes_and_seeds(spark):
+    """permuted is a bijection of 0 .. n - 1: 100 seeds, and sizes from 1 up."""
+    sizes = spark.range(1, 41).select(F.col("id").alias("n")).unionByName(spark.createDataFrame([(n,) for n in (97, 364, 1000, 4099)], "n bigint"))
+    x = sizes.select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("x"))
+    bad = (x.select("n", U.permuted(F.col("x"), F.col("n"), 3).alias("y")).groupBy("n")
+           .agg(F.count_distinct("y").alias("d"), F.min("y").alias("lo"), F.max("y").alias("hi")).where("d <> n or lo <> 0 or hi <> n - 1"))
+    assert bad.count() == 0
+    seeds = spark.range(100).select(F.col("id").alias("s"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(363).cast("bigint"))).alias("x"))
+    got = seeds.select("s", U.permuted(F.col("x"), F.lit(364).cast("bigint"), "seed", F.col("s")).alias("y")).groupBy("s").agg(F.count_distinct("y").alias("d"))
+    assert got.where("d = 364").count() == 100
+    orders = seeds.where("x < 5").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("x", U.permuted(F.col("x"), F.lit(364).cast("bigint"), "seed", F.col("s"))))).alias("o"))
+    assert orders.select("o").distinct().count() > 90
+
+
+def test_unranking_ends_of_the_range(spark):
+    top = 2_000_000
+    cases = [0, 1, 2, 3, 5, 6, 10**6, 2**53 - 1, 2**53 + 1, 10**17, U.capacity_of(3, top) - 1]
+    df = spark.createDataFrame([(t,) for t in cases], "t bigint")
+    for r in df.select("t", U.sorted_triple(F.col("t")).alias("u"), U.sorted_pair(F.col("t")).alias("p")).collect():
+        x0, x1, x2 = r.u
+        assert 0 <= x0 <= x1 <= x2 <= top
+        assert x2 * (x2 + 1) * (x2 + 2) // 6 + x1 * (x1 + 1) // 2 + x0 == r.t
+        assert 0 <= r.p.lo <= r.p.hi and r.p.hi * (r.p.hi + 1) // 2 + r.p.lo == r.t
+    with pytest.raises(ValueError):
+        U.capacity_of(3, 10**8)
+
+
+def test_stratified_buckets_are_full(spark):
+    """Quota met in every bucket that has the pairs, however thin it is."""
+    top, n, splits = 999, 5000, 50
+    rows = G.gen_pairs_mul_stratified(_src(spark, 700), ["k"], top, n, splits, seed=2).collect()
+    width = (top * top + 1) // splits
+    have = Counter(min(a * b // width, splits - 1) for a in range(top + 1) for b in range(a, top + 1))
+    got = Counter(r.bucket for r in rows)
+    assert got == {j: min(n // splits, have[j]) for j in range(splits)}
+    assert len({r.question for r in rows}) == len(rows)
+    for r in rows:
+        a, b = map(int, r.question[:-1].split("*"))
+        assert 0 <= a <= b <= top and r.label == a * b and r.bucket == min(a * b // width, splits - 1) and r.shortfall == max(0, n // splits - have[r.bucket])
+
+
+def test_stratified_at_a_large_range(spark):
+    """The thin top buckets of a large range are full, too."""
+    rows = G.gen_pairs_mul_stratified(_src(spark, 3000), ["k"], 99_999, 10_000, 100, seed=3)
+    got = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("question").alias("d"), F.max("shortfall").alias("s")).collect()
+    assert len(got) == 100 and all(r.n == r.d == 100 and r.s == 0 for r in got)
+
+
+def test_order_key_orders_doubles(spark):
+    rng = random.Random(1)
+    values = [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(3000)]
+    values += [0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), float("-inf"), 1.0, 2.0, 0.5]
+    values += [2.0 ** e for e in range(-1074, 1024)] + [math.nextafter(2.0 ** e, 0) for e in range(-1022, 1024)] + [-(2.0 ** e) for e in range(-30, 30)]
+    values = [v for v in values if v == v]
+    keys = spark.createDataFrame([(v,) for v in values], "v double").select("v", G.order_key(F.col("v")).alias("k")).collect()
+    keys.sort(key=lambda r: r.v)
+    assert all((x.v == y.v and x.k == y.k) or (x.v < y.v and x.k < y.k) for x, y in zip(keys, keys[1:]))
+
+
+def test_median_of_outliers_and_heavy_values(spark):
+    outlier = spark.range(20001).select(F.when(F.col("id") == 7, 1e300).otherwise(F.col("id") / 1e6).alias("score"))
+    assert G.exact_median(outlier).first()[0] == 10001 / 1e6
+    heavy = spark.range(30000).select(F.when(F.col("id") % 3 > 0, 0.25).otherwise(F.col("id").cast("double")).alias("score"))
+    assert G.exact_median(heavy).first()[0] == 0.25
+    assert G.exact_median(heavy.where("false")).first()[0] is None
+    assert G.exact_median(spark.createDataFrame([(-0.0,), (0.0,), (float("-inf"),), (3.0,)], "score double")).first()[0] == 0.0
+
+
 def test_exact_median(spark):
     for values in ([5.0], [1.0, 2.0], [3.0, 3.0, 3.0, 9.0], [float(i * i) for i in range(101)], [-1e9, 0.25, 0.5, 1e9], [2.0, None, 7.0]):
         d = G.exact_median(spark.createDataFrame([(v,) for v in values], "score double")).first()[0]
