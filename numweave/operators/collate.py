@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import BATCH_SIZE, IGNORE_INDEX, MAX_LENGTH
 from ..functions.numeric import hash_order
+from .gather import gather
 
 
 def collate_batch_id(indexed: DataFrame, idx: str = "idx", batch_size: int = BATCH_SIZE,
@@ -98,4 +99,4 @@ def pool_last_token_long(states: DataFrame, key_cols, pos_col: str, last: DataFr
     keys = list(key_cols)
     picked = last.join(states, [last[k] == states[k] for k in keys] + [states[pos_col] == last["last_pos"]], "left") \
         .select(*[last[k] for k in keys], "last_pos", id_col)
-    return picked.join(vectors.select(id_col, vector_col), id_col, "left").select(*keys, "last_pos", vector_col)
+    return gather(picked, id_col, vectors, vector_col, keys).select(*keys, "last_pos", vector_col)

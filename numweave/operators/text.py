@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import NUM_TOKEN, PAD_TOKEN
 from ..functions import text as T
-from ..functions.numeric import hash_order
+from .gather import gather
 
 
 def explode_numbers(df: DataFrame, key_cols, text_col: str, signed: bool = False) -> DataFrame:
@@ -110,21 +110,16 @@ def vocab_build(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     """(token, id, freq): specials first ([PAD]=0, [NUM]=1), then tokens by
     frequency desc, token asc. The token table is aggregated with map-side
     combine; ids are a distributed global rank over the distinct vocabulary
-    (range-partitioned sort, no single-task window)."""
+    (range-partitioned sort, no single-task window), which pins the result
+    once: reading it again costs no further pass over the corpus."""
     from .order import global_rank
 
-    spark = tokens.sparkSession
-    # the frequency table is read twice below (ranking, special counts):
-    # materialise it once instead of re-aggregating the corpus
-    freq = tokens.groupBy(F.col(token_col).alias("token")).agg(F.count(F.lit(1)).alias("freq"))
-    freq = freq.checkpoint(eager=True)
-    specials = spark.createDataFrame([(PAD_TOKEN, 0), (NUM_TOKEN, 1)], "token string, rank int")
-    regular = freq.join(F.broadcast(specials), "token", "left_anti")
-    regular = global_rank(regular, [F.desc("freq"), F.asc("token")], out="id", start=2)
-    regular = regular.withColumn("id", F.col("id").cast("int"))
-    special_rows = specials.join(freq, "token", "left").select(
-        "token", F.col("rank").alias("id"), F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq"))
-    return special_rows.unionByName(regular.select("token", "id", "freq"))
+    specials = tokens.sparkSession.createDataFrame([(PAD_TOKEN, 0), (NUM_TOKEN, 0)], "token string, n int")
+    counted = tokens.select(F.col(token_col).alias("token"), F.lit(1).alias("n")).unionByName(specials)
+    freq = counted.groupBy("token").agg(F.sum("n").cast("bigint").alias("freq"))
+    place = F.when(F.col("token") == PAD_TOKEN, 0).when(F.col("token") == NUM_TOKEN, 1).otherwise(2)
+    ranked = global_rank(freq, [place, F.desc("freq"), F.asc("token")], out="id")
+    return ranked.select("token", F.col("id").cast("int").alias("id"), "freq")
 
 
 HEAD_VOCAB_IDS = 65_536
@@ -132,43 +127,59 @@ HEAD_VOCAB_IDS = 65_536
 
 def encode_token_ids(df: DataFrame, key_cols, tokens_col: str, vocab: DataFrame, unknown_id: int = -1,
                      out: str = "input_ids", max_positions: int | None = None, carry=()) -> DataFrame:
-    """tokens -> ids, order kept. Exploded, looked up, then regrouped with
-    ``array_sort`` over (pos, id) structs. Ids follow the frequency, so the
-    head of the vocabulary (a fixed number of ids) covers most positions: it
-    is broadcast, which also keeps the hot tokens out of any shuffle; the tail
-    joins by token. Both joins run at every size.
+    """tokens -> ids, order kept; ``vocab``: token, id (a pinned table).
+
+    Ids follow the frequency, so the head of the vocabulary (a fixed number of
+    ids) covers most positions. It is broadcast and looked up where the tokens
+    are; a document's ids are put together in the same task, and only its
+    finished array is shuffled. What the head does not hold is few and rare: it
+    alone is joined to the tail by token, grouped by document and merged into
+    the array. A vocabulary that is all head has no such second part.
 
     Rows with NULL or no tokens stay, with an empty array. ``max_positions``:
     only positions below it are looked up (the caller cuts there anyway);
-    ``n_tokens`` then carries the full length. ``carry``: small scalar
-    row-level columns brought through the same shuffle (attached to the first
-    row of a key only)."""
+    ``n_tokens`` then carries the full length. ``carry``: row-level columns
+    brought along (attached to the first position of a key only)."""
     keys, carry = list(key_cols), list(carry)
-    head = F.broadcast(vocab.filter(F.col("id") < HEAD_VOCAB_IDS).select("token", F.col("id").alias("_head")))
-    tail = vocab.filter(F.col("id") >= HEAD_VOCAB_IDS).select(F.col("token").alias("_tail_token"), F.col("id").alias("_tail"))
+    head = F.broadcast(vocab.filter(F.col("id") < HEAD_VOCAB_IDS).select("token", F.col("id").alias("_id")))
     cut = F.col(tokens_col) if max_positions is None else F.slice(F.col(tokens_col), 1, max_positions)
     exploded = (df.select(*keys, *carry, F.greatest(F.size(tokens_col), F.lit(0)).alias("_n"), F.posexplode_outer(cut).alias("pos", "token"))
                 .select(*keys, "pos", "token", "_n",
                         *[F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col(c)).alias(c) for c in carry]))
     known = exploded.join(head, "token", "left")
-    rare = F.when(F.col("_head").isNull(), F.col("token"))       # NULL keys of the others match nothing
-    joined = (known.withColumn("_rare", rare).join(tail, F.col("_rare") == F.col("_tail_token"), "left")
-              .withColumn("id", F.coalesce("_head", "_tail", F.lit(unknown_id))))
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))
-    aggs = [F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["id"]).alias(out)]
+    has_tail = not vocab.filter(F.col("id") >= HEAD_VOCAB_IDS).isEmpty()
+    aggs = [F.first(c, ignorenulls=True).alias(c) for c in carry]
     if max_positions is not None:
         aggs.append(F.max("_n").alias("n_tokens"))
-    aggs += [F.first(c, ignorenulls=True).alias(c) for c in carry]
-    return joined.groupBy(*keys).agg(*aggs)
+    rest = [*(["n_tokens"] if max_positions is not None else []), *carry]
+
+    def ids_of(entries):
+        return F.transform(F.array_sort(entries), lambda s: s["id"]).alias(out)
+
+    if not has_tail:
+        entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(unknown_id)).alias("id")))
+        grouped = known.groupBy(*keys).agg(F.collect_list(entry).alias("_known"), *aggs)
+        return grouped.select(*keys, ids_of(F.col("_known")), *rest)
+    found = F.when(F.col("_id").isNotNull(), F.struct("pos", F.col("_id").alias("id")))
+    open_ = F.when(F.col("_id").isNull() & F.col("pos").isNotNull(), F.struct("pos", "token"))
+    grouped = known.groupBy(*keys).agg(F.collect_list(found).alias("_known"), F.collect_list(open_).alias("_open"), *aggs).checkpoint()
+    tail = vocab.filter(F.col("id") >= HEAD_VOCAB_IDS).select("token", F.col("id").alias("_id"))
+    late = (grouped.select(*keys, F.explode("_open").alias("o")).select(*keys, "o.pos", "o.token").join(tail, "token", "left")
+            .groupBy(*keys).agg(F.collect_list(F.struct("pos", F.coalesce("_id", F.lit(unknown_id)).alias("id"))).alias("_late")))
+    late = late.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_late")
+    same = [grouped[k].eqNullSafe(late[f"_k{i}"]) for i, k in enumerate(keys)]
+    merged = F.when(F.col("_late").isNull(), F.col("_known")).otherwise(F.concat("_known", "_late"))
+    return grouped.drop("_open").join(late, same, "left").select(*keys, ids_of(merged), *rest)
 
 
 def lookup_token_vectors(df: DataFrame, key_cols, ids_col: str, vectors: DataFrame, id_col: str, vec_col: str,
                          broadcast_vectors: bool = False) -> DataFrame:
     """Embedding gather in table form: one row per (key, pos) with its token id
-    and vector (NULL when the id has none). The vector table is joined by id;
-    it is broadcast only when the caller vouches for its size (a vocabulary of
-    wide vectors can be large), otherwise AQE picks the strategy."""
+    and vector (NULL when the id has none). The vector table is broadcast only
+    when the caller vouches for its size (a vocabulary of wide vectors can be
+    large); otherwise ``gather`` joins it, frequent ids dealt over copies."""
     keys = list(key_cols)
     exploded = df.select(*keys, F.posexplode_outer(ids_col).alias("pos", id_col))     # keys without tokens stay
-    v = vectors.select(id_col, vec_col)
-    return exploded.join(F.broadcast(v) if broadcast_vectors else v, id_col, "left")
+    if broadcast_vectors:
+        return exploded.join(F.broadcast(vectors.select(id_col, vec_col)), id_col, "left")
+    return gather(exploded, id_col, vectors, vec_col, [*keys, "pos"])

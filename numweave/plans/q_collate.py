@@ -26,20 +26,17 @@ def _docs_tok(spark, sf):
     return X.tokenize_masked(d, "text").withColumn("numbers", T.extract_numbers("text")).drop("text")
 
 
-def _vocab(tok, materialize: bool = False):
-    v = X.vocab_build(tok.select(F.explode("tokens").alias("token")))
-    # the id lookup reads the vocabulary twice (head and tail): pin it once
-    return v.checkpoint(eager=True) if materialize else v
+def _vocab(tok):
+    return X.vocab_build(tok.select(F.explode("tokens").alias("token")))
 
 
 def _ids(spark, sf):
     """ids of the first MAX_LENGTH positions (the cut drops the rest), the
-    full token count and the numbers, in one shuffle."""
+    full token count and the numbers that these positions can take, in one
+    shuffle of one row per document."""
     tok = _docs_tok(spark, sf)
-    ids = X.encode_token_ids(tok.select("doc_id", "tokens"), ["doc_id"], "tokens", _vocab(tok, True), out="ids",
-                             max_positions=MAX_LENGTH)
-    # numbers join back per document (one row each) rather than riding on every token row
-    return ids.join(tok.select("doc_id", "numbers"), "doc_id")
+    return X.encode_token_ids(tok.withColumn("numbers", F.slice("numbers", 1, MAX_LENGTH)), ["doc_id"], "tokens", _vocab(tok), out="ids",
+                              max_positions=MAX_LENGTH, carry=["numbers"])
 
 
 def _batches(spark, sf):
@@ -82,7 +79,7 @@ def q_vocab_build(spark, sf):
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_ids, md5(array_to_string(ids, ',')) AS ids_md5 FROM ids""")
 def q_encode_token_ids(spark, sf):
     tok = _docs_tok(spark, sf)
-    ids = X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok, True), out="ids")
+    ids = X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok), out="ids")
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
                       F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
@@ -94,7 +91,7 @@ FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN v ON v.token = t.token LEFT
 GROUP BY d.doc_id""")
 def q_lookup_token_vectors(spark, sf):
     tok = _docs_tok(spark, sf)
-    ids = X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok, True), out="ids")
+    ids = X.encode_token_ids(tok, ["doc_id"], "tokens", _vocab(tok), out="ids").checkpoint()     # read for the counts and for the gather
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     vecs = X.lookup_token_vectors(ids, ["doc_id"], "ids", emb, "id", "embedding")
     return vecs.groupBy("doc_id").agg(
@@ -202,7 +199,7 @@ def q_collate_loss_labels(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
     d = X.concat_question_label(d, "text", F.col("n_chars").cast("double"), out="full")
     d = X.question_len(d, "text", out="qlen").withColumn("tokens", T.tokenize("full"))
-    vocab = _vocab(d, True)
+    vocab = _vocab(d)
     ids = X.encode_token_ids(d, ["doc_id"], "tokens", vocab, out="ids", max_positions=MAX_LENGTH, carry=["qlen"])
     ids = ids.join(_batches(spark, sf), "doc_id")
     c = C.collate_loss_labels(C.collate_pad(ids, "ids", PAD_ID, length_col="n_tokens"), "input_ids", "qlen", PAD_ID)
