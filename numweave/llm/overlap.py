@@ -52,6 +52,7 @@ from .words import mix, shingle_hashes, word_hashes
 SHINGLE = 5
 GROUPS = 128                   # coordinates of a point
 LEAF, BRANCH = 16, 8           # points of a leaf, children of a node
+HELD = 128                     # sets of a place that a task holds at a time, twice
 TILE = 2048                    # points of a subtree that one task holds at a time, twice
 SAMPLE = 10_000                # documents looked at for repeated shingles, about
 REPEATED = 400_000             # repeated shingles the order puts last, at most
@@ -134,25 +135,26 @@ def sketch(docs: DataFrame, key: str, text: str, repeated: np.ndarray) -> DataFr
     return rows_of(docs, key, text).mapInArrow(run, f"key {kind}, th bigint, size bigint, same binary, point binary, first array<bigint>")
 
 
-def shingle_rows(rows: DataFrame) -> DataFrame:
-    """The rows of (.., text) with the text replaced by s, its set as bytes."""
-    names = [c for c in rows.columns if c != "text"]
-    at = rows.columns.index("text")
-
+def contents(found: DataFrame) -> DataFrame:
+    """place, i, j, node, s: the set of every node of (node, at, text) once for
+    every place it is wanted at; repeated rows of a task count once."""
     def run(batches):
+        seen = set()
         for batch in batches:
-            texts, row = batch.column(at).to_pylist(), 0
+            nodes = batch.column(0).to_pylist()
+            fresh = [k for k, x in enumerate(nodes) if not (x in seen or seen.add(x))]
+            texts, row = [batch.column(2)[k].as_py() for k in fresh], 0
             for group in chunks(texts, CHUNK_CHARS):
                 own, s = sets(group)
-                cut = np.searchsorted(own, np.arange(len(group) + 1)).tolist()
-                raw = s.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i).slice(row, len(group)) for i in range(batch.num_columns) if i != at],
-                     pa.array([raw[8 * a:8 * b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=[*names, "s"])
+                cut, raw = np.searchsorted(own, np.arange(len(group) + 1)).tolist(), s.tobytes()
+                out = []
+                for k, a, b in zip(fresh[row:row + len(group)], cut[:-1], cut[1:]):
+                    out += [(x["place"], x["i"], x["j"], nodes[k], raw[8 * a:8 * b]) for x in batch.column(1)[k].as_py()]
                 row += len(group)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [*[pa.int64()] * 4, pa.binary()])],
+                                                 names=["place", "i", "j", "node", "s"])
 
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{kinds}, s binary")
+    return found.select("node", "at", "text").mapInArrow(run, "place bigint, i bigint, j bigint, node bigint, s binary")
 
 
 def repeated_shingles(docs: DataFrame, key: str, text: str) -> np.ndarray:
@@ -263,14 +265,19 @@ def tree_links(node: np.ndarray, point: np.ndarray, size: np.ndarray, root: np.n
         yield node[left[p]], node[right[q]], bound / (size[left[p]] + size[right[q]])
 
 
-def _pairs_batch(parts: list) -> pa.RecordBatch:
+PAIRS = "a bigint, b bigint, place bigint, score double"
+
+
+def _pairs_batch(parts: list, place) -> pa.RecordBatch:
+    """place: one number for all pairs, or one each."""
     a, b, score = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3))
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64)),
-                                       pa.array(score.astype(np.float64))], names=["a", "b", "score"])
+                                       pa.array(np.broadcast_to(np.asarray(place, np.int64), len(a))), pa.array(score.astype(np.float64))],
+                                      names=["a", "b", "place", "score"])
 
 
 def subtree_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """a, b, score: candidates across components, from the subtrees (bucket, n,
+    """a, b, place, score: candidates across components, from the subtrees (bucket, n,
     node) that hold several."""
     rows = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = (rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -292,7 +299,7 @@ def subtree_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame) -> Da
             if root.min() == root.max():
                 return None
             parts = list(tree_links(node, point, size, root, own))
-            return _pairs_batch(parts) if parts else None
+            return _pairs_batch(parts, key[0]) if parts else None
 
         for batch in batches:
             if not batch.num_rows:
@@ -314,64 +321,83 @@ def subtree_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame) -> Da
             yield out
 
     return (rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-            .mapInArrow(run, "a bigint, b bigint, score double").groupBy("a", "b").agg(F.max("score").alias("score")))
+            .mapInArrow(run, PAIRS).groupBy("a", "b").agg(F.min("place").alias("place"), F.max("score").alias("score")))
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b, score of the pairs whose points may link."""
+    """The pairs (a, b, place) whose points may link, with their score."""
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, GROUPS) for k in (2, 3))
-            size_a, size_b = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, GROUPS) for k in (3, 4))
+            size_a, size_b = batch.column(5).to_numpy(), batch.column(6).to_numpy()
             bound = bounds(x, y)
             good = may_link(bound, size_a, size_b)
-            yield _pairs_batch([(batch.column(0).to_numpy()[good], batch.column(1).to_numpy()[good], (bound / (size_a + size_b))[good])])
+            yield _pairs_batch([(batch.column(0).to_numpy()[good], batch.column(1).to_numpy()[good], (bound / (size_a + size_b))[good])],
+                               batch.column(2).to_numpy()[good])
 
     def of(side):
         return nodes.select(F.col("node").alias(side), F.col("point").alias(f"p_{side}"), F.col("size").alias(f"s_{side}"))
 
-    return (pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "p_a", "p_b", "s_a", "s_b")
-            .mapInArrow(run, "a bigint, b bigint, score double"))
+    return (pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "place", "p_a", "p_b", "s_a", "s_b")
+            .mapInArrow(run, PAIRS))
 
 
 def verifier(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> Callable[[DataFrame], DataFrame]:
-    """Keeps the pairs (a, b) of nodes whose exact sets link."""
+    """Keeps the pairs (a, b, place) of nodes whose exact sets link.
+
+    Pairs of one place (a subtree, or the member that all are compared with)
+    mostly share their nodes, so sets travel once per place and not per pair;
+    the nodes of a large place are dealt into blocks of about HELD.
+    """
     def run(batches):
+        held, place = {}, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                keep.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * (len(x) + len(y)))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            a, b, keep = batch.column(4).to_pylist(), batch.column(5), []
+            spots = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            for k, (spot, x) in enumerate(zip(spots, a)):
+                if spot != place:
+                    held, place = {}, spot
+                if not batch.column(3)[k].as_py():                   # a set; those of a place come before its pairs
+                    held[x] = np.frombuffer(batch.column(6)[k].as_py(), np.uint64)
+                    continue
+                y = b[k].as_py()
+                both = np.concatenate([held[x], held[y]])
+                size = len(both)
+                both.sort(kind="stable")
+                if 9 * int((both[1:] == both[:-1]).sum()) >= 4 * size:
+                    keep.append((x, y))
+            x, y = zip(*keep) if keep else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = wanted.join(nodes.select("node", "head.key", "head.th"), "node")
-        found = fetched(rows_of(docs, key, text), wanted, ["key", "th"]).select("node", "text")
-        contents = written(shingle_rows(found).groupBy("node").agg(F.first("s").alias("s")), "sets")
-
-        def of(side):
-            return contents.select(F.col("node").alias(side), F.col("s").alias(f"s_{side}"))
-
-        return (pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b")
+        ends = pairs.select("place", F.explode(F.array("a", "b")).alias("node")).distinct()
+        parts = written(ends.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / HELD).alias("parts")), "places")
+        part = [F.pmod(F.xxhash64(c), F.col("parts")) for c in ("a", "b")]
+        dealt = written(pairs.join(parts, "place").select("place", F.least(*part).alias("i"), F.greatest(*part).alias("j"), "a", "b"), "dealt")
+        wanted = (dealt.select(F.explode(F.array("a", "b")).alias("node"), F.struct("place", "i", "j").alias("at")).distinct()
+                  .groupBy("node").agg(F.collect_list("at").alias("at")).join(nodes.select("node", "head.key", "head.th"), "node"))
+        held = contents(fetched(rows_of(docs, key, text), wanted, ["key", "th"], 256))
+        none = F.lit(None)
+        rows = (held.select("place", "i", "j", F.lit(0).alias("pair"), F.col("node").alias("a"), none.cast("bigint").alias("b"), "s")
+                .unionByName(dealt.select("place", "i", "j", F.lit(1).alias("pair"), "a", "b", none.cast("binary").alias("s"))))
+        return (rows.repartition("place", "i", "j").sortWithinPartitions("place", "i", "j", "pair")
                 .mapInArrow(run, "a bigint, b bigint"))
 
     return verify
 
 
 def settled(pairs: DataFrame, groups: DataFrame | None, verify) -> DataFrame:
-    """Components (node, root) after all pairs (a, b, score): first the best
+    """Components (node, root) after all pairs (a, b, place, score): first the best
     pair of every component, then the pairs that still lie between two."""
     def rooted(p):
         if groups is None:
-            return p.select("a", "b", "score", F.col("a").alias("ra"), F.col("b").alias("rb"))
+            return p.select("a", "b", "place", "score", F.col("a").alias("ra"), F.col("b").alias("rb"))
+
         def of(side):
             return groups.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
 
         return (p.join(of("a"), "a", "left").join(of("b"), "b", "left")
-                .select("a", "b", "score", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")))
+                .select("a", "b", "place", "score", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")))
 
     def merged(links):
         if groups is not None:
@@ -379,11 +405,11 @@ def settled(pairs: DataFrame, groups: DataFrame | None, verify) -> DataFrame:
         return components(links)
 
     between = written(rooted(pairs).where("ra <> rb"), "pairs")
-    best = F.max_by(F.struct("a", "b"), F.struct("score", "a", "b"))
-    picks = [between.groupBy(F.col(r)).agg(best.alias("p")).select("p.a", "p.b") for r in ("ra", "rb")]
+    best = F.max_by(F.struct("a", "b", "place"), F.struct("score", "a", "b"))
+    picks = [between.groupBy(F.col(r)).agg(best.alias("p")).select("p.*") for r in ("ra", "rb")]
     first = written(picks[0].unionByName(picks[1]).distinct(), "first-pairs")
     groups = merged(written(verify(first), "links"))
-    rest = written(rooted(between.select("a", "b", "score").join(first, ["a", "b"], "left_anti")).where("ra <> rb").select("a", "b"), "pairs")
+    rest = written(rooted(between.select("a", "b", "place", "score").join(first, ["a", "b"], "left_anti")).where("ra <> rb").select("a", "b", "place"), "pairs")
     if rest.isEmpty():
         return groups
     links = written(verify(rest), "links")
@@ -403,7 +429,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                      .where("n > 1").select("bucket", "n", F.col("h.node").alias("hub")), "shared")
     members = written(buckets.join(shared, "bucket"), "members")
     verify = verifier(docs, nodes, key, text)
-    pairs = members.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs = (members.where("node <> hub").groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+             .agg(F.min("hub").alias("place")))
     groups = written(settled(near_pairs(pairs, nodes), None, verify), "groups")
     across = subtree_pairs(members.where("n > 2").select("bucket", "n", "node"), nodes, groups)
     groups = settled(across.join(pairs, ["a", "b"], "left_anti"), groups, verify)
