@@ -128,39 +128,6 @@ def periodic_features(x: str, periods, dim: int, shift: str | None = None, mask_
     return f"CASE WHEN {x} <> 0 THEN {vec} ELSE array_repeat(0D, {dim}) END"
 
 
-def py_float_str(x: str) -> str:
-    """Python ``str(float)`` (see functions.text.py_float_str); ``x`` should
-    be a cheap expression (it is referenced in several branches)."""
-    a = f"abs({x})"
-
-    def pick(r):
-        t = (f"CASE WHEN cast({r}.p14 as double) = {a} THEN {r}.p14 "
-             f"WHEN cast({r}.p15 as double) = {a} THEN {r}.p15 ELSE {r}.p16 END")
-
-        def layout(pp):
-            dg, e = f"{pp}.d", f"{pp}.e"
-            n = f"length({dg})"
-            ae = f"cast(abs({e}) as string)"
-            sci = (f"concat(substr({dg}, 1, 1), CASE WHEN {n} > 1 THEN concat('.', substr({dg}, 2, {n})) ELSE '' END, "
-                   f"CASE WHEN {e} < 0 THEN 'e-' ELSE 'e+' END, CASE WHEN length({ae}) < 2 THEN concat('0', {ae}) "
-                   f"ELSE {ae} END)")
-            small = f"concat('0.', repeat('0', -{e} - 1), {dg})"
-            large = (f"CASE WHEN {n} <= {e} + 1 THEN concat({dg}, repeat('0', {e} + 1 - {n}), '.0') "
-                     f"ELSE concat(substr({dg}, 1, {e} + 1), '.', substr({dg}, {e} + 2, {n})) END")
-            return f"CASE WHEN {e} < -4 THEN {sci} WHEN {e} < 0 THEN {small} WHEN {e} < 16 THEN {large} ELSE {sci} END"
-
-        parts = (f"named_struct('d', TRIM(TRAILING '0' FROM replace(substring_index({t}, 'e', 1), '.', '')), "
-                 f"'e', cast(substring_index({t}, 'e', -1) as int))")
-        return let(parts, layout)
-
-    cands = ("named_struct(" + ", ".join(f"'p{p}', format_string('%.{p}e', {a})" for p in (14, 15, 16)) + ")")
-    relaid = f"concat(CASE WHEN {x} < 0 THEN '-' ELSE '' END, {let(cands, pick)})"
-    return (f"CASE WHEN {x} IS NULL THEN CAST(NULL AS STRING) WHEN isnan({x}) THEN 'nan' "
-            f"WHEN {a} = double('Infinity') THEN CASE WHEN {x} > 0 THEN 'inf' ELSE '-inf' END "
-            f"WHEN {a} = 0D OR ({a} >= 0.001D AND {a} < 10000000.0D) THEN cast({x} as string) "
-            f"ELSE {relaid} END")
-
-
 TWO_63 = "9.223372036854775807E18D"
 
 

@@ -44,73 +44,22 @@ def is_numeric_text(text) -> Column:
     return _c(text).rlike(NUMERIC_TEXT)
 
 
-def _python_layout(digits: Column, e: Column) -> Column:
-    """Digits (no trailing zeros) and decimal exponent -> Python float text
-    (without sign): fixed point for exponents in [-4, 16), else d.ddde+XX."""
-    n = F.length(digits)
-    fixed_small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-    fixed_large = F.when(n <= e + 1, F.concat(digits, F.repeat(F.lit("0"), e + 1 - n), F.lit(".0"))).otherwise(
-        F.concat(digits.substr(F.lit(1), e + 1), F.lit("."), digits.substr(e + 2, n)))
-    ae = F.abs(e).cast("string")
-    sci = F.concat(digits.substr(F.lit(1), F.lit(1)),
-                   F.when(n > 1, F.concat(F.lit("."), digits.substr(F.lit(2), n))).otherwise(F.lit("")),
-                   F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")),
-                   F.when(F.length(ae) < 2, F.concat(F.lit("0"), ae)).otherwise(ae))
-    return F.when(e < -4, sci).when(e < 0, fixed_small).when(e < 16, fixed_large).otherwise(sci)
-
-
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` (a one-element
-    ``transform``), so repeated references do not duplicate generated code."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _py_float_str_columns(x) -> Column:
-    """Python ``str(float)`` of a DOUBLE column.
-
-    Spark's cast yields the shortest round-trip digits laid out like Python
-    for 1e-3 <= |x| < 1e7 (the common case, a plain cast). Outside that range
-    the shortest of the 15/16/17-significant-digit renderings that
-    round-trips is re-laid out the Python way (Java 17's ``toString`` can
-    emit a non-shortest 17th digit for very large values).
-    """
-    x = _c(x).cast("double")
-    s = x.cast("string")
-    a = F.abs(x)
-    cands = F.struct(*[F.format_string(f"%.{p}e", a).alias(f"p{p}") for p in (14, 15, 16)])
-
-    def pick(r):
-        t = F.when(r["p14"].cast("double") == a, r["p14"]).when(r["p15"].cast("double") == a, r["p15"]) \
-            .otherwise(r["p16"])
-        parts = F.struct(F.rtrim(F.regexp_replace(F.substring_index(t, "e", 1), r"\.", ""), F.lit("0")).alias("d"),
-                         F.substring_index(t, "e", -1).cast("int").alias("e"))
-        return _let(parts, lambda q: _python_layout(q["d"], q["e"]))
-
-    relaid = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), _let(cands, pick))
-    return (
-        F.when(x.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(x), F.lit("nan"))
-        .when(a == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when((a == 0.0) | ((a >= 1e-3) & (a < 1e7)), s)
-        .otherwise(relaid)
-    )
-
-
 def py_float_str_sql(expr: str) -> Column:
     """Python float text of a Spark SQL expression (parsed in one call)."""
-    from .sqlexpr import py_float_str as _sql
+    from .floattext import py_float_str as text_of
 
-    return F.expr(_sql(f"({expr})"))
+    return F.expr(text_of(f"({expr})"))
 
 
 def py_float_str(x) -> Column:
-    """Python ``str(float)`` of a DOUBLE column (name or Column). Column names
-    take the one-call SQL-text path; other Columns use the Column API form."""
+    """Python ``str(float)`` of a DOUBLE column (name or Column)."""
     if isinstance(x, str):
         from .sqlexpr import q
 
         return py_float_str_sql(f"cast({q(x)} as double)")
-    return _py_float_str_columns(x)
+    from .floattext import py_float_str as text_of
+
+    return F.get(F.call_function("transform", F.array(_c(x).cast("double")), F.expr(f"x0 -> {text_of('x0')}")), F.lit(0))
 
 
 def value_text(c, dtype: str) -> Column:

@@ -1,5 +1,6 @@
 import math
 import random
+import struct
 
 from pyspark.sql import functions as F
 
@@ -39,8 +40,12 @@ def test_py_float_str_matches_python(spark):
             float("nan"), float("inf"), float("-inf")]
     vals += [random.uniform(-1e6, 1e6) for _ in range(300)]
     vals += [random.uniform(-1, 1) * 10 ** random.randint(-10, 15) for _ in range(300)]
+    vals += [struct.unpack("<d", struct.pack("<Q", random.getrandbits(64)))[0] for _ in range(20000)]         # any bit pattern
+    vals += [math.ldexp(1.0, e) for e in range(-1074, 1024)] + [math.nextafter(math.ldexp(1.0, e), 0) for e in range(-1022, 1024)]
+    vals += [float(c) * 5e-324 for c in range(1, 300)] + [float(f"{m}e{e}") for e in range(-323, 308, 7) for m in (1, 2, 9.5)]
+    vals += [2e23, 1e23, 123456789012345680.0, 2e-3, 9999999.999999998, 1.7976931348623157e308]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    for col in (T.py_float_str("x"), T._py_float_str_columns(F.col("x"))):
+    for col in (T.py_float_str("x"), T.py_float_str(F.col("x") * 1.0)):
         out = [r.s for r in df.select(col.alias("s")).collect()]
         for v, s in zip(vals, out):
             assert s == str(v), (v, s)
