@@ -2,9 +2,9 @@
 
 Every metric is an aggregate with map-side partial aggregation: a hot run
 (a third of all rows) is pre-aggregated in every task before the shuffle, so
-no task ever holds a whole group. ``eval_report`` computes all metrics of a
-method in one ``groupBy(run)`` plus the batch-mean loss (mean of per-batch
-means, as the reference averages its loader's batch losses).
+no task ever holds a whole group. ``eval_reports`` computes all metrics of all
+methods, the batch-mean loss included (mean of per-batch means, as the
+reference averages its loader's batch losses), in one pass over the rows.
 """
 
 from __future__ import annotations
@@ -147,14 +147,6 @@ def agg_r2(df: DataFrame, group_cols, label="label", pred="prediction", zero_var
     return df.groupBy(*group_cols).agg(_r2(sse, _tv(y), F.count(y), zero_variance).alias("r2"))
 
 
-def agg_r2_numeric_only(df: DataFrame, group_cols, label_text="label_text", pred_text="pred_text") -> DataFrame:
-    ok = T.is_numeric_text(_strip(pred_text))
-    y = F.when(ok, _strip(label_text).cast("double"))
-    p = F.when(ok, _strip(pred_text).cast("double"))
-    sse = F.sum(F.pow(p - y, 2))
-    return df.groupBy(*group_cols).agg(_r2(sse, _tv(y), F.count(y), "nan").alias("r2"))
-
-
 def agg_loss_batch_mean(df: DataFrame, group_cols, batch_col="batch_id", loss_col="loss") -> DataFrame:
     """Mean over batches of the per-batch mean loss (a partial last batch
     weighs as much as a full one)."""
@@ -165,112 +157,103 @@ def agg_loss_batch_mean(df: DataFrame, group_cols, batch_col="batch_id", loss_co
 METHODS = ("periodic", "logscale", "digits", "regular")
 
 
-def _row_features(df: DataFrame, group_cols, method: str, fmt: NumberFormat, label, pred, label_text,
-                  pred_text, batch_col, loss_col) -> DataFrame:
-    """Per-row metric inputs, each computed once, before the aggregate."""
-    keep = list(group_cols) + ([batch_col, loss_col] if loss_col else [])
-    if method == "regular":
-        d = df.select(*keep, _strip(label_text).alias("_a"), _strip(pred_text).alias("_b"))
-        ok = T.is_numeric_text("_b")
-        return d.select(
-            *keep,
-            F.when(F.col("_a") == F.col("_b"), 1.0).otherwise(0.0).alias("_acc"),
-            char_padded_matches("_a", "_b").alias("_hit"),
-            F.greatest(F.length("_a"), F.length("_b")).alias("_len"),
-            F.when(ok, F.col("_a").cast("double")).alias("_y"),
-            F.when(ok, F.col("_b").cast("double")).alias("_p"))
-    tol = LOG_METHOD_TOLERANCE if method == "logscale" else fmt.tolerance
-    y, p = _c(label), _c(pred)
-    if method == "digits":
-        hit = digit_matches(label, pred, fmt) if isinstance(label, str) and isinstance(pred, str) \
-            else digit_matches(y, p, fmt)
-        length = F.lit(fmt.n_digits)
-        d = df
-    else:
-        lt = T.py_float_str(label) if isinstance(label, str) else T.py_float_str(y)
-        pt = T.py_float_str(pred) if isinstance(pred, str) else T.py_float_str(p)
-        d = df.select(*keep, y.alias("_y"), p.alias("_p"), lt.alias("_lt"), pt.alias("_pt"))
-        y, p = F.col("_y"), F.col("_p")
-        hit, length = char_prefix_matches("_lt", "_pt"), F.length("_lt")
-    return d.select(
-        *keep,
-        F.when(within_tolerance(y, p, tol), 1.0).otherwise(0.0).alias("_acc"),
-        hit.alias("_hit"), length.alias("_len"), y.alias("_y"), p.alias("_p"))
+def _text(c) -> Column:
+    return T.py_float_str(c)
+
+
+def _features(df: DataFrame, keys, methods, fmt: NumberFormat, label, pred, label_text, pred_text, batch, loss) -> DataFrame:
+    """Per-row inputs of all metrics, each computed once: _acc, _hit, _len of
+    every method; _y, _p (numbers) and _ry, _rp (numbers read from texts)."""
+    numeric, regular = any(m != "regular" for m in methods), "regular" in methods
+    prefix = "periodic" in methods or "logscale" in methods
+    base = df.select(*keys, batch.alias("_batch"), loss.alias("_loss"),
+                     *([_c(label).alias("_y"), _c(pred).alias("_p")] if numeric else []),
+                     *([_text(label).alias("_lt"), _text(pred).alias("_pt")] if prefix else []),
+                     *([_strip(label_text).alias("_a"), _strip(pred_text).alias("_b")] if regular else []))
+    y, p, ok = F.col("_y"), F.col("_p"), T.is_numeric_text("_b") if regular else None
+    acc, hit, size = {}, {}, {}
+    for m in methods:
+        if m == "regular":
+            acc[m], hit[m], size[m] = F.col("_a") == F.col("_b"), char_padded_matches("_a", "_b"), F.greatest(F.length("_a"), F.length("_b"))
+        else:
+            acc[m] = within_tolerance(y, p, LOG_METHOD_TOLERANCE if m == "logscale" else fmt.tolerance)
+            hit[m] = digit_matches("_y", "_p", fmt) if m == "digits" else char_prefix_matches("_lt", "_pt")
+            size[m] = F.lit(fmt.n_digits) if m == "digits" else F.length("_lt")
+    return base.select(
+        *keys, "_batch", "_loss",
+        *[c.alias(f"_{n}_{m}") for m in methods for n, c in (("acc", F.when(acc[m], 1.0).otherwise(0.0)), ("hit", hit[m]), ("len", size[m]))],
+        *(["_y", "_p"] if numeric else []),
+        *([F.when(ok, F.col("_a").cast("double")).alias("_ry"), F.when(ok, F.col("_b").cast("double")).alias("_rp")] if regular else []))
+
+
+def _merged(parts: Column) -> Column:
+    """Struct n, mean, m2 of all (n, mean, m2) parts: central moments merged
+    pairwise, in a fixed order, without subtracting large sums."""
+    def add(acc, x):
+        n, delta = acc["n"] + x["n"], x["mean"] - acc["mean"]
+        return F.struct(n.alias("n"), (acc["mean"] + delta * x["n"] / n).alias("mean"),
+                        (acc["m2"] + x["m2"] + delta * delta * acc["n"] * x["n"] / n).alias("m2"))
+
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.aggregate(F.filter(F.array_sort(parts), lambda x: x["n"] > 0), zero, add)
+
+
+def eval_reports(df: DataFrame, group_cols, fmt: NumberFormat, label="label", pred="prediction", label_text="label_text",
+                 pred_text="pred_text", batch_col="batch_id", loss_col="loss", methods=METHODS) -> DataFrame:
+    """All metrics of every method: method, group_cols, n, whole_number_accuracy,
+    digit_wise_accuracy, mse, r2, test_loss.
+
+    One pass over the rows: everything is aggregated per (group, batch), where
+    the batch-mean loss arises and where most rows of a batch lie in one task,
+    and merged to groups from there: sums add up, central moments of the labels
+    are merged. Batches with equal numbers of labels are merged by Spark's own
+    variance of their means; the few kinds that are left (a batch has at most so
+    many sizes) are merged pairwise."""
+    keys, methods = list(group_cols), list(methods)
+    batch = _c(batch_col) if batch_col is not None and loss_col is not None else F.lit(0)
+    loss = _c(loss_col) if loss_col is not None else F.lit(None).cast("double")
+    rows = _features(df, keys, methods, fmt, label, pred, label_text, pred_text, batch, loss)
+    sides = [x for x in (("_y", "_p"), ("_ry", "_rp")) if x[0] in rows.columns]
+    sums = [f"_{n}_{m}" for m in methods for n in ("acc", "hit", "len")]
+    first = [F.count(F.lit(1)).alias("n"), F.avg("_loss").alias("_bl"), *[F.sum(c).alias(c) for c in sums]]
+    for y, p in sides:
+        err = F.pow(F.col(p) - F.col(y), 2)
+        first += [F.sum(err).alias(f"{y}_sq"), F.count(err).alias(f"{y}_nsq"), F.count(y).alias(f"{y}_n"), F.avg(y).alias(f"{y}_mean"),
+                  F.var_pop(y).alias(f"{y}_var"), F.min(y).alias(f"{y}_min"), F.max(y).alias(f"{y}_max")]
+    batches = rows.groupBy(*keys, "_batch").agg(*first)
+    sums += ["n"] + [f"{y}_{s}" for y, _ in sides for s in ("sq", "nsq")]
+    second = [F.sum("_bl").alias("_bl"), F.count("_bl").alias("_nbl"), *[F.sum(c).alias(c) for c in sums]]
+    third = [F.sum("_bl").alias("_bl"), F.sum("_nbl").alias("_nbl"), *[F.sum(c).alias(c) for c in sums]]
+    for y, _ in sides:
+        n, count = F.col(f"{y}_n"), F.count(F.lit(1))
+        m2 = F.sum(F.col(f"{y}_var") * n) + F.first(n) * F.var_pop(f"{y}_mean") * count
+        second += [F.struct((F.first(n) * count).cast("double").alias("n"), F.avg(f"{y}_mean").alias("mean"), F.coalesce(m2, F.lit(0.0)).alias("m2"))
+                   .alias(f"{y}_part"), F.min(f"{y}_min").alias(f"{y}_min"), F.max(f"{y}_max").alias(f"{y}_max")]
+        third += [_merged(F.collect_list(f"{y}_part")).alias(f"{y}_all"), F.min(f"{y}_min").alias(f"{y}_min"), F.max(f"{y}_max").alias(f"{y}_max")]
+    kinds = batches.groupBy(*keys, *[F.col(f"{y}_n") for y, _ in sides]).agg(*second)
+    whole = kinds.groupBy(*keys).agg(*third)
+    records = []
+    for m in methods:
+        y = "_ry" if m == "regular" else "_y"
+        sse, moments = F.col(f"{y}_sq"), F.col(f"{y}_all")
+        tv = F.when(F.col(f"{y}_min") == F.col(f"{y}_max"), F.lit(0.0)).when(moments["n"] > 0, moments["m2"])
+        mse = F.try_divide(sse, F.col(f"{y}_nsq"))
+        zero = {"periodic": "nan", "logscale": "nan_small", "digits": "zero", "regular": "nan"}[m]
+        records.append(F.struct(
+            F.lit(m).alias("method"), (F.col(f"_acc_{m}") / F.col("n")).alias("whole_number_accuracy"),
+            (F.col(f"_hit_{m}") / F.col(f"_len_{m}")).alias("digit_wise_accuracy"),
+            (F.coalesce(mse, F.lit(-1.0)) if m == "regular" else mse).alias("mse"), _r2(sse, tv, moments["n"], zero).alias("r2")))
+    out = whole.select(*keys, "n", F.try_divide(F.col("_bl"), F.col("_nbl")).alias("test_loss"), F.explode(F.array(*records)).alias("r"))
+    return out.select("r.method", *keys, "n", "r.whole_number_accuracy", "r.digit_wise_accuracy", "r.mse", "r.r2",
+                      *(["test_loss"] if loss_col is not None else []))
 
 
 def eval_report(df: DataFrame, group_cols, method: str, fmt: NumberFormat, label="label", pred="prediction",
                 label_text="label_text", pred_text="pred_text", batch_col="batch_id", loss_col="loss") -> DataFrame:
-    """All metrics of a method in one record per group:
-    n, whole_number_accuracy, digit_wise_accuracy, mse, r2, test_loss.
-
-    Row features are projected once; one aggregate per group computes every
-    metric (partial aggregation before the shuffle), the batch-mean loss is a
-    second, two-level aggregate over (group, batch)."""
+    """``eval_reports`` of one method, one record per group."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    group_cols = list(group_cols)
-    if not group_cols:  # one record: the batch-mean loss joins as a scalar subquery
-        out = eval_report(df.withColumn("_g", F.lit(0)), ["_g"], method, fmt, label, pred, label_text,
-                          pred_text, batch_col, None).drop("_g")
-        if loss_col is None:
-            return out
-        loss = agg_loss_batch_mean(df.withColumn("_g", F.lit(0)), ["_g"], batch_col, loss_col)
-        return out.withColumn("test_loss", loss.select("test_loss").scalar())
-    rows = _row_features(df, group_cols, method, fmt, label, pred, label_text, pred_text, batch_col, loss_col)
-    y, p = F.col("_y"), F.col("_p")
-    sq = F.pow(p - y, 2)
-    zv = {"periodic": "nan", "logscale": "nan_small", "digits": "zero", "regular": "nan"}[method]
-    mse = F.coalesce(F.avg(sq), F.lit(-1.0)) if method == "regular" else F.avg(sq)
-    digit = F.sum("_hit") / F.sum("_len")
-    metrics = rows.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("_acc").alias("whole_number_accuracy"),
-        digit.alias("digit_wise_accuracy"),
-        mse.alias("mse"),
-        _r2(F.sum(sq), _tv(y), F.count(y), zv).alias("r2"),
-    )
-    if loss_col is None:
-        return metrics
-    loss = agg_loss_batch_mean(rows, group_cols, batch_col, loss_col)
-    return metrics.join(loss, group_cols, "left")
-
-
-def eval_reports(df: DataFrame, group_cols, fmt: NumberFormat, label="label", pred="prediction", label_text="label_text",
-                 pred_text="pred_text", batch_col="batch_id", loss_col="loss") -> DataFrame:
-    """``eval_report`` of every method: the features of all methods in one
-    projection, one aggregate per group for all their metrics, one two-level
-    aggregate for the batch-mean loss they share, unpivoted at the end."""
-    keys = list(group_cols)
-    base = df.select(*keys, batch_col, loss_col, _c(label).alias("_y"), _c(pred).alias("_p"),
-                     _strip(label_text).alias("_a"), _strip(pred_text).alias("_b"),
-                     T.py_float_str(label).alias("_lt"), T.py_float_str(pred).alias("_pt"))
-    y, p, ok = F.col("_y"), F.col("_p"), T.is_numeric_text("_b")
-    prefix = (char_prefix_matches("_lt", "_pt"), F.length("_lt"))
-    features = {                                     # acc, hit, len, y, p of each method
-        "periodic": (within_tolerance(y, p, fmt.tolerance), *prefix, y, p),
-        "logscale": (within_tolerance(y, p, LOG_METHOD_TOLERANCE), *prefix, y, p),
-        "digits": (within_tolerance(y, p, fmt.tolerance), digit_matches("_y", "_p", fmt), F.lit(fmt.n_digits), y, p),
-        "regular": (F.col("_a") == F.col("_b"), char_padded_matches("_a", "_b"),
-                    F.greatest(F.length("_a"), F.length("_b")),
-                    F.when(ok, F.col("_a").cast("double")), F.when(ok, F.col("_b").cast("double"))),
-    }
-    rows = base.select(*keys, batch_col, loss_col, *[
-        c.alias(f"_{m}_{n}") for m, (acc, hit, size, yy, pp) in features.items()
-        for n, c in (("acc", F.when(acc, 1.0).otherwise(0.0)), ("hit", hit), ("len", size), ("y", yy), ("p", pp))])
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for m in METHODS:
-        yy, sq = F.col(f"_{m}_y"), F.pow(F.col(f"_{m}_p") - F.col(f"_{m}_y"), 2)
-        zero = {"periodic": "nan", "logscale": "nan_small", "digits": "zero", "regular": "nan"}[m]
-        aggs += [F.avg(f"_{m}_acc").alias(f"_{m}_acc"), (F.sum(f"_{m}_hit") / F.sum(f"_{m}_len")).alias(f"_{m}_digit"),
-                 (F.coalesce(F.avg(sq), F.lit(-1.0)) if m == "regular" else F.avg(sq)).alias(f"_{m}_mse"),
-                 _r2(F.sum(sq), _tv(yy), F.count(yy), zero).alias(f"_{m}_r2")]
-    records = F.explode(F.array(*[F.struct(
-        F.lit(m).alias("method"), F.col(f"_{m}_acc").alias("whole_number_accuracy"),
-        F.col(f"_{m}_digit").alias("digit_wise_accuracy"), F.col(f"_{m}_mse").alias("mse"), F.col(f"_{m}_r2").alias("r2"))
-        for m in METHODS])).alias("r")
-    loss = agg_loss_batch_mean(rows, keys, batch_col, loss_col)
-    return rows.groupBy(*keys).agg(*aggs).join(loss, keys, "left").select(*keys, "n", "test_loss", records).select(
-        "r.method", *keys, "n", "r.whole_number_accuracy", "r.digit_wise_accuracy", "r.mse", "r.r2", "test_loss")
+    return eval_reports(df, group_cols, fmt, label, pred, label_text, pred_text, batch_col, loss_col, [method]).drop("method")
 
 
 def topk_mispredictions(df: DataFrame, group_cols, idx: str, k: int, tol: float, label="label",

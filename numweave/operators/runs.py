@@ -146,15 +146,41 @@ def filter_add_linear(runs: DataFrame, flag: bool) -> DataFrame:
     return runs.filter(F.col("add_linear") == ("addlinear_True" if flag else "addlinear_False"))
 
 
+DEAL = 32                   # an x with more than 1 / DEAL of a side's rows is dealt out
+
+
 def join_ablation_diff(runs: DataFrame, x_key: str = "datasize", y_key: str = "accuracy") -> DataFrame:
     """Inner join of the add-linear True / False subsets on x (many-to-many
-    when several runs share x), y difference, ordered by x."""
-    t = filter_add_linear(runs, True).select(F.col(x_key), *[F.col(c).alias(f"{c}_true") for c in
-                                                             ("method", "run_dir", y_key)])
-    f = filter_add_linear(runs, False).select(F.col(x_key), *[F.col(c).alias(f"{c}_false") for c in
-                                                              ("method", "run_dir", y_key)])
-    j = t.join(f, x_key)
-    return j.withColumn(f"{y_key}_diff", F.col(f"{y_key}_true") - F.col(f"{y_key}_false")).orderBy(x_key)
+    when several runs share x), y difference, ordered by x.
+
+    Runs per x are counted on both sides. The output cells of a heavy x form a
+    grid: either side's rows are dealt over parts in proportion to their number
+    and meet every part of the other side, so that no task makes more than
+    about 1 / DEAL of a side times 1 / DEAL of the other for one x. The result
+    is sorted by x and then by run, so a heavy x is many sort ranges, too."""
+    def side(flag, suffix):
+        return filter_add_linear(runs, flag).filter(F.col(x_key).isNotNull()).select(
+            F.col(x_key), *[F.col(c).alias(f"{c}_{suffix}") for c in ("method", "run_dir", y_key)])
+
+    flag = F.col("add_linear") == "addlinear_True"
+    other = F.col("add_linear") == "addlinear_False"
+    counts = runs.filter((flag | other) & F.col(x_key).isNotNull()).groupBy(x_key).agg(F.count_if(flag).alias("_nt"), F.count_if(other).alias("_nf"))
+    total = counts.agg(F.struct(F.sum("_nt").alias("t"), F.sum("_nf").alias("f"))).scalar()
+    parts = lambda n, of: F.greatest(F.ceil(F.col(n) * F.lit(float(DEAL)) / of), F.lit(1)).cast("int")
+    heavy = F.broadcast(counts.select(x_key, parts("_nt", total.getField("t")).alias("_pt"), parts("_nf", total.getField("f")).alias("_pf"))
+                        .filter("_pt > 1 or _pf > 1"))                                            # fewer than 2 * DEAL rows
+
+    def dealt(df, suffix, mine, others):
+        one, every = F.coalesce(mine, F.lit(1)), F.coalesce(others, F.lit(1))
+        keys = [F.col(f"{c}_{suffix}") for c in ("method", "run_dir", y_key)]
+        out = df.join(heavy, x_key, "left").withColumn("_own", F.pmod(F.xxhash64(*keys), one).cast("int"))
+        return out.withColumn("_met", F.explode(F.sequence(F.lit(0), every - 1))).drop("_pt", "_pf")
+
+    t = dealt(side(True, "true"), "true", F.col("_pt"), F.col("_pf")).withColumnsRenamed({"_own": "_i", "_met": "_j"})
+    f = dealt(side(False, "false"), "false", F.col("_pf"), F.col("_pt")).withColumnsRenamed({"_own": "_j", "_met": "_i"})
+    j = t.join(f, [x_key, "_i", "_j"]).drop("_i", "_j")
+    return (j.withColumn(f"{y_key}_diff", F.col(f"{y_key}_true") - F.col(f"{y_key}_false"))
+            .orderBy(x_key, "method_true", "run_dir_true", "method_false", "run_dir_false"))
 
 
 def ablation_best_diff(runs: DataFrame, x_key: str = "datasize", y_key: str = "accuracy") -> DataFrame:
@@ -213,12 +239,3 @@ def data_to_target(runs: DataFrame, target: float = 99.0, reference_method: str
         return need
     ref = need.filter(F.col("method") == reference_method).select(F.col("min_datasize").alias("_ref")).scalar()
     return need.withColumn("ratio_to_reference", F.try_divide(F.col("min_datasize").cast("double"), ref))
-
-
-def lines_from_text(files: DataFrame, path_col: str = "path", text_col: str = "value") -> DataFrame:
-    """Whole-file text -> (path, line_no, line); a trailing newline yields no
-    empty last line."""
-    body = F.regexp_replace(F.col(text_col), r"\n$", "")
-    return files.select(F.col(path_col).alias("path"),
-                        F.posexplode(F.split(body, "\n")).alias("line_no", "line")).withColumn(
-        "line_no", F.col("line_no").cast("bigint"))

@@ -68,9 +68,19 @@ def q_src_split_dataset(spark, sf):
     return DS.src_split_dataset(spark, path, DS.INTEGER_QA_SCHEMA).select("question", "label", "split")
 
 
-@register("src_run_logs", f"""WITH {run_log_lines_sql()}
-SELECT path, row_number() OVER (PARTITION BY path ORDER BY line_no) - 1 AS line_no, line FROM lines""")
+@register("src_run_logs", f"""WITH {run_log_lines_sql()},
+m AS (SELECT regexp_replace(path, '/run[^/]+/[^/]+$', '') AS path, line_no, line FROM lines)
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY line_no) - 1 AS line_no, line FROM m""")
 def q_src_run_logs(spark, sf):
+    """One long log per method, written as text and read back in splits."""
+    root = scratch_path(spark, "runlogs")
+    LG.write_run_logs(run_log_lines(spark, sf).withColumn("path", F.regexp_replace("path", "/run[^/]+/[^/]+$", "")), root)
+    return LG.read_written_logs(spark, root)
+
+
+@register("src_run_logs_table", f"""WITH {run_log_lines_sql()}
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY line_no) - 1 AS line_no, line FROM lines""")
+def q_src_run_logs_table(spark, sf):
     """Run logs rendered from events, stored as a run-log table and read back."""
     path = scratch_path(spark, "runlogs")
     LG.write_run_log_table(run_log_lines(spark, sf), path)
@@ -83,19 +93,19 @@ SELECT regexp_replace(path, '/[^/]+$', '') AS path,
 def q_src_run_logs_tree(spark, sf):
     """One log file per run directory, read back from the tree of files."""
     root = scratch_path(spark, "runlog-tree")
-    lines = run_log_lines(spark, sf).withColumn("path", F.regexp_replace("path", "/[^/]+$", ""))
-    LG.write_run_logs(lines, root)
-    return LG.src_run_logs(spark, root, glob="*.txt").withColumn(
-        "path", F.url_decode(F.url_decode(F.regexp_extract("path", "log_path=([^/]+)/", 1))))
+    LG.write_run_logs(run_log_lines(spark, sf).withColumn("path", F.regexp_replace("path", "/[^/]+$", "")), root)
+    return LG.read_written_logs(spark, root)
 
 
 @register("sink_metrics", f"""WITH {epoch_metrics_sql()}
 SELECT run, epoch, whole_number_accuracy, round(test_loss, 9) AS test_loss FROM em""")
 def q_sink_metrics(spark, sf):
+    """Two batches (odd and even epochs), the second one written twice."""
     path = scratch_path(spark, "metrics")
-    SK.sink_metrics(epoch_metrics(spark, sf), path, "run")
-    return spark.read.parquet(path).select("run", "epoch",
-                                           "whole_number_accuracy", F.round("test_loss", 9).alias("test_loss"))
+    em = epoch_metrics(spark, sf)
+    for name, rows in (("odd", em.filter("epoch % 2 = 1")), ("even", em.filter("epoch % 2 = 0")), ("even", em.filter("epoch % 2 = 0"))):
+        SK.sink_metrics(rows, path, "run", batch_id=name)
+    return SK.read_metrics(spark, path).select("run", "epoch", "whole_number_accuracy", F.round("test_loss", 9).alias("test_loss"))
 
 
 _LOSS_RE = r"Loss\s+(\S+)$"

@@ -1,11 +1,10 @@
-"""Run-log source: whole log files -> ordered line table (inventory 2.1).
+"""Run-log source: log files -> ordered line table (inventory 2.1).
 
 Two layouts are read:
 * the training script's tree ``<base>/<method>/<run>/training_log_<ts>.log``
   (``recursiveFileLookup`` + ``pathGlobFilter``; the file path comes from the
-  ``_metadata`` column). Each file is read whole (``wholetext``) so that line
-  numbers are exact; files are spread over tasks, lines are numbered by
-  ``posexplode``.
+  ``_metadata`` column), read line by line. A large file is read in splits by
+  many tasks; ``numbered_lines`` gives every line its number in the file.
 * a run-log table ``(path, line_no, line)`` in Parquet, the Spark-native
   store for many small logs (``write_run_log_table``): one columnar write
   instead of one committed file per log.
@@ -13,26 +12,36 @@ Two layouts are read:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import re
 
-from ..operators.runs import lines_from_text
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
-def src_run_logs(spark: SparkSession, root: str, glob: str = "*.log", relative: bool = True) -> DataFrame:
-    files = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-             .text(root, wholetext=True)
-             .select(F.col("_metadata.file_path").alias("path"), "value"))
-    if relative:
-        prefix = root.rstrip("/") + "/"
-        files = files.withColumn("path", F.regexp_replace("path", r"^.*?" + _re_escape(prefix.split(":", 1)[-1]), ""))
-    return lines_from_text(files)
+def numbered_lines(files: DataFrame) -> DataFrame:
+    """(path, line_no, line) of a text scan, line numbers from 0 per file.
 
+    Every line is noted with its file, the place where its split begins, and a
+    running number; these are pinned once, since another evaluation may split
+    the files elsewhere. Lines per split are counted, prefix sums over the
+    splits of a file say how many lines come before each, and a line's number
+    is that plus its place in the split. An empty file has no lines; a last
+    line end does not begin another line.
+    """
+    lines = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
+                         F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")).checkpoint()
+    splits = lines.groupBy("path", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)        # one row per split
+    offsets = splits.select("path", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("offset"))
+    return lines.join(offsets, ["path", "split"]).select("path", (F.col("at") + F.col("offset")).alias("line_no"), "line")
 
-def _re_escape(s: str) -> str:
-    import re
 
-    return re.escape(s)
+def src_run_logs(spark: SparkSession, root: str, glob: str = "*.log", relative: bool = True) -> DataFrame:
+    lines = numbered_lines(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root))
+    if not relative:
+        return lines
+    prefix = root.rstrip("/").split(":", 1)[-1] + "/"
+    return lines.withColumn("path", F.regexp_replace("path", r"^.*?" + re.escape(prefix), ""))
 
 
 def write_run_logs(lines: DataFrame, root: str, order_col: str = "line_no") -> None:
@@ -46,16 +55,15 @@ def write_run_logs(lines: DataFrame, root: str, order_col: str = "line_no") -> N
 
 
 def read_written_logs(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.text(root, wholetext=True).select(F.col("log_path").alias("path"), "value")
-    return lines_from_text(files)
+    """The logs ``write_run_logs`` wrote: the path is the one in the table."""
+    lines = numbered_lines(spark.read.option("recursiveFileLookup", "true").text(root))
+    return lines.withColumn("path", F.url_decode(F.url_decode(F.regexp_extract("path", "log_path=([^/]+)/", 1))))
 
 
 def write_run_log_table(lines: DataFrame, root: str, order_col: str = "line_no") -> None:
     """Line table with 0-based line numbers per log, as Parquet. Line numbers
     are a rank inside each log (a window per log file: groups are single
     files, so no task holds more than one log's lines per group)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("path").orderBy(order_col)
     (lines.select("path", (F.row_number().over(w) - 1).cast("bigint").alias("line_no"), "line")
      .write.mode("overwrite").parquet(root))

@@ -74,3 +74,29 @@ def test_curve_tables(spark):
     assert need == {"periodic": 200, "Finetuned on gpt": None}
     ranks = [(r.rank, r.method) for r in R.rank_methods(u).orderBy("rank").collect()]
     assert ranks == [(1, "periodic"), (2, "Finetuned on gpt")]
+
+
+def test_ablation_join_deals_a_heavy_x(spark):
+    """x = 100 holds most runs of both sides: same rows as a plain join, over many join keys."""
+    def runs(n, flag):
+        return spark.range(n).select(F.concat(F.lit(flag), F.col("id")).alias("run_dir"), F.lit("m").alias("method"), F.lit(flag).alias("add_linear"),
+                                     F.when(F.col("id") % 10 < 8, 100).when(F.col("id") % 10 == 8, F.col("id")).alias("datasize"),
+                                     F.col("id").cast("double").alias("accuracy"))
+
+    u = runs(400, "addlinear_True").unionByName(runs(300, "addlinear_False"))
+    got = R.join_ablation_diff(u)
+    t, f = (u.where(F.col("add_linear") == x).select("datasize", "run_dir", "accuracy") for x in ("addlinear_True", "addlinear_False"))
+    want = t.alias("t").join(f.alias("f"), "datasize").select("datasize", F.col("t.run_dir").alias("a"), F.col("f.run_dir").alias("b"))
+    same = got.select("datasize", F.col("run_dir_true").alias("a"), F.col("run_dir_false").alias("b"))
+    assert same.count() == want.count() == 320 * 240 + 30
+    assert same.exceptAll(want).isEmpty()
+    xs = [r.datasize for r in got.select("datasize").collect()]
+    assert xs == sorted(xs)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        per_task = [r["count"] for r in R.join_ablation_diff(u).groupBy(F.spark_partition_id()).count().collect()]
+        assert max(per_task) < 0.5 * sum(per_task)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")

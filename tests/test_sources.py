@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from numweave.operators import generate as G
 from numweave.operators import split as P
 from numweave.sources import datasets as DS
+from numweave.sources import logs as LG
 from numweave.sources import sinks as SK
 from numweave.sources.paths import scratch_path
 from numweave.streaming import numbers as ST
@@ -63,3 +64,47 @@ def test_foreach_batch_quarantine(spark):
     q.awaitTermination(120)
     assert [r.k for r in spark.read.parquet(good + "/epoch=0").collect()] == [1]
     assert [r.k for r in spark.read.parquet(bad + "/epoch=0").collect()] == [2]
+
+
+def test_metrics_batches_count_once(spark, monkeypatch):
+    monkeypatch.setattr(SK, "FILE_ROWS", 50)
+    path = scratch_path(spark, "t-metrics")
+    a = spark.range(300).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("run"), F.col("id").alias("epoch"))
+    b = spark.range(5).select(F.lit("other").alias("run"), (F.col("id") + 1000).alias("epoch"))
+    first = SK.sink_metrics(a, path)
+    assert SK.sink_metrics(a.repartition(7), path) == first                      # the same rows again
+    SK.sink_metrics(b, path, batch_id="b")
+    SK.sink_metrics(b, path, batch_id="b")
+    # an attempt that never committed, and two writers that commit the same batch
+    b.withColumn("run_bucket", F.lit(0)).write.partitionBy("run_bucket").parquet(f"{path}/rows/attempt=lost")
+    b.withColumn("run_bucket", F.lit(0)).write.partitionBy("run_bucket").parquet(f"{path}/rows/attempt=late")
+    spark.createDataFrame([("b", "late", 9e18)], SK.MANIFEST).write.mode("append").parquet(f"{path}/manifest")
+    got = Counter(tuple(r) for r in SK.read_metrics(spark, path).collect())
+    assert got == Counter([tuple(r) for r in a.collect()] + [tuple(r) for r in b.collect()])
+    files = [r.f for r in spark.read.parquet(f"{path}/rows").where("run = 'hot'").select(F.input_file_name().alias("f")).distinct().collect()]
+    assert len(files) > 1
+    assert SK.read_metrics(spark, path).columns == ["run", "epoch"]
+
+
+def test_large_logs_are_numbered_over_splits(spark):
+    root = tempfile.mkdtemp()
+    want = {}
+    for name, lines in (("a/big.log", [f"line {i} " + "x" * (i % 70) for i in range(20000)]), ("b/small.log", ["one", "", "three"]), ("c/empty.log", [])):
+        import os
+
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "w", newline="") as f:
+            f.write(("\r\n" if name[0] == "b" else "\n").join(lines) + ("\n" if lines and name[0] == "a" else ""))
+        want[name] = lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        scan = spark.read.option("recursiveFileLookup", "true").text(root)
+        assert scan.select(F.col("_metadata.file_block_start").alias("s")).distinct().count() > 5
+        got = {}
+        for r in LG.src_run_logs(spark, root).collect():
+            got.setdefault(r.path, {})[r.line_no] = r.line
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {k: dict(enumerate(v)) for k, v in want.items() if v}
