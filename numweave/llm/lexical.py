@@ -128,12 +128,26 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), cut - cut[0]
 
 
+def packed(coords: np.ndarray, impacts: np.ndarray, width: int) -> np.ndarray:
+    """(coordinate, impact) pairs as ``width`` bytes each; impacts are below 2^20."""
+    whole = coords.astype(np.uint64) << np.uint64(20) | impacts.astype(np.uint64)
+    return np.ascontiguousarray(whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def unpacked(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    cells = np.zeros((len(raw) // width, 8), np.uint8)
+    cells[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    whole = cells.view("<u8").ravel()
+    return (whole >> np.uint64(20)).astype(np.int64), (whole & np.uint64((1 << 20) - 1)).astype(np.int64)
+
+
 class Plan:
     """What every task knows of a block of items: weights, the size of the
     collection, bounds and, per item, its terms from the heaviest down."""
 
     def __init__(self, items: Items, docs: int, terms: int, df: np.ndarray):
         self.docs, self.total, self.size = docs, terms, len(items.vocabulary)
+        self.width = 5 if self.size <= 1 << 20 else 6
         self.weight = np.array([weight(docs, int(x)) if x else 0 for x in df], np.int64)
         self.df = df
         self.terms = [t[np.lexsort((t, -self.weight[t]))] for t in items.terms]
@@ -228,9 +242,9 @@ class Beside:
 
 
 def postings(fwd: DataFrame, plan: Plan) -> DataFrame:
-    """term, part, heavy (number made of the heaviest other coordinates), node,
-    key, coords, impacts: a document stands in the list of the first of its
-    essential terms for every item."""
+    """place (term and part of its list), heavy (number made of the heaviest
+    other coordinates), node, cells (coordinates and impacts): a document stands
+    in the list of the first of its essential terms for every item."""
     def run(batches):
         known = np.zeros(plan.size, bool)
         known[list(plan.lists)] = True
@@ -249,7 +263,7 @@ def postings(fwd: DataFrame, plan: Plan) -> DataFrame:
             for row in range(0, whole.num_rows, DOCS):
                 batch = whole.slice(row, DOCS)
                 n = batch.column(0).to_numpy()
-                (terms, cut), (tf, _) = flat(batch.column(3)), flat(batch.column(4))
+                (terms, cut), (tf, _) = flat(batch.column(2)), flat(batch.column(3))
                 own = np.repeat(np.arange(len(n)), np.diff(cut))
                 value = impact(tf, length_share(n, plan.docs, plan.total)[own])
                 held = np.flatnonzero(known[terms])
@@ -276,64 +290,59 @@ def postings(fwd: DataFrame, plan: Plan) -> DataFrame:
                     rank[rank == top[of]] = 0
                 spread = batch.column(1).to_numpy()[doc]
                 part = np.abs(heavy * 31 + (spread & 7) * (parts[term] > 8)) % parts[term]
-                take, ends = pa.array(doc), pa.array(np.append(begin, len(of)).astype(np.int32))
+                cells = packed(coords, worth, plan.width).reshape(-1)
+                ends = np.append(begin, len(of)) * plan.width
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(term.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(heavy), batch.column(1).take(take), batch.column(2).take(take),
-                    pa.ListArray.from_arrays(ends, pa.array(coords.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(worth.astype(np.int32)))],
-                    names=["term", "part", "heavy", "node", "key", "coords", "impacts"])
+                    pa.array(term << 32 | part), pa.array(heavy), pa.array(spread),
+                    pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(cells.tobytes())])],
+                    names=["place", "heavy", "node", "cells"])
+
+    return (fwd.select("n", "node", "terms", "tf").mapInArrow(run, "place bigint, heavy bigint, node bigint, cells binary"))
 
-    kind = fwd.schema["key"].dataType.simpleString()
-    return (fwd.select("n", "node", "key", "terms", "tf")
-            .mapInArrow(run, f"term int, part int, heavy bigint, node bigint, key {kind}, coords array<int>, impacts array<int>"))
 
+def blocks(rows: DataFrame, width: int, size: int | None = None) -> DataFrame:
+    """The index: block, term, nodes, ends (of each document's cells), cells,
+    top_coords, top (largest impact of each)."""
+    size = size or BLOCK
 
-def blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
-    """The index: block, term, nodes, keys, sizes, coords, impacts (documents
-    one after the other), top_coords, top (largest impact of each)."""
-    def made(held):
-        whole = pa.Table.from_batches(held).combine_chunks()
-        (coords, cut), (value, _) = (flat(whole.column(c).combine_chunks()) for c in ("coords", "impacts"))
+    def made(term, held):
+        cells = b"".join(h[2] for h in held)
+        coords, value = unpacked(cells, width)
         top_coords, number = np.unique(coords, return_inverse=True)
         top = np.zeros(len(top_coords), np.int64)
         np.maximum.at(top, number, value)
-        return (whole.column("term")[0].as_py(), whole.column("node").to_pylist(), whole.column("key").to_pylist(),
-                np.diff(cut).tolist(), coords.tolist(), value.tolist(), top_coords.tolist(), top.tolist())
+        return (term, np.concatenate([h[0] for h in held]), np.cumsum(np.concatenate([h[1] for h in held])) // width, cells, top_coords, top)
+
+    def rows_out(out):
+        kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)],
+                                          names=["term", "nodes", "ends", "cells", "top_coords", "top"])
 
     def run(batches):
         held, count, term = [], 0, None
         for batch in batches:
-            out, terms = [], batch.column(0).to_numpy()
-            a = 0
+            out, terms, node = [], batch.column(0).to_numpy() >> 32, batch.column(1).to_numpy()
+            cells = batch.column(2)
+            cut = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset:cells.offset + len(cells) + 1].astype(np.int64)
+            raw, a = memoryview(cells.buffers()[2] or b""), 0
             while a < len(terms):
-                if term is not None and terms[a] != term and held:
-                    out.append(made(held))
+                if held and terms[a] != term:
+                    out.append(made(term, held))
                     held, count = [], 0
-                term = terms[a]
+                term = int(terms[a])
                 b = min(a + size - count, int(np.searchsorted(terms, term, "right")))
-                held.append(batch.slice(a, b - a))
+                held.append((node[a:b].copy(), np.diff(cut[a:b + 1]), bytes(raw[cut[a]:cut[b]])))
                 count, a = count + b - a, b
                 if count == size:
-                    out.append(made(held))
+                    out.append(made(term, held))
                     held, count = [], 0
             if out:
                 yield rows_out(out)
         if held:
-            yield rows_out([made(held)])
-
-    kind = rows.schema["key"].dataType
-    kinds = [pa.int32(), pa.list_(pa.int64()), None, *[pa.list_(pa.int32())] * 5]
-    names = ["term", "nodes", "keys", "sizes", "coords", "impacts", "top_coords", "top"]
-
-    def rows_out(out):
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        types = [pa.list_(to_arrow_type(kind)) if t is None else t for t in kinds]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=names)
+            yield rows_out([made(term, held)])
 
-    lists = ", ".join(f"{c} array<int>" for c in names[3:])
-    sorted_rows = (rows.repartition("term", "part").sortWithinPartitions("term", "part", "heavy", "node")
-                   .select("term", "node", "key", "coords", "impacts"))
-    return (sorted_rows.mapInArrow(run, f"term int, nodes array<bigint>, keys array<{kind.simpleString()}>, {lists}")
+    return (rows.repartition("place").sortWithinPartitions("place", "heavy", "node").select("place", "node", "cells")
+            .mapInArrow(run, "term int, nodes array<bigint>, ends array<int>, cells binary, top_coords array<int>, top array<int>")
             .withColumn("block", F.monotonically_increasing_id()))
 
 
@@ -365,40 +374,35 @@ def surviving(index: DataFrame, plan: Plan) -> DataFrame:
 
 
 def scored(index: DataFrame, plan: Plan, k: int) -> DataFrame:
-    """item, node, key, score of the documents in the blocks that each item
-    reads, at most k of a batch of blocks per item."""
+    """item, score, node of the documents in the blocks that each item reads,
+    the k best of a batch of blocks per item and what equals the last of them."""
     def run(batches):
         weights, places = {}, {}
         for batch in batches:
             found: dict[int, list] = {}
             term = batch.column(0).to_numpy()
             for r in range(len(term)):
-                nodes, keys = batch.column(1)[r].values, batch.column(2)[r].values
-                sizes, coords, value = (batch.column(i)[r].values.to_numpy() for i in (3, 4, 5))
-                begin = np.cumsum(sizes) - sizes
-                for q in batch.column(6)[r].as_py():
+                nodes, ends = (batch.column(i)[r].values.to_numpy() for i in (1, 2))
+                coords, value = unpacked(batch.column(3)[r].as_py(), plan.width)
+                begin = np.concatenate([[0], ends[:-1]])
+                for q in batch.column(4)[r].as_py():
                     if q not in weights:
                         weights[q], places[q] = plan.weights(q), plan.places(q)
                     score = np.add.reduceat(weights[q][coords] * value, begin)
                     first = np.minimum.reduceat(places[q][coords], begin)
-                    good = np.flatnonzero((score >= plan.bound[q]) & (first == places[q][term[r]]))
-                    if len(good):
-                        found.setdefault(q, []).append((score[good], nodes.take(pa.array(good)), keys.take(pa.array(good))))
-            items, columns = [], [[], [], []]
+                    good = (score >= plan.bound[q]) & (first == places[q][term[r]])
+                    if good.any():
+                        found.setdefault(q, []).append((score[good], nodes[good]))
+            out = []
             for q, parts in found.items():
-                score = np.concatenate([p[0] for p in parts])
+                score, node = (np.concatenate([p[i] for p in parts]) for i in range(2))
                 last = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0
-                keep = pa.array(score >= last)                       # ties stay: the ids decide later
-                for column, part in zip(columns, (pa.array(score), pa.concat_arrays([p[1] for p in parts]), pa.concat_arrays([p[2] for p in parts]))):
-                    column.append(part.filter(keep))
-                items.append(np.full(len(columns[0][-1]), q, np.int32))
-            if items:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(items)), *[pa.concat_arrays(c) for c in columns]],
-                                                 names=["item", "score", "node", "key"])
+                keep = score >= last                                 # ties stay: the ids decide later
+                out.append((np.full(int(keep.sum()), q, np.int32), score[keep], node[keep]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["item", "score", "node"])
 
-    kind = index.schema["keys"].dataType.elementType.simpleString()
-    return (index.select("term", "nodes", "keys", "sizes", "coords", "impacts", "items")
-            .mapInArrow(run, f"item int, score bigint, node bigint, key {kind}"))
+    return (index.select("term", "nodes", "ends", "cells", "items").mapInArrow(run, "item int, score bigint, node bigint"))
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 50, key: str = "doc_id", text: str = "text",
@@ -438,6 +442,7 @@ def _block(fwd: DataFrame, items: Items, k: int) -> DataFrame:
     for r in ranked.select("item", F.get("s", F.lit(k - 1)).alias("b")).where("b is not null").collect():
         plan.bound[r["item"]] = max(1, r["b"])
     plan.essential(most)
-    index = written(blocks(postings(fwd, plan)), "term-blocks")
+    index = written(blocks(postings(fwd, plan), plan.width), "term-blocks")
     wanted = surviving(index, plan)
-    return written(scored(fetched(index, wanted, ["block"], 64), plan, k), "scored")
+    found = written(scored(fetched(index, wanted, ["block"], 64), plan, k), "scored")
+    return found.join(fwd.select("node", "key"), "node")

@@ -101,7 +101,7 @@ def test_blocks_are_skipped(spark):
         best[r[0]] = min(best.get(r[0], 1 << 62), r[3])
     plan.bound[:] = [best[i] for i in block.ids]
     plan.essential(np.full(len(freq), 10**6))
-    index = lexical.written(lexical.blocks(lexical.postings(fwd, plan), 32), "index")
+    index = lexical.written(lexical.blocks(lexical.postings(fwd, plan), plan.width, 32), "index")
     pairs = sum(len(plan.lists[r["term"]]) for r in index.select("term").collect())
     kept = sum(len(r["items"]) for r in lexical.surviving(index, plan).collect())
     assert 0 < kept < 0.8 * pairs
@@ -110,6 +110,13 @@ def test_blocks_are_skipped(spark):
     assert got(lexical.search(df, it, 10)) == brute(docs, items, 10)
 
 
+def test_cells_round_trip():
+    c, v = np.array([0, 5, (1 << 20) - 1]), np.array([1, 999_999, 0])
+    for width in (5, 6):
+        got_c, got_v = lexical.unpacked(lexical.packed(c, v, width).tobytes(), width)
+        assert got_c.tolist() == c.tolist() and got_v.tolist() == v.tolist()
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
