@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .license_texts import NOTICES, SPELLINGS, TEXTS
 from .neardup import rows_of
-from .scratch import small
+from .scratch import small, written
 
 COPYRIGHT_LINE = r"^((copyright( c)?|c)( \d{4}( .*)?| by .*| year .*)?|all rights reserved)$"
 _COPYRIGHT = re.compile(COPYRIGHT_LINE)
@@ -59,9 +59,9 @@ def known_digests(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(known_rows(), "digest string, license_id string")
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", wanted: set[str] | None = None) -> DataFrame:
     """key, th, digest (null without canonical text), lines (digests of the
-    canonical lines)."""
+    canonical lines; with ``wanted``, of those in it)."""
 
     def run(batches):
         for batch in batches:
@@ -69,7 +69,8 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             for t in batch.column(2).to_pylist():
                 x = canonical_lines(t)
                 whole.append(digest(" ".join(x)) if x else None)
-                lines.append([digest(y) for y in x])
+                found = [digest(y) for y in x]
+                lines.append(found if wanted is None else [y for y in found if y in wanted])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.string()),
                                               pa.array(lines, pa.list_(pa.string()))], names=["key", "th", "digest", "lines"])
 
@@ -83,9 +84,11 @@ def scan(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id", t
     a line, sorted), n_notice_lines."""
     known = known if known is not None else known_digests(docs.sparkSession)
     by_digest = known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    if small(by_digest, 150):
+    wanted = None
+    if small(by_digest, 150):                          # few enough to go to every task: other lines never leave it
+        wanted = {r["digest"] for r in by_digest.select("digest").collect()}
         by_digest = F.broadcast(by_digest)
-    rows = digests(docs, key, text)
+    rows = written(digests(docs, key, text, wanted), "license-digests")
     found = (rows.select("key", "th", F.posexplode("lines").alias("at", "digest")).join(by_digest, "digest")
              .groupBy(F.col("key").alias("_key"), F.col("th").alias("_th"))
              .agg(F.sort_array(F.collect_set("license_id")).alias("notices"),

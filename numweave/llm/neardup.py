@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .bpe import chunks, ranges
 from .grouping import linked
-from .scratch import fetched, small, written
+from .scratch import fetched, small, unused, written
 from .words import mix, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -266,8 +266,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     gone = of.where(~(F.col(key).eqNullSafe(F.col("first_key")) & (F.col("th") == F.col("first_th")))) \
         .select(F.col(key).alias("_key"), F.col("th").alias("_th")).distinct()
     th = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
-    left = docs.withColumn("__text_hash", th)
+    name = unused(docs, "text_hash")
+    left = docs.withColumn(name, th)
     gone = written(gone, "gone")
     gone = F.broadcast(gone) if small(gone, 24) else gone
-    kept = left.join(gone, left[key].eqNullSafe(gone["_key"]) & (left["__text_hash"] == gone["_th"]), "left_anti")
-    return kept.dropDuplicates([key, "__text_hash"]).drop("__text_hash")
+    kept = left.join(gone, left[key].eqNullSafe(gone["_key"]) & (left[name] == gone["_th"]), "left_anti")
+    return kept.dropDuplicates([key, name]).drop(name)

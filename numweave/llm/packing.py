@@ -45,9 +45,9 @@ def with_offsets(parts: DataFrame) -> DataFrame:
             .withColumn("begin", F.col("offset") + F.col("local")).drop("offset", "part", "local"))
 
 
-def pieces(placed: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
+def pieces(placed: DataFrame, window: int = WINDOW, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """The parts of documents between window borders: key, start, length,
-    ids_crc32, doc_tokens, sequence_id, offset, ids."""
+    ids_crc32, doc_tokens, sequence_id, offset, and, if asked for, ids."""
 
     def run(batches):
         for batch in batches:
@@ -66,17 +66,17 @@ def pieces(placed: DataFrame, window: int = WINDOW, key: str = "doc_id") -> Data
             b = base[doc] + hi - begin[doc]
             raw = memoryview(values.tobytes())
             crc = [zlib.crc32(raw[4 * x:4 * y]) for x, y in zip(a.tolist(), b.tolist())]
-            cuts = np.append(a, b[-1] if len(b) else 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(doc)), pa.array(lo - begin[doc]), pa.array(hi - lo),
-                pa.array(crc, pa.int64()), pa.array(n[doc]), pa.array(seq), pa.array(lo - seq * window),
-                pa.ListArray.from_arrays(pa.array(cuts), pa.array(values.astype(np.int32))),
-            ], names=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            out = [batch.column(0).take(pa.array(doc)), pa.array(lo - begin[doc]), pa.array(hi - lo),
+                   pa.array(crc, pa.int64()), pa.array(n[doc]), pa.array(seq), pa.array(lo - seq * window)]
+            if with_ids:
+                cuts = np.append(a, b[-1] if len(b) else 0).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(values.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(out, names=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][:len(out)])
 
     kind = placed.schema[key].dataType.simpleString()
     return (placed.select(placed[key].alias("key"), "n_tokens", "ids", "begin")
             .mapInArrow(run, f"key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
-                             "sequence_id bigint, offset bigint, ids array<int>")
+                             "sequence_id bigint, offset bigint" + (", ids array<int>" if with_ids else ""))
             .withColumnRenamed("key", key))
 
 

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import unused
+
 SYMBOLS = "#*$%&|<>"           # fixed by the definition of n_symbols
 WINDOW_WORDS = 8
 MIN_WORDS = 20
@@ -259,7 +261,8 @@ def kept(docs: DataFrame, rules: list[Rule], key: str = "doc_id", text: str = "t
     Rows are measured where they are; the same conditional expression decides.
     """
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"__{c}", T.LongType()) for c in COUNTS)])
+    own = {c: unused(docs, c) for c in COUNTS}
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(own[c], T.LongType()) for c in COUNTS)])
 
     def run(batches):
         for batch in batches:
@@ -268,5 +271,5 @@ def kept(docs: DataFrame, rules: list[Rule], key: str = "doc_id", text: str = "t
                                              names=schema.names)
 
     rows = docs.mapInArrow(run, schema)
-    inner = rows.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), *(F.col(f"__{c}").alias(c) for c in COUNTS))
+    inner = rows.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), *(F.col(own[c]).alias(c) for c in COUNTS))
     return judged(inner, rules).where("kept").select("__row.*")

@@ -44,7 +44,7 @@ def op1_byte_bpe(spark, sf_dir):
 def op3_concat_cut(spark, sf_dir):
     """Pack all documents into windows of 1024 ids; one row per piece."""
     placed = packing.stream(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), added=True)
-    return packing.pieces(placed, 1024).drop("ids")
+    return packing.pieces(placed, 1024, with_ids=False)
 
 
 @register
@@ -101,12 +101,12 @@ def op6_topk_inner(spark, sf_dir):
 
 
 ORACLE["op6_topk_inner"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+     s AS (SELECT q.vec_id AS query_id, q.r, c.r AS other, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) AS rank FROM s) WHERE rank <= 5
 """.strip()
 
 
@@ -120,7 +120,8 @@ def op10_bagminhash(spark, sf_dir):
 @register
 def op9_fuzzy_lines(spark, sf_dir):
     """Every document without the lines that another place already has."""
-    return linededup.deduplicated(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    out = linededup.deduplicated(read_table(spark, sf_dir, "documents"), counts="lines")
+    return out.select("doc_id", "text", "lines.n_lines", "lines.n_removed")
 
 
 @register
@@ -237,7 +238,8 @@ def op11_count_vector_join(spark, sf_dir):
 ORACLE["op11_count_vector_join"] = r"""
 WITH RECURSIVE
 w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
-        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS (SELECT doc_id, r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
 e AS (SELECT r, len(s) AS n, unnest(s) AS x FROM s),

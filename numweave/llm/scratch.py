@@ -23,7 +23,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     same rows."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.__dict__["scratch_path"] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing will read again; others are
+    left alone."""
+    for table in tables:
+        path = table.__dict__.pop("scratch_path", None)
+        if path:
+            spark = table.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, made longer until df has no such column."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

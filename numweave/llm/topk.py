@@ -10,10 +10,10 @@ which has the longest vectors, gives every query a floor to start from, and
 blocks too short to reach the floor of a query block are not paired with it.
 
 Defined cases: vectors that are null or hold null or non-finite components
-take no part, nor do rows without an id; of rows with the same id the one with
-the largest vector counts; shorter vectors count as padded with zeros; equal
-scores go to the smaller id; an empty table gives no rows. Only id and vector
-are read. Integer products must fit in 53 bits.
+take no part, nor do rows without an id; rows are known by a number of their
+own, so rows with the same id are queries and candidates each; shorter vectors
+count as padded with zeros (all empty: score 0); equal scores go to the smaller
+id; an empty table gives no rows. Only id and vector are read. Integer products must fit in 53 bits.
 """
 
 from __future__ import annotations
@@ -31,17 +31,18 @@ HEAD_SHARE = 0.8               # of the summed squares that the leading coordina
 
 
 def integers(table: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """id, v array<bigint>, n2 (squared length) of the rows that take part."""
+    """id, v array<bigint>, n2 (squared length), row (a number) of the rows that take part."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     ints = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")))
     return (table.where(table[key].isNotNull() & table[vector].isNotNull()).where(fine)
-            .groupBy(table[key].alias("id")).agg(F.max(ints).alias("v"))
-            .withColumn("n2", F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x)))
+            .select(table[key].alias("id"), ints.alias("v"))
+            .withColumn("n2", F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x))
+            .withColumn("row", F.monotonically_increasing_id()))
 
 
 def second_moments(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """Sum of v v' over all rows and the width: width^2 numbers reach the driver."""
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    """Sum of v v' over all rows and the width (0 without rows): width^2 numbers reach the driver."""
+    width = rows.agg(F.max(F.greatest(F.size("v"), F.lit(1)))).first()[0] or 0
 
     def run(batches):
         total = np.zeros((width, width))
@@ -79,22 +80,22 @@ def dense(column: pa.Array, width: int) -> np.ndarray:
 
 def packed(rows: DataFrame, width: int, block: int, name: str) -> DataFrame:
     """Blocks of rows in descending length: block (number, in that order), ids,
-    v (binary int32 or int64 matrices), longest (length of the longest)."""
-    ordered = (rows.repartitionByRange(F.col("n2").desc(), F.col("id").asc())
-               .sortWithinPartitions(F.col("n2").desc(), F.col("id").asc()).select("id", "v", "n2"))
+    rows, v (binary int64 vectors and matrices), longest (length of the longest)."""
+    order = [F.col("n2").desc(), F.col("id").asc(), F.col("row").asc()]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "v", "n2", "row")
 
     def run(batches):
-        ids, mats, n2, held = [], [], [], 0
+        ids, mats, n2, own, held = [], [], [], [], 0
 
         def take():
-            nonlocal ids, mats, n2, held
-            i, m, n = np.concatenate(ids), np.concatenate(mats), np.concatenate(n2)
-            out = i[:block], m[:block], n[:block]
-            ids, mats, n2, held = [i[block:]], [m[block:]], [n[block:]], max(0, held - block)
+            nonlocal ids, mats, n2, own, held
+            i, m, n, r = (np.concatenate(x) for x in (ids, mats, n2, own))
+            out = i[:block], m[:block], n[:block], r[:block]
+            ids, mats, n2, own, held = [i[block:]], [m[block:]], [n[block:]], [r[block:]], max(0, held - block)
             return pa.RecordBatch.from_arrays([
-                pa.array([int(out[2][0])]), pa.array([int(out[0][0])]), pa.array([len(out[0])], pa.int32()),
-                pa.array([out[0].astype("<i8").tobytes()]), pa.array([out[1].astype("<i8").tobytes()])],
-                names=["n2", "first_id", "n", "ids", "v"])
+                pa.array([int(out[2][0])]), pa.array([int(out[0][0])]), pa.array([int(out[3][0])]), pa.array([len(out[0])], pa.int32()),
+                *(pa.array([x.astype("<i8").tobytes()]) for x in (out[0], out[3], out[1]))],
+                names=["n2", "first_id", "first_row", "n", "ids", "rows", "v"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -102,28 +103,29 @@ def packed(rows: DataFrame, width: int, block: int, name: str) -> DataFrame:
             ids.append(batch.column(0).cast(pa.int64()).to_numpy())
             mats.append(dense(batch.column(1), width))
             n2.append(batch.column(2).to_numpy())
+            own.append(batch.column(3).to_numpy())
             held += batch.num_rows
             while held >= block:
                 yield take()
         if held:
             yield take()
 
-    table = written(ordered.mapInArrow(run, "n2 bigint, first_id bigint, n int, ids binary, v binary"), name)
-    number = table.select("n2", "first_id").withColumn(                 # one row per block
-        "block", F.row_number().over(Window.orderBy(F.col("n2").desc(), F.col("first_id"))) - 1)
-    return (table.join(F.broadcast(number), ["n2", "first_id"])
-            .select("block", "ids", "v", F.sqrt(F.col("n2").cast("double")).alias("longest")))
+    table = written(ordered.mapInArrow(run, "n2 bigint, first_id bigint, first_row bigint, n int, ids binary, rows binary, v binary"), name)
+    number = table.select("first_row", (F.row_number().over(                                # one row per block
+        Window.orderBy(F.col("n2").desc(), F.col("first_id"), F.col("first_row"))) - 1).alias("block"))
+    return (table.join(F.broadcast(number), "first_row")
+            .select("block", "ids", "rows", "v", F.sqrt(F.col("n2").cast("double")).alias("longest")))
 
 
-def best_of(q_ids, q, floors, c_ids, c, turn, head, k):
-    """(query index, candidate id, score) of up to k candidates per query that
-    reach its floor: exact, in steps of descending length."""
+def best_of(q_rows, q, floors, c_ids, c_rows, c, turn, head, k):
+    """(query index, candidate id, candidate row, score) of up to k candidates
+    per query that reach its floor: exact, in steps of descending length."""
     rq, rc = q @ turn, c @ turn
     q_tail = np.sqrt((rq[:, head:] ** 2).sum(1))
     c_tail = np.sqrt((rc[:, head:] ** 2).sum(1))
     q_len, c_len = np.sqrt((q ** 2).sum(1)), np.sqrt((c ** 2).sum(1))
     floors = floors.copy()
-    who, cid, got = (np.zeros(0, np.int64) for _ in range(3))
+    who, cid, row, got = (np.zeros(0, np.int64) for _ in range(4))
     for a in range(0, len(c), STEP):
         b = min(a + STEP, len(c))
         slack = 1e-9 * (1 + q_len[:, None] * c_len[None, a:b])
@@ -131,7 +133,7 @@ def best_of(q_ids, q, floors, c_ids, c, turn, head, k):
         if not len(alive):
             continue
         bound = rq[alive, :head] @ rc[a:b, :head].T + q_tail[alive, None] * c_tail[None, a:b] + slack[alive]
-        can = (bound >= floors[alive, None]) & (q_ids[alive, None] != c_ids[None, a:b])
+        can = (bound >= floors[alive, None]) & (q_rows[alive, None] != c_rows[None, a:b])
         i, j = np.nonzero(can)
         if not len(i):
             continue
@@ -143,34 +145,34 @@ def best_of(q_ids, q, floors, c_ids, c, turn, head, k):
                                 for x in range(0, len(i), 65536)])
         reach = s >= floors[i]
         i, j, s = i[reach], j[reach], s[reach].astype(np.int64)
-        who, cid, got = np.concatenate([who, i]), np.concatenate([cid, c_ids[a + j]]), np.concatenate([got, s])
-        order = np.lexsort((cid, -got, who))
-        who, cid, got = who[order], cid[order], got[order]
+        who, cid, row, got = (np.concatenate(x) for x in ((who, i), (cid, c_ids[a + j]), (row, c_rows[a + j]), (got, s)))
+        order = np.lexsort((row, cid, -got, who))
+        who, cid, row, got = who[order], cid[order], row[order], got[order]
         begin = np.flatnonzero(np.diff(who, prepend=-1))
         rank = np.arange(len(who)) - np.repeat(begin, np.diff(np.append(begin, len(who))))
         keep = rank < k
         full = np.flatnonzero(rank == k - 1)
         floors[who[full]] = np.maximum(floors[who[full]], got[full])
-        who, cid, got = who[keep], cid[keep], got[keep]
-    return who, cid, got
+        who, cid, row, got = who[keep], cid[keep], row[keep], got[keep]
+    return who, cid, row, got
 
 
 def _scores(pairs: DataFrame, width: int, turn: np.ndarray, head: int, k: int) -> DataFrame:
-    """query_id, vec_id, score from rows (q_ids, q_v, floors, ids, v)."""
+    """query_id, query_row, vec_id, row, score from blocks of queries and candidates."""
 
     def run(batches):
         for batch in batches:
-            for qi, qv, fl, ci, cv in zip(*(col.to_pylist() for col in batch.columns)):
-                q_ids, c_ids = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
+            for qi, qr, qv, fl, ci, cr, cv in zip(*(col.to_pylist() for col in batch.columns)):
+                q_ids, q_rows, c_ids, c_rows = (np.frombuffer(x, "<i8") for x in (qi, qr, ci, cr))
                 q = np.frombuffer(qv, "<i8").reshape(-1, width).astype(np.float64)
                 c = np.frombuffer(cv, "<i8").reshape(-1, width).astype(np.float64)
                 floors = np.full(len(q), -np.inf) if fl is None else np.array([-np.inf if x is None else x for x in fl])
-                who, cid, got = best_of(q_ids, q, floors, c_ids, c, turn, head, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(cid), pa.array(got)],
-                                                 names=["query_id", "vec_id", "score"])
+                who, cid, row, got = best_of(q_rows, q, floors, c_ids, c_rows, c, turn, head, k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[who], q_rows[who], cid, row, got)],
+                                                 names=["query_id", "query_row", "vec_id", "row", "score"])
 
-    return (pairs.select("q_ids", "q_v", "floors", "ids", "v")
-            .mapInArrow(run, "query_id bigint, vec_id bigint, score bigint"))
+    return (pairs.select("q_ids", "q_rows", "q_v", "floors", "ids", "rows", "v")
+            .mapInArrow(run, "query_id bigint, query_row bigint, vec_id bigint, row bigint, score bigint"))
 
 
 def search(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding",
@@ -185,10 +187,10 @@ def search(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     turn, head = rotation(moments)
     blocks = packed(rows, width, block_vectors, "topk-blocks")
     queries = (packed(rows.where(is_query), width, block_queries, "topk-queries")
-               .select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"),
+               .select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("v").alias("q_v"),
                        F.col("longest").alias("q_longest")))
     n_blocks = blocks.select("block").agg(F.max("block")).first()[0] + 1
-    own = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    own = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id"), F.col("row"))
     no_floor = F.lit(None).cast("array<double>")
     # the longest vectors first: one block, paired with every query block by its number
     first = written(_scores(queries.withColumn("block", F.lit(0)).withColumn("floors", no_floor)
@@ -197,11 +199,14 @@ def search(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
         found = first
     else:
         floor = (first.withColumn("r", F.row_number().over(own)).where(F.col("r") == k)
-                 .select("query_id", F.col("score").cast("double").alias("floor")))
-        rest = (_with_floors(queries, floor)
-                .select("*", F.explode(F.sequence(F.lit(1), F.lit(n_blocks - 1))).alias("block"))
-                .join(blocks.withColumnRenamed("longest", "c_longest"), "block")
-                .where((F.col("lowest").isNull()) | (F.col("q_longest") * F.col("c_longest") * (1 + 1e-9) + 1e-6 >= F.col("lowest"))))
+                 .select("query_row", F.col("score").cast("double").alias("floor")))
+        queries = written(_with_floors(queries, floor), "topk-floors")
+        # which blocks can matter is settled on numbers alone; vectors move for those pairs only
+        pairs = (queries.select("q_block", "q_longest", "lowest", F.explode(F.sequence(F.lit(1), F.lit(n_blocks - 1))).alias("block"))
+                 .join(blocks.select("block", F.col("longest").alias("c_longest")), "block")
+                 .where((F.col("lowest").isNull()) | (F.col("q_longest") * F.col("c_longest") * (1 + 1e-9) + 1e-6 >= F.col("lowest")))
+                 .select("q_block", "block"))
+        rest = pairs.join(queries, "q_block").join(blocks, "block")
         found = first.unionByName(_scores(rest, width, turn, head, k))
     return (found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
@@ -214,12 +219,12 @@ def _with_floors(queries: DataFrame, floor: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(raw, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), b, np.int32)), pa.array(np.arange(len(ids))),
-                                                  pa.array(ids)], names=["q_block", "at", "query_id"])
+                rows = np.frombuffer(raw, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b, np.int32)), pa.array(np.arange(len(rows))),
+                                                  pa.array(rows)], names=["q_block", "at", "query_row"])
 
-    each = queries.select("q_block", "q_ids").mapInArrow(run, "q_block int, at bigint, query_id bigint")
-    per_block = (each.join(floor, "query_id", "left").groupBy("q_block")
+    each = queries.select("q_block", "q_rows").mapInArrow(run, "q_block int, at bigint, query_row bigint")
+    per_block = (each.join(floor, "query_row", "left").groupBy("q_block")
                  .agg(F.sort_array(F.collect_list(F.struct("at", "floor"))).alias("f"),
                       F.min("floor").alias("low"), F.count("floor").alias("known"), F.count(F.lit(1)).alias("n"))
                  .select("q_block", F.col("f.floor").alias("floors"),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import filtered, written
+from .scratch import discard, filtered, written
 from .words import mix
 
 ORDER = 6                      # letters per sequence
@@ -298,10 +298,13 @@ def train(docs: DataFrame, labels: DataFrame, chosen=None, key: str = "doc_id",
         none = Cells(np.zeros(0, np.uint64), np.zeros(0), 2)
         return Model(none, none, order)
     model = _model(grams, order, cells, context_cells)
+    discard(grams)
     sample = (_features(check, model).orderBy(F.xxhash64("f"), "f").limit(MAX_CALIBRATION_ROWS).toArrow())
+    discard(check)
     f = np.array(sample["f"].to_pylist(), np.float64).reshape(-1, FEATURES)
     curve = fit_curve(f, sample["toxic"].to_numpy(zero_copy_only=False).astype(float))
     model = _model(both, order, cells, context_cells)
+    discard(both)
     model.curve = curve
     return model
 
@@ -309,7 +312,9 @@ def train(docs: DataFrame, labels: DataFrame, chosen=None, key: str = "doc_id",
 def _model(grams: DataFrame, order: int, cells: int | None, context_cells: int | None) -> Model:
     table = written(evidence(grams, order), "toxicity-evidence")
     rests = table.groupBy("h").agg(F.sum("n").alias("n"), F.max("rest").alias("rest"))
-    return Model(_table(table, "g", "n", "value", cells), _table(rests, "h", "n", "rest", context_cells), order)
+    model = Model(_table(table, "g", "n", "value", cells), _table(rests, "h", "n", "rest", context_cells), order)
+    discard(table)
+    return model
 
 
 def _features(rows: DataFrame, model: Model) -> DataFrame:

@@ -13,16 +13,15 @@ VEC = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedd
 
 
 def brute(rows, every, k=5):
-    ok = {}
+    ok = []
     for i, v, *_ in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        ints = [math.floor(256 * float(np.float32(x))) for x in v]
-        ok[i] = max(ok.get(i, ints), ints)
+        ok.append((i, [math.floor(256 * float(np.float32(x))) for x in v]))
     out = []
-    for q in ok:
+    for at, (q, qv) in enumerate(ok):
         if q % every == 0:
-            s = sorted((-sum(a * b for a, b in zip(ok[q], ok[c])), c) for c in ok if c != q)[:k]
+            s = sorted((-sum(a * b for a, b in zip(qv, cv)), c) for j, (c, cv) in enumerate(ok) if j != at)[:k]
             out += [(q, r, c, -x) for r, (x, c) in enumerate(s, 1)]
     return sorted(out)
 
@@ -50,6 +49,10 @@ def test_fewer_rows_than_k_and_empty(spark):
     df = spark.createDataFrame(rows, VEC)
     assert got(topk.search(df, F.pmod("id", F.lit(50)) == 0)) == brute(rows, 50)
     assert topk.search(df.where("false"), F.pmod("id", F.lit(50)) == 0).count() == 0
+    same = [(50, [1.0], "", ""), (1, [0.5], "", ""), (1, [0.5], "", ""), (2, [0.25], "", ""), (50, [2.0], "", "")]
+    assert got(topk.search(spark.createDataFrame(same, VEC), F.pmod(F.col("id"), F.lit(50)) == 0)) == brute(same, 50)    # repeated ids
+    none = [(0, [], "", ""), (1, [], "", ""), (2, [], "", "")]
+    assert got(topk.search(spark.createDataFrame(none, VEC), F.pmod(F.col("id"), F.lit(50)) == 0)) == [(0, 1, 1, 0), (0, 2, 2, 0)]
     one = df.where("vec_id = 0")
     assert topk.search(one, F.pmod("id", F.lit(50)) == 0).count() == 0
 
@@ -62,7 +65,8 @@ def test_pruning_skips_pairs_without_changing_results(monkeypatch):
     ids = np.arange(3000)
     turn, head = topk.rotation(c.T @ c)
     assert head < 16
-    who, cid, s = topk.best_of(-np.arange(1, 21), q, np.full(20, -np.inf), ids, c, turn, head, 5)
+    who, cid, row, s = topk.best_of(-np.arange(1, 21), q, np.full(20, -np.inf), ids, ids, c, turn, head, 5)
+    assert (row == cid).all()
     full = q @ c.T
     for i in range(20):
         want = np.lexsort((ids, -full[i]))[:5]
