@@ -20,7 +20,7 @@ from numweave.llm import linededup, neardup, packing, quality, toxicity
 from numweave.llm.queries import ORACLE  # noqa: F401
 from numweave.llm.queries import QUERIES as OPERATORS
 from numweave.llm.queries import tokenizer_file
-from numweave.llm.scratch import read_table, small_batches, written
+from numweave.llm.scratch import discard, read_table, small_batches, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that another place already has (operator 9)."""
     small_batches(spark)
-    out = linededup.deduplicated(docs).drop("n_lines", "n_removed")
+    out = linededup.deduplicated(docs)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
@@ -54,7 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 1024 ids (operator 3)."""
     small_batches(spark)
-    return packing.pieces(packing.stream(docs, tokenizer_file("byte_bpe_50k.json"), added=True), 1024).drop("ids")
+    return packing.pieces(packing.stream(docs, tokenizer_file("byte_bpe_50k.json"), added=True), 1024, with_ids=False)
 
 
 STAGES = [
@@ -72,7 +72,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)                                 # the stage's own table, never the input
     return docs
 
 
