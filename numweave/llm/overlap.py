@@ -5,8 +5,9 @@ A document is the set of its distinct runs of five words (A-Z lower-cased,
 split at the six ASCII blanks; fewer words are one run). Two documents link if
 intersection / union >= 0.8; classes are the connected components.
 
-Hashing the shingles into ``GROUPS`` groups and counting makes every set a
-point. The sum of the coordinatewise minima of two points is an upper bound of
+Hashing the shingles into groups and counting makes every set a point, with
+about as many coordinates as the set has shingles (boxes have ``GROUPS``, into
+which points fold). The sum of the coordinatewise minima of two points is an upper bound of
 the intersection, and the sum of minima with a box's upper corner bounds every
 point in the box, so an R-tree over the points tells which pairs can link. What
 survives is verified on the exact sets.
@@ -19,6 +20,8 @@ survives is verified on the exact sets.
   a set is outside the intersection). Every such shingle is a subtree. The order
   puts shingles first that a sample of the documents does not repeat; the sample
   is of bounded size and decides about cost, never about results.
+* Near copies share many shingles, so many subtrees have the same members; one
+  of each kind is kept.
 * Members of a subtree meet one of its members first, which joins groups of near
   copies. Only subtrees that then still hold several components are searched:
   boxes against boxes, down to points, and only across components. Large
@@ -50,7 +53,7 @@ from .scratch import fetched, written
 from .words import mix, shingle_hashes, word_hashes
 
 SHINGLE = 5
-GROUPS = 128                   # coordinates of a point
+GROUPS = 128                   # coordinates of a box, and of a point at least
 LEAF, BRANCH = 16, 8           # points of a leaf, children of a node
 HELD = 128                     # sets of a place that a task holds at a time, twice
 TILE = 2048                    # points of a subtree that one task holds at a time, twice
@@ -58,7 +61,7 @@ SAMPLE = 10_000                # documents looked at for repeated shingles, abou
 REPEATED = 400_000             # repeated shingles the order puts last, at most
 ORDERS = 4                     # first members of a subtree, by different orders
 CHUNK_CHARS = 1 << 19
-_FULL = 65535                  # a coordinate this large or larger
+_FULL = 255                    # a count this large or larger
 
 
 def sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,20 +76,38 @@ def sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return own[new], s[new]
 
 
-def points(own: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
-    """n x GROUPS counts."""
-    group = (mix(s ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(GROUPS)).astype(np.int64)
-    return np.minimum(np.bincount(own * GROUPS + group, minlength=n * GROUPS), _FULL).reshape(n, GROUPS).astype(np.uint16)
+def points(own: np.ndarray, s: np.ndarray, n: int) -> list[bytes]:
+    """Counts per group of every set, a byte each: as many groups (a power of
+    two, GROUPS at least) as the set has shingles."""
+    size = np.bincount(own, minlength=n)
+    groups = np.maximum(GROUPS, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    begin = np.cumsum(groups) - groups
+    at = (mix(s ^ np.uint64(0xA0761D6478BD642F)) & (groups[own] - 1).astype(np.uint64)).astype(np.int64)
+    raw = np.minimum(np.bincount(begin[own] + at, minlength=int(groups.sum())), _FULL).astype(np.uint8).tobytes()
+    return [raw[a:b] for a, b in zip(begin.tolist(), (begin + groups).tolist())]
+
+
+def folded(point: bytes, groups: int) -> np.ndarray:
+    """The point in fewer groups; a full count is larger than any other."""
+    x = np.frombuffer(point, np.uint8).astype(np.int64)
+    x[x == _FULL] = 1 << 40
+    return x.reshape(-1, groups).sum(0)
+
+
+def coarse(found: list[bytes]) -> np.ndarray:
+    """The points in GROUPS groups, one row each, for boxes."""
+    return np.stack([folded(x, GROUPS) for x in found])
+
+
+def bound_of(x: bytes, y: bytes) -> int:
+    """Upper bound of the intersection of two sets, in the groups of the smaller."""
+    groups = min(len(x), len(y))
+    return int(np.minimum(folded(x, groups), folded(y, groups)).sum())
 
 
 def bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Upper bounds of the intersections of rows (broadcast over leading axes);
-    a coordinate that is full on both sides can be anything."""
-    low = np.minimum(a, b)
-    out = low.sum(-1, dtype=np.int64)
-    if low.size and low.max() == _FULL:
-        out += (low == _FULL).sum(-1, dtype=np.int64) << 40
-    return out
+    """Upper bounds of the intersections of rows (broadcast over leading axes)."""
+    return np.minimum(a, b).sum(-1)
 
 
 def may_link(overlap: np.ndarray, size_a, size_b) -> np.ndarray:
@@ -127,7 +148,7 @@ def sketch(docs: DataFrame, key: str, text: str, repeated: np.ndarray) -> DataFr
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.diff(cut), pa.int64()),
                     pa.array([hashlib.md5(raw[8 * a:8 * b]).digest() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                    pa.array([x.tobytes() for x in points(own, s, n)], pa.binary()), _lists(first.view(np.int64), at, n, pa.int64())],
+                    pa.array(points(own, s, n), pa.binary()), _lists(first.view(np.int64), at, n, pa.int64())],
                     names=["key", "th", "size", "same", "point", "first"])
                 row += n
 
@@ -249,9 +270,11 @@ def tree_pairs(a: Tree, b: Tree) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         yield a.order[p[good]], b.order[q[good]], bound[good]
 
 
-def tree_links(node: np.ndarray, point: np.ndarray, size: np.ndarray, root: np.ndarray, own: np.ndarray):
+def tree_links(node: np.ndarray, fine: list[bytes], size: np.ndarray, root: np.ndarray, own: np.ndarray):
     """Candidate pairs (nodes, bound) of a subtree's members (own all 0), or of
-    two of its tiles (own 0 and 1): then only between them."""
+    two of its tiles (own 0 and 1): then only between them. What the boxes leave
+    is held against the points in all their groups."""
+    point = coarse(fine)
     if own.any():
         left, right = np.flatnonzero(own == 0), np.flatnonzero(own == 1)
         if not len(left):
@@ -261,8 +284,11 @@ def tree_links(node: np.ndarray, point: np.ndarray, size: np.ndarray, root: np.n
         left = right = np.arange(len(node))
         whole = Tree(point, size, root)
         found = tree_pairs(whole, whole)
-    for p, q, bound in found:
-        yield node[left[p]], node[right[q]], bound / (size[left[p]] + size[right[q]])
+    for p, q, _ in found:
+        p, q = left[p], right[q]
+        bound = np.fromiter((bound_of(fine[x], fine[y]) for x, y in zip(p.tolist(), q.tolist())), np.int64, len(p))
+        good = may_link(bound, size[p], size[q])
+        yield node[p[good]], node[q[good]], (bound / (size[p] + size[q]))[good]
 
 
 PAIRS = "a bigint, b bigint, place bigint, score double"
@@ -295,10 +321,9 @@ def subtree_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame) -> Da
 
         def flush():
             node, size, root, own = (np.concatenate([h[k] for h in held]) for k in range(4))
-            point = np.frombuffer(b"".join(x for h in held for x in h[4]), np.uint16).reshape(-1, GROUPS)
             if root.min() == root.max():
                 return None
-            parts = list(tree_links(node, point, size, root, own))
+            parts = [x for x in tree_links(node, [x for h in held for x in h[4]], size, root, own) if len(x[0])]
             return _pairs_batch(parts, key[0]) if parts else None
 
         for batch in batches:
@@ -328,9 +353,8 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b, place) whose points may link, with their score."""
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, GROUPS) for k in (3, 4))
             size_a, size_b = batch.column(5).to_numpy(), batch.column(6).to_numpy()
-            bound = bounds(x, y)
+            bound = np.fromiter((bound_of(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())), np.int64, batch.num_rows)
             good = may_link(bound, size_a, size_b)
             yield _pairs_batch([(batch.column(0).to_numpy()[good], batch.column(1).to_numpy()[good], (bound / (size_a + size_b))[good])],
                                batch.column(2).to_numpy()[good])
@@ -425,8 +449,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                     .withColumn("node", F.monotonically_increasing_id()), "overlap-nodes")
     buckets = nodes.select(F.explode("first").alias("bucket"), "node")
     turned = F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS)))
-    shared = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(turned.alias("t"), "node")).alias("h"))
-                     .where("n > 1").select("bucket", "n", F.col("h.node").alias("hub")), "shared")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(2)]
+    shared = (buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(turned.alias("t"), "node")).alias("h"), *same)
+              .where("n > 1").groupBy("n", "h0", "h1").agg(F.min(F.struct("bucket", F.col("h.node").alias("hub"))).alias("b")))
+    shared = written(shared.select("b.bucket", "n", "b.hub"), "shared")       # subtrees of the same members: one of them
     members = written(buckets.join(shared, "bucket"), "members")
     verify = verifier(docs, nodes, key, text)
     pairs = (members.where("node <> hub").groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
