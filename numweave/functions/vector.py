@@ -121,18 +121,6 @@ def decode_hidden(h: str, bases, n_digits: int, frac_len: int, normalize: bool =
     return F.expr(S.decode_logits(S.digit_logits(S.q(h), bases, n_digits, 0, normalize), n_digits, frac_len))
 
 
-def decode_digit_logits(logits: Column, n_digits: int, frac_len: int) -> Column:
-    """Digits by argmax, value = sum(d_k 10^k) / 10^f (exact integer sum)."""
-    def body(ds):
-        total = None
-        for k in range(n_digits):
-            term = ds[k].cast("bigint") * F.lit(10 ** k)
-            total = term if total is None else total + term
-        return total / F.lit(float(10 ** frac_len))
-
-    return _let(F.transform(logits, lambda row: argmax_first(row)), body)
-
-
 def logsumexp(v: Column) -> Column:
     return _let(F.array_max(v), lambda m: m + F.log(vsum(F.transform(v, lambda e: F.exp(e - m)))))
 
@@ -160,12 +148,4 @@ def rule_matrix(seed, rows: int, cols: int) -> list[list[float]]:
     return [[rule_weight(seed, i, j, cols) for j in range(cols)] for i in range(rows)]
 
 
-def matvec_literal(v, w: list[list[float]], b=None) -> Column:
-    """W v + b with W as a literal (small dims only; see encode.apply_linear)."""
-    v = _c(v).cast("array<double>")
-    wl = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in w])
-    bl = F.array(*[F.lit(float(x)) for x in (b or [0.0] * len(w))])
-    return F.zip_with(F.transform(wl, lambda row: dot(row, v)), bl, lambda a, c: a + c)
-
-
 __all__ = [n for n in dir() if not n.startswith("_")] + ["period_list"]

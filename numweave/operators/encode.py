@@ -65,8 +65,7 @@ def apply_linear(df: DataFrame, vector_col: str, weight, bias=None, out: str = "
                  enabled: bool = True) -> DataFrame:
     """W v + b with given weights (training them is out of scope). Arrow-batched
     NumPy matmul: one (batch x d) @ (d x d') product per Arrow batch; W is
-    shipped once with the function. Small W may use the literal expression
-    ``functions.vector.matvec_literal`` instead."""
+    shipped once with the function."""
     if not enabled:
         return df.withColumn(out, F.col(vector_col).cast("array<double>"))
     w = np.asarray(weight, dtype=np.float64)

@@ -26,11 +26,20 @@ from pyspark.sql import functions as F
 HASH_BITS = 60
 
 
+BUCKET_ROWS = 100_000      # rows that one numbering task ranks, about
+
+
 def _bits_for(df: DataFrame, bits: int | None) -> int:
+    """As many buckets as the number of rows asks for, known from the plan's
+    size estimate (file sizes): no pass over the rows is spent on it, and the
+    numbers do not depend on it."""
     if bits is not None:
         return bits
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(20, max(12, (4 * parts - 1).bit_length()))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no access to the plan (e.g. a Connect session)
+        size = 0
+    return min(20, max(12, (size // (16 * BUCKET_ROWS)).bit_length()))
 
 
 def global_index(df: DataFrame, order_cols, out: str = "idx", bits: int | None = None,

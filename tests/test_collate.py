@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
 from numweave.operators import collate as C
+from numweave.operators import text as X
+from numweave.operators.gather import gather
 from numweave.operators.split import index_by_hash
 
 PAD, NUM = 0, 1
@@ -48,3 +50,60 @@ def test_pool_last_token(spark):
     df = spark.createDataFrame([([[1.0], [2.0], [3.0]], 1)], "states array<array<double>>, last_pos int")
     assert C.pool_last_token(df, "states", "last_pos").first().pooled == [2.0]
     assert F is not None
+
+
+def test_ids_with_a_tail_equal_a_plain_lookup(spark, monkeypatch):
+    """A vocabulary larger than its head: rare tokens are patched in, unknown ones stay unknown."""
+    monkeypatch.setattr(X, "HEAD_VOCAB_IDS", 5)
+    docs = [(i, [f"t{(i * j) % 13}" for j in range(i % 7)]) for i in range(60)] + [(None, ["t1", "t12"]), (100, []), (101, None)]
+    df = spark.createDataFrame(docs, "k bigint, tokens array<string>")
+    vocab = X.vocab_build(df.select(F.explode("tokens").alias("token"))).where("token <> 't3'")
+    ids = {r.token: r.id for r in vocab.collect()}
+    assert max(ids.values()) > 5 and ids["[PAD]"] == 0 and ids["[NUM]"] == 1
+    got = {r.k: r.input_ids for r in X.encode_token_ids(df, ["k"], "tokens", vocab).collect()}
+    assert got == {k: [ids.get(t, -1) for t in (tokens or [])] for k, tokens in docs}
+    cut = X.encode_token_ids(df.withColumn("c", F.lit(7)), ["k"], "tokens", vocab, max_positions=2, carry=["c"]).collect()
+    assert {r.k: (r.input_ids, r.n_tokens, r.c) for r in cut} == {
+        k: ([ids.get(t, -1) for t in (tokens or [])[:2]], len(tokens or []), 7) for k, tokens in docs}
+
+
+def _shuffle_rows(spark, df):
+    """Rows per task of the last stage that reads a shuffle, without AQE and automatic broadcasts."""
+    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+
+
+def test_lookup_and_gather_spread_hot_tokens(spark, monkeypatch):
+    """Half of all positions hold one token: no task of the joins gets more than twice the median."""
+    monkeypatch.setattr(X, "HEAD_VOCAB_IDS", 50)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    docs = spark.range(4000).select(F.col("id").alias("k"), F.transform(F.sequence(F.lit(0), F.lit(19)), lambda j: F.when(
+        j % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.pmod(F.xxhash64("id", j), F.lit(3000))))).alias("tokens"))
+    vocab = X.vocab_build(docs.select(F.explode("tokens").alias("token")))
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        ids = X.encode_token_ids(docs, ["k"], "tokens", vocab).checkpoint()
+        per_task = _shuffle_rows(spark, ids)
+        assert sum(per_task) == 4000 and per_task[-1] <= 2 * per_task[len(per_task) // 2]
+        vectors = vocab.select("id", F.array(F.col("id").cast("double")).alias("v"))
+        rows = X.lookup_token_vectors(ids, ["k"], "input_ids", vectors, "id", "v")
+        per_task = _shuffle_rows(spark, rows)
+        assert sum(per_task) == 80000 and per_task[-1] <= 2 * per_task[len(per_task) // 2]
+        assert rows.where("v[0] = id").count() == 80000
+        last = ids.select("k", F.lit(18).alias("last_pos"))
+        states = ids.select("k", F.posexplode("input_ids").alias("pos", "id"))
+        pooled = C.pool_last_token_long(states, ["k"], "pos", last, vectors, "id", "v")
+        per_task = _shuffle_rows(spark, pooled)
+        assert sum(per_task) == 4000 and per_task[-1] <= 2 * per_task[len(per_task) // 2]
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_gather_keeps_rows_without_id_or_vector(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 5), (3, 9), (4, None), (5, None)], "k int, id int")
+    vectors = spark.createDataFrame([(5, [1.0]), (7, [2.0])], "id int, v array<double>")
+    got = sorted((r.k, r.id, r.v) for r in gather(rows, "id", vectors, "v", ["k"]).select("k", "id", "v").collect())
+    assert got == [(1, 5, [1.0]), (2, 5, [1.0]), (3, 9, None), (4, None, None), (5, None, None)]
+    assert gather(rows.where("false"), "id", vectors, "v", ["k"]).count() == 0
