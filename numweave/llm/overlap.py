@@ -89,25 +89,25 @@ def points(own: np.ndarray, s: np.ndarray, n: int) -> list[bytes]:
 
 def folded(point: bytes, groups: int) -> np.ndarray:
     """The point in fewer groups; a full count is larger than any other."""
-    x = np.frombuffer(point, np.uint8).astype(np.int64)
-    x[x == _FULL] = 1 << 40
-    return x.reshape(-1, groups).sum(0)
+    x = np.frombuffer(point, np.uint8).astype(np.int32)
+    x[x == _FULL] = 1 << 24
+    return x.reshape(-1, groups).sum(0, dtype=np.int32)
 
 
-def coarse(found: list[bytes]) -> np.ndarray:
-    """The points in GROUPS groups, one row each, for boxes."""
-    return np.stack([folded(x, GROUPS) for x in found])
+def coarse(found: list[bytes], groups: int = GROUPS) -> np.ndarray:
+    """The points in ``groups`` groups, one row each, for boxes."""
+    return np.stack([folded(x, groups) for x in found])
 
 
 def bound_of(x: bytes, y: bytes) -> int:
     """Upper bound of the intersection of two sets, in the groups of the smaller."""
     groups = min(len(x), len(y))
-    return int(np.minimum(folded(x, groups), folded(y, groups)).sum())
+    return int(np.minimum(folded(x, groups), folded(y, groups)).sum(dtype=np.int64))
 
 
 def bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Upper bounds of the intersections of rows (broadcast over leading axes)."""
-    return np.minimum(a, b).sum(-1)
+    return np.minimum(a, b).sum(-1, dtype=np.int64)
 
 
 def may_link(overlap: np.ndarray, size_a, size_b) -> np.ndarray:
@@ -232,8 +232,9 @@ def tree_pairs(a: Tree, b: Tree) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         good = ~((x[2][i] == x[3][i]) & (y[2][j] == y[3][j]) & (x[2][i] == y[2][j]))
         i, j = i[good], j[good]
         out = [np.zeros(0, bool)]
-        for k in range(0, len(i), 4096):
-            p, q = i[k:k + 4096], j[k:k + 4096]
+        step = max(1, (1 << 22) // a.point.shape[1])
+        for k in range(0, len(i), step):
+            p, q = i[k:k + step], j[k:k + step]
             out.append(may_link(bounds(x[0][p], y[0][q]), x[1][p], y[1][q]))
         good = np.concatenate(out)
         return i[good], j[good]
@@ -257,8 +258,9 @@ def tree_pairs(a: Tree, b: Tree) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         i, j = (np.broadcast_to(c, both.shape)[both] for c in (ci[:, :, None], cj[:, None, :]))
         if a is b:
             i, j = i[i <= j], j[i <= j]
-    for k in range(0, len(i), 64):                                   # leaves against leaves
-        (p, op), (q, oq) = children(i[k:k + 64], LEAF, len(a.size)), children(j[k:k + 64], LEAF, len(b.size))
+    step = max(1, (1 << 22) // (LEAF * LEAF * a.point.shape[1]))
+    for k in range(0, len(i), step):                                 # leaves against leaves
+        (p, op), (q, oq) = children(i[k:k + step], LEAF, len(a.size)), children(j[k:k + step], LEAF, len(b.size))
         both = op[:, :, None] & oq[:, None, :]
         p, q = (np.broadcast_to(c, both.shape)[both] for c in (p[:, :, None], q[:, None, :]))
         good = a.root[p] != b.root[q]
@@ -272,23 +274,35 @@ def tree_pairs(a: Tree, b: Tree) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 def tree_links(node: np.ndarray, fine: list[bytes], size: np.ndarray, root: np.ndarray, own: np.ndarray):
     """Candidate pairs (nodes, bound) of a subtree's members (own all 0), or of
-    two of its tiles (own 0 and 1): then only between them. What the boxes leave
-    is held against the points in all their groups."""
-    point = coarse(fine)
-    if own.any():
-        left, right = np.flatnonzero(own == 0), np.flatnonzero(own == 1)
-        if not len(left):
-            return
-        found = tree_pairs(Tree(point[left], size[left], root[left]), Tree(point[right], size[right], root[right]))
-    else:
-        left = right = np.arange(len(node))
-        whole = Tree(point, size, root)
-        found = tree_pairs(whole, whole)
-    for p, q, _ in found:
-        p, q = left[p], right[q]
-        bound = np.fromiter((bound_of(fine[x], fine[y]) for x, y in zip(p.tolist(), q.tolist())), np.int64, len(p))
-        good = may_link(bound, size[p], size[q])
-        yield node[p[good]], node[q[good]], (bound / (size[p] + size[q]))[good]
+    two of its tiles (own 0 and 1): then only between them.
+
+    Sets that link are of like size, so their points have as many groups or
+    twice as many. There is a tree for every number of groups, its boxes an
+    eighth of that; what the boxes leave is held against whole points."""
+    length = np.fromiter(map(len, fine), np.int64, len(fine))
+    two = bool(own.any())
+
+    def of(side, groups, box):
+        at = np.flatnonzero((length == groups) & ((own == side) if two else True))
+        return (at, Tree(coarse([fine[x] for x in at], box), size[at], root[at])) if len(at) else None
+
+    for groups in np.unique(length).tolist():
+        box = max(GROUPS, groups // 8)
+        left, longer = of(0, groups, box), of(1 if two else 0, 2 * groups, box)
+        meet = [(left, longer)]
+        if two:
+            right = of(1, groups, box)
+            meet += [(left, right), (of(0, 2 * groups, box), right)]
+        else:
+            meet.append((left, left))
+        for x, y in meet:
+            if x is None or y is None:
+                continue
+            for p, q, _ in tree_pairs(x[1], y[1]):
+                p, q = x[0][p], y[0][q]
+                bound = np.fromiter((bound_of(fine[u], fine[v]) for u, v in zip(p.tolist(), q.tolist())), np.int64, len(p))
+                good = may_link(bound, size[p], size[q])
+                yield node[p[good]], node[q[good]], (bound / (size[p] + size[q]))[good]
 
 
 PAIRS = "a bigint, b bigint, place bigint, score double"
