@@ -73,20 +73,26 @@ def _near_pairs(pairs: DataFrame, sketches: DataFrame, near, width: int) -> Data
 def _across(members: DataFrame, groups: DataFrame, fetch, across) -> DataFrame:
     """Links (a, b) between different components of buckets of three or more.
 
-    Two blocks of a bucket meet in one place, at most 2 * BLOCK contents. Once
-    two components are linked there, their members are not compared again.
+    The members outside a bucket's largest component are dealt into blocks, and
+    so are those inside; two blocks meet in one place, at most about 2 * BLOCK
+    contents, unless both are of the largest component, whose members need no
+    test among themselves. Once two components are linked, their members are
+    not compared again.
     """
     large = members.where("n > 2")
     rows = (large.select("bucket", "n", "node").unionByName(large.select("bucket", "n", F.col("hub").alias("node")).distinct())
             .join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = (rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-             .where("lo <> hi").select("bucket"))
-    rows = written(rows.join(mixed, "bucket"), "mixed-buckets")
-    parts = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), parts)
+    kinds = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = (kinds.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+             .select("bucket", F.col("most.root").alias("main"), F.col("most.c").alias("n_main")))
+    rows = written(rows.join(written(mixed, "mixed"), "bucket"), "mixed-buckets")
+    is_main = F.col("root") == F.col("main")
+    others, mains = F.ceil((F.col("n") - F.col("n_main")) / BLOCK), F.ceil(F.col("n_main") / BLOCK)
+    own = F.when(is_main, others + F.pmod(F.xxhash64("node"), mains)).otherwise(F.pmod(F.xxhash64("node"), others))
     contents = written(fetch(rows.select("node").distinct()), "contents")
-    dealt = (rows.join(contents, "node").withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1)))
+    upto = F.when(is_main, others).otherwise(others + mains).cast("bigint") - 1
+    dealt = (rows.join(contents, "node").withColumn("own", own.cast("bigint"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), upto)))
              .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                      "own", "node", "root", "content"))
 
