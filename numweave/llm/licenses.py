@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .license_texts import LONG_TEXTS, NOTICES, SPELLINGS, TEXTS
 from .neardup import rows_of
 from .scratch import small, written
 
@@ -52,6 +52,8 @@ def known_rows() -> list[tuple[str, str]]:
     for name, notices in NOTICES.items():
         for t in notices:
             rows[digest(" ".join(canonical_lines(t)))] = name
+    for name, known in LONG_TEXTS.items():
+        rows.update(dict.fromkeys(known, name))
     return list(rows.items())
 
 

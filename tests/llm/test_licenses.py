@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import duckdb
 from pyspark.sql import types as T
 
@@ -30,6 +32,23 @@ def test_whole_texts_in_any_spelling_and_layout(spark):
     assert L.scan(df.where("false")).count() == 0
 
 
+def test_long_texts():
+    """The long licences, where this machine has their texts, in another layout."""
+    known = dict(L.known_rows())
+    found = 0
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0-only"), ("GPL-3", "GPL-3.0-only"), ("LGPL-2.1", "LGPL-2.1-only"),
+                       ("LGPL-3", "LGPL-3.0-only"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        path = Path("/usr/share/common-licenses") / file
+        if path.exists():
+            text = path.read_text(encoding="utf-8", errors="replace")
+            for t in (text, text.upper().replace("\n", "\n   "), "Copyright 2020 Some One\n" + text):
+                assert known.get(L.digest(" ".join(L.canonical_lines(t)))) == name
+            found += 1
+    title, body = TEXTS["Unlicense"]
+    assert known[L.digest(" ".join(L.canonical_lines(body.replace("https", "http"))))] == "Unlicense"
+    assert len(L.LONG_TEXTS) >= 13 and found in (0, 7)
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
