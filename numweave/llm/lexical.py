@@ -416,7 +416,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, key: str = "doc_id",
     for p in range(parts):
         rows = asked.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == p).collect()    # about ITEM_CHARS characters
         block = Items.of([r["id"] for r in rows], [r["text"] for r in rows])
-        fwd = written(forward(docs, block.vocabulary, key, text), "forward")
+        fwd = written(forward(docs, block.vocabulary, key, text), "forward", "zstd")
         best = top_k_per_group(_block(fwd, block, k), ["item"], [-F.col("score"), F.col("key").isNull(), F.col("key"), F.col("node")], k, rank_col="rank")
         names = spark.createDataFrame([(i, x) for i, x in enumerate(block.ids)], f"item int, id {items.schema[item].dataType.simpleString()}")
         out.append(best.join(names, "item").select(F.col("id").alias(item), F.col("rank").cast("int").alias("rank"), F.col("key").alias(key), "score"))
@@ -442,7 +442,7 @@ def _block(fwd: DataFrame, items: Items, k: int) -> DataFrame:
     for r in ranked.select("item", F.get("s", F.lit(k - 1)).alias("b")).where("b is not null").collect():
         plan.bound[r["item"]] = max(1, r["b"])
     plan.essential(most)
-    index = written(blocks(postings(fwd, plan), plan.width), "term-blocks")
+    index = written(blocks(postings(fwd, plan), plan.width), "term-blocks", "zstd")
     wanted = surviving(index, plan)
     found = written(scored(fetched(index, wanted, ["block"], 64), plan, k), "scored")
     return found.join(fwd.select("node", "key"), "node")

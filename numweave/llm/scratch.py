@@ -17,12 +17,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: later steps read committed
     files, so a lost executor costs no earlier work and every reader sees the
     same rows."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.__dict__["scratch_path"] = path
     return table
