@@ -26,7 +26,9 @@ survives is verified on the exact sets.
   copies. Only subtrees that then still hold several components are searched:
   boxes against boxes, down to points, and only across components. Large
   subtrees are dealt out as pairs of tiles.
-* One pair per component is verified before all others, so a group is joined by
+* A subtree first yields only the pairs that would join its components, best
+  first, as many as it has members at most; what then still lies between two
+  components is listed in full. One pair per component is verified before all others, so a group is joined by
   few tests; no pair that may link is left out unless its members are connected
   already. Each pair is verified once.
 
@@ -316,9 +318,30 @@ def _pairs_batch(parts: list, place) -> pa.RecordBatch:
                                       names=["a", "b", "place", "score"])
 
 
-def subtree_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+def spanning(a: np.ndarray, b: np.ndarray, score: np.ndarray, node: np.ndarray, root: np.ndarray):
+    """Of candidate pairs, those that join components one by one, best first."""
+    up = dict(zip(node.tolist(), root.tolist()))
+    up.update((r, r) for r in root.tolist())
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    keep = []
+    for k in np.argsort(-score, kind="stable").tolist():
+        x, y = find(int(a[k])), find(int(b[k]))
+        if x != y:
+            up[x] = y
+            keep.append(k)
+    return a[keep], b[keep], score[keep]
+
+
+def subtree_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame, forest: bool = False) -> DataFrame:
     """a, b, place, score: candidates across components, from the subtrees (bucket, n,
-    node) that hold several."""
+    node) that hold several. ``forest``: of a subtree's candidates only as many
+    as join its components, which never outgrow its members."""
     rows = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = (rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .where("lo <> hi").select("bucket"))
@@ -338,6 +361,8 @@ def subtree_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame) -> Da
             if root.min() == root.max():
                 return None
             parts = [x for x in tree_links(node, [x for h in held for x in h[4]], size, root, own) if len(x[0])]
+            if forest and parts:
+                parts = [spanning(*(np.concatenate([p[k] for p in parts]) for k in range(3)), node, root)]
             return _pairs_batch(parts, key[0]) if parts else None
 
         for batch in batches:
@@ -464,16 +489,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     buckets = nodes.select(F.explode("first").alias("bucket"), "node")
     turned = F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS)))
     same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(2)]
-    shared = (buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(turned.alias("t"), "node")).alias("h"), *same)
-              .where("n > 1").groupBy("n", "h0", "h1").agg(F.min(F.struct("bucket", F.col("h.node").alias("hub"))).alias("b")))
+    repeated = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")    # most shingles are one set's
+    held = written(buckets.join(repeated.select("bucket"), "bucket"), "held")
+    shared = (held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(turned.alias("t"), "node")).alias("h"), *same)
+              .groupBy("n", "h0", "h1").agg(F.min(F.struct("bucket", F.col("h.node").alias("hub"))).alias("b")))
     shared = written(shared.select("b.bucket", "n", "b.hub"), "shared")       # subtrees of the same members: one of them
-    members = written(buckets.join(shared, "bucket"), "members")
+    members = written(held.join(shared, "bucket"), "members")
     verify = verifier(docs, nodes, key, text)
     pairs = (members.where("node <> hub").groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
              .agg(F.min("hub").alias("place")))
     groups = written(settled(near_pairs(pairs, nodes), None, verify), "groups")
-    across = subtree_pairs(members.where("n > 2").select("bucket", "n", "node"), nodes, groups)
-    groups = settled(across.join(pairs, ["a", "b"], "left_anti"), groups, verify)
+    large = members.where("n > 2").select("bucket", "n", "node")
+    for forest in (True, False):           # pairs that would join a subtree's candidates; then all that still lie between components
+        across = subtree_pairs(large, nodes, groups, forest)
+        groups = written(settled(across.join(pairs, ["a", "b"], "left_anti"), groups, verify), "groups")
     rooted = written(nodes.select("same", "node", "head").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("head").alias("least")), "least")
     named = written(rooted.join(least, "root").select("same", F.col("least.key").alias("component_id")), "named")

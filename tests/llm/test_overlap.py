@@ -123,6 +123,25 @@ def test_tree_loses_no_pair_and_skips_some():
     assert not sum(len(p) for p, _, _ in overlap.tree_pairs(one, one))
 
 
+def test_spanning_pairs_join_what_all_pairs_join():
+    rng = np.random.default_rng(5)
+    node = np.arange(100, 160)
+    root = node.copy()
+    root[:10] = 100
+    a, b = rng.choice(node, 400), rng.choice(node, 400)
+    p, q, s = overlap.spanning(a, b, rng.random(400), node, root)
+    assert len(p) <= 50 and (np.diff(s) <= 0).all()
+
+    def classes(x, y):
+        at = dict(zip(node.tolist(), root.tolist()))
+        for u, v in zip(x.tolist(), y.tolist()):
+            old, new = at[u], at[v]
+            at = {k: new if r == old else r for k, r in at.items()}
+        return len(set(at.values()))
+
+    assert classes(p, q) == classes(a, b)
+
+
 def test_full_counts_bound_anything():
     x = overlap.points(np.zeros(200_000, np.int64), np.arange(200_000, dtype=np.uint64), 1)[0]
     assert len(x) == 1 << 18
