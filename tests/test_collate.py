@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from numweave.operators import collate as C
@@ -107,3 +108,23 @@ def test_gather_keeps_rows_without_id_or_vector(spark):
     got = sorted((r.k, r.id, r.v) for r in gather(rows, "id", vectors, "v", ["k"]).select("k", "id", "v").collect())
     assert got == [(1, 5, [1.0]), (2, 5, [1.0]), (3, 9, None), (4, None, None), (5, None, None)]
     assert gather(rows.where("false"), "id", vectors, "v", ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("size", [16 << 20, 400])                   # all ids in place; few, and heavy ones dealt
+def test_gather_shuffles_no_row_of_a_frequent_id(spark, monkeypatch, size):
+    from numweave.operators import gather as G
+
+    monkeypatch.setattr(G, "FREQUENT_BYTES", size)
+    monkeypatch.setattr(G, "SHARES", 50)
+    rows = spark.range(2000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id") % 40).alias("id")).checkpoint()
+    vectors = spark.range(20).select(F.col("id"), F.array(F.col("id").cast("double")).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = gather(rows, "id", vectors, "v", ["k"])
+        moved = {r.id for r in got.collect() if r.v and r.v != [float(r.id)] or (r.v is None) != (r.id >= 20)}
+        assert not moved and got.count() == 2000
+        # rows of the most frequent id lie where they lay before: in the partitions of the pinned table
+        here = {(r.k, r.p) for r in rows.where("id = 7").select("k", F.spark_partition_id().alias("p")).collect()}
+        assert {(r.k, r.p) for r in got.where("id = 7").select("k", F.spark_partition_id().alias("p")).collect()} == here
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
