@@ -164,6 +164,7 @@ SELECT doc_id, last_pos, CAST(i AS BIGINT) AS i, round(CAST(v AS DOUBLE), 9) AS
 UNION ALL SELECT doc_id, last_pos, NULL, NULL FROM l WHERE last_pos < 0""")
 def q_pool_last_token(spark, sf):
     c = C.collate_last_token(_collated(spark, sf), "input_ids", PAD_ID).select("doc_id", "last_pos", F.size("input_ids").alias("n"))
+    c = c.checkpoint()                                          # read for the states, for the picks and by the gather
     emb = table(spark, sf, "embeddings")
     count = emb.agg(F.count(F.lit(1))).scalar()
     states = (c.select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest("n", F.lit(1)) - 1)).alias("pos"))
