@@ -13,7 +13,11 @@ Two layouts are read:
 from __future__ import annotations
 
 import re
+import uuid
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,14 +48,49 @@ def src_run_logs(spark: SparkSession, root: str, glob: str = "*.log", relative:
     return lines.withColumn("path", F.regexp_replace("path", r"^.*?" + re.escape(prefix), ""))
 
 
+def _folder_of(path: str | None) -> str:
+    return "log_path=" + (quote(path, safe="") if path else "__HIVE_DEFAULT_PARTITION__")
+
+
 def write_run_logs(lines: DataFrame, root: str, order_col: str = "line_no") -> None:
     """Line table -> one text file per log path (the training script's
     layout), lines in order. All lines of a log go to one task
-    (hash-partitioned by path) and are sorted there. One committed file per
-    log: use for export, not as a store."""
-    (lines.repartition("path").sortWithinPartitions("path", order_col)
-     .select(F.col("path").alias("log_path"), "line")
-     .write.mode("overwrite").partitionBy("log_path").text(root))
+    (hash-partitioned by path) and are sorted there. Use for export, not as a
+    store.
+
+    The task writes a log as a hidden file of its own and, once whole, renames
+    it to the log's one name: another attempt puts the same lines there, and no
+    job end has to move file after file. An earlier tree in ``root`` goes."""
+
+    def write(batches):
+        files, base = FileSystem.from_uri(root)
+        current, out, hidden = None, None, None
+
+        def close():
+            out.close()
+            files.move(hidden, f"{hidden.rsplit('/', 1)[0]}/part-0.txt")
+
+        for batch in batches:
+            for path, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                folder = f"{base}/{_folder_of(path)}"
+                if folder != current:
+                    if out is not None:
+                        close()
+                        yield pa.RecordBatch.from_pydict({"folder": [current]})
+                    files.create_dir(folder, recursive=True)
+                    current, hidden = folder, f"{folder}/.{uuid.uuid4().hex}"
+                    out = files.open_output_stream(hidden, buffer_size=1 << 16)
+                out.write(((line or "") + "\n").encode())
+        if out is not None:
+            close()
+            yield pa.RecordBatch.from_pydict({"folder": [current]})
+
+    files, base = FileSystem.from_uri(root)
+    if files.get_file_info(base).type != FileType.NotFound:
+        files.delete_dir_contents(base)
+    files.create_dir(base, recursive=True)
+    (lines.repartition("path").sortWithinPartitions("path", order_col).select("path", "line")
+     .mapInArrow(write, "folder string").agg(F.count("folder")).collect())
 
 
 def read_written_logs(spark: SparkSession, root: str) -> DataFrame:

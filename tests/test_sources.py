@@ -112,3 +112,16 @@ def test_large_logs_are_numbered_over_splits(spark):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == {k: dict(enumerate(v)) for k, v in want.items() if v}
+
+
+def test_written_logs_keep_path_and_order_and_are_one_file_each(spark, tmp_path):
+    import os
+
+    root = str(tmp_path / "logs")
+    rows = [(p, i, f"{p} {i}" if i % 7 else "") for p in ("a/run+1", "b=c/50% x", "d") for i in range(300)]
+    for part in (rows[:400], rows):                                 # the second tree replaces the first
+        LG.write_run_logs(spark.createDataFrame(part, "path string, line_no int, line string").repartition(8), root)
+        got = sorted((r.path, r.line_no, r.line) for r in LG.read_written_logs(spark, root).collect())
+        assert got == sorted(part)
+    files = [f for _, _, names in os.walk(root) for f in names]
+    assert len(files) == 3 and not any(f.endswith(".crc") for f in files)     # no side files, no job end that moves them
