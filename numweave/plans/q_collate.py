@@ -27,7 +27,7 @@ def _docs_tok(spark, sf):
 
 
 def _vocab(tok):
-    return X.vocab_build(tok.select(F.explode("tokens").alias("token")))
+    return X.vocab_build(X.token_counts(tok, "tokens"), count_col="n")
 
 
 def _ids(spark, sf):

@@ -122,3 +122,14 @@ def test_token_ids_of_the_head_move_nothing(spark, monkeypatch):
     assert {r.k: r.ids for r in ids.collect()} == {1: [0, -1, 2, -1, 0], 2: []}
     monkeypatch.setattr(X, "HEAD_VOCAB_IDS", 2)                     # c and d in the tail
     assert {r.k: r.ids for r in X.encode_token_ids(df, ["k"], "tokens", vocab, out="ids").collect()} == {1: [0, -1, 2, -1, 0], 2: []}
+
+
+def test_tokens_are_counted_where_they_are_made(spark):
+    from numweave.operators import text as X
+
+    df = spark.createDataFrame([(["b", "a", "b", "[NUM]"],), (None,), ([],), (["a", "b"],)], "tokens array<string>").repartition(2)
+    counts = X.token_counts(df, "tokens")
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+    got = {r.token: (r.id, r.freq) for r in X.vocab_build(counts, count_col="n").collect()}
+    assert got == {"[PAD]": (0, 0), "[NUM]": (1, 1), "b": (2, 3), "a": (3, 2)}
+    assert got == {r.token: (r.id, r.freq) for r in X.vocab_build(df.select(F.explode("tokens").alias("token"))).collect()}
