@@ -54,7 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 1024 ids (operator 3)."""
     small_batches(spark)
-    return packing.pieces(packing.stream(docs, tokenizer_file("byte_bpe_50k.json"), added=True), 1024, with_ids=False)
+    return packing.pieces(packing.stream(docs, tokenizer_file("byte_bpe_50k.json"), added=True, packed=True), 1024, with_ids=False)
 
 
 STAGES = [

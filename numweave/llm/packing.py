@@ -27,9 +27,11 @@ from .tokens import encode_documents
 WINDOW = 1024
 
 
-def stream(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
-    """Documents with their ids and place in the stream: key, n_tokens, ids, begin."""
-    return with_offsets(written(encode_documents(docs, tokenizer_path, 0, key, text, added), "stream"))
+def stream(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", added: bool = False,
+           packed: bool = False) -> DataFrame:
+    """Documents with their ids and place in the stream: key, n_tokens, ids, begin.
+    ``packed``: ids as binary, for ``pieces``."""
+    return with_offsets(written(encode_documents(docs, tokenizer_path, 0, key, text, added, packed), "stream"))
 
 
 def with_offsets(parts: DataFrame) -> DataFrame:
@@ -48,14 +50,17 @@ def with_offsets(parts: DataFrame) -> DataFrame:
 def pieces(placed: DataFrame, window: int = WINDOW, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """The parts of documents between window borders: key, start, length,
     ids_crc32, doc_tokens, sequence_id, offset, and, if asked for, ids."""
+    packed = placed.schema["ids"].dataType.simpleString() == "binary"
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(2)
-            base = lists.offsets.to_numpy().astype(np.int64)
-            values = lists.flatten().to_numpy().astype("<u4")
-            base = base - base[0]
             n, begin = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            base = np.concatenate([[0], np.cumsum(n)])
+            if packed:
+                raw = b"".join(batch.column(2).to_pylist())
+                values = np.frombuffer(raw, "<u2" if len(raw) == 2 * base[-1] else "<u4").astype("<u4")
+            else:
+                values = batch.column(2).flatten().to_numpy().astype("<u4")
             first = begin // window
             count = np.where(n > 0, (begin + n - 1) // window - first + 1, 0)
             doc = np.repeat(np.arange(len(n)), count)

@@ -9,6 +9,7 @@ without it they count as ordinary text.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -22,12 +23,13 @@ from pyspark.sql import DataFrame
 from .bpe import SliceCache, chunks, encode_texts
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable stand-in of every byte: itself where it is printable in
-    Latin-1, else the next letter from U+0100."""
+def _byte_letters() -> str:
+    """The printable stand-in of every byte, at its place: itself where it is
+    printable in Latin-1, else the next letter from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    of = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return "".join(of[b] for b in range(256))
 
 
 @lru_cache(2)
@@ -35,13 +37,17 @@ def _model_cache(path: str) -> SliceCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path).model
+    whole = Tokenizer.from_file(path)
+    model = whole.model
     letters = _byte_letters()
 
     def resolve(pieces):
-        return [[t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
+        joined = codecs.charmap_decode(b"\xff".join(pieces), "strict", letters)[0]     # UTF-8 has no byte FF
+        return [[t.id for t in model.tokenize(p)] for p in joined.split(letters[0xFF])]
 
-    return SliceCache(resolve)
+    cache = SliceCache(resolve)
+    cache.id_bytes = 2 if max(whole.get_vocab(True).values(), default=0) < 1 << 16 else 4      # hold any id
+    return cache
 
 
 @lru_cache(2)
@@ -70,11 +76,12 @@ def _encode_around(texts: list[str], cache: SliceCache, path: str) -> tuple[np.n
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0,
-                     key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
+                     key: str = "doc_id", text: str = "text", added: bool = False, packed: bool = False) -> DataFrame:
     """One row per document in the order of the input partitions: key, part
     (number of the task), local (ids of the task's documents before it),
     n_tokens, ids array<int> with ``end_id`` appended. ``added``: added tokens
-    are recognised in the texts.
+    are recognised in the texts. ``packed``: ids is binary, little-endian, two
+    bytes an id if all ids of the tokenizer fit, else four.
 
     Null texts count as empty: just the end id. Nothing but key and text is
     read. part and local hold for one evaluation, so write the table before
@@ -83,6 +90,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None =
 
     def run(batches):
         cache = _model_cache(tokenizer_path)
+        width = cache.id_bytes
         part, local = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -93,17 +101,22 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None =
                     ids = np.insert(ids, np.cumsum(per_text), end_id)
                     per_text = per_text + 1
                 upto = np.concatenate([[0], np.cumsum(per_text)])
+                if packed:
+                    raw = pa.py_buffer(ids.astype(f"<u{width}"))
+                    held = pa.Array.from_buffers(pa.binary(), len(group), [None, pa.py_buffer((upto * width).astype(np.int32)), raw])
+                else:
+                    held = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(row, len(group)),
                     pa.array(np.full(len(group), part, np.int32)),
                     pa.array(local + upto[:-1]),
                     pa.array(per_text),
-                    pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                    held,
                 ], names=["key", "part", "local", "n_tokens", "ids"])
                 local += int(upto[-1])
                 row += len(group)
 
     kind = docs.schema[key].dataType.simpleString()
     return (docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-            .mapInArrow(run, f"key {kind}, part int, local bigint, n_tokens bigint, ids array<int>")
+            .mapInArrow(run, f"key {kind}, part int, local bigint, n_tokens bigint, ids " + ("binary" if packed else "array<int>"))
             .withColumnRenamed("key", key))

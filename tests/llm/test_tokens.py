@@ -143,3 +143,14 @@ def test_queries(spark):
         at += len(ids)
     for r in QUERIES["op3_concat_cut"](spark, sf).collect():
         assert r.ids_crc32 == crc(dict(zip((i for i, _ in docs), want))[r.doc_id][r.start:r.start + r.length])
+
+
+def test_packed_ids_give_the_same_pieces(spark):
+    from numweave.llm import tokens
+
+    docs = spark.createDataFrame([(1, "some words " * 700), (2, None), (3, "ä€ 😀 x"), (4, ""), (5, "<|endoftext|> a" * 40)], "doc_id long, text string").repartition(3)
+    rows = [sorted(map(tuple, packing.pieces(packing.stream(docs.coalesce(1).sortWithinPartitions("doc_id"), JSON, added=True, packed=p), 1024).collect()))
+            for p in (False, True)]
+    assert rows[0] == rows[1] and len(rows[0]) >= 5
+    held = tokens.encode_documents(docs, JSON, added=True, packed=True).collect()
+    assert all(len(r.ids) == 2 * r.n_tokens for r in held)          # two bytes an id, not an array element
