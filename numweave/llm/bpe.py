@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -154,7 +155,8 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class SliceCache:
     """Ids of distinct slices, kept flat: slice -> number, number -> ids.
 
-    ``resolve`` gives ids for slices not seen before. The cache starts anew
+    ``resolve`` gives ids for slices not seen before: (number of ids per slice,
+    the ids of all in order). The cache starts anew
     once it holds CACHE_SLICES slices, so its memory is bounded.
     """
 
@@ -178,18 +180,19 @@ class SliceCache:
         group, sample = distinct_slices(raw, cut)
         number = self.number
         pieces = [raw[a:b] for a, b in zip(cut[sample].tolist(), cut[sample + 1].tolist())]
-        new = [p for p in pieces if p not in number]
-        if new:
-            new = list(dict.fromkeys(new))
-            found = self.resolve(new)
+        numbers = list(map(number.get, pieces))
+        at = [i for i, k in enumerate(numbers) if k is None]
+        if at:
+            new = [pieces[i] for i in at]                # no two alike
+            sizes, found = self.resolve(new)
             k = len(number)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
             self._reserve(k + len(new) + 1, int(self.first[k] + sizes.sum()))
             self.first[k + 1:k + 1 + len(new)] = self.first[k] + np.cumsum(sizes)
-            flat = [i for ids in found for i in ids]
-            self.ids[self.first[k]:self.first[k] + len(flat)] = flat
+            self.ids[self.first[k]:self.first[k + len(new)]] = np.fromiter(found, np.uint32, int(sizes.sum()))
             number.update(zip(new, range(k, k + len(new))))
-        which = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))[group]
+            for j, i in enumerate(at, k):
+                numbers[i] = j
+        which = np.array(numbers, np.int64)[group]
         begin = self.first[which]
         count = self.first[which + 1] - begin
         return self.ids[ranges(begin, count)], count
@@ -218,7 +221,12 @@ def distinct_slices(raw: bytes, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray
         hi = words[:, 1] & _LOW_BYTES[np.maximum(n - 8, 0)]
         mixed = (lo ^ hi * _ODD[0] ^ n.astype(np.uint64)) * _ODD[1]
         mixed ^= mixed >> np.uint64(29)
-        _, first, inverse = np.unique(mixed, return_index=True, return_inverse=True)
+        order = np.argsort(mixed)                   # any slice of a group may stand for it, so the sort need not be stable
+        new = np.ones(len(order), bool)
+        new[1:] = mixed[order[1:]] != mixed[order[:-1]]
+        first = order[new]
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
         same = (lo == lo[first][inverse]) & (hi == hi[first][inverse]) & (n == n[first][inverse])
         group[short] = inverse
         sample = short[first]
@@ -245,7 +253,11 @@ def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 @lru_cache(2)
 def _merging_cache(path: str) -> SliceCache:
-    return SliceCache(lambda pieces: merge_all(pieces, path))
+    def resolve(pieces):
+        found = merge_all(pieces, path)
+        return np.fromiter(map(len, found), np.int64, len(found)), chain.from_iterable(found)
+
+    return SliceCache(resolve)
 
 
 @lru_cache(2)

@@ -131,8 +131,8 @@ def boundaries(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     space = cls == SPACE
     follows = np.zeros(len(code), bool)
     follows[:-1] = ~space[1:] & ~first[1:len(code)]
-    last = space & follows
-    cls = np.where(last, np.where(code == 0x20, BLANK_END, SPACE_END), cls).astype(np.uint8)
+    last = np.flatnonzero(space & follows)
+    cls[last] = np.where(code[last] == 0x20, BLANK_END, SPACE_END)
     # apostrophes before an ending
     marks = np.flatnonzero(code == 0x27)
     if len(marks):
@@ -149,11 +149,8 @@ def boundaries(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     if len(raw) == len(code):
         offsets = at
     else:
-        width = np.ones(len(code), np.int8)
-        width += code >= 0x80
-        width += code >= 0x800
-        width += code >= 0x10000
-        offsets = np.cumsum(width, dtype=np.int64)[at] - width[at]
+        leads = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)       # first byte of every code point
+        offsets = leads[at]
     # tokens per text
     upto = np.searchsorted(at, ends, "left")
     counts = np.diff(upto, prepend=0)

@@ -14,6 +14,7 @@ import json
 import os
 import re
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +40,16 @@ def _model_cache(path: str) -> SliceCache:
 
     whole = Tokenizer.from_file(path)
     model = whole.model
-    letters = _byte_letters()
+    letters, id_of = _byte_letters(), attrgetter("id")
 
     def resolve(pieces):
         joined = codecs.charmap_decode(b"\xff".join(pieces), "strict", letters)[0]     # UTF-8 has no byte FF
-        return [[t.id for t in model.tokenize(p)] for p in joined.split(letters[0xFF])]
+        sizes, ids = [], []
+        for p in joined.split(letters[0xFF]):
+            found = model.tokenize(p)
+            sizes.append(len(found))
+            ids.extend(map(id_of, found))
+        return np.array(sizes, np.int64), ids
 
     cache = SliceCache(resolve)
     cache.id_bytes = 2 if max(whole.get_vocab(True).values(), default=0) < 1 << 16 else 4      # hold any id
