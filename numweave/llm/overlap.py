@@ -27,8 +27,9 @@ survives is verified on the exact sets.
   boxes against boxes, down to points, and only across components. Large
   subtrees are dealt out as pairs of tiles.
 * A subtree first yields only the pairs that would join its components, best
-  first, as many as it has members at most; what then still lies between two
-  components is listed in full. One pair per component is verified before all others, so a group is joined by
+  first, as many as it has members at most; only a subtree that yielded a pair
+  which then still lies between two components is listed in full: in all
+  others every pair that may link is inside a component. One pair per component is verified before all others, so a group is joined by
   few tests; no pair that may link is left out unless its members are connected
   already. Each pair is verified once.
 
@@ -341,7 +342,8 @@ def spanning(a: np.ndarray, b: np.ndarray, score: np.ndarray, node: np.ndarray,
 def subtree_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame, forest: bool = False) -> DataFrame:
     """a, b, place, score: candidates across components, from the subtrees (bucket, n,
     node) that hold several. ``forest``: of a subtree's candidates only as many
-    as join its components, which never outgrow its members."""
+    as join its components, which never outgrow its members. A pair comes once
+    for every subtree that yields it."""
     rows = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = (rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .where("lo <> hi").select("bucket"))
@@ -385,7 +387,7 @@ def subtree_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame, fores
             yield out
 
     return (rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-            .mapInArrow(run, PAIRS).groupBy("a", "b").agg(F.min("place").alias("place"), F.max("score").alias("score")))
+            .mapInArrow(run, PAIRS))
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -500,9 +502,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
              .agg(F.min("hub").alias("place")))
     groups = written(settled(near_pairs(pairs, nodes), None, verify), "groups")
     large = members.where("n > 2").select("bucket", "n", "node")
-    for forest in (True, False):           # pairs that would join a subtree's candidates; then all that still lie between components
-        across = subtree_pairs(large, nodes, groups, forest)
-        groups = written(settled(across.join(pairs, ["a", "b"], "left_anti"), groups, verify), "groups")
+
+    def joined(found):
+        once = found.groupBy("a", "b").agg(F.min("place").alias("place"), F.max("score").alias("score"))
+        return written(settled(once.join(pairs, ["a", "b"], "left_anti"), groups, verify), "groups")
+
+    def root_of(side):
+        return groups.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+
+    forest = written(subtree_pairs(large, nodes, groups, True), "forest")    # pairs that would join a subtree's candidates
+    groups = joined(forest)
+    still = written(forest.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+                    .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(F.col("place").alias("bucket")).distinct(), "open")
+    if not still.isEmpty():                # all pairs that still lie between components
+        groups = joined(subtree_pairs(large.join(still, "bucket", "left_semi"), nodes, groups))
     rooted = written(nodes.select("same", "node", "head").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("head").alias("least")), "least")
     named = written(rooted.join(least, "root").select("same", F.col("least.key").alias("component_id")), "named")
