@@ -42,6 +42,7 @@ Sets are compared by 64-bit hashes of their shingles. Other columns are not read
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -137,8 +138,8 @@ def _lists(values: np.ndarray, own: np.ndarray, n: int, kind) -> pa.Array:
 
 
 def sketch(docs: DataFrame, key: str, text: str, repeated: np.ndarray) -> DataFrame:
-    """key, th, size, same (16 bytes that stand for the set), point, first (its
-    first shingles)."""
+    """key, th, size, same (16 bytes that stand for the set), point
+    (``points``, deflated: small counts take about two bits), first (its first shingles)."""
     def run(batches):
         for batch in batches:
             texts, row = batch.column(2).to_pylist(), 0
@@ -151,7 +152,7 @@ def sketch(docs: DataFrame, key: str, text: str, repeated: np.ndarray) -> DataFr
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.diff(cut), pa.int64()),
                     pa.array([hashlib.md5(raw[8 * a:8 * b]).digest() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                    pa.array(points(own, s, n), pa.binary()), _lists(first.view(np.int64), at, n, pa.int64())],
+                    pa.array([zlib.compress(x, 1) for x in points(own, s, n)], pa.binary()), _lists(first.view(np.int64), at, n, pa.int64())],
                     names=["key", "th", "size", "same", "point", "first"])
                 row += n
 
@@ -371,7 +372,7 @@ def subtree_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame, fores
             if not batch.num_rows:
                 continue
             bucket, i, j, node, size, root, own = (batch.column(k).to_numpy() for k in (0, 1, 2, 3, 4, 5, 7))
-            point = batch.column(6).to_pylist()
+            point = list(map(zlib.decompress, batch.column(6).to_pylist()))
             cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)]):
                 this = (bucket[x], i[x], j[x])
@@ -395,7 +396,8 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             size_a, size_b = batch.column(5).to_numpy(), batch.column(6).to_numpy()
-            bound = np.fromiter((bound_of(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())), np.int64, batch.num_rows)
+            sides = (map(zlib.decompress, batch.column(k).to_pylist()) for k in (3, 4))
+            bound = np.fromiter(map(bound_of, *sides), np.int64, batch.num_rows)
             good = may_link(bound, size_a, size_b)
             yield _pairs_batch([(batch.column(0).to_numpy()[good], batch.column(1).to_numpy()[good], (bound / (size_a + size_b))[good])],
                                batch.column(2).to_numpy()[good])

@@ -52,3 +52,14 @@ def test_links_beyond_a_first_pair_that_is_none_are_found(spark, monkeypatch):
                 p, q = find(a), find(b)
                 up[max(p, q)] = min(p, q)
     assert out == {i: find(i) for i in range(60)}
+
+
+def test_points_travel_deflated(spark):
+    import zlib
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(400)) for _ in range(5)]
+    rows = overlap.sketch(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", overlap.np.zeros(0, "uint64")).collect()
+    for r in rows:
+        own, s = overlap.sets([texts[r.key]])
+        assert zlib.decompress(r.point) == overlap.points(own, s, 1)[0] and len(r.point) < 512 * 0.45
