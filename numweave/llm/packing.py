@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import lean, written
 from .tokens import encode_documents
 
 WINDOW = 1024
@@ -52,6 +52,7 @@ def pieces(placed: DataFrame, window: int = WINDOW, key: str = "doc_id", with_id
     ids_crc32, doc_tokens, sequence_id, offset, and, if asked for, ids."""
     packed = placed.schema["ids"].dataType.simpleString() == "binary"
 
+    @lean
     def run(batches):
         for batch in batches:
             n, begin = batch.column(1).to_numpy(), batch.column(3).to_numpy()
@@ -94,6 +95,7 @@ def sequences(placed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataF
     window can be short: it is padded unless its size is a power of two.
     """
 
+    @lean
     def run(batches):
         held: dict = {"seq": None}
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import unused
+from .scratch import lean, unused
 
 SYMBOLS = "#*$%&|<>"           # fixed by the definition of n_symbols
 WINDOW_WORDS = 8
@@ -92,6 +92,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and the COUNTS of every text."""
 
+    @lean
     def run(batches):
         for batch in batches:
             got = np.array([measure(t) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, len(COUNTS))
@@ -264,6 +265,7 @@ def kept(docs: DataFrame, rules: list[Rule], key: str = "doc_id", text: str = "t
     own = {c: unused(docs, c) for c in COUNTS}
     schema = T.StructType([*docs.schema.fields, *(T.StructField(own[c], T.LongType()) for c in COUNTS)])
 
+    @lean
     def run(batches):
         for batch in batches:
             got = np.array([measure(t) for t in batch.column(at).to_pylist()], np.int64).reshape(-1, len(COUNTS))

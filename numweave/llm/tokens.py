@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import SliceCache, chunks, encode_texts
+from .scratch import lean
 
 
 def _byte_letters() -> str:
@@ -94,6 +95,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None =
     using them twice.
     """
 
+    @lean
     def run(batches):
         cache = _model_cache(tokenizer_path)
         width = cache.id_bytes

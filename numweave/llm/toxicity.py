@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import discard, filtered, written
+from .scratch import discard, filtered, lean, written
 from .words import mix
 
 ORDER = 6                      # letters per sequence
@@ -71,6 +71,7 @@ def words_of(text: str) -> list[str]:
 def _word_counts(rows: DataFrame) -> DataFrame:
     """word, ordinary, toxic: occurrences per class; summed inside tasks first."""
 
+    @lean
     def run(batches):
         from collections import Counter
 
@@ -271,6 +272,7 @@ def probe(cells: Cells, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _table(rows: DataFrame, text: str, weight: str, value: str, cells: int | None = None) -> Cells:
     """All sequences with their values; by default as many cells as there are
     sequences. ``weight`` names the occurrences and decides nothing."""
+    @lean
     def run(batches):
         for batch in batches:
             if batch.num_rows:
@@ -320,6 +322,7 @@ def _model(grams: DataFrame, order: int, cells: int | None, context_cells: int |
 def _features(rows: DataFrame, model: Model) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)          # 12 bytes for every sequence and context
 
+    @lean
     def run(batches):
         m = shared.value
         for batch in batches:
@@ -357,6 +360,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """key, score double, predicted int: one pass over the texts, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches):
         m = shared.value
         for batch in batches:
